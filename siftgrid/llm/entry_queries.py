@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from siftgrid.llm import chat_format
+from siftgrid.llm import chat_format, token_counts
 
 
 def queries() -> dict:
     return {
+        "op4_token_counts": token_counts.op4_token_counts,
         "op9_chat_format": chat_format.op9_chat_format,
     }
 
