@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siftgrid.llm import chat_format, token_counts
+from siftgrid.llm import chat_format, packing, token_counts
 
 
 def queries() -> dict:
     return {
         "op4_token_counts": token_counts.op4_token_counts,
+        "op6_packing": packing.op6_packing,
         "op9_chat_format": chat_format.op9_chat_format,
     }
 
