@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siftgrid.llm import chat_format, packing, simhash_dedup, token_counts
+from siftgrid.llm import chat_format, langid_ftrl, packing, simhash_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op4_token_counts": token_counts.op4_token_counts,
+        "op5_language_id": langid_ftrl.op5_language_id,
         "op6_packing": packing.op6_packing,
         "op7_simhash": simhash_dedup.op7_simhash,
         "op9_chat_format": chat_format.op9_chat_format,
