@@ -100,7 +100,10 @@ def frequent_table(docs: DataFrame, model: str, sample_docs: int, table_size: in
                 seen.update(k for k in PRE_TOKEN.findall(" " + text) if len(k) <= max_key)
         yield pd.DataFrame(seen.most_common(table_size), columns=["key", "n"])
 
-    sample = docs.where(F.length("text") > 0).select("text").limit(sample_docs)
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    # The limit is for chance alone: about sample_docs rows pass the hash, wherever they are.
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)
+    sample = docs.where(drawn & (F.length("text") > 0)).select("text").limit(2 * sample_docs)
     counted = sample.mapInPandas(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
     keys = [r["key"] for r in counted.orderBy(F.desc("n"), "key").limit(table_size).collect()]
     return dict(zip(keys, measured(processor(model), keys), strict=True))
