@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftgrid.llm import chat_format, langid_ftrl, packing, simhash_dedup, token_counts
+from siftgrid.llm import chat_format, langid_ftrl, packing, quality_iforest, simhash_dedup, token_counts
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_language_id": langid_ftrl.op5_language_id,
         "op6_packing": packing.op6_packing,
         "op7_simhash": simhash_dedup.op7_simhash,
+        "op8_quality": quality_iforest.op8_quality,
         "op9_chat_format": chat_format.op9_chat_format,
     }
 
