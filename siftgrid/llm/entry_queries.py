@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from siftgrid.llm import chat_format, langid_ftrl, packing, quality_iforest, simhash_dedup, token_counts
+from siftgrid.llm import chat_format, langid_ftrl, mixing, packing, quality_iforest, simhash_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_language_id": langid_ftrl.op5_language_id,
         "op6_packing": packing.op6_packing,

@@ -17,12 +17,12 @@ shuffle and memory is bounded by the window and the longest document.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +30,14 @@ from pyspark.sql import functions as F
 from siftgrid.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
-#: The public pre-token pattern of this byte-level vocabulary.
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Texts of these characters alone are cut by PRE_TOKEN; others go to the library whole.
-PLAIN = regex.compile("[\t\n\r\x20-\x7e\xa1-ȷ‐-‧‰-⁞€]*+")
+#: The letters of the texts that are cut here: Latin, without the letters that are also numbers or marks.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ȷ"
+#: The public pre-token pattern of this byte-level vocabulary, for texts of PLAIN characters.
+PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+#: Other texts go to the library whole. No other character here is a number or white space.
+PLAIN = re.compile(f"[\t\n\r\x20-\x7e{LETTERS}¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞€]*+")
+#: Pre-tokens that stay apart when they stand one after the other.
+SPACED = re.compile(f" [{LETTERS}]+")
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -44,13 +48,13 @@ class Encoder:
     inside a text becomes its special id, which is the library's default.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
         self.size = cache_size
 
@@ -72,7 +76,7 @@ class Encoder:
         got = list(map(self.known.get, found))
         if None in got:
             missed = list({k for k, v in zip(found, got, strict=True) if v is None})
-            ids = dict(zip(missed, self.whole(missed), strict=True))
+            ids = self._apart(missed)
             got = [ids[k] if v is None else v for k, v in zip(found, got, strict=True)]
             if len(self.known) + len(ids) > self.size:
                 self.known.clear()
@@ -81,6 +85,19 @@ class Encoder:
         return b"".join(got)
 
 
+    def _apart(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of single pre-tokens; those that begin with a space go through the library as one text."""
+        row = [k for k in keys if SPACED.fullmatch(k)]
+        rest = [k for k in keys if not SPACED.fullmatch(k)]
+        out = dict(zip(rest, self.whole(rest), strict=True))
+        if row:
+            got = self.library.encode("".join(row), add_special_tokens=False)
+            ids = np.array(got.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(got.word_ids), np.arange(len(row)), "right").tolist()
+            out.update((k, ids[4 * a : 4 * b]) for k, a, b in zip(row, [0, *ends], ends, strict=False))
+        return out
+
+
 def assign(sizes: list[int], capacity: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int, int]]]:
     """For each document the pieces (start, length, sequence, offset); sequences count from 0."""
     pieces: list[list[tuple[int, int, int, int]]] = [[] for _ in sizes]
