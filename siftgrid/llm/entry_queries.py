@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siftgrid.llm import ann_ivfpq, chat_format, langid_ftrl, mixing, packing, quality_iforest, simhash_dedup, token_counts
+from siftgrid.llm import ann_ivfpq, chat_format, html_wrapper, langid_ftrl, mixing, packing, quality_iforest, simhash_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_html_extraction": html_wrapper.op2_html_extraction,
         "op3_ann": ann_ivfpq.op3_ann,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_language_id": langid_ftrl.op5_language_id,
