@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftgrid.llm import ann_ivfpq, chat_format, html_wrapper, langid_ftrl, mixing, packing, quality_iforest, simhash_dedup, token_counts
+from siftgrid.llm import ann_ivfpq, chat_format, html_wrapper, langid_ftrl, lm_hpy, mixing, packing, quality_iforest, simhash_dedup, token_counts
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_simhash": simhash_dedup.op7_simhash,
         "op8_quality": quality_iforest.op8_quality,
         "op9_chat_format": chat_format.op9_chat_format,
+        "op10_lm_scores": lm_hpy.op10_lm_scores,
     }
 
 
