@@ -1,6 +1,77 @@
-STAGES = []
+"""The corpus pipeline: documents to packed sequences in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the caller
+writes it as Parquet and rereads it as the next stage's docs. All but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftgrid.llm import langid_ftrl, mixing, packing, quality_iforest, simhash_dedup
+from siftgrid.llm.common import cut, table
+
+#: A prediction below this is no language; four languages at even odds have 0.25.
+LEAST_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language stay; a null text, one without a letter and an undecided one go."""
+    model = langid_ftrl.train(docs.where(~langid_ftrl.held_out()))
+    found = langid_ftrl.predict(docs, model)
+    sure = (found["lang_pred"] != langid_ftrl.UNDECIDED) & (found["score"] >= LEAST_SCORE)
+    return docs.where(sure)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the forest keep stay."""
+    stats = cut(quality_iforest.statistics_table(docs))
+    forest, limit = quality_iforest.fitted(stats, table(spark, sf_dir, "labels"))
+    measured = docs.withColumn("stats_", quality_iforest.measured()).select("*", "stats_.*")
+    return quality_iforest.verdict(measured, forest, limit).where("kept").select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document of smallest id stays; rows repeated under one id are one document."""
+    groups = simhash_dedup.group(docs)
+    ids = cut(groups.groupBy("doc_id").agg(F.max(F.expr("doc_id <=> component_id")).alias("stays"), F.count("*").alias("n")))
+    gone, twice = ids.where(~F.col("stays")), ids.where("stays and n > 1")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    once = left.join(twice, left["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti")
+    repeated = left.join(twice, left["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; one that it takes no copy of goes."""
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("id_")).agg(F.max("copies").alias("copies_")).where("copies_ > 0")
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["id_"]))
+    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*docs.columns)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 ids."""
+    return packing.with_digest(packing.pack(docs))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("source_mixing", source_mixing),
+    ("sequence_packing", sequence_packing),
+]
+
+#: The stages fit models and cut texts by a tokenizer, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs
