@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from siftgrid.plans import core_queries  # noqa: F401
