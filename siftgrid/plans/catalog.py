@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from siftgrid.plans import core_queries, finding_queries  # noqa: F401
+from siftgrid.plans import core_queries, finding_queries, web_queries  # noqa: F401
