@@ -98,6 +98,16 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, with what it has kept from earlier tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def assign(sizes: list[int], capacity: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int, int]]]:
     """For each document the pieces (start, length, sequence, offset); sequences count from 0."""
     pieces: list[list[tuple[int, int, int, int]]] = [[] for _ in sizes]
@@ -149,7 +159,7 @@ def pack(
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 36
         held: list[tuple[object, bytes]] = []
         ids = 0
