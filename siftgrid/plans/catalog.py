@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from siftgrid.plans import capture_queries, core_queries, finding_queries, web_queries  # noqa: F401
+from siftgrid.plans import capture_queries, core_queries, finding_queries, rule_queries, web_queries  # noqa: F401
