@@ -20,7 +20,15 @@ def _any(parts: list[Column]) -> Column:
     return out
 
 
-def placeholder(value: Column, min_length: int = 8) -> Column:
+def _starts(c: Column, prefixes: list[str]) -> Column:
+    return c.rlike("^(?:" + "|".join(map(quoted, prefixes)) + ")")
+
+
+def _ends(c: Column, ends: list[str]) -> Column:
+    return c.rlike("(?:" + "|".join(map(quoted, ends)) + r")\z")
+
+
+def placeholder(value: Column, min_length: int | Column = 8) -> Column:
     raw = _plain(value)
     text = F.lower(F.trim(raw))
     tokens = F.filter(F.split(text, "[^a-z0-9]+"), lambda t: t != "")
@@ -30,7 +38,7 @@ def placeholder(value: Column, min_length: int = 8) -> Column:
         [
             F.length(text) < min_length,
             text.isin(rules.PLACEHOLDER_WORDS),
-            _any([text.startswith(p) for p in rules.PLACEHOLDER_PREFIXES]),
+            _starts(text, rules.PLACEHOLDER_PREFIXES),
             (F.size(tokens) > 0) & (F.size(F.array_except(tokens, F.array(*map(F.lit, rules.PLACEHOLDER_WORDS)))) == 0),
             _any([text.contains(w) & (F.length(text) - len(w) < 20) for w in rules.PLACEHOLDER_PARTS]),
             (F.length(alnum) >= 8) & (F.coalesce(commonest, F.lit(0)) >= 0.5 * F.length(alnum)),
@@ -41,7 +49,7 @@ def placeholder(value: Column, min_length: int = 8) -> Column:
     )
 
 
-def low_entropy(value: Column, least: float) -> Column:
+def low_entropy(value: Column, least: float | Column) -> Column:
     return entropy(_plain(value)) < least
 
 
@@ -60,7 +68,7 @@ def placeholder_db_url(value: Column) -> Column:
             shouting(user),
             shouting(password),
             low.isin(rules.DB_PASSWORDS),
-            _any([low.endswith(e) for e in rules.DB_PASSWORD_ENDS]),
+            _ends(low, rules.DB_PASSWORD_ENDS),
             F.lower(user) == low,
         ]
     )
@@ -73,7 +81,7 @@ def local_url(value: Column) -> Column:
 def local_basic_auth(value: Column) -> Column:
     text = F.lower(F.trim(_plain(value)))
     user = F.regexp_extract(text, r"https?://([^:@/\s]+):", 1)
-    local = lambda c: c.isin(rules.LOCAL_USERS) | _any([c.endswith(e) for e in rules.LOCAL_ENDS])
+    local = lambda c: c.isin(rules.LOCAL_USERS) | _ends(c, rules.LOCAL_ENDS)
     return local(text) | local(user)
 
 

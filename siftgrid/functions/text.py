@@ -16,26 +16,27 @@ def group_of(pattern: str) -> int:
     return 1 if re.compile(pattern).groups else 0
 
 
-def matches(text: Column, pattern: str, group: int | None = None) -> Column:
+def matches(text: Column, pattern: str | Column, group: int | Column | None = None) -> Column:
     """array<struct<value, start, stop>> of all matches; start counts characters from 0.
 
     Spark's regex functions give no offsets. The stretches between matches are
-    what split() leaves, so offsets are running sums over both; a text without a
-    match is tested once and costs nothing more.
+    what split() leaves, so offsets are running sums over both. A pattern given as
+    text gets its flags here; one given as a Column has them.
     """
-    p = FLAGS + pattern
-    whole = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    group = group_of(pattern) if group is None else group
-    value = F.regexp_extract_all(text, F.lit(p), F.lit(group)) if group else whole
-    gaps = F.transform(F.split(text, p, -1), F.length)
-    sizes = F.transform(whole, F.length)
+    if isinstance(pattern, str):
+        group = group_of(pattern) if group is None else group
+        pattern = F.lit(FLAGS + pattern)
+    whole = F.regexp_extract_all(text, pattern, F.lit(0))
+    value = F.regexp_extract_all(text, pattern, F.lit(group) if isinstance(group, int) else group)
+    sizes = F.transform(whole, lambda m: F.length(m))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
 
     def placed(v: Column, i: Column) -> Column:
         before = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)
         start = before + F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)
         return F.struct(v.alias("value"), start.alias("start"), (start + F.element_at(sizes, i + 1)).alias("stop"))
 
-    return F.when(text.rlike(p), F.transform(value, placed)).otherwise(F.expr("cast(array() as array<struct<value:string,start:int,stop:int>>)"))
+    return F.transform(value, placed)
 
 
 def line_of(text: Column, start: Column) -> Column:
@@ -71,3 +72,16 @@ def contains_any(text: Column, words: list[str]) -> Column:
 
 def quoted(word: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", word)
+
+
+def sql_literal(s: str) -> str:
+    """A string literal of Spark SQL. Long lists of literals are cheaper to build as one SQL expression."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lookup(column: str, table: dict[str, object]) -> Column:
+    """The value of a fixed table by a column; null for what it doesn't have."""
+    if not table:
+        return F.lit(None)
+    show = lambda v: sql_literal(v) if isinstance(v, str) else "null" if v is None else str(v)
+    return F.expr(f"case {column} " + " ".join(f"when {sql_literal(k)} then {show(v)}" for k, v in table.items()) + " end")

@@ -1,49 +1,40 @@
 """Rule-driven extraction.
 
-Every active rule becomes a literal expression over the text; the rules of a
-group stand in one array and one explode, so a scan has no join and reads the
-text once a group. Patterns stay literal, so each is compiled once a task.
+Every active rule is one literal test over the text, so its pattern is compiled
+once a task and a text without a match costs no more than the test. The few
+(text, rule) pairs that match go on, and one expression takes values and offsets
+with the pattern as a column. A scan reads the text once and has no join.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgrid.functions import guards, identity, rules
-from siftgrid.functions.text import group_of, line_of, matches, snippet
-
-#: Rules whose expressions share one projection; larger ones leave generated code.
-GROUP = 16
+from siftgrid.functions.text import FLAGS, group_of, line_of, lookup, matches, snippet, sql_literal
 
 
 def scan(docs: DataFrame, patterns: dict[str, str], text: str = "content") -> DataFrame:
-    """docs with one row a match: rule, value, start, stop. Rules of a group share one explode."""
-    names = list(patterns)
-    parts = []
-    for i in range(0, len(names), GROUP):
-        found = [_tagged(n, matches(F.col(text), patterns[n], group_of(patterns[n]))) for n in names[i : i + GROUP]]
-        parts.append(docs.withColumn("m", F.explode(F.flatten(F.array(*found)))).select(*docs.columns, "m.*"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _tagged(name: str, found):
-    return F.transform(found, lambda m: F.struct(F.lit(name).alias("rule"), m["value"].alias("value"), m["start"].alias("start"), m["stop"].alias("stop")))
+    """docs with one row a match: rule, value, start, stop."""
+    q = sql_literal
+    tests = ", ".join(
+        f"case when `{text}` rlike {q(FLAGS + p)} then struct({q(name)} as rule, {q(FLAGS + p)} as pattern_, {group_of(p)} as group_) end" for name, p in patterns.items()
+    )
+    hits = docs.select("*", F.expr(f"inline(array_compact(array({tests})))"))
+    found = hits.withColumn("m", F.explode(matches(F.col(text), F.col("pattern_"), F.col("group_"))))
+    return found.select(*docs.columns, "rule", "m.*")
 
 
 def app_findings(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """Matches of the broad rules that aren't known to be harmless, with line and severity."""
-    found = scan(docs, patterns or rules.APP_PATTERNS)
-    return found.where(~guards.app_value(F.col("value"))).withColumn("line", line_of(F.col("content"), F.col("start"))).withColumn("severity", app_severity(F.col("rule")))
+    active = patterns or {n: p for n, p in rules.APP_PATTERNS.items() if n not in rules.NEVER_KEPT}
+    found = scan(docs, active)
+    return found.where(~guards.app_value(F.col("value"))).withColumn("line", line_of(F.col("content"), F.col("start"))).withColumn("severity", app_severity("rule"))
 
 
-def app_severity(kind):
-    out = F.lit("info")
-    for level, kinds in rules.APP_SEVERITY.items():
-        out = F.when(kind.isin(kinds), level).otherwise(out)
-    return out
+def app_severity(column: str) -> Column:
+    return F.coalesce(lookup(column, {k: level for level, kinds in rules.APP_SEVERITY.items() for k in kinds}), F.lit("info"))
 
 
 def detectors(packs: list[str] | None = None, ids: list[str] | None = None) -> list[tuple]:
@@ -57,27 +48,18 @@ def detectors(packs: list[str] | None = None, ids: list[str] | None = None) -> l
 def core_findings(docs: DataFrame, active: list[tuple] | None = None) -> DataFrame:
     """Findings of the precise rules after all guards, first of each (rule, source, redacted value, line)."""
     active = detectors() if active is None else active
-    by_rule = {d[0]: d for d in active}
     found = scan(docs, {d[0]: d[6] for d in active})
     value, rule = F.col("value"), F.col("rule")
-    short = F.lit(False)
-    for length in sorted({d[4] for d in active}):
-        short = F.when(rule.isin([d[0] for d in active if d[4] == length]), guards.placeholder(value, length)).otherwise(short)
-    dull = F.lit(False)
-    for d in active:
-        if d[5] is not None:
-            dull = F.when(rule == d[0], guards.low_entropy(value, d[5])).otherwise(dull)
+    table = lambda i: lookup("rule", {d[0]: d[i] for d in active})
     harmless = (
-        short
+        guards.placeholder(value, table(4))
         | ((rule == "database_url") & guards.placeholder_db_url(value))
         | guards.local_url(value)
-        | dull
+        | F.coalesce(guards.low_entropy(value, table(5).cast("double")), F.lit(False))
         | ((rule == "http_basic_auth") & (guards.local_basic_auth(value) | guards.template_marker(value)))
         | (rule.isin("bearer_token", "openai_api_key", "stripe_secret_key") & guards.public_prefix(value))
     )
-    severity = F.lit("info")
-    for level in rules.SEVERITIES:
-        severity = F.when(rule.isin([d[0] for d in by_rule.values() if d[2] == level] or [""]), level).otherwise(severity)
+    severity = table(2)
     kept = (
         found.where(~harmless)
         .withColumn("line", line_of(F.col("content"), F.col("start")))

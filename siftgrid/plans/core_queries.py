@@ -158,7 +158,7 @@ def in_comment_flag(spark, sf_dir):
 
 @query("severity_by_type", f"with {T.FINDINGS_SQL} select type, {severity_sql('type')} as severity, count(*) as n from findings group by all")
 def severity_by_type(spark, sf_dir):
-    return T.findings(spark, sf_dir).withColumn("severity", detect.app_severity(F.col("type"))).groupBy("type", "severity").agg(F.count("*").alias("n"))
+    return T.findings(spark, sf_dir).withColumn("severity", detect.app_severity("type")).groupBy("type", "severity").agg(F.count("*").alias("n"))
 
 
 # --- guards ---------------------------------------------------------------------------------------
