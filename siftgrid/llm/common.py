@@ -5,10 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +34,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent_whole(df: DataFrame, row_bytes: Column, most: int = 32 << 20) -> DataFrame:
+    """df marked for broadcast if its rows, measured, take at most `most` bytes; beyond that as it is, for a shuffled join.
+
+    df should be a written table: the measure reads it.
+    """
+    size = df.agg(F.sum(row_bytes + 32)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of sf_dir; one that comes in fewer parts than there are cores is dealt out first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:
@@ -59,9 +69,3 @@ def seeded(*parts: object) -> np.random.Generator:
     """A generator that depends on the parts alone, so a task that runs again draws the same numbers."""
     return np.random.default_rng(zlib.crc32("|".join(map(str, parts)).encode()))
 
-
-def frames(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """The same rows in frames of at most `rows`."""
-    for b in batches:
-        for i in range(0, len(b), rows):
-            yield b.iloc[i : i + rows]

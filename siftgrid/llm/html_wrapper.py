@@ -15,7 +15,8 @@ with text bounds the content where a page has one.
 Each page is parsed once; what is kept is its candidate blocks. Counting template
 nodes is an aggregation by (host, node) with map-side sums, so a host of any size
 spreads over all tasks. Of a host only the skeleton of the pivot (labels and text
-hashes) and its list of template nodes are joined back.
+hashes) and its list of template nodes are joined back: broadcast while, measured,
+they are small, by a shuffle on the host beyond that.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgrid.llm.common import cut, table
+from siftgrid.llm.common import cut, sent_whole, table
 
 # HTML element names by their role, and words of class names and ids.
 RAW = "script style noscript template textarea select option svg math iframe object canvas audio video head title".split()
@@ -280,7 +281,8 @@ def blocks(pages: DataFrame) -> DataFrame:
                 kept.append([{"text": text, "node": at, "same": same} for text, at, same in found])
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "host": b["host"], "tells": tells, "blocks": kept})
 
-    return cut(hosted.join(pivots, "host", "left").select("page_id", "url", "html", "host", "pivot").mapInPandas(run, BLOCKS))
+    near = sent_whole(pivots, F.length("host") + F.length("pivot"))
+    return cut(hosted.join(near, "host", "left").select("page_id", "url", "html", "host", "pivot").mapInPandas(run, BLOCKS))
 
 
 def extract(pages: DataFrame, least_pages: int = 3, constant: float = 0.9) -> DataFrame:
@@ -296,6 +298,8 @@ def extract(pages: DataFrame, least_pages: int = 3, constant: float = 0.9) -> Da
         cut_up.where("tells and host <> ''").select("host", F.inline("blocks")).where("node >= 0").groupBy("host", "node").agg(F.count("*").alias("n"), F.sum(F.col("same").cast("int")).alias("k"))
     )
     template = counted.where((F.col("n") >= least_pages) & (F.col("k") >= constant * F.col("n"))).groupBy("host").agg(F.collect_set("node").alias("nodes"))
+    template = cut(template)
+    template = sent_whole(template, F.length("host") + 4 * F.size("nodes"))
     kept = F.filter("blocks", lambda b: ~(b["same"] & F.coalesce(F.array_contains("nodes", b["node"]), F.lit(False))))
     return cut_up.join(template, "host", "left").select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
 
