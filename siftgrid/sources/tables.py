@@ -18,9 +18,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt out over all cores if it comes in fewer parts: scans by many rules cost far more than moving the text."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, content of all documents that are scanned."""
-    d = read(spark, sf_dir, "documents").where((F.octet_length("text") <= MOST_BYTES) & F.col("text").isNotNull())
+    d = spread(read(spark, sf_dir, "documents")).where((F.octet_length("text") <= MOST_BYTES) & F.col("text").isNotNull())
     return d.select("doc_id", "source", F.col("text").alias("content"))
 
 
