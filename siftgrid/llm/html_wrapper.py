@@ -57,7 +57,7 @@ TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?:({_raw})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|(?=<body\b)|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>|([^<]+)|<""",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORDS = re.compile(r"[a-zA-Z]+")
 
 
@@ -77,14 +77,14 @@ def described(tag: str, raw: str, above: Node) -> Node:
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw else {}
     role = found.get("role", "").lower()
     article = above.article or tag in ("article", "main") or role in ("article", "main")
-    named = {w.lower() for w in WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+    named = set() if tag in ("html", "body", "main") else {w.lower() for w in WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
     region = (
         above.region
         or tag in REGION_TAGS
         or role in REGION_ROLES
         or "hidden" in found
         or bool(named & REGION_WORDS)
-        or not above.article and (tag == "header" or bool(named & PAGE_WORDS) and tag not in ("body", "html", "article", "main"))
+        or not above.article and (tag == "header" or bool(named & PAGE_WORDS) and tag != "article")
     )
     mark = (found.get("class") or found.get("id") or "").split(" ")[0]
     return Node(tag, f"{tag}.{mark}" if mark else tag, region, article and not region)
