@@ -88,7 +88,7 @@ def best_blocks(points: int, radius: int) -> int:
         met = cells * 0.375 ** (32 * (blocks - radius) / blocks)
         return 20.0 * cells * points + met * points * points / 2
 
-    return min(range(radius + 1, radius + 6), key=work)
+    return min(range(radius + 2, radius + 6), key=work)
 
 
 def links(points: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
