@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrid.llm import langid_ftrl, mixing, packing, quality_iforest, simhash_dedup
-from siftgrid.llm.common import cut, table
+from siftgrid.llm.common import cut, sent_whole, table
 
 #: A prediction below this is no language; four languages at even odds have 0.25.
 LEAST_SCORE = 0.4
@@ -37,7 +37,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Of each group the document of smallest id stays; rows repeated under one id are one document."""
     groups = simhash_dedup.group(docs)
     ids = cut(groups.groupBy("doc_id").agg(F.max(F.expr("doc_id <=> component_id")).alias("stays"), F.count("*").alias("n")))
-    gone, twice = ids.where(~F.col("stays")), ids.where("stays and n > 1")
+    # Ids alone are sent whole while they are few, measured; beyond that the joins shuffle.
+    gone = sent_whole(ids.where(~F.col("stays")).select("doc_id"), F.lit(8))
+    twice = sent_whole(ids.where("stays and n > 1").select("doc_id"), F.lit(8))
     left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     once = left.join(twice, left["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti")
     repeated = left.join(twice, left["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
@@ -46,7 +48,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; one that it takes no copy of goes."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("id_")).agg(F.max("copies").alias("copies_")).where("copies_ > 0")
+    taken = cut(mixing.mix(docs).groupBy(F.col("doc_id").alias("id_")).agg(F.max("copies").alias("copies_")).where("copies_ > 0"))
+    taken = sent_whole(taken, F.lit(16))
     joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["id_"]))
     return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*docs.columns)
 
