@@ -48,7 +48,7 @@ class Encoder:
     inside a text becomes its special id, which is the library's default.
     """
 
-    def __init__(self, path: str, cache_size: int = 1_000_000):
+    def __init__(self, path: str, cache_size: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
