@@ -9,8 +9,10 @@ the pivot is template; slots that vary are content. Pages that mostly repeat the
 pivot's text (copies) say nothing about what is template and don't count.
 
 Some regions vary and still aren't the article: navigation, adverts, forms and
-the like. They are known by tag, role and class words, and an <article> or <main>
-with text bounds the content where a page has one.
+the like. They are known by tag, role, and class tokens and ids that name one as a
+whole. An article inside a region that only names layout (a wrapper) counts where
+the page has no larger one outside. An <article> or <main> bounds the content where
+it holds most of the text that isn't template.
 
 Each page is parsed once; what is kept is its candidate blocks. Counting template
 nodes is an aggregation by (host, node) with map-side sums, so a host of any size
@@ -26,6 +28,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -51,20 +54,25 @@ REGION_WORDS = set(
     "comment comments commentlist disqus reply replies respond pagination pager toolbar search searchbox widget widgets masthead topbar copyright".split()
 )
 PAGE_WORDS = {"header", "head"}  # of the page, where they stand outside the article
+#: Words that may stand beside a region's name in a class token; any other one (no-, has-, with-, article-) makes it another name.
+PLACE_WORDS = set("site main page top bottom primary secondary global local bar box block area section list links link item items slot unit".split())
+#: Regions by these words, headers and forms may wrap the whole page.
+LAYOUT_WORDS = PAGE_WORDS | set("nav navbar navigation menu sidebar aside footer banner masthead topbar toolbar overlay modal popup share sharing social widget widgets".split())
+CLEAR, WRAPPED, LAYOUT, REGION = range(4)
 
 _raw = "|".join(RAW)
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?:({_raw})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|(?=<body\b)|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>|([^<]+)|<""",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-WORDS = re.compile(r"[a-zA-Z]+")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
     __slots__ = ("article", "kids", "label", "linked", "number", "region", "tag", "text")
 
-    def __init__(self, tag: str, label: str, region: bool, article: bool):
+    def __init__(self, tag: str, label: str, region: int, article: bool):
         self.tag, self.label, self.region, self.article = tag, label, region, article
         self.kids: list[Node] = []
         self.text = ""
@@ -72,27 +80,46 @@ class Node:
         self.number = -1
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Values by lower-case name; the first of a name counts, and one without a value is empty."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+@lru_cache(4096)
+def named(token: str) -> frozenset[str]:
+    """The region words of a class token or id that names a region; none if it has other words than those and places."""
+    parts = [w.lower() for w in PARTS.findall(token)]
+    words = {"".join(parts)} if "".join(parts) in REGION_WORDS | PAGE_WORDS else set(parts)
+    regions = words & (REGION_WORDS | PAGE_WORDS)
+    return frozenset(regions) if words <= regions | PLACE_WORDS else frozenset()
+
+
 def described(tag: str, raw: str, above: Node) -> Node:
     """A node with its label (tag and first class or id), whether it is outside the content, whether inside an article."""
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw else {}
+    found = attributes(raw) if raw else {}
     role = found.get("role", "").lower()
-    article = above.article or tag in ("article", "main") or role in ("article", "main")
-    named = set() if tag in ("html", "body", "main") else {w.lower() for w in WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    region = (
-        above.region
-        or tag in REGION_TAGS
-        or role in REGION_ROLES
-        or "hidden" in found
-        or bool(named & REGION_WORDS)
-        or not above.article and (tag == "header" or bool(named & PAGE_WORDS) and tag != "article")
-    )
+    starts = tag in ("article", "main") or role in ("article", "main")
+    words: set[str] = set()
+    if tag not in ("html", "body", "main"):
+        words.update(*(named(t) for t in f"{found.get('class', '')} {found.get('id', '')}".split()))
+    if above.article or tag == "article":
+        words -= PAGE_WORDS
+    own = CLEAR
+    if tag in REGION_TAGS - {"form"} or role in REGION_ROLES - {"form"} or "hidden" in found or words - LAYOUT_WORDS:
+        own = REGION
+    elif words or "form" in (tag, role) or tag == "header" and not above.article:
+        own = LAYOUT
+    inherited = WRAPPED if above.region == LAYOUT and starts and not above.article else above.region
     mark = (found.get("class") or found.get("id") or "").split(" ")[0]
-    return Node(tag, f"{tag}.{mark}" if mark else tag, region, article and not region)
+    return Node(tag, f"{tag}.{mark}" if mark else tag, max(inherited, own), above.article or starts)
 
 
 def parse(page: str | None) -> Node:
     """The tree of block elements; inline elements are part of the text they stand in."""
-    root = Node("", "", False, False)
+    root = Node("", "", CLEAR, False)
     stack, run, links, linked = [root], [], 0, True
 
     def close() -> None:
@@ -165,7 +192,7 @@ def restored(text: str) -> Node:
     root: Node | None = None
     open_: list[tuple[Node, int]] = []
     for label, kids, hashed in rows:
-        node = Node(label.split(".")[0], label, False, False)
+        node = Node(label.split(".")[0], label, CLEAR, False)
         node.text = hashed
         if root is None:
             root = node
@@ -236,24 +263,31 @@ def align(a: Node, b: Node) -> dict[int, Node]:
     return out
 
 
-BLOCKS = "page_id long, url string, host string, tells boolean, blocks array<struct<text:string,node:int,same:boolean>>"
+BLOCKS = "page_id long, url string, host string, tells boolean, blocks array<struct<text:string,node:int,same:boolean,inside:boolean,linked:boolean>>"
+
 
+def told(same: list[bool]) -> bool:
+    return bool(same) and 2 * sum(same) < len(same)
 
-def candidates(page: str | None, pivot: Node | None) -> tuple[bool, list[tuple[str, int, bool]]]:
-    """Whether the page tells template from content, and its candidate blocks with the pivot's node and whether its text is the same."""
+
+def candidates(page: str | None, pivot: Node | None) -> tuple[bool, list[tuple[str, int, bool, bool, bool]]]:
+    """Whether the page tells template from content, and its candidate blocks: text, the pivot's node, whether its text is the same, whether in an article, whether a link list."""
     root = parse(page)
-    nodes = number(root)
+    nodes = [n for n in number(root) if n.text and n.region <= WRAPPED]
+    size = [0, 0]
+    for n in nodes:
+        if n.article:
+            size[n.region] += len(n.text)
+    if size[WRAPPED] <= size[CLEAR]:
+        nodes = [n for n in nodes if n.region == CLEAR]
     to = align(root, pivot) if pivot is not None else {}
     found = []
     for n in nodes:
-        if n.text and not n.region:
-            other = to.get(n.number)
-            found.append((n, other.number if other is not None else -1, other is not None and other.text == mark(n.text)))
-    inside = [x for x in found if x[0].article]
-    if not inside:  # link lists without a tag or class that says so
-        inside = [x for x in found if not x[0].linked]
-    paired = [same for _, at, same in inside if at >= 0]
-    return bool(paired) and 2 * sum(paired) < len(paired), [(n.text, at, same) for n, at, same in inside]
+        other = to.get(n.number)
+        found.append((n.text, other.number if other is not None else -1, other is not None and other.text == mark(n.text), n.article, n.linked))
+    inside = [same for _, at, same, article, _ in found if at >= 0 and article]
+    prose = [same for _, at, same, article, linked in found if at >= 0 and (article or not linked)]
+    return told(inside) or told(prose), found
 
 
 def blocks(pages: DataFrame) -> DataFrame:
@@ -278,7 +312,7 @@ def blocks(pages: DataFrame) -> DataFrame:
                     known[pivot] = restored(pivot)
                 t, found = candidates(page, known[pivot] if pivot is not None else None)
                 tells.append(t)
-                kept.append([{"text": text, "node": at, "same": same} for text, at, same in found])
+                kept.append([{"text": text, "node": at, "same": same, "inside": inside, "linked": linked} for text, at, same, inside, linked in found])
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "host": b["host"], "tells": tells, "blocks": kept})
 
     near = sent_whole(pivots, F.length("host") + F.length("pivot"))
@@ -301,7 +335,13 @@ def extract(pages: DataFrame, least_pages: int = 3, constant: float = 0.9) -> Da
     template = cut(template)
     template = sent_whole(template, F.length("host") + 4 * F.size("nodes"))
     kept = F.filter("blocks", lambda b: ~(b["same"] & F.coalesce(F.array_contains("nodes", b["node"]), F.lit(False))))
-    return cut_up.join(template, "host", "left").select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
+    left = cut_up.join(template, "host", "left").select("page_id", "url", kept.alias("kept"))
+    # Link lists without a tag or class that says so are left out, but not of an article.
+    prose = F.filter("kept", lambda b: b["inside"] | ~b["linked"])
+    inside = F.filter("kept", lambda b: b["inside"])
+    size = lambda found: F.aggregate(found, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    content = F.when(2 * size(inside) > size(prose), inside).otherwise(prose)
+    return left.select("page_id", "url", F.array_join(F.transform(content, lambda b: b["text"]), "\n").alias("text"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,27 @@ def test_template_is_dropped(spark):
     assert not any("Welcome" in r["text"] for r in html_wrapper.extract(made).collect())
 
 
+PROSE = "Rain fell on the old hills for three days before the river rose again."
+REGIONS = [
+    (f'<div style="overflow:hidden"><article><p>{PROSE}</p></article></div>', PROSE),
+    (f'<body style="overflow:hidden"><p>{PROSE}</p></body>', PROSE),
+    (f'<div title="a hidden place"><p>{PROSE}</p></div>', PROSE),
+    (f'<div data-url="x?a=1 id=promo"><p>{PROSE}</p></div>', PROSE),
+    *((f'<div class="{c}"><p>{PROSE}</p></div>', PROSE) for c in ("no-sidebar", "has-sidebar", "layout with-nav", "article-share", "hasSidebar")),
+    *((f"<{t}><article><p>{PROSE}</p></article></div>", PROSE) for t in ("div class=sidebar", "form", "div id=banner")),
+    (f"<article><p>Teaser</p></article><div><p>{PROSE}</p><p>{PROSE}</p></div>", f"Teaser\n{PROSE}\n{PROSE}"),
+    (f"<main><p>{PROSE}</p></main><div><p>Small print</p></div>", PROSE),
+    *((f"<{t}><p>Out</p></div></nav></aside><p>{PROSE}</p>", PROSE) for t in ("div hidden", "div class='x ad'", "div class=site-nav", "div id=sideBar", "div class=cookie-banner", "nav", "aside", "div role=search")),
+    (f"<article><p>{PROSE}</p><div class=share><p>Out</p></div></article><div class=related><article><p>Out {PROSE} {PROSE}</p></article></div>", PROSE),
+    (f"<article><p>{PROSE}</p></article><div class=sidebar><article><p>Out</p></article></div>", PROSE),
+]
+
+
+def test_regions_in_extract(spark):
+    made = spark.createDataFrame([(i, "no host", page) for i, (page, _) in enumerate(REGIONS)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_wrapper.extract(made).collect()} == {i: text for i, (_, text) in enumerate(REGIONS)}
+
+
 def test_neighbours(spark):
     schema = "vec_id long, vector array<float>, query_id long, list int, code string"
     vectors = [(i, [float(i % 7 + 1), float(i % 3), 1.0]) for i in range(60)]
