@@ -33,25 +33,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_iforest.verdict(measured, forest, limit).where("kept").select(*docs.columns)
 
 
+ROW_KEY = ("row_a_", "row_b_")
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs with 128 bits of hash of the whole row, nulls told from values; rows with equal keys are equal and stand for each other."""
+    parts = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumns({name: F.xxhash64(F.lit(name), *parts) for name in ROW_KEY})
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of smallest id stays; rows repeated under one id are one document."""
-    groups = simhash_dedup.group(docs)
-    ids = cut(groups.groupBy("doc_id").agg(F.max(F.expr("doc_id <=> component_id")).alias("stays"), F.count("*").alias("n")))
-    # Ids alone are sent whole while they are few, measured; beyond that the joins shuffle.
-    gone = sent_whole(ids.where(~F.col("stays")).select("doc_id"), F.lit(8))
-    twice = sent_whole(ids.where("stays and n > 1").select("doc_id"), F.lit(8))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    once = left.join(twice, left["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti")
-    repeated = left.join(twice, left["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    """Of each group of near copies one row stays: of smallest id, a null id last, then of smallest row key."""
+    keyed = with_row_key(docs)
+    stays = F.expr(" and ".join(f"{k} = first.{k}" for k in ROW_KEY))
+    ids = cut(simhash_dedup.group(keyed, row_key=ROW_KEY).groupBy(*ROW_KEY).agg(F.max(stays).alias("stays"), F.count("*").alias("n")))
+    # Keys alone are sent whole while they are few, measured; beyond that the joins shuffle.
+    gone = sent_whole(ids.where(~F.col("stays")).select(*ROW_KEY), F.lit(16))
+    twice = sent_whole(ids.where("stays and n > 1").select(*ROW_KEY), F.lit(16))
+    left = keyed.join(gone, [*ROW_KEY], "left_anti")
+    once = left.join(twice, [*ROW_KEY], "left_anti")
+    repeated = left.join(twice, [*ROW_KEY], "left_semi").dropDuplicates([*ROW_KEY])
+    return once.unionByName(repeated).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; one that it takes no copy of goes."""
-    taken = cut(mixing.mix(docs).groupBy(F.col("doc_id").alias("id_")).agg(F.max("copies").alias("copies_")).where("copies_ > 0"))
-    taken = sent_whole(taken, F.lit(16))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["id_"]))
-    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*docs.columns)
+    """Every row as often as the mix takes it; one that it takes no copy of goes. Equal rows give the sum of their copies."""
+    keyed = with_row_key(docs)
+    taken = cut(mixing.mix(keyed, row_key=ROW_KEY).groupBy(*ROW_KEY).agg(F.sum("copies").cast("int").alias("copies_"), F.count("*").alias("n")).where("copies_ > 0"))
+    single = sent_whole(taken.where("n = 1").drop("n"), F.lit(20))
+    several = sent_whole(taken.where("n > 1").drop("n"), F.lit(20))
+    once = keyed.join(single, [*ROW_KEY])
+    repeated = keyed.join(several.select(*ROW_KEY), [*ROW_KEY], "left_semi").dropDuplicates([*ROW_KEY]).join(several, [*ROW_KEY])
+    return once.unionByName(repeated).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,19 +141,20 @@ def copies(solved: DataFrame, most: float) -> DataFrame:
     return solved.select("source", "target", F.inline(F.reduce("bins", start, take)["out"]))
 
 
-def mix(docs: DataFrame, weights: list[float] | None = None, total_share: float = 1.5, most: int = 2) -> DataFrame:
-    """doc_id, source, size, target, copies, taken for every row of docs.
+def mix(docs: DataFrame, weights: list[float] | None = None, total_share: float = 1.5, most: int = 2, row_key: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, target, copies, taken and the columns `row_key` for every row of docs.
 
     Sources take the weights in turn, in code-point order, null last and as a
     source of its own. A null text has size 0; such and wordless documents take
     no words. Repeated rows of one id, source and size are alike, so which of
-    them gets a copy makes no difference. Runs agree. Columns other than doc_id,
-    text and source are ignored; an empty table gives no rows.
+    them gets a copy makes no difference; where their texts matter, row_key names
+    hash columns that tell rows apart. Runs agree. Other columns are ignored; an
+    empty table gives no rows.
     """
     sized = cut(
-        docs.select("doc_id", "source", size_of().alias("size"))
+        docs.select("doc_id", "source", *row_key, size_of().alias("size"))
         .withColumn("bin", bin_of(F.col("size")))
-        .withColumn("key", F.xxhash64("doc_id"))
+        .withColumn("key", F.xxhash64(*(row_key or ("doc_id",))))
         .withColumn("slot", F.pmod("key", F.lit(SLOTS)).cast("int"))
     )
     bins = sized.groupBy("source", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
@@ -181,7 +182,7 @@ def mix(docs: DataFrame, weights: list[float] | None = None, total_share: float
         "s.*", "f.target", "f.n", "f.base", "f.extra", "f.edge", "f.left"
     )
     on_edge = planned.where("slot <=> edge and edge is not null")
-    numbered = on_edge.withColumn("k", F.row_number().over(Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size")))
+    numbered = on_edge.withColumn("k", F.row_number().over(Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size", *row_key)))
     clear = planned.where("edge is null or slot <> edge").withColumn("k", F.lit(None).cast("int"))
     one_more = (
         F.when(F.col("extra") >= F.col("n"), 1)
@@ -191,7 +192,7 @@ def mix(docs: DataFrame, weights: list[float] | None = None, total_share: float
         .otherwise(0)
     )
     both = clear.unionByName(numbered).withColumn("copies", F.col("base") + one_more)
-    return both.select("doc_id", "source", "size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return both.select("doc_id", "source", *row_key, "size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,21 +133,27 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def group(docs: DataFrame, radius: int = 4, shingle: int = 4, blocks: int | None = None) -> DataFrame:
+def group(docs: DataFrame, radius: int = 4, shingle: int = 4, blocks: int | None = None, row_key: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fp (signed long), component_id of all rows of docs.
 
     Null and wordless texts have fingerprint 0 and are linked as any other.
     Repeated rows and copies keep a row each. component_id is the smallest
     doc_id of the component; a null doc_id counts only where there is no other.
-    Columns other than doc_id and text are ignored; an empty table gives no rows.
+    With row_key, columns that tell rows apart, these and `first` come too: the
+    component's row of smallest doc_id and then key, a null doc_id last.
+    Other columns are ignored; an empty table gives no rows.
     """
-    marked = cut(docs.select("doc_id", fingerprint("text", shingle).alias("fp")))
-    points = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    marked = cut(docs.select("doc_id", *row_key, fingerprint("text", shingle).alias("fp")))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *row_key) if row_key else F.col("doc_id")
+    points = cut(marked.groupBy("fp").agg(F.min(row).alias("first")))
     rooted = cut(components(links(points, radius, blocks)))
-    named = points.join(rooted, points["fp"] == rooted["node"]).groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = rooted.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = points.join(member, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    named = points.join(rooted, points["fp"] == rooted["node"]).groupBy("root").agg(F.min("first").alias("least"))
+    member = rooted.join(named, "root").select(F.col("node").alias("fp"), "least")
+    classes = points.join(member, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    found = marked.join(classes, "fp")
+    if row_key:
+        return found.select("doc_id", *row_key, "fp", F.col("first.doc_id").alias("component_id"), "first")
+    return found.select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

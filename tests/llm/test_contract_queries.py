@@ -164,6 +164,27 @@ def test_language_model(run, texts):
     assert score > base
 
 
+def test_stages_decide_by_row(spark):
+    own = [f"{' '.join(f'w{i}x{(i * 37 + k * 11) % 1009}' for k in range(40))}" for i in range(60)]
+    none = [(None, own[i], "en", "a", 1) for i in range(30)]
+    shared = [(7, own[i], "en", "a", 1) for i in range(30, 34)]
+    copy = [(8, own[0], "en", "a", 1), (8, own[0], "en", "a", 1), (9, own[0] + " ", "en", "b", 1), (9, own[35], "en", "b", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(none + shared + copy, schema)
+    found = sorted(map(tuple, corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()), key=str)
+    assert found == sorted([*none[1:], *shared, copy[0], copy[3]], key=str)
+
+    rows = none + shared + [(1, own[40], None, "a", 1)] * 3 + [(1, None, own[40], "a", 1), (None, own[41], "en", None, 1)]
+    rows += [(None, own[i], "en", "b", 1) for i in range(42, 60)]
+    docs = spark.createDataFrame(rows, schema)
+    mixed, taken = Counter(map(tuple, corpus_pipeline.source_mixing(spark, docs, SF).collect())), Counter()
+    for r, n in mixed.items():
+        assert 0 < n <= 2 * rows.count(r)
+        taken[r[3]] += n * len((r[1] or "").split())
+    target = {r["source"]: r["target"] for r in common.cut(corpus_pipeline.mixing.mix(docs)).collect()}
+    assert len(target) == 3 and all(abs(taken[s] - t) <= 40 for s, t in target.items())
+
+
 def test_pipeline(spark, texts):
     docs = common.table(spark, SF, "documents")
     columns, before = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}
