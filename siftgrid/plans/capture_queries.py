@@ -55,7 +55,7 @@ def src_sourcemap_inline(spark, sf_dir):
     """Inline maps made of documents and read back: one row for each source with content."""
     d = T.read(spark, sf_dir, "documents")
     sources = F.array(F.concat(F.lit("a"), F.col("doc_id"), F.lit(".js")), F.lit("b.js"))
-    bundle = F.concat(F.lit("code\n//# sourceMappingURL=data:application/json;base64,"), F.translate(F.base64(F.encode(F.to_json(F.struct(sources.alias("sources"), F.array(F.substring("text", 1, 80), F.lit(None).cast("string")).alias("sourcesContent"))), "utf-8")), "\r\n", ""))
+    bundle = F.concat(F.lit("code\n//# sourceMappingURL=data:application/json;base64,"), F.translate(F.base64(F.encode(F.to_json(F.struct(sources.alias("sources"), F.array(F.col("text"), F.lit(None).cast("string")).alias("sourcesContent"))), "utf-8")), "\r\n", ""))
     last = F.element_at(F.regexp_extract_all(bundle, F.lit(r"sourceMappingURL=data:[^,]*;base64,([A-Za-z0-9+/=]+)"), F.lit(1)), -1)
     m = F.from_json(F.decode(F.unbase64(last), "utf-8"), "sources array<string>, sourcesContent array<string>")
     rows = d.select("doc_id", F.inline(F.arrays_zip(m["sources"].alias("path"), m["sourcesContent"].alias("content"))))

@@ -73,3 +73,12 @@ def test_difference_with_itself_is_empty(spark):
 
     f = named(spark, "/root/testdata/sf0.001")
     assert findings.difference(f, f).count() == 0
+
+
+def test_inline_source_maps_carry_whole_texts(spark, tmp_path):
+    from siftgrid.plans import registry
+
+    rows = [(1, "short"), (2, "line 1\r\n\"é漢🙂\" \\ " * 5000), (3, ""), (4, None), (5, "//# sourceMappingURL=data:application/json;base64,AAAA\n" * 9), (2, "a" * 81)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["src_sourcemap_inline"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted((i, f"a{i}.js", t) for i, t in rows if t is not None)
