@@ -11,18 +11,20 @@ padded.
 
 The work is on the map side: a window is a stretch of at most `window_docs`
 documents of one input partition (and about `window_ids` ids), so there is no
-shuffle and memory is bounded by the window and the longest document.
+shuffle and memory is bounded by the window and the longest document. A worker
+keeps the vocabulary from task to task and nothing that grows with the texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,78 +35,110 @@ TOKENIZER = "byte_bpe_50k.json"
 #: The letters of the texts that are cut here: Latin, without the letters that are also numbers or marks.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ȷ"
 #: The public pre-token pattern of this byte-level vocabulary, for texts of PLAIN characters.
-PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
-#: Other texts go to the library whole. No other character here is a number or white space.
+PRE_TOKEN = rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
+#: No other character here is a number or white space.
 PLAIN = re.compile(f"[\t\n\r\x20-\x7e{LETTERS}¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞€]*+")
-#: Pre-tokens that stay apart when they stand one after the other.
-SPACED = re.compile(f" [{LETTERS}]+")
+#: No pre-token goes on over such a place: white space never follows another character inside one.
+BREAK = re.compile("(?<=[!-~])(?=[ \n])")
+#: Longer runs of white space than the regex engine behind the fast path can step back over.
+LONG_RUN = re.compile(r"\s{100000}")
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes, as the library gives them.
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """Ids by the bytes of their tokens, if merging by id gives the library's ids; None for other vocabularies.
 
-    Ids of pre-tokens are kept, up to `cache_size` of them. A special string
-    inside a text becomes its special id, which is the library's default.
+    It does for a byte-level vocabulary without other steps whose merges come in
+    the order of their ids and where every token, merged from its single bytes by
+    lowest id, ends with the merge that is listed for it: then no text ever
+    merges two tokens that the library wouldn't merge at that point.
     """
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    model, cutter = whole["model"], whole["pre_tokenizer"] or {}
+    simple = not whole["normalizer"] and not whole["truncation"] and not whole["padding"] and all(not model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    exact = all(not t[k] for t in whole["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if model["type"] != "BPE" or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex") or not simple or not exact:
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in whole["added_tokens"]}
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merges = [tuple(bytes(byte[c] for c in part) for part in pair) for pair in pairs]
+    order = [ranks[a + b] for a, b in merges]
+    if order != sorted(set(order)) or len(order) + 256 != len(ranks) or any(merged(a + b, ranks) != [a, b] for a, b in merges):
+        return None
+    return ranks
+
+
+def merged(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The token's parts before its last merge."""
+    parts, top = [bytes([b]) for b in token], ranks[token]
+    while len(parts) > 1:
+        at = [ranks.get(a + b, top) for a, b in zip(parts, parts[1:], strict=False)]
+        least = min(at)
+        if least >= top:
+            break
+        i = at.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+class Encoder:
+    """Ids of whole texts, as the library gives them; a special string inside a text becomes its special id, its default."""
+
+    def __init__(self, path: str, ranks: dict[bytes, int] | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        self.path, self._library, self.fast = path, None, None
+        if ranks is not None:
+            import tiktoken
+
+            with open(path, encoding="utf-8") as f:
+                self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+            self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+            self.fast = tiktoken.Encoding("vocabulary", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
-        self.library = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
-        self.size = cache_size
+    def library(self, text: str) -> np.ndarray:
+        if self._library is None:
+            from tokenizers import Tokenizer
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            self._library = Tokenizer.from_file(self.path)
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def of(self, text: str | None) -> bytes:
+    def of(self, text: str | None) -> np.ndarray:
         if not text:
-            return b""
-        if not PLAIN.fullmatch(text):
-            return self.whole([text])[0]
-        if self.cut is not None and any(s in text for s in self.special):
-            parts = self.cut.split(text)
-            return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) for p in parts if p)
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        found = PRE_TOKEN.findall(text)
-        got = list(map(self.known.get, found))
-        if None in got:
-            missed = list({k for k, v in zip(found, got, strict=True) if v is None})
-            ids = self._apart(missed)
-            got = [ids[k] if v is None else v for k, v in zip(found, got, strict=True)]
-            if len(self.known) + len(ids) > self.size:
-                self.known.clear()
-            if len(ids) <= self.size:
-                self.known.update((k, v) for k, v in ids.items() if len(k) <= 64)
-        return b"".join(got)
-
-
-    def _apart(self, keys: list[str]) -> dict[str, bytes]:
-        """Ids of single pre-tokens; those that begin with a space go through the library as one text."""
-        row = [k for k in keys if SPACED.fullmatch(k)]
-        rest = [k for k in keys if not SPACED.fullmatch(k)]
-        out = dict(zip(rest, self.whole(rest), strict=True))
-        if row:
-            got = self.library.encode("".join(row), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(got.word_ids), np.arange(len(row)), "right").tolist()
-            out.update((k, ids[4 * a : 4 * b]) for k, a, b in zip(row, [0, *ends], ends, strict=False))
-        return out
+            return np.empty(0, "<u4")
+        if self.fast is None:
+            return self.library(text)
+        if self.cut is None or not any(s in text for s in self.special):
+            return self._stretch(text)
+        parts = (np.array([self.special[p]], "<u4") if p in self.special else self._stretch(p) for p in self.cut.split(text) if p)
+        return np.concatenate([*parts])
+
+    def _simple(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and (len(text) < 100_000 or LONG_RUN.search(text) is None)
+
+    def _stretch(self, text: str) -> np.ndarray:
+        if self._simple(text):
+            return self.fast.encode_to_numpy(text).astype("<u4", copy=False)
+        groups: list[tuple[bool, list[str]]] = []
+        for piece in BREAK.split(text):
+            simple = self._simple(piece)
+            if not groups or groups[-1][0] != simple:
+                groups.append((simple, []))
+            groups[-1][1].append(piece)
+        return np.concatenate([self.fast.encode_to_numpy("".join(g)).astype("<u4", copy=False) if simple else self.library("".join(g)) for simple, g in groups])
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
-    """The worker's encoder, with what it has kept from earlier tasks."""
+def encoder_of(path: str, ranks: dict[bytes, int] | None) -> Encoder:
+    """The worker's encoder; it holds the vocabulary alone."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, ranks)
     return _encoders[path]
 
 
@@ -146,48 +180,53 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1.0 / 1024,
     window_docs: int = 4096,
-    window_ids: int = 4_000_000,
+    window_ids: int = 2_000_000,
+    out_ids: int = 250_000,
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset.
 
     A null text counts as empty and gives the end id alone. Repeated rows are
     packed each. Columns other than doc_id and text are ignored; an empty table
-    gives no pieces. sequence_id holds the partition in its upper bits.
+    gives no pieces. sequence_id holds the partition in its upper bits. Any
+    tokenizer of the library will do; `ranks_of` says which ones are merged faster.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     path = tokenizer or public_tokenizers.path(TOKENIZER)
+    ranks = docs.sparkSession.sparkContext.broadcast(ranks_of(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = encoder_of(path, ranks.value), np.array([end_id], "<u4")
         sequence = TaskContext.get().partitionId() << 36
-        held: list[tuple[object, bytes]] = []
+        held: list[tuple[int | None, np.ndarray]] = []
         ids = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal sequence, ids
-            rows = []
-            top = -1
-            for (doc, blob), found in zip(held, assign([len(b) // 4 for _, b in held], capacity, linear, quadratic), strict=True):
-                for start, n, at, offset in found:
-                    rows.append((doc, start, n, blob[4 * start : 4 * (start + n)], len(blob) // 4, sequence + at, offset))
-                    top = max(top, at)
+            rows, size, top = [], 0, -1
+            for (doc, found), pieces in zip(held, assign([len(x) for _, x in held], capacity, linear, quadratic), strict=True):
+                for start, n, at, offset in pieces:
+                    rows.append((doc, start, n, found[start : start + n].tobytes(), len(found), sequence + at, offset))
+                    size, top = size + n, max(top, at)
+                    if size >= out_ids:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
             sequence += top + 1
             held.clear()
             ids = 0
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-            return out.astype({"doc_id": "Int64"})
 
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                held.append((None if pd.isna(doc) else int(doc), encoder.of(text) + end))
-                ids += len(held[-1][1]) // 4
+            for doc, text in zip(b.column(0), b.column(1), strict=True):
+                held.append((doc.as_py(), np.concatenate([encoder.of(text.as_py()), end])))
+                ids += len(held[-1][1])
                 if len(held) >= window_docs or ids >= window_ids:
-                    yield flush()
+                    yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
 def with_digest(pieces: DataFrame) -> DataFrame:

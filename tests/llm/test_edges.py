@@ -236,3 +236,23 @@ def test_class_probabilities_sum_to_one(docs):
         own = table[table["kind"] == kind]
         known = 10.0 ** model.log_word(own["kind"].to_numpy(), own["n"].to_numpy(), own["t"].to_numpy(float))
         assert abs(known.sum() + model.unknown[kind] - 1) < 1e-4
+
+
+def test_encoder_equals_library():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    ranks = packing.ranks_of(path)
+    encoder, library, draw = packing.Encoder(path, ranks), Tokenizer.from_file(path), random.Random(5)
+    assert ranks is not None and packing.ranks_of(public_tokenizers.path("word_bpe_49k.json")) is None
+    parts = ["a", "Éa", "don't", "'ll", " ", "  ", "\n", "\r\n", "\t", "12", "٣", "é", "é", "漢字", "🙂", " ", " ", "½", "…", "—", "€", "ß", "ŉ", "<|endoftext|>", "<|endof", "text|>", "_", "#!", "\x00", "\x0b", "\x85", "the", " of", "'s", "İ", "ª"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 14)))
+        assert encoder.of(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in (" " * 250_000 + "é x", "ab" * 60_000, "x\n" * 50_000 + "漢" + " y" * 50_000):
+        assert encoder.of(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.Encoder(other, None).of("Some Words 12").tolist() == Tokenizer.from_file(other).encode("Some Words 12", add_special_tokens=False).ids
