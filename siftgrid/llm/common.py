@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zlib
@@ -14,24 +16,63 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: dict[str, str] = {}
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which every executor sees. Where that is unset, a temporary one on a single machine and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = context.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="siftgrid-")
     return _own_dir[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    The table goes with `done`, or when the program ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_clear)
+    _written[path] = df.sparkSession
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Delete tables that `cut` gave and that no later action reads."""
+    for df in tables:
+        _delete(df.cut_path)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def _clear() -> None:
+    for path in list(_written):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores added as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def sent_whole(df: DataFrame, row_bytes: Column, most: int = 32 << 20) -> DataFrame:

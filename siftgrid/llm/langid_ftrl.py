@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgrid.llm.common import fold, table
+from siftgrid.llm.common import fold, free_name, table
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -208,9 +208,11 @@ def identify(docs: DataFrame, learning: DataFrame, **settings) -> DataFrame:
     """docs with lang_pred and score, from a model learned on `learning`.
 
     Repeated rows are predicted each; an empty `learning` makes every text
-    `und`; ties go to the language that sorts first. docs keeps its columns.
+    `und`; ties go to the language that sorts first. docs keeps its other columns.
     """
-    return docs.withColumn("p", predict(docs, train(learning, **settings))).select(*docs.columns, "p.lang_pred", "p.score")
+    name = free_name(docs, "prediction")
+    found = docs.withColumn(name, predict(docs, train(learning, **settings)))
+    return found.select(*(f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")), f"{name}.lang_pred", f"{name}.score")
 
 
 def held_out() -> Column:

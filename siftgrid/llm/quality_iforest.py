@@ -151,7 +151,8 @@ def fit(stats: DataFrame, sample_rows: int = 8192, **settings) -> Forest:
     return grow(features(first.select(*BASE, *MORE).toPandas()), **settings)
 
 
-def anomaly(forest: Forest, spark: SparkSession) -> Column:
+def anomaly(forest: Forest, spark: SparkSession, stats: str = "") -> Column:
+    """The forest's score of the statistics, which are columns or, with `stats`, fields of that column."""
     shared = spark.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
@@ -159,11 +160,12 @@ def anomaly(forest: Forest, spark: SparkSession) -> Column:
         for columns in batches:
             yield pd.Series(shared.value.score(features(pd.concat(columns, axis=1, keys=BASE + MORE))))
 
-    return of(*BASE, *MORE)
+    return of(*(f"{stats}.{c}" if stats else c for c in BASE + MORE))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(stats: str = "") -> Column:
+    n, again = (F.col(f"{stats}.{c}" if stats else c) for c in ("n_words", "n_repeat_words"))
+    return (n < 50) | (100 * again > 50 * n)
 
 
 def threshold(scored: DataFrame, labels: DataFrame, max_false: float = 0.002, default: float = 0.65) -> float:

@@ -1,11 +1,14 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns, for every operator."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siftgrid.llm import ann_ivfpq, chat_format, html_wrapper, langid_ftrl, lm_hpy, mixing, packing, quality_iforest, simhash_dedup, token_counts
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, bin int, target string, stats_ string, n long, key string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, bin int, target string, stats string, n long, key string, p string, n_words int, kept string, row string, row_a_ int, copies int, first string"
 WORDS = "the cat and dog ran over old red hills then slept near two rivers until dawn came again with cold rain falling down on stones".split()
 
 
@@ -14,7 +17,7 @@ def rows():
     out = [(i, t, "en" if i % 2 else "de", f"s{i % 3}", len(t)) for i, t in enumerate(prose)]
     out += [(100, None, None, None, None), (101, "", "en", None, 0), (102, " \t\n\x0b\x0c\r ", None, "s1", 7), (103, "é①  漢字🙂\x00 <|endoftext|> <s>", "de", "s2", 9)]
     out += [(104, "word " * 30_000, "en", "s0", 150_000), (105, prose[3], "en", "s9", None), (105, prose[3], "en", "s9", None), (None, "a null id", None, "s1", 1), (None, None, None, None, None)]
-    return [(*r, "x", 1, "y", "z", 2, "k") for r in out]
+    return [(*r, "x", 1, "y", "z", 2, "k", "p", 3, "kept", "r", 4, 5, "f") for r in out]
 
 
 @pytest.fixture(scope="module")
@@ -124,7 +127,7 @@ def test_token_counts(docs, none):
 
 def test_language(docs, none):
     found = langid_ftrl.identify(docs, docs).collect()
-    assert same_rows(found) and found[0].asDict().keys() == {*docs.columns, "lang_pred", "score"}
+    assert same_rows(found) and {*docs.columns, "lang_pred", "score"} == found[0].asDict().keys()
     for r in found:
         assert (r["lang_pred"] == "und") == (not r["text"] or not any(c.isalpha() for c in r["text"]))
         assert 0 <= r["score"] <= 1
@@ -238,6 +241,35 @@ def test_class_probabilities_sum_to_one(docs):
         assert abs(known.sum() + model.unknown[kind] - 1) < 1e-4
 
 
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_pipeline_stage(spark, docs, none, stage):
+    """Nulls, empty and long texts, repeated rows, clashing columns and an empty table, stage by stage."""
+    import tempfile
+
+    name, function = stage
+    sf = tempfile.mkdtemp()
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(30)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    found, empty = function(spark, docs, sf), function(spark, none, sf)
+    assert empty.columns == found.columns and empty.count() == 0
+    got = Counter(map(tuple, found.collect()))
+    if name == "sequence_packing":
+        assert {r[0] for r in got} == {r[0] for r in rows()}
+        return
+    given = Counter(rows())
+    assert found.columns == docs.columns and set(got) <= set(given)
+    texts = Counter({r: n for r, n in given.items() if r[1] and any(map(str.isalpha, r[1]))})
+    if name == "language_id":
+        assert all(n == texts[r] for r, n in got.items())
+    elif name == "quality_rules":
+        assert all(n == given[r] and len(r[1].split()) >= 50 for r, n in got.items())
+    elif name == "simhash_near_dedup":
+        assert all(n == 1 for n in got.values()) and sum(not (r[1] or "").split() for r in got) == 1
+        assert {r[1] for r in got if r[0] is None or r[0] < 30} >= {"a null id"}
+    else:
+        assert all(0 < n <= 2 * given[r] for r, n in got.items())
+        assert {r[0] for r in got} >= {100, 103, 104}
+
+
 def test_encoder_equals_library():
     import random
 
