@@ -237,7 +237,7 @@ def test_class_probabilities_sum_to_one(docs):
     table = words.toPandas()
     for kind in range(model.classes.shared, model.classes.number):
         own = table[table["kind"] == kind]
-        known = 10.0 ** model.log_word(own["kind"].to_numpy(), own["n"].to_numpy(), own["t"].to_numpy(float))
+        known = 10.0 ** model.log_word(own["kind"].to_numpy(), own["own"].to_numpy())
         assert abs(known.sum() + model.unknown[kind] - 1) < 1e-4
 
 
