@@ -89,11 +89,13 @@ class Index:
         return [row[: max(self.probes, n)] for row, n in zip(order, needed, strict=True)]
 
     def looked_up(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Distances of queries from what the codes of one list stand for, by tables of the parts of a distance."""
-        rest, total = q - self.centroids[at], np.zeros((len(q), len(codes)))
+        """Distances of queries from what the codes of one list (a row a part) stand for, by tables of the parts of a distance."""
+        rest, total = q - self.centroids[at], np.zeros((len(q), codes.shape[1]), np.float32)
+        found = np.empty_like(total)
         for m, book in enumerate(self.books):
             part = rest[:, None, self.edges[m] : self.edges[m + 1]] - book[None]
-            total += (part * part).sum(axis=2)[:, codes[:, m]]
+            np.take((part * part).sum(axis=2).astype(np.float32), codes[m], axis=1, out=found, mode="clip")
+            total += found
         return np.sqrt(total)
 
 
@@ -167,13 +169,13 @@ def nearest_in(part: pd.DataFrame, asked: pd.DataFrame, index: Index, kind: str,
     part = part.sort_values("vec_id")
     ids, error, at = part["vec_id"].to_numpy(), part["error"].to_numpy(), int(part["list"].iloc[0])
     x = np.frombuffer(b"".join(part["vec"]), kind).reshape(len(part), -1)
-    codes = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)
+    codes = np.ascontiguousarray(np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1).T, np.intp)
     who = asked["query_id"].to_numpy()
     q = np.frombuffer(b"".join(asked["vec"]), kind).reshape(len(asked), -1).astype(float)
     out, rows, pairs = [], max(1, CELLS // max(len(part), 256 * 8)), max(1, NUMBERS // x.shape[1])
     for i in range(0, len(q), rows):
         near = index.looked_up(q[i : i + rows] - index.center, at, codes)
-        slack = 1e-9 * (1 + near)  # for rounding
+        slack = 1e-5 * near + 1e-9  # for rounding
         most = near + error + slack
         own = ids[None] == who[i : i + rows, None]
         most[own] = np.inf
