@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,27 +17,115 @@ def group_of(pattern: str) -> int:
     return 1 if re.compile(pattern).groups else 0
 
 
-def matches(text: Column, pattern: str | Column, group: int | Column | None = None) -> Column:
-    """array<struct<value, start, stop>> of all matches; start counts characters from 0.
+def required(pattern: str) -> list[str]:
+    """Lower-case strings of which a text must hold one, in any case, for the pattern to match; none if there are no such strings of 3 or more characters.
 
-    Spark's regex functions give no offsets. The stretches between matches are
-    what split() leaves, so offsets are running sums over both. A pattern given as
-    text gets its flags here; one given as a Column has them.
+    A test for them by plain search costs a fraction of a regular expression.
+    """
+    from re import _constants as op
+    from re import _parser
+
+    def of(parts) -> list[str]:
+        best: list[str] = []
+        run = ""
+
+        def keep(found: list[str]) -> None:
+            nonlocal best
+            if found and min(map(len, found)) >= 3 and len(found) <= 8 and (not best or min(map(len, found)) > min(map(len, best))):
+                best = found
+
+        for what, value in [*parts, (None, None)]:
+            if what is op.LITERAL and value < 128:
+                run += chr(value).lower()
+                continue
+            keep([run] if run else [])
+            run = ""
+            if what is op.SUBPATTERN:
+                keep(of(value[3]))
+            elif what in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0] >= 1:
+                keep(of(value[2]))
+            elif what is op.BRANCH:
+                each = [of(x) for x in value[1]]
+                keep([s for x in each for s in x] if all(each) else [])
+        return best
+
+    try:
+        return of(_parser.parse(pattern))
+    except re.error:  # a form of Java's that Python hasn't
+        return []
+
+
+#: Running sums over matches are taken in stretches of so many, and characters around a match from pieces of so many.
+STRETCH, PIECE = 256, 4096
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, where it stands inside a function of elements."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def matches(text: Column, pattern: str | Column, group: int | Column | None = None, around: int = 0) -> Column:
+    """array<struct<value, start, stop, line, before, whole, after, more>> of all matches.
+
+    start and stop count characters from 0, line counts from 1; before and after are
+    up to `around` characters on both sides of the whole match, and more tells
+    whether the text goes on beyond after.
+
+    Spark's regex functions give no offsets. The stretches between matches are what
+    split() leaves, so offsets and lines are running sums over both, taken by
+    stretches of matches; what stands around a match is cut from a piece of the text.
+    Time is all but linear in matches and text. A pattern given as text gets its
+    flags here; one given as a Column has them.
     """
     if isinstance(pattern, str):
         group = group_of(pattern) if group is None else group
         pattern = F.lit(FLAGS + pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    value = F.regexp_extract_all(text, pattern, F.lit(group) if isinstance(group, int) else group)
-    sizes = F.transform(whole, lambda m: F.length(m))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-
-    def placed(v: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-        start = before + F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)
-        return F.struct(v.alias("value"), start.alias("start"), (start + F.element_at(sizes, i + 1)).alias("stop"))
-
-    return F.transform(value, placed)
+    lines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    both = lambda a, b: F.struct((a["chars"] + b["chars"]).alias("chars"), (a["lines"] + b["lines"]).alias("lines"))
+    size = lambda s: F.struct(F.length(s).alias("chars"), lines(s).alias("lines"))
+    none = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("lines"))
+    total = lambda steps, first, n: F.aggregate(F.slice(steps, first, n), none, both)
+    found = F.struct(
+        F.regexp_extract_all(text, pattern, F.lit(0)).alias("whole"),
+        F.regexp_extract_all(text, pattern, F.lit(group) if isinstance(group, int) else group).alias("value"),
+        F.split(text, pattern, -1).alias("gaps"),
+    )
+
+    def stepped(f: Column) -> Column:
+        sizes, gaps = F.transform(f["whole"], size), F.transform(f["gaps"], size)
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes, both)
+        return F.struct(f["whole"].alias("whole"), f["value"].alias("value"), gaps.alias("gaps"), steps.alias("steps"))
+
+    def summed(f: Column) -> Column:
+        last = F.floor(F.size(f["steps"]) / STRETCH).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), last), lambda k: total(f["steps"], k * STRETCH + 1, F.lit(STRETCH)))
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)) if around else F.lit(None).cast("array<string>")
+        return F.struct(f["whole"].alias("whole"), f["value"].alias("value"), f["gaps"].alias("gaps"), f["steps"].alias("steps"), sums.alias("sums"), pieces.alias("pieces"), F.length(text).alias("end"))
+
+    def window(f: Column, first: Column, last: Column) -> Column:
+        if not around:
+            return F.lit("")
+        k = F.floor(first / PIECE).cast("int")
+        joined = F.array_join(F.slice(f["pieces"], k + 1, F.floor(F.greatest(last - 1, first) / PIECE).cast("int") - k + 1), "")
+        return F.when(last > first, F.substring(joined, first - k * PIECE + 1, last - first)).otherwise("")
+
+    def placed(f: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
+            k = F.floor(i / STRETCH).cast("int")
+            before = both(both(total(f["sums"], F.lit(1), k), total(f["steps"], k * STRETCH + 1, i - k * STRETCH)), F.element_at(f["gaps"], i + 1))
+            return bound(before, lambda at: at_place(v, F.element_at(f["whole"], i + 1), at))
+
+        def at_place(v: Column, whole: Column, at: Column) -> Column:
+            start, stop = at["chars"], at["chars"] + F.length(whole)
+            return F.struct(
+                v.alias("value"), start.alias("start"), stop.alias("stop"), (at["lines"] + 1).alias("line"),
+                window(f, F.greatest(F.lit(0), start - around), start).alias("before"), whole.alias("whole"), window(f, stop, F.least(f["end"], stop + around)).alias("after"),
+                (stop + around < f["end"]).alias("more"),
+            )
+
+        return F.transform(f["value"], one)
+
+    return bound(found, lambda f: bound(stepped(f), lambda g: bound(summed(g), placed)))
 
 
 def line_of(text: Column, start: Column) -> Column:
@@ -45,12 +134,11 @@ def line_of(text: Column, start: Column) -> Column:
     return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
 
 
-def snippet(text: Column, start: Column, stop: Column, radius: int = 80) -> Column:
-    """The match with `radius` characters on both sides, on one line, with marks where it is cut."""
-    first = F.greatest(F.lit(0), start - radius)
-    last = F.least(F.length(text), stop + radius)
-    body = F.replace(F.substring(text, first + 1, last - first), F.lit("\n"), F.lit(" "))
-    return F.concat(F.when(first > 0, "...").otherwise(""), body, F.when(last < F.length(text), "...").otherwise(""))
+def snippet(m: Column, radius: int = 80) -> Column:
+    """Of a match taken with `around` at least radius: it and `radius` characters on both sides, on one line, with marks where it is cut."""
+    body = F.concat(F.right(m["before"], F.lit(radius)), m["whole"], F.left(m["after"], F.lit(radius)))
+    more = m["more"] | (F.length(m["after"]) > radius)
+    return F.concat(F.when(m["start"] > radius, "...").otherwise(""), F.replace(body, F.lit("\n"), F.lit(" ")), F.when(more, "...").otherwise(""))
 
 
 def entropy(text: Column) -> Column:

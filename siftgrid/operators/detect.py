@@ -12,25 +12,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgrid.functions import guards, identity, rules
-from siftgrid.functions.text import FLAGS, group_of, line_of, lookup, matches, snippet, sql_literal
+from siftgrid.functions.text import FLAGS, group_of, lookup, matches, required, snippet, sql_literal
 
 
-def scan(docs: DataFrame, patterns: dict[str, str], text: str = "content") -> DataFrame:
-    """docs with one row a match: rule, value, start, stop."""
+def scan(docs: DataFrame, patterns: dict[str, str], text: str = "content", around: int = 0, keep_text: bool = False) -> DataFrame:
+    """docs with one row a match: rule, value, start, stop, line, before, whole, after, more (see functions.text.matches).
+
+    A rule that needs some fixed string is tried only on texts that hold it. The text
+    itself stays only with keep_text: it would be repeated for every match.
+    """
     q = sql_literal
-    tests = ", ".join(
-        f"case when `{text}` rlike {q(FLAGS + p)} then struct({q(name)} as rule, {q(FLAGS + p)} as pattern_, {group_of(p)} as group_) end" for name, p in patterns.items()
-    )
-    hits = docs.select("*", F.expr(f"inline(array_compact(array({tests})))"))
-    found = hits.withColumn("m", F.explode(matches(F.col(text), F.col("pattern_"), F.col("group_"))))
-    return found.select(*docs.columns, "rule", "m.*")
+
+    def test(p: str) -> str:
+        first = " or ".join(f"contains(lower_, {q(w)})" for w in required(p))
+        return f"({first}) and `{text}` rlike {q(FLAGS + p)}" if first else f"`{text}` rlike {q(FLAGS + p)}"
+
+    tests = ", ".join(f"case when {test(p)} then struct({q(name)} as rule, {q(FLAGS + p)} as pattern_, {group_of(p)} as group_) end" for name, p in patterns.items())
+    hits = docs.withColumn("lower_", F.lower(text)).select(*docs.columns, F.expr(f"inline(array_compact(array({tests})))"))
+    found = hits.withColumn("m", F.explode(matches(F.col(text), F.col("pattern_"), F.col("group_"), around)))
+    return found.select(*(c for c in docs.columns if keep_text or c != text), "rule", "m.*")
 
 
 def app_findings(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """Matches of the broad rules that aren't known to be harmless, with line and severity."""
     active = patterns or {n: p for n, p in rules.APP_PATTERNS.items() if n not in rules.NEVER_KEPT}
-    found = scan(docs, active)
-    return found.where(~guards.app_value(F.col("value"))).withColumn("line", line_of(F.col("content"), F.col("start"))).withColumn("severity", app_severity("rule"))
+    return scan(docs, active).where(~guards.app_value(F.col("value"))).withColumn("severity", app_severity("rule"))
 
 
 def app_severity(column: str) -> Column:
@@ -48,7 +54,8 @@ def detectors(packs: list[str] | None = None, ids: list[str] | None = None) -> l
 def core_findings(docs: DataFrame, active: list[tuple] | None = None) -> DataFrame:
     """Findings of the precise rules after all guards, first of each (rule, source, redacted value, line)."""
     active = detectors() if active is None else active
-    found = scan(docs, {d[0]: d[6] for d in active})
+    known = docs.withColumn("client_side", guards.client_side(F.col("content")))
+    found = scan(known, {d[0]: d[6] for d in active}, around=80)
     value, rule = F.col("value"), F.col("rule")
     table = lambda i: lookup("rule", {d[0]: d[i] for d in active})
     harmless = (
@@ -62,10 +69,9 @@ def core_findings(docs: DataFrame, active: list[tuple] | None = None) -> DataFra
     severity = table(2)
     kept = (
         found.where(~harmless)
-        .withColumn("line", line_of(F.col("content"), F.col("start")))
         .withColumn("redacted", identity.redact_mask(value))
-        .withColumn("severity", F.when((rule == "gemini_api_key") & guards.client_side(F.col("content")), "medium").otherwise(severity))
-        .withColumn("snippet", identity.pii_scrub_preserve(identity.redact_snippet(snippet(F.col("content"), F.col("start"), F.col("stop")), value, F.col("redacted")), F.col("redacted")))
+        .withColumn("severity", F.when((rule == "gemini_api_key") & F.col("client_side"), "medium").otherwise(severity))
+        .withColumn("snippet", identity.pii_scrub_preserve(identity.redact_snippet(snippet(F.struct("start", "before", "whole", "after", "more")), value, F.col("redacted")), F.col("redacted")))
     )
     first = kept.groupBy("doc_id", "rule", "source", "redacted", "line").agg(F.min_by(F.struct("severity", "snippet", "start", "value"), "start").alias("f"))
     return first.select("doc_id", "rule", "source", "redacted", "line", "f.severity", "f.snippet", "f.start", "f.value")

@@ -107,7 +107,7 @@ SIMPLE = {d[0]: d[6] for d in rules.DETECTORS if d[0] in ("github_pat", "slack_w
 )
 def line_number(spark, sf_dir):
     found = detect.scan(T.planted(spark, sf_dir), SIMPLE)
-    return found.select("doc_id", "rule", "value", text.line_of(F.col("content"), F.col("start")).alias("line"))
+    return found.select("doc_id", "rule", "value", "line")
 
 
 @query(
@@ -127,8 +127,8 @@ IP = rules.APP_PATTERNS["ip_address"]
     select doc_id, (case when s > 80 then '...' else '' end) || replace(substring(content, greatest(s - 80, 0) + 1, (least(length(content), s + length(v) + 80) - greatest(s - 80, 0))::int), chr(10), ' ') || (case when s + length(v) + 80 < length(content) then '...' else '' end) as snippet from pos""",
 )
 def snippet_window(spark, sf_dir):
-    first = T.documents(spark, sf_dir).withColumn("m", F.get(text.matches(F.col("content"), IP), F.lit(0))).where("m is not null")
-    return first.select("doc_id", text.snippet(F.col("content"), F.col("m.start"), F.col("m.stop")).alias("snippet"))
+    first = T.documents(spark, sf_dir).withColumn("m", F.get(text.matches(F.col("content"), IP, around=80), F.lit(0))).where("m is not null")
+    return first.select("doc_id", text.snippet(F.col("m")).alias("snippet"))
 
 
 @query("context_lines")

@@ -65,3 +65,24 @@ def test_unknown_pack_is_an_error():
 
     with pytest.raises(ValueError):
         detect.detectors(["nope"])
+
+
+def test_required_strings_stand_in_every_match():
+    """What the scan looks for before it tries a pattern is part of all that the pattern matches."""
+    import re
+    import warnings
+
+    from hypothesis import find, strategies as st  # noqa: F401
+
+    from siftgrid.functions import rules, text
+
+    warnings.simplefilter("ignore")
+    patterns = [*rules.APP_PATTERNS.values(), *(d[6] for d in rules.DETECTORS)]
+    with_required = 0
+    for p in patterns:
+        need = text.required(p)
+        with_required += bool(need)
+        for k in range(4 if need else 0):
+            example = st.from_regex(re.compile(p, re.I | re.M)).example()
+            assert any(w in example.lower() for w in need), (p, need, example)
+    assert with_required > 120
