@@ -7,9 +7,9 @@ whole in one pass. Document frequencies come from all learning rows: each task
 sums its own texts' flags, so a row of sums a task and at most `buckets` numbers
 meet.
 
-The classifier is fitted on at most `sample_rows` learning rows, the ones of
-smallest hash of their id in each language (a documented bound; languages share it
-equally). Their feature counts are made on the executors; the fit is
+The classifier is fitted on at most `sample_rows` learning rows and `sample_bytes`
+of text, the ones of smallest hash in each language (documented bounds; languages
+share them equally). Their feature counts are made on the executors; the fit is
 follow-the-regularised-leader with an elastic net on the driver. One row in five
 of the sample is left out of it and sets the softmax temperature.
 """
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftgrid.llm.common import fold, free_name, table
@@ -103,27 +103,46 @@ def document_frequency(texts: DataFrame, buckets: int) -> tuple[np.ndarray, int]
     return df, int(got.loc[got["bucket"] == -1, "n"].sum())
 
 
-def sample(learning: DataFrame, languages: dict[str, int], sample_rows: int) -> DataFrame:
-    """At most sample_rows rows, spread over the languages, by the hash of the id."""
+def sample(learning: DataFrame, languages: dict[str, int], sample_rows: int, sample_bytes: int) -> DataFrame:
+    """Rows of smallest hash of id and text: about sample_rows, spread over the languages, as far as their texts take sample_bytes.
+
+    Only sizes meet here; equal rows have equal hashes, so they are numbered and count once.
+    """
     share = max(1, sample_rows // max(1, len(languages)))
-    unit = (F.xxhash64("doc_id") / F.lit(2.0**64)) + 0.5
-    wanted = F.lit(0.0)
-    for name, n in languages.items():
-        wanted = F.when(F.col("lang") == name, share / n).otherwise(wanted)
-    return learning.where(unit < wanted).limit(sample_rows + sample_rows // 4)
+    many = spread_over(learning.sparkSession, {name: min(1.0, 2 * share / n) for name, n in languages.items()})
+    keyed = learning.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).join(many, "lang").where(F.col("h") < F.col("share") * (1 << 40))
+    each = keyed.groupBy("lang", "h").agg(F.min(F.length("text")).alias("size"))
+    first = Window.partitionBy("lang").orderBy("h")
+    ranked = each.withColumn("k", F.row_number().over(first)).where(F.col("k") <= share).withColumn("upto", F.sum("size").over(first))
+    fits = ranked.where((F.col("upto") <= sample_bytes / max(1, len(languages))) | (F.col("k") == 1))
+    ends = fits.groupBy("lang").agg(F.max("h").alias("last"))
+    taken = keyed.join(F.broadcast(ends), "lang").where(F.col("h") <= F.col("last"))
+    return taken.select("doc_id", "lang", "text", "h")
+
+
+def spread_over(spark: SparkSession, shares: dict[str, float]) -> DataFrame:
+    """lang, share: a row a language."""
+    return F.broadcast(spark.createDataFrame(list(shares.items()), "lang string, share double"))
 
 
 def featurised(rows: DataFrame, buckets: int) -> list:
+    """Feature shares of each distinct row of the sample."""
+
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, int]] = set()
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"], strict=True):
+            for lang, text, h in zip(b["lang"], b["text"], b["h"], strict=True):
+                if (lang, h) in seen:  # a copy of a row
+                    continue
+                seen.add((lang, h))
                 n = np.zeros(buckets, np.int64)
                 for part in grams(text, buckets):
                     n += np.bincount(part, minlength=buckets)
                 at = np.flatnonzero(n)
-                yield pd.DataFrame({"lang": [lang], "at": [at.astype("<i4").tobytes()], "tf": [(n[at] / max(1, n.sum())).astype("<f4").tobytes()]})
+                yield pd.DataFrame({"lang": [lang], "h": [h], "at": [at.astype("<i4").tobytes()], "tf": [(n[at] / max(1, n.sum())).astype("<f4").tobytes()]})
 
-    return rows.select("doc_id", "lang", "text").mapInPandas(counts, "lang string, at binary, tf binary").collect()
+    found = rows.select("lang", "text", "h").mapInPandas(counts, "lang string, h long, at binary, tf binary")
+    return found.groupBy("lang", "h").agg(F.min(F.struct("at", "tf")).alias("f")).select("lang", "f.at", "f.tf").collect()
 
 
 def ftrl(rows: list, buckets: int, classes: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
@@ -162,24 +181,33 @@ def temperature(logits: np.ndarray, classes: np.ndarray) -> float:
 def train(
     learning: DataFrame,
     sample_rows: int = 4000,
+    sample_bytes: int = 64 << 20,
     buckets: int = BUCKETS,
+    most_weights: int = 1 << 23,
     epochs: int = 4,
     alpha: float = 0.5,
     beta: float = 1.0,
     l1: float = 1e-4,
     l2: float = 1e-6,
 ) -> Model:
-    """learning: doc_id, text, lang. Rows without a language or a text don't count."""
+    """learning: doc_id, text, lang. Rows without a language or a text don't count.
+
+    The driver holds a weight for each bucket and language: with more languages than
+    most_weights / buckets there are fewer buckets. It also holds the features of the
+    sample, which are no more than sample_bytes of text give.
+    """
     learning = learning.where("lang is not null and length(text) > 0").select("doc_id", "text", "lang")
     languages = {r["lang"]: r["n"] for r in learning.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     if not languages:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0)
     names = list(languages)
+    while buckets * len(names) > most_weights and buckets > 1024:
+        buckets //= 2
     df, rows = document_frequency(learning, buckets)
     idf = np.log((1 + rows) / (1 + df)) + 1.0
     taken = [
         (at := np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["tf"], "<f4") * idf[at], names.index(r["lang"]))
-        for r in sorted(featurised(sample(learning, languages, sample_rows), buckets), key=lambda r: (r["lang"], r["at"], r["tf"]))
+        for r in sorted(featurised(sample(learning, languages, sample_rows, sample_bytes), buckets), key=lambda r: (r["lang"], r["at"], r["tf"]))
     ]
     # One scale for all rows keeps a score linear in the shares; it brings their length near one.
     scale = 1.0 / max(1e-9, float(np.median([np.sqrt((x * x).sum()) for _, x, _ in taken]))) if taken else 1.0

@@ -7,7 +7,7 @@ a cut and the counts of the pre-tokens add up to the count of the text
 
 Tier one is a broadcast table from frequent pre-tokens to their lengths, with at
 most `table_size` entries of at most `max_key` characters, taken from a sample
-of `sample_docs` documents. It only saves work: any table gives the same counts.
+of about `sample_docs` texts. It only saves work: any table gives the same counts.
 Tier two encodes what the table misses and keeps it in a cache of the worker, of
 at most `cache_size` entries. Pre-tokens are never shuffled.
 """
@@ -91,19 +91,21 @@ class Counts:
 
 
 def frequent_table(docs: DataFrame, model: str, sample_docs: int, table_size: int, max_key: int) -> dict[str, int]:
-    """Lengths of the commonest pre-tokens of a bounded sample; each sampled document gives its commonest 500 at most."""
+    """Lengths of the commonest pre-tokens of a sample of about sample_docs distinct texts; which ones only changes how fast counting is."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for b in batches:
             for text in b["text"]:
                 seen.update(k for k in PRE_TOKEN.findall(" " + text) if len(k) <= max_key)
+                if len(seen) > 8 * table_size:
+                    seen = Counter(dict(seen.most_common(table_size)))
         yield pd.DataFrame(seen.most_common(table_size), columns=["key", "n"])
 
     share = min(1.0, sample_docs / max(1, docs.count()))
-    # The limit is for chance alone: about sample_docs rows pass the hash, wherever they are.
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)
-    sample = docs.where(drawn & (F.length("text") > 0)).select("text").limit(2 * sample_docs)
+    # Drawn by hash, wherever the rows are: copies are drawn together, and each task counts its own.
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)
+    sample = docs.where(drawn & (F.length("text") > 0)).select("text")
     counted = sample.mapInPandas(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
     keys = [r["key"] for r in counted.orderBy(F.desc("n"), "key").limit(table_size).collect()]
     return dict(zip(keys, measured(processor(model), keys), strict=True))
