@@ -215,24 +215,6 @@ def source_map_urls(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.regexp_extract("url", ORIGIN, 1).alias("o"), F.explode(refs).alias("r")).select("page_id", F.concat("o", "r").alias("map_url"))
 
 
-REQUESTS = ["https://abcdefghijklmnopqrst.supabase.co/rest/v1/orders?select=*", "https://abcdefghijklmnopqrst.supabase.co/rest/v1/rpc/do_it", "https://p{n}.firebaseio.com/users.json", "https://x.example.com/{n}", "https://abcdefghijklmnopqrst.supabase.co/storage/v1/object/public/pics/a"]
-_r = [("supabase", "rpc", r"supabase\.co/rest/v1/rpc/([A-Za-z0-9_]+)"), ("supabase", "table", r"supabase\.co/rest/v1/([A-Za-z0-9_]+)"), ("supabase", "storage", r"supabase\.co/storage/v1/object/(?:public/)?([A-Za-z0-9_-]+)"), ("firebase", "path", r"firebaseio\.com/([^.?]+)\.json")]
-
-
-@query("baas_request_classify", f"with {values_sql(REQUESTS)}, c as (select doc_id, case " + " ".join(f"when {rlike('value', p)} then ['{a}', '{k}', regexp_extract(value, {sql_text(p)}, 1)]" for a, k, p in _r) + " end as r from v) select doc_id, r[1] as provider, r[2] as kind, r[3] as endpoint from c where r is not null")
-def baas_request_classify(spark, sf_dir):
-    out = F.lit(None).cast("struct<provider:string,kind:string,endpoint:string>")
-    for a, k, p in reversed(_r):
-        out = F.when(F.col("value").rlike(p), F.struct(F.lit(a).alias("provider"), F.lit(k).alias("kind"), F.regexp_extract("value", p, 1).alias("endpoint"))).otherwise(out)
-    return doc_values(spark, sf_dir, REQUESTS).select("doc_id", out.alias("r")).where("r is not null").select("doc_id", "r.*")
-
-
-@query("baas_config_extract", f"with {T.PLANTED_SQL}, t as (select doc_id, unnest(regexp_extract_all(content, '\\.from\\([''\"]([a-z_][a-z0-9_]*)[''\"]\\)', 1)) as name from planted) select doc_id, list_sort(list(distinct name)) as tables from t group by doc_id")
-def baas_config_extract(spark, sf_dir):
-    names = F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\.from\(['\"]([a-z_][a-z0-9_]*)['\"]\)"), F.lit(1))))
-    return T.planted(spark, sf_dir).select("doc_id", names.alias("tables")).where("size(tables) > 0")
-
-
 @query("select_detectors", f"with {T.PLANTED_SQL} select doc_id, case when {rlike('source', r'\.js$')} then 'code' else 'other' end as category, case when {rlike('source', r'\.js$')} then {len([d for d in rules.DETECTORS if d[1] in ('leak', 'baas')])} else {len([d for d in rules.DETECTORS if d[1] == 'leak'])} end as active from planted")
 def select_detectors(spark, sf_dir):
     """Rules are chosen by pack while the plan is built; a document's category decides which apply to it."""
@@ -322,74 +304,6 @@ def access_control_requests(spark, sf_dir):
     return hit.withColumn("severity", F.when(F.col("score") >= 5, "high").otherwise("medium"))
 
 
-TABLES = ["users", "orders", "logs", "v_sales", "payments"]
-PROBES_SQL = f"pr as (select page_id, {pick_sql(TABLES, 'page_id')} as target, case page_id % 4 when 0 then 401 else 200 end as status, page_id % 3 as n_rows, page_id % 2 = 0 as named from pages)"
-
-
-def probes(spark, sf_dir):
-    n = F.col("page_id")
-    return pages(spark, sf_dir).select("page_id", pick(TABLES, n).alias("target"), F.when(n % 4 == 0, 401).otherwise(200).alias("status"), (n % 3).alias("n_rows"), (n % 2 == 0).alias("named"))
-
-
-@query("baas_open_tables", f"with {PROBES_SQL} select page_id, target, case when named then (case when target in ('users', 'payments', 'orders') then 'critical' else 'high' end) else (case when target in ('users', 'payments', 'orders') then 'high' else 'medium' end) end as severity, case when named then 0.95::double else 0.6 end::double as confidence from pr where status = 200 and n_rows >= 1")
-def baas_open_tables(spark, sf_dir):
-    """An answered read with rows is open, an empty one protected; names that clients don't use are leads, one step lower."""
-    p, worse = probes(spark, sf_dir).where("status = 200 and n_rows >= 1"), F.col("target").isin("users", "payments", "orders")
-    severity = F.when(F.col("named"), F.when(worse, "critical").otherwise("high")).otherwise(F.when(worse, "high").otherwise("medium"))
-    return p.select("page_id", "target", severity.alias("severity"), F.when(F.col("named"), 0.95).otherwise(0.6).alias("confidence"))
-
-
-@query("baas_probe_order", f"with {PROBES_SQL}, t as (select target, min(page_id) as first_seen, target in ('users', 'payments', 'orders') as sensitive from pr group by target) select target, row_number() over (order by sensitive desc, first_seen)::int as place from t")
-def baas_probe_order(spark, sf_dir, most: int = 50):
-    """Sensitive names first, in order of appearance; at most `most` are probed."""
-    t = probes(spark, sf_dir).groupBy("target").agg(F.min("page_id").alias("first_seen")).withColumn("sensitive", F.col("target").isin("users", "payments", "orders"))
-    top = t.orderBy(F.desc("sensitive"), "first_seen").limit(most)
-    return top.select("target", F.row_number().over(Window.orderBy(F.desc("sensitive"), "first_seen")).alias("place"))
-
-
-@query("baas_writable", f"with {PROBES_SQL} select distinct target, 'critical' as severity from pr where status in (200, 201, 400, 409) and n_rows >= 1")
-def baas_writable(spark, sf_dir):
-    return probes(spark, sf_dir).where(F.col("status").isin(200, 201, 400, 409) & (F.col("n_rows") >= 1)).select("target", F.lit("critical").alias("severity")).distinct()
-
-
-BUCKETS_SQL = "b as (select page_id, 'bucket' || (page_id % 9) as bucket, page_id % 3 = 0 as public, page_id % 2 = 0 as listed from pages)"
-
-
-@query("baas_storage", f"with {BUCKETS_SQL}, p as (select distinct bucket from b where public) select bucket, 'high' as severity from p union all select distinct bucket, 'medium' from b where listed and bucket not in (select bucket from p)")
-def baas_storage(spark, sf_dir):
-    n = F.col("page_id")
-    b = pages(spark, sf_dir).select(F.concat(F.lit("bucket"), n % 9).alias("bucket"), (n % 3 == 0).alias("public"), (n % 2 == 0).alias("listed"))
-    public = b.where("public").select("bucket").distinct()
-    lead = b.where("listed").select("bucket").distinct().join(public, "bucket", "left_anti")
-    return public.withColumn("severity", F.lit("high")).unionByName(lead.withColumn("severity", F.lit("medium")))
-
-
-@query("baas_rpcs", f"with {T.PLANTED_SQL}, r as (select doc_id, source, unnest(regexp_extract_all(content, '\\.from\\([''\"]([a-z_][a-z0-9_]*)[''\"]\\)', 1)) as name from planted) select source, name, min(doc_id) as doc_id from r group by source, name qualify row_number() over (partition by source order by min(doc_id)) <= 20")
-def baas_rpcs(spark, sf_dir, most: int = 20):
-    """The first names of each client, as leads; the limit is the feature."""
-    r = T.planted(spark, sf_dir).select("doc_id", "source", F.explode(F.regexp_extract_all("content", F.lit(r"\.from\(['\"]([a-z_][a-z0-9_]*)['\"]\)"), F.lit(1))).alias("name"))
-    once = r.groupBy("source", "name").agg(F.min("doc_id").alias("doc_id"))
-    return once.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where(F.col("k") <= most).drop("k")
-
-
-CHANNELS = ["room-{n}", "user:{n}", "public", "x{h}", "orders"]
-
-
-@query("baas_channels", f"with {values_sql(CHANNELS)} select doc_id, value from v where regexp_matches(value, '^(public|orders|users?|room|chat)([-:_]?\\d+)?$')")
-def baas_channels(spark, sf_dir):
-    return doc_values(spark, sf_dir, CHANNELS).where(F.col("value").rlike(r"^(public|orders|users?|room|chat)([-:_]?\d+)?$"))
-
-
-PROVIDERS = ["firebase", "appwrite", "pocketbase"]
-
-
-@query("baas_other_providers", f"with o as (select page_id, {pick_sql(PROVIDERS, 'page_id')} as provider, case page_id % 4 when 0 then 401 else 200 end as status, page_id % 5 as n from pages) select page_id, provider, case provider when 'firebase' then 'critical' else 'high' end as severity from o where status = 200 and (provider <> 'appwrite' or n > 0)")
-def baas_other_providers(spark, sf_dir):
-    n = F.col("page_id")
-    o = pages(spark, sf_dir).select("page_id", pick(PROVIDERS, n).alias("provider"), F.when(n % 4 == 0, 401).otherwise(200).alias("status"), (n % 5).alias("n"))
-    return o.where("status = 200 and (provider <> 'appwrite' or n > 0)").select("page_id", "provider", F.when(F.col("provider") == "firebase", "critical").otherwise("high").alias("severity"))
-
-
 @query("attack_surface_fold", f"with h as (select {HOST_SQL} as host, page_id from pages) select host, 'finding-' || (page_id % 3) as type, count(*) as n from h where host is not null group by all")
 def attack_surface_fold(spark, sf_dir):
     """Per-host arrays of findings back to rows."""

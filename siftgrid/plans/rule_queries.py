@@ -8,7 +8,7 @@ from siftgrid.functions import rules
 from siftgrid.operators import detect
 from siftgrid.plans.core_queries import listed, rlike
 from siftgrid.plans.registry import query
-from siftgrid.plans.web_queries import CLAIMS, NOW, doc_values, values_sql
+from siftgrid.plans.web_queries import doc_values, values_sql
 from siftgrid.sources import tables as T
 from siftgrid.sources.tables import pick_sql, sql_text
 
@@ -77,17 +77,6 @@ def rule_export(spark, sf_dir):
     return rule_table(spark).where(F.col("pack").isin("leak", "baas")).join(n, "id", "left").select("id", "pack", F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
-_exp = "try_cast(json_extract_string(c, '$.exp') as bigint)"
-
-
-@query("baas_auth_posture", f"with {values_sql(CLAIMS, 'c')}, f as (select doc_id, unnest(list_filter([case when json_extract_string(c, '$.role') = 'service_role' then 'service role exposed' end, case when {_exp} - {NOW} > 31536000 then 'key lives over a year' end, case when doc_id % 3 = 0 then 'any origin allowed' end, case when doc_id % 5 = 0 then 'sign-up without confirmation' end], lambda x: x is not null)) as problem from v) select doc_id, problem from f")
-def baas_auth_posture(spark, sf_dir):
-    get = lambda k: F.get_json_object("c", f"$.{k}")
-    n = F.col("doc_id")
-    found = F.array_compact(F.array(F.when(get("role") == "service_role", "service role exposed"), F.when(get("exp").cast("long") - NOW > 31536000, "key lives over a year"), F.when(n % 3 == 0, "any origin allowed"), F.when(n % 5 == 0, "sign-up without confirmation")))
-    return doc_values(spark, sf_dir, CLAIMS, "c").select("doc_id", F.explode(found).alias("problem"))
-
-
 WATCHED = rules.APP_PATTERNS["slack_webhook"]
 
 

@@ -433,15 +433,6 @@ def jwt_flags(spark, sf_dir):
     return doc_values(spark, sf_dir, CLAIMS, "c").select("doc_id", flags.alias("flags"))
 
 
-NAMES = ["users", "audit_log", "payments", "password_resets", "posts", "api_keys"]
-SENSITIVE = r"(?:^|_)(?:user|account|customer|payment|password|secret|token|key|order|invoice|email|session|credential|admin)s?(?:_|$)"
-
-
-@query("table_sensitivity", f"with {values_sql(NAMES)} select doc_id, value, case when {rlike('value', SENSITIVE)} then 'critical' else 'high' end as severity from v")
-def table_sensitivity(spark, sf_dir):
-    return doc_values(spark, sf_dir, NAMES).withColumn("severity", F.when(F.col("value").rlike(SENSITIVE), "critical").otherwise("high"))
-
-
 SPECS = ["https://user:{h}@git.example.com/x.git", "^1.2.3", "git+ssh://git@host/x", "github:a/b#c{n}", "https://h/x-{n}.tgz", "a/b"]
 AUTH = r"(?i)\b(https?|git|ssh)://([^/@\s]+)@"
 
