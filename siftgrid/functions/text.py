@@ -65,10 +65,10 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def matches(text: Column, pattern: str | Column, group: int | Column | None = None, around: int = 0) -> Column:
-    """array<struct<value, start, stop, line, before, whole, after, more>> of all matches.
+    """array<struct<value, start, stop, line, column, before, whole, after, more>> of all matches.
 
-    start and stop count characters from 0, line counts from 1; before and after are
-    up to `around` characters on both sides of the whole match, and more tells
+    start and stop count characters from 0, line counts from 1, column characters
+    from 0 within the line; before and after are up to `around` characters on both sides of the whole match, and more tells
     whether the text goes on beyond after.
 
     Spark's regex functions give no offsets. The stretches between matches are what
@@ -81,9 +81,10 @@ def matches(text: Column, pattern: str | Column, group: int | Column | None = No
         group = group_of(pattern) if group is None else group
         pattern = F.lit(FLAGS + pattern)
     lines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    both = lambda a, b: F.struct((a["chars"] + b["chars"]).alias("chars"), (a["lines"] + b["lines"]).alias("lines"))
-    size = lambda s: F.struct(F.length(s).alias("chars"), lines(s).alias("lines"))
-    none = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("lines"))
+    # tail: characters since the last line began.
+    both = lambda a, b: F.struct((a["chars"] + b["chars"]).alias("chars"), (a["lines"] + b["lines"]).alias("lines"), F.when(b["lines"] > 0, b["tail"]).otherwise(a["tail"] + b["tail"]).alias("tail"))
+    size = lambda s: F.struct(F.length(s).alias("chars"), lines(s).alias("lines"), F.length(F.substring_index(s, "\n", -1)).alias("tail"))
+    none = F.struct(*(F.lit(0).alias(c) for c in ("chars", "lines", "tail")))
     total = lambda steps, first, n: F.aggregate(F.slice(steps, first, n), none, both)
     found = F.struct(
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("whole"),
@@ -118,7 +119,7 @@ def matches(text: Column, pattern: str | Column, group: int | Column | None = No
         def at_place(v: Column, whole: Column, at: Column) -> Column:
             start, stop = at["chars"], at["chars"] + F.length(whole)
             return F.struct(
-                v.alias("value"), start.alias("start"), stop.alias("stop"), (at["lines"] + 1).alias("line"),
+                v.alias("value"), start.alias("start"), stop.alias("stop"), (at["lines"] + 1).alias("line"), at["tail"].alias("column"),
                 window(f, F.greatest(F.lit(0), start - around), start).alias("before"), whole.alias("whole"), window(f, stop, F.least(f["end"], stop + around)).alias("after"),
                 (stop + around < f["end"]).alias("more"),
             )

@@ -12,13 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgrid.functions import guards, identity, rules
-from siftgrid.functions.text import FLAGS, group_of, lookup, matches, required, snippet, sql_literal
+from siftgrid.functions.text import FLAGS, bound, group_of, lookup, matches, required, snippet, sql_literal
 
 
-def scan(docs: DataFrame, patterns: dict[str, str], text: str = "content", around: int = 0, keep_text: bool = False) -> DataFrame:
-    """docs with one row a match: rule, value, start, stop, line, before, whole, after, more (see functions.text.matches).
+MATCH = ("value", "start", "stop", "line", "column", "before", "whole", "after", "more")
 
-    A rule that needs some fixed string is tried only on texts that hold it. The text
+
+def scan(docs: DataFrame, patterns: dict[str, str], text: str = "content", around: int = 0, lines: int = 0, keep_text: bool = False) -> DataFrame:
+    """docs with one row a match: rule, value, start, stop, line, column, before, whole, after, more (see functions.text.matches).
+
+    With lines, `near` holds the match's line and up to that many on both sides, and
+    `from_line` the number of the first of them. A rule that needs some fixed string is tried only on texts that hold it. The text
     itself stays only with keep_text: it would be repeated for every match.
     """
     q = sql_literal
@@ -29,8 +33,16 @@ def scan(docs: DataFrame, patterns: dict[str, str], text: str = "content", aroun
 
     tests = ", ".join(f"case when {test(p)} then struct({q(name)} as rule, {q(FLAGS + p)} as pattern_, {group_of(p)} as group_) end" for name, p in patterns.items())
     hits = docs.withColumn("lower_", F.lower(text)).select(*docs.columns, F.expr(f"inline(array_compact(array({tests})))"))
-    found = hits.withColumn("m", F.explode(matches(F.col(text), F.col("pattern_"), F.col("group_"), around)))
-    return found.select(*(c for c in docs.columns if keep_text or c != text), "rule", "m.*")
+    found = matches(F.col(text), F.col("pattern_"), F.col("group_"), around)
+    if lines:
+        found = bound(F.split(text, "\n"), lambda split: F.transform(found, lambda m: with_lines(m, split, lines)))
+    return hits.withColumn("m", F.explode(found)).select(*(c for c in docs.columns if keep_text or c != text), "rule", "m.*")
+
+
+def with_lines(m: Column, split: Column, lines: int) -> Column:
+    first = F.greatest(F.lit(1), m["line"] - lines)
+    near = F.slice(split, first, F.least(F.size(split), m["line"] + lines) - first + 1)
+    return F.struct(*(m[c].alias(c) for c in MATCH), first.alias("from_line"), near.alias("near"))
 
 
 def app_findings(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
@@ -39,6 +51,60 @@ def app_findings(docs: DataFrame, patterns: dict[str, str] | None = None) -> Dat
     return scan(docs, active).where(~guards.app_value(F.col("value"))).withColumn("severity", app_severity("rule"))
 
 
+def app_report(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+    """Findings of the broad rules with what stands around them taken into account: context, in_comment, severity, recommendation.
+
+    A match in a comment is critical if its rule is about a key, secret, token or password.
+    """
+    active = patterns or {n: p for n, p in rules.APP_PATTERNS.items() if n not in rules.NEVER_KEPT}
+    found = scan(docs, active, around=100, lines=2).where(~guards.app_value(F.col("value")) & in_context())
+    comment = in_comment(F.col("source"), lookup("rule", {n: group_of(p) for n, p in active.items()}) > 0)
+    known = found.withColumn("in_comment", comment).withColumn("context", context())
+    severity = F.when(F.col("in_comment") & F.col("rule").rlike("key|secret|token|password"), "critical").otherwise(app_severity("rule"))
+    advice = F.coalesce(lookup("rule", rules.ADVICE), F.lit(rules.DEFAULT_ADVICE))
+    return known.withColumn("severity", severity).withColumn("recommendation", advice).drop("before", "whole", "after", "more", "near", "from_line", "column")
+
+
+def in_context() -> Column:
+    """Whether a match of the broad rules is one by what stands around it (columns of scan with around >= 100)."""
+    before, whole, after, value = (F.col(c) for c in ("before", "whole", "after", "value"))
+    window = lambda b, a: F.concat(F.right(before, F.lit(b)), whole, F.left(after, F.lit(a)))
+    inside = F.right(before, F.lit(1)).rlike(r"^[\p{L}\p{N}_]$") & F.left(after, F.lit(1)).rlike(r"^[\p{L}\p{N}_]$")
+    oauth = ~(inside & ~F.lower(window(50, 50)).rlike("|".join(rules.CREDENTIAL_WORDS)))
+    declared = value.rlike("^[a-z][a-zA-Z0-9]*$") & (F.length(value) < 25) & F.right(before, F.lit(20)).rlike(rules.DECLARATION)
+    creds = ~(declared | window(30, 50).rlike(rules.CALL) | window(20, 50).rlike(rules.PROPERTY))
+    cookie = ~(value.isin(rules.COOKIE_FUNCTIONS) | F.right(before, F.lit(30)).rlike(rules.OPEN_CALL)) & (F.length(value) >= 15)
+    return F.when(F.col("rule") == "oauth_token", oauth).when(F.col("rule") == "hardcoded_creds", creds).when(F.col("rule") == "cookie_header", cookie).otherwise(True)
+
+
+def own_line() -> Column:
+    return F.element_at("near", (F.col("line") - F.col("from_line") + 1).cast("int"))
+
+
+def in_comment(source: Column, has_group: Column) -> Column:
+    """Whether a comment mark stands in the part of the line that is looked at.
+
+    With a group that is the line without as many last characters as stand between the match's and
+    the group's begin (nothing, if there are none); without one, as much of the line as the match's offset.
+    """
+    line, lead = own_line(), F.instr("whole", F.col("value")) - 1
+    part = F.when(has_group, F.when(lead > 0, F.left(line, F.greatest(F.lit(0), F.length(line) - lead))).otherwise("")).otherwise(F.left(line, F.col("start")))
+    return F.when(source.rlike(r"\.(?:js|jsx|ts|tsx)$"), part.rlike(r"//|/\*")).when(source.endswith(".py"), part.contains("#")).otherwise(False)
+
+
+def context(longest: int = 200) -> Column:
+    """The match's line and its neighbours, numbered; of a longer line a window around the match, or its beginning."""
+    line, at = F.col("line"), F.col("column")
+
+    def shown(s: Column, i: Column) -> Column:
+        first, last = F.greatest(F.lit(0), at - 50), F.least(F.length(s), at + 100)
+        middle = F.concat(F.when(first > 0, "...").otherwise(""), F.substring(s, first + 1, last - first), F.when(last < F.length(s), "...").otherwise(""))
+        cut = F.when(F.length(s) <= longest, s).when(F.col("from_line") + i == line, middle).otherwise(F.concat(F.left(s, F.lit(longest)), F.lit("...")))
+        return F.concat((F.col("from_line") + i).cast("string"), F.lit(": "), cut)
+
+    return F.array_join(F.transform("near", shown), "\n")
+
+
 def app_severity(column: str) -> Column:
     return F.coalesce(lookup(column, {k: level for level, kinds in rules.APP_SEVERITY.items() for k in kinds}), F.lit("info"))
 

@@ -165,37 +165,6 @@ def detect_comment_creds(spark, sf_dir):
     return doc_values(spark, sf_dir, SNIPPETS).select("doc_id", F.inline(pairs)).toDF("doc_id", "k", "v").select("doc_id", F.concat("k", F.lit("="), "v").alias("value"))
 
 
-OAUTH = ["x7-{h}abcdefghy", "token 7-{h}abcdefgh here", "see 12-{h}abcdefgh."]
-_shape = r"[0-9]+-[0-9A-Za-z_]{40}"
-NEAR = ["token", "oauth", "authorization", "bearer", "access", "auth", "credential", "api"]
-
-
-@query("finding_context_oauth", f"with {values_sql(OAUTH)} select doc_id, {any_of('lower(value)', NEAR)} or not regexp_matches(value, '[0-9A-Za-z_]{_shape}[0-9A-Za-z_]') as kept from v where {rlike('value', _shape)}")
-def finding_context_oauth(spark, sf_dir):
-    """Inside an identifier and without a credential word nearby it is no token."""
-    v = doc_values(spark, sf_dir, OAUTH).where(F.col("value").rlike(_shape))
-    return v.select("doc_id", (F.lower("value").rlike("|".join(NEAR)) | ~F.col("value").rlike("[0-9A-Za-z_]" + _shape + "[0-9A-Za-z_]")).alias("kept"))
-
-
-COOKIES = ["cookie: setCookie and some more text", "Cookie=sid={h}; a=b", "cookie: getCookie", "set-cookie: id={n}"]
-COOKIE = rules.APP_PATTERNS["cookie_header"]
-
-
-@query("finding_context_cookie", f"with {values_sql(COOKIES)}, m as (select doc_id, regexp_extract(value, {sql_text(COOKIE)}, 1) as c from v where {rlike('value', COOKIE)}) select doc_id, c as value from m where c not in ('setCookie', 'getCookie', 'disableCookie') and length(c) >= 15")
-def finding_context_cookie(spark, sf_dir):
-    m = detect.scan(doc_values(spark, sf_dir, COOKIES).withColumnRenamed("value", "content"), {"cookie_header": COOKIE})
-    return m.where(~F.col("value").isin("setCookie", "getCookie", "disableCookie") & (F.length("value") >= 15)).select("doc_id", "value")
-
-
-@query("finding_context_creds")
-def finding_context_creds(spark, sf_dir):
-    """Hard-coded credentials that aren't declarations, calls or property names."""
-    m = detect.scan(T.planted(spark, sf_dir), {"hardcoded_creds": rules.APP_PATTERNS["hardcoded_creds"]})
-    before = F.substring("content", F.greatest(F.lit(1), F.col("start") - 19), F.least(F.lit(20), F.col("start")))
-    declared = F.col("value").rlike("^[a-z][a-zA-Z0-9]*$") & (F.length("value") < 25) & before.rlike(r"(?:var|let|const|function|class|this\.|\.|\[)\s*$")
-    return m.where(~declared).groupBy("source").agg(F.count("*").alias("n"))
-
-
 EXT = ["true", "1.2.3", "550e8400-e29b-41d4-a716-446655440000", "@scope/pkg-{n}", "sk_live_{h}", "token", "abc.def", "QUJD"]
 EXT_SHAPES = [r"^\d+\.\d+\.\d+([-+].*)?$", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^@[a-z0-9-]+/[a-z0-9._-]+$", r"^[A-Za-z0-9+/]{1,7}={0,2}$"]
 

@@ -131,31 +131,6 @@ def snippet_window(spark, sf_dir):
     return first.select("doc_id", text.snippet(F.col("m")).alias("snippet"))
 
 
-@query("context_lines")
-def context_lines(spark, sf_dir):
-    """The line of each match and two on either side, numbered; long lines are cut."""
-    found = detect.scan(T.planted(spark, sf_dir), SIMPLE).withColumn("line", text.line_of(F.col("content"), F.col("start")))
-    lines, at = F.split("content", "\n"), F.col("line")
-    first = F.greatest(F.lit(1), at - 2)
-    near = F.slice(lines, first, F.least(F.size(lines), at + 2) - first + 1)
-    shown = F.transform(near, lambda s, i: F.concat((first + i).cast("string"), F.lit(": "), F.when(F.length(s) > 200, F.concat(F.substring(s, 1, 200), F.lit("..."))).otherwise(s)))
-    return found.select("doc_id", "rule", "line", F.array_join(shown, "\n").alias("context"))
-
-
-COMMENTS = ["x = 1 // key {h}", "/* {h}", "plain {h}", "# {h}", "y = '{h}'"]
-
-
-@query(
-    "in_comment_flag",
-    f"""with c as (select doc_id, {pick_sql(PATHS := ['a{n}.js', 'b.py', 'c.txt'], 'doc_id')} as source, {pick_sql(COMMENTS, 'doc_id')} as line from documents)
-    select doc_id, source, case when source like '%.js' then contains(line, '//') or contains(line, '/*') when source like '%.py' then contains(line, '#') else false end as in_comment from c""",
-)
-def in_comment_flag(spark, sf_dir):
-    c = T.read(spark, sf_dir, "documents").select("doc_id", pick(PATHS, F.col("doc_id")).alias("source"), pick(COMMENTS, F.col("doc_id")).alias("line"))
-    js = F.col("source").rlike(r"\.(js|jsx|ts|tsx)$")
-    return c.select("doc_id", "source", F.when(js, F.col("line").rlike(r"//|/\*")).when(F.col("source").endswith(".py"), F.col("line").contains("#")).otherwise(False).alias("in_comment"))
-
-
 @query("severity_by_type", f"with {T.FINDINGS_SQL} select type, {severity_sql('type')} as severity, count(*) as n from findings group by all")
 def severity_by_type(spark, sf_dir):
     return T.findings(spark, sf_dir).withColumn("severity", detect.app_severity("type")).groupBy("type", "severity").agg(F.count("*").alias("n"))

@@ -10,25 +10,13 @@ from siftgrid.plans.core_queries import listed, rlike
 from siftgrid.plans.registry import query
 from siftgrid.plans.web_queries import doc_values, values_sql
 from siftgrid.sources import tables as T
-from siftgrid.sources.tables import pick_sql, sql_text
+from siftgrid.sources.tables import sql_text
 
-# Fix texts by type, packs by profile and by bundle.
-ADVICE = {"openai_api_key": "Revoke the key and keep it on the server.", "database_url": "Rotate the password and use a secret store.", "jwt_token": "Shorten the token's life and rotate the signing key.", "private_ip": "Remove internal addresses from shipped code."}
-DEFAULT_ADVICE = "Review the finding and remove the value if it is sensitive."
+# Packs by profile and by bundle.
 PROFILES = {"ship": ["leak", "baas"], "code": ["leak", "appsec", "access-control"], "all": rules.PACKS}
 BUNDLES = {"secrets": ["leak"], "web": ["appsec", "client", "headers"], "backend": ["baas", "api", "authn"]}
 
 
-def case_sql(expr: str, table: dict[str, str], default: str) -> str:
-    return f"case {expr} " + " ".join(f"when {sql_text(k)} then {sql_text(v)}" for k, v in table.items()) + f" else {sql_text(default)} end"
-
-
-@query("recommend_by_type", f"with {T.FINDINGS_SQL} select ord, type, {case_sql('type', ADVICE, DEFAULT_ADVICE)} as recommendation from findings")
-def recommend_by_type(spark, sf_dir):
-    table = spark.createDataFrame(list(ADVICE.items()), "type string, recommendation string")
-    return T.findings(spark, sf_dir).join(table, "type", "left").select("ord", "type", F.coalesce("recommendation", F.lit(DEFAULT_ADVICE)).alias("recommendation"))
-
-
 def packs_sql(table: dict[str, list[str]]) -> str:
     return "p(name, pack) as (values " + ", ".join(f"('{k}', '{v}')" for k, vs in table.items() for v in vs) + ")"
 
