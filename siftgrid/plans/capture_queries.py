@@ -13,34 +13,6 @@ from siftgrid.plans.web_queries import DOWNLOAD, GIT_REF, HOST_SQL, ORIGIN, doc_
 from siftgrid.sources import tables as T
 from siftgrid.sources.tables import pick, pick_sql, sql_text
 
-BODY = "left(html, 200)"
-
-
-@query(
-    "src_http_surfaces",
-    f"select page_id, 'url' as kind, url as content from pages union all select page_id, 'header', 'server: nginx/' || (page_id % 9) from pages union all select page_id, 'header', 'x-page: ' || page_id from pages union all select page_id, 'query', regexp_extract(url, '\\?([^#]*)', 1) from pages where contains(url, '?') union all select page_id, 'body', {BODY} from pages where length(html) <= 10485760",
-)
-def src_http_surfaces(spark, sf_dir):
-    """One row for each surface of an exchange: URL, headers, query string, body."""
-    p = pages(spark, sf_dir).withColumn("headers", F.create_map(F.lit("server"), F.concat(F.lit("nginx/"), F.col("page_id") % 9), F.lit("x-page"), F.col("page_id").cast("string")))
-    one = lambda k, c: F.struct(F.lit(k).alias("kind"), c.alias("content"))
-    heads = F.transform(F.map_entries("headers"), lambda e: one("header", F.concat(e["key"], F.lit(": "), e["value"])))
-    rest = F.array_compact(F.array(one("url", F.col("url")), F.when(F.contains("url", F.lit("?")), one("query", F.regexp_extract("url", r"\?([^#]*)", 1))), F.when(F.length("html") <= 10485760, one("body", F.substring("html", 1, 200)))))
-    return p.select("page_id", F.inline(F.concat(rest, heads)))
-
-
-KINDS = ["response", "console", "websocket", "binary"]
-CAPTURE_SQL = f"c as (select page_id, {pick_sql(KINDS, 'page_id')} as kind, case page_id % 3 when 0 then to_base64(encode({BODY})) else {BODY} end as payload, page_id % 3 = 0 as encoded, url from pages)"
-
-
-@query("src_capture_events", f"with {CAPTURE_SQL} select page_id, kind, case when encoded then decode(from_base64(payload)) else payload end as content from c where kind <> 'binary' and length(payload) <= 2097152 and regexp_matches(url, '^https?://')")
-def src_capture_events(spark, sf_dir):
-    body, encoded = F.substring("html", 1, 200), F.col("page_id") % 3 == 0
-    c = pages(spark, sf_dir).select("page_id", "url", pick(KINDS, F.col("page_id")).alias("kind"), F.when(encoded, F.base64(F.encode(body, "utf-8"))).otherwise(body).alias("payload"), encoded.alias("encoded"))
-    kept = c.where((F.col("kind") != "binary") & (F.length("payload") <= 2 * 1024 * 1024) & F.col("url").rlike("^https?://"))
-    return kept.select("page_id", "kind", F.when(F.col("encoded"), F.decode(F.unbase64("payload"), "utf-8")).otherwise(F.col("payload")).alias("content"))
-
-
 STORAGE = ["authToken={h}", "theme=dark", "lang=en-{n}-a-long-value-here", "refresh={h}secret", "key=short"]
 WORDS = ["token", "auth", "secret", "key", "session", "password", "credential"]
 
@@ -259,20 +231,6 @@ def worm_triad(spark, sf_dir, span: int = 200):
     return best.select("source", F.col("b.line").alias("env_line"), F.col("b.net").alias("net_line"), F.col("b.write").alias("write_line"))
 
 
-SECTIONS = ["users", "about", "orders", "admin"]
-
-
-@query("access_control_requests", f"with r as (select page_id, {pick_sql(SECTIONS, 'page_id')} as resource, page_id % 40 as object_id, page_id % 37 as caller, page_id % 2 = 0 as authed, case page_id % 3 when 0 then 'GET' when 1 then 'POST' else 'DELETE' end as method, case when page_id % 5 = 0 then 403 else 200 end as status from pages), s as (select page_id, resource, method, (case when method in ('POST', 'DELETE') then 2 else 1 end) + (case when status between 200 and 299 then 2 else 0 end) + (case when object_id <> caller then 1 else 0 end) + (case when not authed then 1 else 0 end) as score from r where resource in ('users', 'orders', 'admin') and (not authed or object_id <> caller)) select page_id, resource, score, case when score >= 5 then 'high' else 'medium' end as severity from s")
-def access_control_requests(spark, sf_dir):
-    """Requests for objects of sensitive resources without a login, or for an id that isn't the caller's."""
-    n = F.col("page_id")
-    r = pages(spark, sf_dir).select("page_id", pick(SECTIONS, n).alias("resource"), (n % 40).alias("object_id"), (n % 37).alias("caller"), (n % 2 == 0).alias("authed"), F.when(n % 3 == 0, "GET").when(n % 3 == 1, "POST").otherwise("DELETE").alias("method"), F.when(n % 5 == 0, 403).otherwise(200).alias("status"))
-    other = F.col("object_id") != F.col("caller")
-    score = F.when(F.col("method").isin("POST", "DELETE"), 2).otherwise(1) + F.when(F.col("status").between(200, 299), 2).otherwise(0) + other.cast("int") + (~F.col("authed")).cast("int")
-    hit = r.where(F.col("resource").isin("users", "orders", "admin") & (~F.col("authed") | other)).select("page_id", "resource", score.alias("score"))
-    return hit.withColumn("severity", F.when(F.col("score") >= 5, "high").otherwise("medium"))
-
-
 @query("attack_surface_fold", f"with h as (select {HOST_SQL} as host, page_id from pages) select host, 'finding-' || (page_id % 3) as type, count(*) as n from h where host is not null group by all")
 def attack_surface_fold(spark, sf_dir):
     """Per-host arrays of findings back to rows."""

@@ -209,24 +209,6 @@ def library_cves(spark, sf_dir):
     return hit.groupBy("name", "version").agg(F.sort_array(F.collect_set("cve")).alias("cves"), F.max(F.col("severity") == "high").alias("severe"))
 
 
-EXEC = {"cmd", "command", "exec", "execute", "shell", "system", "run"}
-DANGEROUS = sorted(EXEC | {"code", "func", "function", "ping", "ref"})
-TARGETS = ["?cmd=ls&x=1", ".php?exec=a&ref=b", "?page=2", ".jsp?code=1#x", "?ping=1&run=2"]
-DANGER_SQL = f"t as (select page_id, regexp_replace(url, '[?#].*$', '') || {pick_sql(TARGETS, 'page_id')} as url from pages)"
-
-
-@query(
-    "dangerous_url_params",
-    f"with {DANGER_SQL}, p as (select {HOST_SQL} as host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) as path, unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) as pair from t), n as (select host, path, lower(split_part(pair, '=', 1)) as name from p), k as (select host, path, list_sort(list(distinct name)) as params from n where name in {listed(DANGEROUS)} group by all) select host, path, params, case when {rlike('lower(path)', r'\.(aspx|asp|jsp|php|cgi|do|action)$')} and list_has_any(params, {sorted(EXEC)}) then 'high' else 'medium' end as severity from k",
-)
-def dangerous_url_params(spark, sf_dir):
-    t = pages(spark, sf_dir).select(F.concat(F.regexp_replace("url", r"[?#].*$", ""), pick(TARGETS, F.col("page_id"))).alias("url"))
-    named = t.select(urls.host(F.col("url")).alias("host"), F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1).alias("path"), F.explode(urls.query_params(F.col("url"))).alias("p"))
-    found = named.where(F.lower("p.name").isin(DANGEROUS)).groupBy("host", "path").agg(F.sort_array(F.collect_set(F.lower("p.name"))).alias("params"))
-    worse = F.lower("path").rlike(r"\.(aspx|asp|jsp|php|cgi|do|action)$") & F.arrays_overlap("params", F.array(*map(F.lit, sorted(EXEC))))
-    return found.withColumn("severity", F.when(worse, "high").otherwise("medium"))
-
-
 @query(
     "link_scope_filter",
     f"with l as (select page_id, {HOST_SQL} as host, regexp_extract(url, '{ORIGIN}', 1) || unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) as link from pages), n as (select distinct host, rtrim(regexp_replace(link, '[?#].*$', ''), '/') as link from l where host is not null) select host, link from n qualify row_number() over (partition by host order by link) <= 20",
@@ -326,13 +308,6 @@ def outdated_tech(spark, sf_dir):
     return e.select("page_id", F.inline(hits))
 
 
-@query("tech_fingerprint", f"with e as (select page_id, {pick_sql(SERVERS, 'page_id')} as server, html from pages) select page_id, 'server' as kind, server as value from e union all select page_id, 'generator', regexp_extract(html, '(?i)<meta[^>]+name=\"generator\"[^>]+content=\"([^\"]+)\"', 1) from e where regexp_matches(html, '(?i)<meta[^>]+name=\"generator\"[^>]+content=\"([^\"]+)\"')")
-def tech_fingerprint(spark, sf_dir):
-    gen = F.regexp_extract("html", '(?i)<meta[^>]+name="generator"[^>]+content="([^"]+)"', 1)
-    pair = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
-    return pages(spark, sf_dir).select("page_id", F.inline(F.array_compact(F.array(pair("server", pick(SERVERS, F.col("page_id"))), F.when(gen != "", pair("generator", gen))))))
-
-
 @query("cert_expiry", "with c as (select page_id, date '2024-06-01' + (page_id % 90 - 20)::int as not_after from pages) select page_id, case when not_after < date '2024-06-01' then 'high' else 'medium' end as severity from c where not_after < date '2024-07-01'")
 def cert_expiry(spark, sf_dir, now: str = "2024-06-01"):
     today = F.lit(now).cast("date")
@@ -340,21 +315,6 @@ def cert_expiry(spark, sf_dir, now: str = "2024-06-01"):
     return c.where(F.datediff("not_after", today) < 30).select("page_id", F.when(F.col("not_after") < today, "high").otherwise("medium").alias("severity"))
 
 
-# Bodies that an unclaimed service answers with.
-TAKEOVER = [("AWS/S3", "NoSuchBucket"), ("GitHub Pages", "There isn't a GitHub Pages site here."), ("Heroku", "No such app"), ("Fastly", "Fastly error: unknown domain"), ("Shopify", "Sorry, this shop is currently unavailable"), ("Bitbucket", "Repository not found"), ("Surge.sh", "project not found"), ("Netlify", "Not Found - Request ID")]
-ANSWERS = ["<Code>NoSuchBucket</Code>", "No such app, Repository not found", "all fine {n}", "project not found", "Fastly error: unknown domain {h}"]
-
-
-@query("takeover_match", f"with a as (select page_id, {HOST_SQL} as host, {pick_sql(ANSWERS, 'page_id')} as body from pages), s as (select page_id, host, case " + " ".join(f"when contains(body, {sql_text(m)}) then {sql_text(s)}" for s, m in TAKEOVER) + " end as service from a) select * from s where service is not null")
-def takeover_match(spark, sf_dir):
-    """The first signature in rule order; a chain of literals, so no join."""
-    service = F.lit(None).cast("string")
-    for name, mark in reversed(TAKEOVER):
-        service = F.when(F.contains(F.col("body"), F.lit(mark)), name).otherwise(service)
-    a = pages(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("host"), pick(ANSWERS, F.col("page_id")).alias("body"))
-    return a.select("page_id", "host", service.alias("service")).where("service is not null")
-
-
 OBJECT_URL = r"(?:/(?:users?|accounts?|customers?|tenants?|organizations?|orgs?|projects?|orders?)/[0-9a-fA-F-]{6,}|[?&](?:user|account|customer|tenant|organization|project|order)[_-]?id=[0-9a-fA-F-]{6,})"
 OBJECTS = ["/users/{h}", "/p?order_id={h}", "/about", "/orders/1{n}2345", "/accounts/x"]
 
@@ -391,13 +351,6 @@ def subdomain_sources(spark, sf_dir):
     return c.groupBy("origin").agg(F.count("*").alias("candidates"), F.count_distinct("host").alias("hosts"))
 
 
-@query("two_user_compare", "with a as (select page_id, left(html, 300) as x, left(case when page_id % 3 = 0 then html else upper(html) end, 300) as y from pages) select page_id, 1 - levenshtein(x, y)::double / greatest(length(x), length(y), 1) >= 0.85 as same from a")
-def two_user_compare(spark, sf_dir):
-    """Similarity of two users' bodies by edit distance over their first characters."""
-    x, y = F.substring("html", 1, 300), F.substring(F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(F.upper("html")), 1, 300)
-    return pages(spark, sf_dir).select("page_id", (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)) >= 0.85).alias("same"))
-
-
 CLAIMS = ['{{"role":"service_role","exp":{n}}}', '{{"role":"admin","scope":"read write","exp":1900000000}}', '{{"is_admin":true}}', '{{"role":"anon","exp":1700000000}}']
 CLAIMS = [c.replace("{{", "{").replace("}}", "}") for c in CLAIMS]
 
