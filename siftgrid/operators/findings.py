@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from siftgrid.functions import identity, rules
 from siftgrid.functions.identity import severity_rank
+from siftgrid.functions.text import quoted
+
 
 def rank() -> Column:
     return severity_rank(F.col("severity"))
@@ -42,23 +44,49 @@ def cap_per_block(findings: DataFrame, block: str = "source", most: int = 50) ->
     return once.withColumn("k", F.row_number().over(Window.partitionBy(block).orderBy("ord"))).where(F.col("k") <= most).drop("k")
 
 
-def suppress(findings: DataFrame, suppressions: DataFrame, fixtures: list[str] | None = None) -> DataFrame:
-    """Findings that no (kind, value) rule hits: by id, type, signature, or part of the source in any case.
+def hidden_sources(findings: DataFrame, parts: DataFrame) -> DataFrame:
+    """source, part: the distinct sources that hold one of the parts (part, lower-cased). Distinct sources meet the parts, not findings."""
+    sources = findings.select("source").distinct()
+    return sources.join(parts, F.contains(F.lower("source"), F.col("part"))).select("source", "part")
+
 
-    The rules are few and listed by users; the joins broadcast them if Spark finds
-    them small, and shuffle otherwise.
+def suppress(findings: DataFrame, suppressions: DataFrame, fixtures: list[str] | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """Findings that no (kind, value) rule hits: by id, fingerprint, detector or an alias of it, type, signature, or part of the source in any case.
+
+    aliases: (alias, detector). Equal keys are joined; what is part of a source is tested
+    once a distinct source, the fixed parts in one pattern.
     """
+    rules_ = suppressions
+    if aliases is not None:
+        old = suppressions.where("kind = 'detector'").join(aliases, F.col("value") == F.col("alias")).select("kind", F.col("detector").alias("value"))
+        rules_ = rules_.unionByName(old)
     out = findings
-    for kind, column in (("id", "id"), ("detector", "type"), ("signature", "signature")):
-        rule = suppressions.where(F.col("kind") == kind).select(F.col("value").alias(column)).distinct()
-        out = out.join(rule, column, "left_anti")
-    parts = suppressions.where(F.col("kind") == "source_contains").select(F.lower("value").alias("part")).distinct()
-    out = out.join(parts, F.contains(F.lower("source"), F.col("part")), "left_anti")
-    for part in fixtures or ():
-        out = out.where(~F.contains(F.lower("source"), F.lit(part.lower())))
+    for kind in ("id", "fingerprint", "detector", "type", "signature"):
+        rule = rules_.where((F.col("kind") == kind) & (F.col("value") != "")).select(F.col("value").alias(kind)).distinct()
+        out = out.join(rule, kind, "left_anti")
+    parts = rules_.where(F.col("kind") == "source_contains").select(F.lower("value").alias("part")).distinct()
+    out = out.join(hidden_sources(findings, parts).select("source").distinct(), "source", "left_anti")
+    if fixtures:
+        out = out.where(~F.lower("source").rlike("|".join(quoted(p.lower()) for p in fixtures)))
     return out
 
 
+def self_shield(findings: DataFrame, entries: DataFrame) -> DataFrame:
+    """Findings that an added allow-list entry (id, detector, type, source_contains) would hide, once an entry: entry columns and the finding's.
+
+    An entry with a source part counts on matching paths alone; there it hides by any of its fields.
+    """
+    fields = ("id", "detector", "type")
+    e = entries.select(*(F.coalesce(F.trim(c), F.lit("")).alias(f"entry_{c}") for c in fields), F.lower(F.coalesce(F.trim("source_contains"), F.lit(""))).alias("part")).distinct()
+    own = findings.select("ord", *fields, "source")
+    matched = [own.join(e.where(f"part = '' and entry_{c} <> ''"), F.col(c) == F.col(f"entry_{c}")) for c in fields]
+    # On a path that holds the entry's part every finding is hidden by that part.
+    where = hidden_sources(findings, e.where("part <> ''").select("part").distinct())
+    by_part = own.join(where, "source").join(e.where("part <> ''"), "part")
+    columns = ["ord", "id", "source", "entry_id", "entry_detector", "entry_type", "part"]
+    return reduce(DataFrame.unionByName, [m.select(*columns) for m in (*matched, by_part)]).distinct().withColumn("severity", F.lit("critical"))
+
+
 def difference(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """Findings of `current` that share neither id nor non-empty fingerprint with `baseline`."""
     keys = baseline.select(F.explode(F.array("id", "fingerprint")).alias("key")).where("key <> ''").distinct()
@@ -88,39 +116,39 @@ def verdict(findings: DataFrame, *by: str) -> DataFrame:
     )
     b, c = F.col("blocking"), F.col("confirmed")
     split = (
-        F.when((c > 0) & (b > c), F.concat(c, F.lit(" confirmed by active probe, "), b - c, F.lit(" static detection(s) to verify")))
-        .when(c > 0, F.concat(F.lit("all "), c, F.lit(" confirmed by active probe")))
-        .otherwise("static detections — verify before relying on them")
+        F.when((c > 0) & (b > c), F.concat(c, F.lit(rules.VERDICT["confirmed"] + ", "), b - c, F.lit(rules.VERDICT["static"])))
+        .when(c > 0, F.concat(F.lit("all "), c, F.lit(rules.VERDICT["confirmed"])))
+        .otherwise(rules.VERDICT["unverified"])
     )
     status = F.when(b > 0, "BLOCK_SHIP").when(F.col("medium") > 0, "REVIEW").otherwise("SAFE_TO_SHIP")
     reason = (
-        F.when(b > 0, F.concat(b, F.lit(" high/critical exposure(s); "), split, F.lit(". Fix before release.")))
-        .when(F.col("medium") > 0, "Potential exposures or hardening issues need human review.")
-        .otherwise("No medium, high, or critical findings were detected in this scan.")
+        F.when(b > 0, F.concat(b, F.lit(rules.VERDICT["block"]), split, F.lit(rules.VERDICT["fix"])))
+        .when(F.col("medium") > 0, rules.VERDICT["review"])
+        .otherwise(rules.VERDICT["safe"])
     )
     return counted.select(*by, status.alias("status"), reason.alias("reason"))
 
 
-def chains(findings: DataFrame, legs: list[tuple[str, int, list[str]]], severities: dict[str, str], most: int = 100) -> DataFrame:
-    """Hosts where every leg of a rule has a finding: rule, host, severity, members (one of each leg, the first).
+def chains(findings: DataFrame, table: list[tuple] = rules.CHAINS, most: int = 100) -> DataFrame:
+    """Attack chains: id, rule, host, severity, confidence, members (the first finding of each leg).
 
-    legs: (rule, leg, types). A severity above high needs a confirmed member.
-    Of chains with equal members the first by rule stays; `most` are reported.
+    findings need a `host`, empty where there is none; a rule whose legs must share a host looks
+    at each host, another one at all findings. table: rows of rules.CHAINS; the legs of a rule
+    have no type in common. Severity is the highest of the rule and its members, high at most
+    without a confirmed member. Of chains of a rule with equal members one stays; `most` are reported.
     """
-    needed = {r: max(leg for q, leg, _ in legs if q == r) + 1 for r, *_ in legs}
     parts = []
-    for rule, leg, types in legs:
-        hit = findings.where(F.col("type").isin(types) & (F.col("host") != ""))
-        parts.append(
-            hit.groupBy("host").agg(F.min_by("id", "ord").alias("member"), F.max_by("validation_status", F.struct((F.col("validation_status") == "confirmed").cast("int"), "ord")).alias("status")).select(F.lit(rule).alias("rule"), F.lit(leg).alias("leg"), "host", "member", "status")
-        )
-    met = reduce(DataFrame.unionByName, parts).groupBy("rule", "host").agg(
-        F.count("*").alias("n"), F.sort_array(F.collect_list("member")).alias("members"), F.max((F.col("status") == "confirmed").cast("int")).alias("confirmed")
+    for rule, severity, legs, same_host in table:
+        for leg, types in enumerate(legs):
+            hit = findings.where(F.col("type").isin(types) & (F.col("host") != "")) if same_host else findings.where(F.col("type").isin(types)).withColumn("host", F.lit(""))
+            first = F.min_by(F.struct("id", "validation_status", rank().alias("rank")), "ord").alias("m")
+            parts.append(hit.groupBy("host").agg(first).select(F.lit(rule).alias("rule"), F.lit(rules.SEVERITIES.index(severity)).alias("top"), F.lit(len(legs)).alias("legs"), F.lit(leg).alias("leg"), "host", "m.*"))
+    met = reduce(DataFrame.unionByName, parts).groupBy("rule", "host", "top", "legs").agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("members"), F.max("rank").alias("rank"), F.max((F.col("validation_status") == "confirmed").cast("int")).alias("confirmed")
     )
-    wanted, top = F.lit(0), F.lit("info")
-    for rule, n in needed.items():
-        wanted = F.when(F.col("rule") == rule, n).otherwise(wanted)
-        top = F.when(F.col("rule") == rule, severities[rule]).otherwise(top)
-    full = met.where(F.col("n") == wanted).withColumn("severity", F.when((F.col("confirmed") == 0) & (top == "critical"), "high").otherwise(top))
-    once = full.groupBy("members").agg(F.min_by(F.struct("rule", "host", "severity"), F.struct("rule", "host")).alias("c")).select("c.*", "members")
-    return once.orderBy(rank().desc(), "rule", "host").limit(most)
+    level = F.greatest("rank", "top")
+    full = met.where("n = legs").withColumn("rank", F.when(F.col("confirmed") == 1, level).otherwise(F.least(level, F.lit(3))))
+    once = full.groupBy("rule", "members").agg(F.min_by(F.struct("host", "rank", "confirmed"), "host").alias("c"))
+    top = once.select("rule", "members", "c.*").orderBy(F.desc("rank"), F.desc(F.size("members")), "rule", "host").limit(most)
+    key = F.concat("rule", F.lit("|"), F.array_join("members", "|"))
+    return top.select(F.concat(F.lit("chain_"), identity.fnv_id(key)).alias("id"), "rule", "host", identity.severity_name(F.col("rank")).alias("severity"), F.when(F.col("confirmed") == 1, "confirmed").otherwise("lead").alias("confidence"), "members")

@@ -15,12 +15,12 @@ from siftgrid.sources import tables as T
 W = f"with {T.FINDINGS_SQL}"
 RANK = T.SEVERITY_CASE
 COUNTS = "count(severity) as total, " + ", ".join(f"count(*) filter (where severity = '{s}') as {s}" for s in rules.SEVERITIES)
-IDS = f"ids as (select *, {id_sql('type', 'source', 'line', 'url', 'value')} as id, concat(type, '|', source, '|', line, '|', url, '|', {mask_sql('value')}) as signature, 'fp1_' || left({hmac_sql(SALT, "concat('v1', chr(0), type, chr(0), source, chr(0), url, chr(0), value)")}, 24) as fingerprint from findings)"
+IDS = f"ids as (select *, concat(category, '.', type) as detector, {id_sql('type', 'source', 'line', 'url', 'value')} as id, concat(type, '|', source, '|', line, '|', url, '|', {mask_sql('value')}) as signature, 'fp1_' || left({hmac_sql(SALT, "concat('v1', chr(0), type, chr(0), source, chr(0), url, chr(0), value)")}, 24) as fingerprint from findings)"
 
 
 def named(spark, sf_dir):
-    """Findings with id, signature and fingerprint."""
-    f = T.findings(spark, sf_dir)
+    """Findings with detector, id, signature and fingerprint."""
+    f = T.findings(spark, sf_dir).withColumn("detector", F.concat_ws(".", "category", "type"))
     cols = lambda *c: [F.col(x) for x in c]
     return (
         f.withColumn("id", identity.stable_id(*cols("type", "source", "line", "url", "value")))
@@ -135,37 +135,8 @@ def heatmap_rows(spark, sf_dir):
     return spark.createDataFrame(list(HEATMAP.items()), "type string, pack string").join(n, "type", "left").fillna(0)
 
 
-@query("coverage_level", f"{W}, c as (select source, count(distinct category) as n from findings group by source) select source, n as surfaces, case when n = 0 then 'waiting' when n >= 4 then 'strong' else 'partial' end as level from c")
-def coverage_level(spark, sf_dir):
-    c = T.findings(spark, sf_dir).groupBy("source").agg(F.count_distinct("category").alias("surfaces"))
-    return c.withColumn("level", F.when(F.col("surfaces") == 0, "waiting").when(F.col("surfaces") >= 4, "strong").otherwise("partial"))
-
-
-@query("findings_digest", f"{W} select source, sha256(string_agg(concat(lpad(ord::varchar, 12, '0'), '|', type, '|', line, '|', value), ',' order by ord)) as digest, count(*) as n from findings group by source")
-def findings_digest(spark, sf_dir):
-    """SHA-256 over a source's canonical list of findings; a source's list is one row, as any report is."""
-    text = F.concat(F.lpad(F.col("ord").cast("string"), 12, "0"), F.lit("|"), "type", F.lit("|"), F.col("line").cast("string"), F.lit("|"), "value")
-    return T.findings(spark, sf_dir).groupBy("source").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(text)), ","), 256).alias("digest"), F.count("*").alias("n"))
-
-
 # --- suppression, difference, provenance, chains ---------------------------------------------------
 
-RULES_SQL = "rules as (select 'id' as kind, id as value from ids where ord % 50 = 1 union all select 'detector', 'dead_code' union all select 'signature', signature from ids where ord % 40 = 3 union all select 'source_contains', 'BUNDLE1')"
-
-
-@query(
-    "suppress_findings",
-    f"{W}, {IDS}, {RULES_SQL} select ord, id, type, source from ids where id not in (select value from rules where kind = 'id') and type not in (select value from rules where kind = 'detector') and signature not in (select value from rules where kind = 'signature') and not contains(lower(source), 'bundle1') and not "
-    + "(" + " or ".join(f"contains(lower(source), '{p}')" for p in rules.FIXTURE_PARTS) + ")",
-)
-def suppress_findings(spark, sf_dir):
-    f = named(spark, sf_dir)
-    kind = lambda k, c: f.where(c).select(F.lit(k).alias("kind"), F.col("id" if k == "id" else "signature").alias("value"))
-    fixed = spark.createDataFrame([("detector", "dead_code"), ("source_contains", "BUNDLE1")], "kind string, value string")
-    rows = kind("id", "ord % 50 = 1").unionByName(kind("signature", "ord % 40 = 3")).unionByName(fixed)
-    return O.suppress(f, rows, rules.FIXTURE_PARTS).select("ord", "id", "type", "source")
-
-
 @query("diff_reports", f"{W}, {IDS}, old as (select * from ids where ord % 2 = 0), k as (select id as key from old union select fingerprint from old) select ord, id, type from ids where ord % 2 = 1 and id not in (select key from k) and fingerprint not in (select key from k)")
 def diff_reports(spark, sf_dir):
     f = named(spark, sf_dir)
@@ -177,33 +148,6 @@ def merge_provenance(spark, sf_dir):
     return O.merge_provenance(T.findings(spark, sf_dir))
 
 
-HOST_SQL = "lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
-#: Rules over pairs of types on one host: id, leg, types.
-LEGS = [("key-and-open-table", 0, ["supabase_url"]), ("key-and-open-table", 1, ["baas_open_table"]), ("secret-and-token", 0, ["database_url", "openai_api_key"]), ("secret-and-token", 1, ["jwt_token"])]
-CHAIN_SEVERITY = {"key-and-open-table": "critical", "secret-and-token": "high"}
-
-
-def _leg_sql(rule: str, leg: int, types: list[str]) -> str:
-    return f"select '{rule}' as rule, {leg} as leg, host, arg_min(id, ord) as member, bool_or(validation_status = 'confirmed') as ok from hosted where type in {listed(types)} and host <> '' group by host"
-
-
-@query(
-    "chain_correlation",
-    f"""{W}, {IDS}, hosted as (select *, {HOST_SQL} as host from ids), legs as ({' union all '.join(_leg_sql(*leg) for leg in LEGS)}),
-    c as (select rule, host, list_sort(list(member)) as members, bool_or(ok) as ok from legs group by rule, host having count(*) = 2),
-    s as (select rule, host, members, case when rule = 'key-and-open-table' and ok then 'critical' else 'high' end as severity from c qualify row_number() over (partition by members order by rule, host) = 1)
-    select rule, host, severity, members from s order by case severity when 'critical' then 0 else 1 end, rule, host limit 100""",
-)
-def chain_correlation(spark, sf_dir):
-    return O.chains(named(spark, sf_dir).withColumn("host", F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1))), LEGS, CHAIN_SEVERITY)
-
-
-@query("vendor_contacts", f"{W} select ord, type, coalesce(case type when 'openai_api_key' then 'security@ai.example' when 'supabase_url' then 'security@baas.example' end, 'the owner of the credential') as contact from findings")
-def vendor_contacts(spark, sf_dir):
-    contacts = spark.createDataFrame([("openai_api_key", "security@ai.example"), ("supabase_url", "security@baas.example")], "type string, contact string")
-    return T.findings(spark, sf_dir).join(contacts, "type", "left").select("ord", "type", F.coalesce("contact", F.lit("the owner of the credential")).alias("contact"))
-
-
 @query("normalize_finding", f"{W} select ord, case when upper(severity) in ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') then severity else 'info' end as severity, coalesce(nullif(category, 'housekeeping'), 'leak') as category from findings")
 def normalize_finding(spark, sf_dir):
     """Loose rows to one schema: severities in any case, unknown ones info, a missing category leak."""
@@ -225,25 +169,6 @@ def remediation_card(spark, sf_dir):
     return d.select("doc_id", "what", F.filter(F.transform(F.split("what", r"\. "), lambda x: F.trim(x)), lambda x: x != "").alias("steps"))
 
 
-@query("sink_findings_json")
-def sink_findings_json(spark, sf_dir):
-    """One JSON document a source; write(..) of the findings partitions them by category."""
-    f = T.findings(spark, sf_dir).withColumn("redacted", identity.redact_mask(F.col("value"))).drop("value")
-    return f.groupBy("source").agg(F.to_json(F.struct(F.first("source").alias("target"), F.count("*").alias("total"), F.sort_array(F.collect_list(F.struct("ord", "type", "severity", "line", "redacted"))).alias("findings"))).alias("report"))
-
-
-@query("sink_sarif", f"{W} select ord, type as rule_id, case when severity in ('critical', 'high') then 'error' when severity = 'medium' then 'warning' else 'note' end as level, source as uri, coalesce(line, 1) as start_line from findings")
-def sink_sarif(spark, sf_dir):
-    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
-    return T.findings(spark, sf_dir).select("ord", F.col("type").alias("rule_id"), level.alias("level"), F.col("source").alias("uri"), F.coalesce("line", F.lit(1)).alias("start_line"))
-
-
-@query("sink_text_report", f"{W} select '[' || upper(severity) || '] ' || type || ' in ' || source || ':' || line as text from findings order by {RANK} desc, ord limit 10")
-def sink_text_report(spark, sf_dir):
-    top = T.findings(spark, sf_dir).orderBy(O.rank().desc(), "ord").limit(10)
-    return top.select(F.format_string("[%s] %s in %s:%d", F.upper("severity"), "type", "source", "line").alias("text"))
-
-
 @query("src_report_json", f"{W} select ord, type, severity, coalesce(nullif(url, ''), 'none') as url from findings")
 def src_report_json(spark, sf_dir):
     """Saved findings as JSON, read with a fixed schema and defaults for what is missing."""
@@ -251,17 +176,6 @@ def src_report_json(spark, sf_dir):
     return saved.select(F.from_json("j", "ord long, type string, severity string, url string").alias("f")).select("f.ord", "f.type", "f.severity", F.coalesce("f.url", F.lit("none")).alias("url"))
 
 
-@query("src_report_sarif", f"{W} select ord, case when severity in ('critical', 'high') then 'high' when severity = 'medium' then 'medium' else 'low' end as severity, type from findings")
-def src_report_sarif(spark, sf_dir):
-    """SARIF text of each source back to findings: results exploded, level to severity."""
-    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
-    f = T.findings(spark, sf_dir).withColumn("result", F.struct(F.col("type").alias("ruleId"), level.alias("level"), "ord"))
-    sarif = f.groupBy("source").agg(F.to_json(F.struct(F.array(F.struct(F.collect_list("result").alias("results"))).alias("runs"))).alias("j"))
-    run = F.from_json("j", "runs array<struct<results array<struct<ruleId string, level string, ord long>>>>".replace("struct<results array", "struct<results:array").replace("ruleId string", "ruleId:string").replace("level string", "level:string").replace("ord long", "ord:long"))
-    rows = sarif.select(F.explode(run["runs"]).alias("run")).select(F.inline("run.results"))
-    return rows.select("ord", F.when(F.col("level") == "error", "high").when(F.col("level") == "warning", "medium").otherwise("low").alias("severity"), F.col("ruleId").alias("type"))
-
-
 @query("union_surfaces", "select 'document' as surface, count(*) as n from documents union all select 'conversation', count(*) from conversations union all select 'page', count(*) from pages")
 def union_surfaces(spark, sf_dir):
     d = T.read(spark, sf_dir, "documents").select(F.lit("document").alias("surface"), F.col("text").alias("content"))
@@ -300,25 +214,6 @@ def added_allowlist_entries(spark, sf_dir):
     return e.where("side = 1").drop("side").subtract(e.where("side = 0").drop("side"))
 
 
-@query("self_shield", f"{W}, e as (select distinct source as part from findings where ord % 11 = 0) select f.ord, 'critical' as severity from findings f where exists (select 1 from e where contains(lower(f.source), lower(e.part)))")
-def self_shield(spark, sf_dir):
-    """Findings that a newly added allowlist entry would hide. The entries are as few as sources."""
-    f = T.findings(spark, sf_dir)
-    e = f.where("ord % 11 = 0").select(F.lower("source").alias("part")).distinct()
-    return f.join(e, F.contains(F.lower("source"), F.col("part")), "left_semi").select("ord", F.lit("critical").alias("severity"))
-
-
-@query("src_suppressions", f"{W}, {IDS} select case ord % 3 when 0 then 'id' when 1 then 'detector' else 'source_contains' end as kind, case ord % 3 when 0 then id when 1 then type else source end as value, count(*) as n from ids group by all")
-def src_suppressions(spark, sf_dir):
-    """Lines `key: value` to (kind, value); a key that isn't known is an error."""
-    f = named(spark, sf_dir)
-    m = F.pmod("ord", F.lit(3))
-    line = F.concat(F.when(m == 0, "id").when(m == 1, "detector").otherwise("source_contains"), F.lit(": "), F.when(m == 0, F.col("id")).when(m == 1, F.col("type")).otherwise(F.col("source")))
-    kind = F.split(line, ": ", 2)[0]
-    known = F.when(kind.isin("id", "fingerprint", "detector", "type", "signature", "source_contains"), kind).otherwise(F.raise_error(F.concat(F.lit("unknown key "), kind)))
-    return f.select(known.alias("kind"), F.split(line, ": ", 2)[1].alias("value")).groupBy("kind", "value").agg(F.count("*").alias("n"))
-
-
 @query("allowlist_expiry", "with a as (select doc_id, strftime(date '2024-01-01' + (doc_id % 400)::int, '%Y-%m-%d') as expires_at from documents) select doc_id, expires_at from a where expires_at < '2024-07-01'")
 def allowlist_expiry(spark, sf_dir, today: str = "2024-07-01"):
     d = T.read(spark, sf_dir, "documents").select("doc_id", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(400)).cast("int")), "yyyy-MM-dd").alias("expires_at"))

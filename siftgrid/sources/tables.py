@@ -90,6 +90,10 @@ KINDS = [
     ("supabase_url", "medium", "baas", "lead"),
     ("baas_open_table", "high", "baas", "confirmed"),
     ("env_config_bug", "low", "correctness", "lead"),
+    ("source_map_reference", "low", "leak", "validated"),
+    ("baas_cors_wildcard", "low", "baas", "confirmed"),
+    ("baas_service_role_exposed", "critical", "baas", "confirmed"),
+    ("baas_writable_table", "critical", "baas", "confirmed"),
 ]
 SEVERITY_CASE = "case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end"
 
