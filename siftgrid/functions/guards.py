@@ -122,3 +122,38 @@ def app_value(value: Column) -> Column:
             text.rlike("^[0-9]{1,2}-[0-9A-Za-z_]{40}$"),
         ]
     )
+
+
+def ext_value(value: Column) -> Column:
+    """The extension's variant: whole words instead of parts, and shapes of versions, ids, package names and short codes."""
+    t = F.trim(value)
+    low = F.lower(t)
+    few = t.rlike(r"^(?:\d+|[a-zA-Z]+)$") & (F.size(F.array_distinct(F.split(t, ""))) < 5)
+    octet = F.split(t, r"\.")[0].try_cast("int").isin(rules.APP_RESERVED_OCTETS) & t.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$")
+    short = [t.rlike(p) & (F.length(t) < n) for p, n in rules.EXT_SHORT]
+    found = [
+        (F.length(t) < 10) | (F.length(t) > 1000), low.isin(rules.APP_WORDS), few, *[t.rlike(p) for p in rules.APP_SHAPES], contains_any(low, rules.APP_STYLE_WORDS),
+        contains_any(F.replace(F.replace(low, F.lit("_"), F.lit("")), F.lit("-"), F.lit("")), rules.APP_BUILTINS), *[t.rlike("(?i)" + p) for p in rules.APP_PLACEHOLDERS], octet, *[t.rlike(p) for p in rules.EXT_SHAPES], *short,
+    ]
+    out = F.lit(False)
+    for f in found:
+        out = out | F.coalesce(f, F.lit(False))
+    return out
+
+
+def skips(page: Column, source: Column, content: Column, first_party: list[str] = rules.FIRST_PARTY) -> dict[str, Column]:
+    """By name whether a finding is skipped for where it was found: its page, its source and the scanned content."""
+    p, s, c = (F.lower(F.coalesce(x, F.lit(""))) for x in (page, source, content))
+    internal = s.contains("devtools://")
+    for scheme in rules.INTERNAL_SCHEMES:
+        internal = internal | s.startswith(scheme)
+    return {
+        "first_party": contains_any(p, first_party),
+        "browser_internal": internal,
+        "own_auth_header": s.contains("request header") & (s.contains("authorization") | s.contains("cookie")),
+        "service_token": contains_any(s, rules.SERVICE_TOKENS),
+        "infra_header": s.contains("header") & contains_any(s, rules.INFRA_HEADERS),
+        "vendor_script": contains_any(s, rules.VENDOR_SCRIPTS),
+        "signed_url": contains_any(s, rules.SIGNED_URL_SOURCES) | contains_any(c, rules.SIGNED_URL_MARKS) | contains_any(s, rules.SIGNED_URL_MARKS),
+        "azure_sas": c.rlike(rules.AZURE_SAS),
+    }

@@ -28,6 +28,18 @@ def normalize(url: Column) -> Column:
     return F.rtrim(F.regexp_replace(url, r"[?#].*$", ""), F.lit("/"))
 
 
+def resolve(reference: Column, base: Column) -> Column:
+    """A reference against the address it stands in: whole, without a scheme, from the root, or beside the base."""
+    plain = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.when(plain.rlike("^[a-z]+://[^/]+/"), F.regexp_replace(plain, "[^/]*$", "")).otherwise(F.concat(plain, F.lit("/")))
+    return (
+        F.when(reference.rlike("^[a-z]+://"), reference)
+        .when(reference.startswith("//"), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), reference))
+        .when(reference.startswith("/"), F.concat(F.regexp_extract(base, "^([a-z]+://[^/?#]+)", 1), reference))
+        .otherwise(F.concat(folder, reference))
+    )
+
+
 def query_params(url: Column) -> Column:
     """array<struct<name, value>> of the query, blanks kept."""
     text = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)

