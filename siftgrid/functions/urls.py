@@ -83,7 +83,10 @@ def normalize_code(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(out), "[ \\t\\n\\x0b\\f\\r]+", " "))
 
 
-def shingles(text: Column, size: int = 8) -> Column:
-    """Distinct stretches of `size` characters; a shorter text is one."""
+def shingles(text: Column, size: int = 8, piece: int = 256) -> Column:
+    """Distinct stretches of `size` characters; a shorter text is one. They are cut from pieces of the text, so time is in proportion to it."""
     n = F.length(text)
-    return F.array_distinct(F.when(n < size, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))))
+    starts = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)), F.lit(piece))
+    pieces = F.transform(starts, lambda i: F.substring(text, i, F.lit(piece + size - 1)))
+    cut = F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - size + 1), lambda i: F.substring(p, i, F.lit(size))))
+    return F.when(n < size, F.array(text)).otherwise(F.array_distinct(F.flatten(cut)))
\ No newline at end of file

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftgrid.functions import rules, urls
-from siftgrid.operators import detect
+from siftgrid.operators import similar
 from siftgrid.plans.core_queries import any_of
 from siftgrid.plans.registry import query
-from siftgrid.plans.web_queries import HOST_SQL, doc_values, pages, values_sql
+from siftgrid.plans.web_queries import CODE_SQL, HOST_SQL, doc_values, pages, values_sql
 from siftgrid.sources import tables as T
 from siftgrid.sources.tables import pick, pick_sql, sql_text
 
@@ -88,29 +87,21 @@ def required_coverage(spark, sf_dir):
     return r.join(p, F.contains(F.col("path"), F.col("part")), "left_anti")
 
 
+_norm = CODE_SQL
+# Every eighth stretch from each of eight places: one pass each.
+_cuts = ", ".join(f"regexp_extract_all(substring(t, {o + 1}), '(?s).{{{{8}}}}')" for o in range(8))
+_shingled = f"select distinct id, unnest(case when length(t) < 8 then [t] else flatten([{_cuts}]) end) as g from {{t}}"
+
+
 @query(
     "fingerprint_fuzzy",
-    """with d as (select item_id * 2 as id, regexp_replace(lower(text), '\\s+', ' ', 'g') as t from benchmark where text is not null union all select item_id * 2 + 1, regexp_replace(lower(text), '\\s+', ' ', 'g') || ' altered ' || item_id from benchmark where text is not null), s as (select distinct id, substring(t, i::int, 8) as g from (select id, t, unnest(generate_series(1, greatest(length(t) - 7, 1))) as i from d)), n as (select id, count(*) as n from s group by id),
-    q as (select id, g from s where id % 2 = 0), c as (select id, g from s where id % 2 = 1), m as (select q.id as a, c.id as b, count(*) as met from q join c using (g) group by all) select a, b from m join n x on x.id = a join n y on y.id = b where met >= 0.7 * (x.n + y.n - met)""",
+    f"""with d as (select doc_id as id, {_norm} as t from documents where text is not null), c as (select item_id as id, {_norm} as t from benchmark where text is not null), ds as ({_shingled.format(t="d")}), cs as ({_shingled.format(t="c")}),
+    dn as (select id, count(*) as n from ds group by id), cn as (select id, count(*) as n from cs group by id), m as (select ds.id as doc_id, cs.id as item_id, count(*) as met from ds join cs using (g) group by all)
+    select doc_id, item_id, met::double / (x.n + y.n - met) as score from m join dn x on x.id = doc_id join cn y on y.id = item_id join d on d.id = doc_id join c on c.id = item_id where met >= 0.7 * (x.n + y.n - met) and d.t <> c.t""",
 )
-def fingerprint_fuzzy(spark, sf_dir, least: float = 0.7):
-    """Pairs of passages and altered passages whose 8-character shingles overlap enough: an equi-join on shingles and counts.
-
-    Shingles that are rarest come first and a passage needs only its first
-    (1 - least) share of them to meet any match, which is all that is exchanged.
-    """
-    plain = T.read(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.regexp_replace(F.lower("text"), r"\s+", " ").alias("t"))
-    altered = plain.select((F.col("item_id") * 2 + 1).alias("id"), F.concat("t", F.lit(" altered "), F.col("item_id")).alias("t"))
-    d = plain.select((F.col("item_id") * 2).alias("id"), "t").unionByName(altered)
-    s = d.select("id", F.explode(urls.shingles(F.col("t"))).alias("g"))
-    ranked = s.join(s.groupBy("g").agg(F.count("*").alias("df")), "g").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "g")))
-    sized = s.groupBy("id").agg(F.count("*").alias("n"), F.collect_set("g").alias("gs"))
-    first = ranked.join(sized.select("id", "n"), "id").where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    q, c = first.where("id % 2 = 0").select(F.col("id").alias("a"), "g"), first.where("id % 2 = 1").select(F.col("id").alias("b"), "g")
-    pairs = q.join(c, "g").select("a", "b").distinct()
-    x, y = sized.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("gs").alias("ga")), sized.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("gs").alias("gb"))
-    met = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("ga", "gb")))
-    return met.where(F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+def fingerprint_fuzzy(spark, sf_dir):
+    """Documents that all but repeat a passage of benchmark."""
+    return similar.fuzzy(T.read(spark, sf_dir, "documents").select("doc_id", "text"), T.read(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 @query("attack_surface_fold", f"with h as (select {HOST_SQL} as host, page_id from pages) select host, 'finding-' || (page_id % 3) as type, count(*) as n from h where host is not null group by all")

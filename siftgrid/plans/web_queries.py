@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftgrid.functions import rules, urls
 from siftgrid.functions.text import contains_any
+from siftgrid.operators import crawl
 from siftgrid.plans.core_queries import any_of, listed, rlike
 from siftgrid.plans.registry import query
 from siftgrid.sources import tables as T
@@ -223,20 +224,14 @@ def link_scope_filter(spark, sf_dir, most: int = 20):
 @query(
     "crawl_frontier",
     f"""with recursive e as (select distinct rtrim(regexp_replace(url, '[?#].*$', ''), '/') as a, regexp_extract(url, '{ORIGIN}', 1) || unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) as b0 from pages), g as (select distinct a, rtrim(regexp_replace(b0, '[?#].*$', ''), '/') as b from e),
-    r as (select distinct b as url, 1 as depth from g union select g.b, depth + 1 from r join g on g.a = r.url where depth < 3) select url, min(depth)::int as depth from r group by url""",
+    r as (select distinct b as url, 1 as depth from g union select g.b, depth + 1 from r join g on g.a = r.url where depth < 3), u as (select url, min(depth)::int as depth from r group by url), h as (select url, depth, {HOST_SQL} as host from u)
+    select url, depth from h qualify row_number() over (partition by case when array_to_string(string_split(host, '.')[-2:], '.') in {listed(urls.SUFFIXES)} then array_to_string(string_split(host, '.')[-3:], '.') else array_to_string(string_split(host, '.')[-2:], '.') end order by depth, url) <= 100""",
 )
-def crawl_frontier(spark, sf_dir, depth: int = 3):
-    """Pages reachable over stored links: a bounded number of joins, each level without what was seen."""
+def crawl_frontier(spark, sf_dir):
+    """Pages reachable over stored links within three steps, 100 a domain."""
     p = pages(spark, sf_dir)
     e = p.select(urls.normalize(F.col("url")).alias("a"), F.regexp_extract("url", ORIGIN, 1).alias("o"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("path"))
-    e = e.select("a", urls.normalize(F.concat("o", "path")).alias("b"))
-    edges = e.distinct()
-    level = edges.select(F.col("b").alias("url")).distinct().withColumn("depth", F.lit(1))
-    seen = level
-    for k in range(2, depth + 1):
-        level = edges.join(level.select(F.col("url").alias("a")), "a").select(F.col("b").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(k))
-        seen = seen.unionByName(level)
-    return seen
+    return crawl.frontier(e.select("a", urls.normalize(F.concat("o", "path")).alias("b")))
 
 
 MIMES = ["text/html; charset=utf-8", "application/json", "image/png", "application/javascript", "font/woff2", ""]
