@@ -431,7 +431,7 @@ def stream_probe_budget(spark, sf_dir, budget: int = 3):
     return k.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where(F.col("k") <= budget).drop("k")
 
 
-@query("stream_topk_state", "select user_id, event_id, value from events qualify row_number() over (partition by user_id order by value desc, event_id) <= 30")
-def stream_topk_state(spark, sf_dir, most: int = 30):
+@query("stream_topk_state", "select user_id, event_id, value from events qualify row_number() over (partition by user_id order by value desc, event_id) <= 300")
+def stream_topk_state(spark, sf_dir, most: int = 300):
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
     return T.read(spark, sf_dir, "events").select("user_id", "event_id", "value", F.row_number().over(w).alias("k")).where(F.col("k") <= most).drop("k")

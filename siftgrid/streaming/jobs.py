@@ -29,9 +29,30 @@ def dedup(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def counters(events: DataFrame) -> DataFrame:
-    """Running count and sum by user and kind; update mode."""
-    return events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def counters(events: DataFrame, idle: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Running count and sum by user and kind, sent whenever they change; update mode.
+
+    A pair without events for `idle` (event time, behind the watermark) is forgotten and starts
+    again from nothing, so state is bounded by active pairs.
+    """
+    millis = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, total = state.get if state.exists else (0, 0.0)
+        newest = state.getCurrentWatermarkMs()
+        for b in batches:
+            n, total = n + len(b), total + float(b["value"].sum())
+            newest = max(newest, int(b["ts"].max().timestamp() * 1000))
+        state.update((n, total))
+        state.setTimeoutTimestamp(newest + millis)
+        yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "n": [n], "total": [total]})
+
+    return events.withWatermark("ts", late).groupBy("user_id", "event_type").applyInPandasWithState(
+        update, "user_id long, event_type string, n long, total double", "n long, total double", "update", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def windowed_counters(events: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
@@ -45,9 +66,9 @@ def suppressed(findings: DataFrame, hidden: DataFrame) -> DataFrame:
 
 
 def top_by_value(events: DataFrame, most: int = 300, idle: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """user_id, event_id, value: each user's events of highest value, kept in state; a `reset` event empties it.
+    """user_id, seen, event_id, value: each user's events of highest value, kept in state; a `reset` event empties it.
 
-    Emits a user's list whenever it changes. A user without events for `idle`
+    Emits a user's whole list whenever events come; the list with the highest `seen` (events so far) is the last. A user without events for `idle`
     (event time, behind the watermark) is forgotten, so state is bounded by
     active users times `most`.
     """
@@ -57,10 +78,12 @@ def top_by_value(events: DataFrame, most: int = 300, idle: str = "1 hour", late:
         if state.hasTimedOut:
             state.remove()
             return
-        top = dict(zip(*state.get, strict=True)) if state.exists else {}
+        ids, values, seen = state.get if state.exists else ([], [], 0)
+        top = dict(zip(ids, values, strict=True))
         newest = state.getCurrentWatermarkMs()
         for b in batches:
             b = b.sort_values("event_id")
+            seen += len(b)
             newest = max(newest, int(b["ts"].max().timestamp() * 1000))
             resets = b.loc[b["event_type"] == "reset", "event_id"]
             if len(resets):
@@ -68,26 +91,33 @@ def top_by_value(events: DataFrame, most: int = 300, idle: str = "1 hour", late:
                 b = b[b["event_id"] > resets.max()]
             top.update(zip(b["event_id"].astype(int), b["value"].astype(float), strict=True))
             top = dict(sorted(top.items(), key=lambda x: (-x[1], x[0]))[:most])
-        state.update((list(top), list(top.values())))
+        state.update((list(top), list(top.values()), seen))
         state.setTimeoutTimestamp(newest + millis)
-        yield pd.DataFrame({"user_id": key[0], "event_id": list(top), "value": list(top.values())})
+        yield pd.DataFrame({"user_id": key[0], "seen": seen, "event_id": list(top), "value": list(top.values())})
 
     return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(
-        update, "user_id long, event_id long, value double", "ids array<long>, vals array<double>", "update", GroupStateTimeout.EventTimeTimeout
+        update, "user_id long, seen long, event_id long, value double", "ids array<long>, vals array<double>, seen long", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def probe_budget(events: DataFrame, budget: int = 30) -> DataFrame:
-    """The first `budget` distinct kinds of each user; state holds at most that many names."""
+def probe_budget(events: DataFrame, budget: int = 30, idle: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """The first `budget` distinct kinds of each user; state holds at most that many names, of users with events within `idle`."""
+    millis = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("event_id").drop_duplicates("event_type")
+        rows = pd.concat(list(batches)).sort_values("event_id")
+        newest = max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000))
+        rows = rows.drop_duplicates("event_type")
         fresh = rows[~rows["event_type"].isin(seen)].head(max(0, budget - len(seen)))
         state.update((seen + fresh["event_type"].tolist(),))
+        state.setTimeoutTimestamp(newest + millis)
         yield fresh.assign(user_id=key[0])[["user_id", "event_type", "event_id"]]
 
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, event_type string, event_id long", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(update, "user_id long, event_type string, event_id long", "seen array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def file_watch(files: DataFrame, path: str, checkpoint: str):

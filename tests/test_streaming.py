@@ -29,9 +29,13 @@ def run(df, name, mode, tmp_path):
 
 
 def test_counters(spark, events_dir, tmp_path):
-    got = {(r["user_id"], r["event_type"]): r["n"] for r in run(jobs.counters(stream(spark, events_dir)), "c", "complete", tmp_path).collect()}
-    want = {(r["user_id"], r["event_type"]): r["n"] for r in jobs.counters(spark.read.schema(jobs.EVENTS).parquet(events_dir)).collect()}
-    assert got == want and got
+    got = {}
+    for r in run(jobs.counters(stream(spark, events_dir), "4000 days", "4000 days"), "c", "update", tmp_path).collect():
+        key = (r["user_id"], r["event_type"])
+        got[key] = max(got.get(key, (0, 0.0)), (r["n"], r["total"]))
+    want = spark.read.schema(jobs.EVENTS).parquet(events_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).collect()
+    assert {k: v[0] for k, v in got.items()} == {(r["user_id"], r["event_type"]): r["n"] for r in want} and got
+    assert all(abs(got[r["user_id"], r["event_type"]][1] - r["total"]) < 1e-6 for r in want)
 
 
 def test_dedup(spark, events_dir, tmp_path):
@@ -41,24 +45,41 @@ def test_dedup(spark, events_dir, tmp_path):
     assert len(keys) == len(set(keys)) == batch
 
 
-def test_top_by_value(spark, events_dir, tmp_path):
-    out = run(jobs.top_by_value(stream(spark, events_dir), 3, idle="4000 days", late="4000 days"), "t", "update", tmp_path)
-    final = {}
+def last_lists(out):
+    """Of each user the list that was sent last."""
+    lists = {}
     for r in out.collect():
-        final.setdefault(r["user_id"], set()).add((r["value"], r["event_id"]))
+        lists.setdefault(r["user_id"], {}).setdefault(r["seen"], []).append((r["event_id"], r["value"]))
+    return {user: sorted(by_seen[max(by_seen)], key=lambda x: (-x[1], x[0])) for user, by_seen in lists.items()}
+
+
+def test_top_by_value(spark, events_dir, tmp_path):
+    got = last_lists(run(jobs.top_by_value(stream(spark, events_dir), 3, idle="4000 days", late="4000 days"), "t", "update", tmp_path))
     rows = {}
     for r in spark.read.schema(jobs.EVENTS).parquet(events_dir).collect():
-        rows.setdefault(r["user_id"], []).append((r["value"], r["event_id"]))
-    for user, all_rows in rows.items():
-        top = sorted(all_rows, key=lambda x: (-x[0], x[1]))[:3]
-        assert set(top) <= final[user]
+        rows.setdefault(r["user_id"], []).append((r["event_id"], r["value"]))
+    assert got == {user: sorted(all_rows, key=lambda x: (-x[1], x[0]))[:3] for user, all_rows in rows.items()}
+
+
+def test_reset_empties_the_list(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 1, 1)
+    for k, batch in enumerate(([(1, "a", 9.0), (2, "a", 5.0)], [(3, "a", 8.0), (4, "reset", 0.0), (5, "a", 1.0)], [(6, "a", 4.0)])):
+        rows = [(i, at + timedelta(minutes=i), 7, kind, v, "") for i, kind, v in batch]
+        spark.createDataFrame(rows, jobs.EVENTS).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    q = jobs.top_by_value(spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")), 3, idle="10 days", late="10 days")
+    assert last_lists(run(q, "r", "update", tmp_path)) == {7: [(6, 4.0), (5, 1.0)]}
 
 
 def test_probe_budget(spark, events_dir, tmp_path):
     got = {}
-    for r in run(jobs.probe_budget(stream(spark, events_dir), 2), "p", "append", tmp_path).collect():
-        got.setdefault(r["user_id"], set()).add(r["event_type"])
-    assert got and all(len(kinds) <= 2 for kinds in got.values())
+    for r in run(jobs.probe_budget(stream(spark, events_dir), 2, "4000 days", "4000 days"), "p", "append", tmp_path).collect():
+        got.setdefault(r["user_id"], []).append(r["event_type"])
+    kinds = {}
+    for r in spark.read.schema(jobs.EVENTS).parquet(events_dir).collect():
+        kinds.setdefault(r["user_id"], set()).add(r["event_type"])
+    assert all(len(v) == len(set(v)) == min(2, len(kinds[u])) and set(v) <= kinds[u] for u, v in got.items()) and got.keys() == kinds.keys()
 
 
 def test_scan_and_suppress(spark, tmp_path):
