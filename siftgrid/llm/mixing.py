@@ -14,8 +14,9 @@ the bins; gradient and curvature are sums over them, for all sources in parallel
 Rounding goes through a source's bins from the largest size down and gives each
 bin the whole number of further copies that keeps the tokens taken nearest to the
 rates' tokens so far. Which documents of a bin get them goes by the hash of the
-document: the bin's rows are counted in slots of the hash, and only the rows of
-the one slot in which the number runs out are numbered, so no bin meets in a task.
+document's id and text, so rows without an id spread too: the bin's rows are counted
+in slots of the hash, and only the rows of the one slot in which the number runs out
+are numbered, so no bin meets in a task.
 
 DataFrame expressions only.
 """
@@ -152,9 +153,8 @@ def mix(docs: DataFrame, weights: list[float] | None = None, total_share: float
     empty table gives no rows.
     """
     sized = cut(
-        docs.select("doc_id", "source", *row_key, size_of().alias("size"))
+        docs.select("doc_id", "source", *row_key, size_of().alias("size"), F.xxhash64(*(row_key or ("doc_id", "text"))).alias("key"))
         .withColumn("bin", bin_of(F.col("size")))
-        .withColumn("key", F.xxhash64(*(row_key or ("doc_id",))))
         .withColumn("slot", F.pmod("key", F.lit(SLOTS)).cast("int"))
     )
     bins = sized.groupBy("source", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
