@@ -82,9 +82,12 @@ def src_openapi_views(spark, sf_dir):
 
 @query("required_coverage", f"with p as (select distinct {pick_sql(T.PATHS, 'doc_id % 40')} as path from documents), r(part) as (values ('config/'), ('src/'), ('infra/'), ('LICENSE')) select part from r where not exists (select 1 from p where contains(path, part))")
 def required_coverage(spark, sf_dir):
-    p = T.read(spark, sf_dir, "documents").select(pick(T.PATHS, F.pmod("doc_id", F.lit(40))).alias("path")).distinct()
-    r = spark.createDataFrame([("config/",), ("src/",), ("infra/",), ("LICENSE",)], "part string")
-    return r.join(p, F.contains(F.col("path"), F.col("part")), "left_anti")
+    """Required parts that no path holds: one pass with a flag a part, no join."""
+    p = T.read(spark, sf_dir, "documents").select(pick(T.PATHS, F.pmod("doc_id", F.lit(40))).alias("path"))
+    parts = ["config/", "src/", "infra/", "LICENSE"]
+    flags = p.agg(*[F.coalesce(F.max(F.contains("path", F.lit(x))), F.lit(False)).alias(f"f{i}") for i, x in enumerate(parts)])
+    missing = F.array_compact(F.array(*[F.when(~F.col(f"f{i}"), x) for i, x in enumerate(parts)]))
+    return flags.select(F.explode(missing).alias("part"))
 
 
 _norm = CODE_SQL
