@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftgrid.functions import rules, urls
 from siftgrid.functions.text import contains_any
-from siftgrid.operators import crawl
+from siftgrid.operators import crawl, site
 from siftgrid.plans.core_queries import any_of, listed, rlike
 from siftgrid.plans.registry import query
 from siftgrid.sources import tables as T
@@ -164,16 +164,9 @@ def version_parse(spark, sf_dir):
     return doc_values(spark, sf_dir, VERSIONS).select("doc_id", "value", v["major"].alias("major"), v["minor"].alias("minor"), v["patch"].alias("patch"))
 
 
-# Library, introduced, below, severity, identifiers.
-LIBRARY_RULES = [
-    ("jquery", (0, 0, 0), (1, 9, 0), "high", ["CVE-2012-6708"]), ("jquery", (0, 0, 0), (3, 0, 0), "high", ["CVE-2015-9251"]), ("jquery", (0, 0, 0), (3, 4, 0), "high", ["CVE-2019-11358"]),
-    ("jquery", (0, 0, 0), (3, 5, 0), "high", ["CVE-2020-11022", "CVE-2020-11023"]), ("bootstrap", (0, 0, 0), (3, 4, 1), "medium", ["CVE-2018-14041", "CVE-2019-8331"]),
-    ("bootstrap", (4, 0, 0), (4, 1, 2), "medium", ["CVE-2018-14041"]), ("bootstrap", (4, 0, 0), (4, 3, 1), "medium", ["CVE-2019-8331"]), ("bootstrap", (4, 0, 0), (4, 6, 3), "medium", ["CVE-2024-6531"]),
-]
 SCRIPTS = ["https://cdn.x/jquery-{v}.min.js", "/js/bootstrap@{v}/dist.js", "/lib/jquery/{v}/jquery.js", "/app.js"]
 USED = ["1.8.3", "3.4.1", "3.7.1", "4.6.2", "4.0.0", "2", "3..5"]
 SCRIPT_SQL = f"s as (select page_id, replace(list_extract([{', '.join(map(sql_text, SCRIPTS))}], (page_id % 4 + 1)::int), '{{v}}', list_extract([{', '.join(map(sql_text, USED))}], (page_id % 7 + 1)::int)) as src from pages)"
-LIBRARY = r"(jquery|bootstrap)[-@/]v?([0-9][0-9.]*[0-9]|[0-9])"
 
 
 def scripts(spark, sf_dir):
@@ -182,11 +175,10 @@ def scripts(spark, sf_dir):
 
 
 def libraries(spark, sf_dir):
-    name, version = F.regexp_extract("src", LIBRARY, 1), F.regexp_extract("src", LIBRARY, 2)
-    return scripts(spark, sf_dir).select("page_id", name.alias("name"), version.alias("version")).where("name <> ''")
+    return site.libraries(scripts(spark, sf_dir))
 
 
-LIBS_SQL = f"libs as (select page_id, regexp_extract(src, {sql_text(LIBRARY)}, 1) as name, regexp_extract(src, {sql_text(LIBRARY)}, 2) as value from s where regexp_matches(src, {sql_text(LIBRARY)}))"
+LIBS_SQL = f"libs as (select page_id, regexp_extract(src, {sql_text(site.LIBRARY)}, 1) as name, regexp_extract(src, {sql_text(site.LIBRARY)}, 2) as value from s where regexp_matches(src, {sql_text(site.LIBRARY)}))"
 
 
 @query("library_extract", f"with {SCRIPT_SQL}, {LIBS_SQL} select page_id, name, value as version from libs")
@@ -194,7 +186,7 @@ def library_extract(spark, sf_dir):
     return libraries(spark, sf_dir)
 
 
-RULES_SQL = "r(name, lo, hi, severity, cves) as (values " + ", ".join(f"('{n}', [{a[0]}, {a[1]}, {a[2]}], [{b[0]}, {b[1]}, {b[2]}], '{s}', {c})" for n, a, b, s, c in LIBRARY_RULES) + ")"
+RULES_SQL = "r(name, lo, hi, severity, cves) as (values " + ", ".join(f"('{n}', [{a[0]}, {a[1]}, {a[2]}], [{b[0]}, {b[1]}, {b[2]}], '{s}', {c})" for n, a, b, s, c in site.LIBRARY_RULES) + ")"
 
 
 @query(
@@ -202,23 +194,16 @@ RULES_SQL = "r(name, lo, hi, severity, cves) as (values " + ", ".join(f"('{n}',
     f"with {SCRIPT_SQL}, {LIBS_SQL}, p as (select distinct name, value, {VERSION_SQL} as w from libs), {RULES_SQL}, hit as (select p.name, value, severity, unnest(cves) as cve from p join r on p.name = r.name and w >= lo and w < hi) select name, value as version, list_sort(list(distinct cve)) as cves, max(severity = 'high') as severe from hit group by all",
 )
 def library_cves(spark, sf_dir):
-    """Range join on version structs; libraries in use are made distinct before they meet the rules."""
-    used = libraries(spark, sf_dir).select("name", "version").distinct().withColumn("v", urls.version(F.col("version"))).where("v is not null")
-    schema = "name string, lo struct<major:int,minor:int,patch:int>, hi struct<major:int,minor:int,patch:int>, severity string, cves array<string>"
-    table = spark.createDataFrame(LIBRARY_RULES, schema)
-    hit = used.join(table, (used["name"] == table["name"]) & (F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi"))).select(used["name"], "version", "severity", F.explode("cves").alias("cve"))
-    return hit.groupBy("name", "version").agg(F.sort_array(F.collect_set("cve")).alias("cves"), F.max(F.col("severity") == "high").alias("severe"))
+    return site.vulnerable(libraries(spark, sf_dir))
 
 
 @query(
     "link_scope_filter",
     f"with l as (select page_id, {HOST_SQL} as host, regexp_extract(url, '{ORIGIN}', 1) || unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) as link from pages), n as (select distinct host, rtrim(regexp_replace(link, '[?#].*$', ''), '/') as link from l where host is not null) select host, link from n qualify row_number() over (partition by host order by link) <= 20",
 )
-def link_scope_filter(spark, sf_dir, most: int = 20):
-    """Distinct normalised links of a host, the first in order; the limit is the feature."""
+def link_scope_filter(spark, sf_dir):
     l = pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), F.regexp_extract("url", ORIGIN, 1).alias("origin"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("path"))
-    n = l.where("host is not null").select("host", urls.normalize(F.concat("origin", "path")).alias("link")).distinct()
-    return n.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("link"))).where(F.col("k") <= most).drop("k")
+    return site.scoped_links(l.select("host", F.concat("origin", "path").alias("link")))
 
 
 @query(
@@ -243,23 +228,15 @@ def mime_text_filter(spark, sf_dir):
     return doc_values(spark, sf_dir, MIMES).where((F.col("value") == "") | contains_any(F.lower("value"), TEXTLIKE))
 
 
-# Security headers, exposed paths, admin paths, outdated software.
-HEADERS = {"strict-transport-security": "medium", "content-security-policy": "medium", "x-frame-options": "low", "x-content-type-options": "low", "referrer-policy": "low", "permissions-policy": "low"}
-EXPOSED = [("/.env", "critical", "="), ("/.git/HEAD", "high", "ref:"), ("/.git/config", "high", "[core]"), ("/backup.zip", "high", ""), ("/backup.tar.gz", "high", ""), ("/db.sql", "critical", "CREATE TABLE")]
-ADMIN = ["/admin", "/administrator", "/login", "/dashboard", "/wp-admin", "/phpmyadmin", "/server-status"]
-OUTDATED = [(r"Apache/2\.2", "high"), (r"nginx/1\.(?:0|1[0-7])\b", "medium"), (r"PHP/5\.", "high"), (r"OpenSSL/1\.0\.", "medium"), (r"Microsoft-IIS/6\.", "high")]
 SERVED = ["Strict-Transport-Security,X-Frame-Options", "content-security-policy", "", "Referrer-Policy,Permissions-Policy,X-Content-Type-Options,X-Frame-Options,Content-Security-Policy,Strict-Transport-Security"]
 
 
 @query(
     "missing_headers",
-    f"with e as (select page_id, string_split(lower({pick_sql(SERVED, 'page_id')}), ',') as have from pages), r(header, severity) as (values {', '.join(f"('{h}', '{s}')" for h, s in HEADERS.items())}) select page_id, header, severity from e, r where not list_contains(have, header)",
+    f"with e as (select page_id, string_split(lower({pick_sql(SERVED, 'page_id')}), ',') as have from pages), r(header, severity) as (values {', '.join(f"('{h}', '{s}')" for h, s in site.HEADERS.items())}) select page_id, header, severity from e, r where not list_contains(have, header)",
 )
 def missing_headers(spark, sf_dir):
-    """The rule list is exploded from one literal array, so each response meets the six rules without a join."""
-    need = F.array(*[F.struct(F.lit(h).alias("header"), F.lit(s).alias("severity")) for h, s in HEADERS.items()])
-    have = F.split(F.lower(pick(SERVED, F.col("page_id"))), ",")
-    return pages(spark, sf_dir).select("page_id", F.inline(F.filter(need, lambda r: ~F.array_contains(have, r["header"]))))
+    return site.missing_headers(pages(spark, sf_dir).select("page_id", F.split(pick(SERVED, F.col("page_id")), ",").alias("have")))
 
 
 FETCHED = ["/.env", "/.git/HEAD", "/backup.zip", "/db.sql", "/admin", "/login", "/index.html", "/server-status"]
@@ -275,64 +252,57 @@ def fetched(spark, sf_dir):
 FETCHED_SQL = f"f as (select page_id, {pick_sql(FETCHED, 'page_id')} as path, {pick_sql(BODIES, '(page_id % 35)')} as body, {pick_sql(STATUS, '(page_id % 55 * 3)')}::int as status from pages)"
 
 
-@query("exposed_paths", f"with {FETCHED_SQL}, r(path, severity, marker) as (values {', '.join(f"('{p}', '{s}', '{m}')" for p, s, m in EXPOSED)}) select page_id, path, severity from f join r using (path) where status in (200, 206) and not contains(lower(body), '<html') and contains(lower(body), lower(marker))")
+@query("exposed_paths", f"with {FETCHED_SQL}, r(path, severity, marker) as (values {', '.join(f"('{p}', '{s}', '{m}')" for p, s, m in site.EXPOSED)}) select page_id, path, severity from f join r using (path) where status in (200, 206) and not contains(lower(body), '<html') and contains(lower(body), lower(marker))")
 def exposed_paths(spark, sf_dir):
-    r = spark.createDataFrame(EXPOSED, "path string, severity string, marker string")
-    f = fetched(spark, sf_dir).where(F.col("status").isin(200, 206) & ~F.contains(F.lower("body"), F.lit("<html")))
-    return f.join(r, "path").where(F.contains(F.lower("body"), F.lower("marker"))).select("page_id", "path", "severity")
+    return site.exposed_paths(fetched(spark, sf_dir)).select("page_id", "path", "severity")
 
 
-@query("admin_endpoints", f"with {FETCHED_SQL} select page_id, path, case when status in (200, 204) then 'medium' else 'low' end as severity from f where path in {listed(ADMIN)} and status in (200, 204, 301, 302, 401, 403)")
+@query("admin_endpoints", f"with {FETCHED_SQL} select page_id, path, case when status in (200, 204) then 'medium' else 'low' end as severity from f where path in {listed(site.ADMIN)} and status in (200, 204, 301, 302, 401, 403)")
 def admin_endpoints(spark, sf_dir):
-    f = fetched(spark, sf_dir).where(F.col("path").isin(ADMIN) & F.col("status").isin(200, 204, 301, 302, 401, 403))
-    return f.select("page_id", "path", F.when(F.col("status").isin(200, 204), "medium").otherwise("low").alias("severity"))
+    return site.admin_endpoints(fetched(spark, sf_dir)).select("page_id", "path", "severity")
 
 
 @query("directory_listing", "select page_id, regexp_matches(left(html, 4096), '(?i)(index of /|<title>directory listing)') as listing from pages")
 def directory_listing(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.substring("html", 1, 4096).rlike(r"(?i)(index of /|<title>directory listing)").alias("listing"))
+    return pages(spark, sf_dir).select("page_id", site.lists_directory(F.col("html")).alias("listing"))
 
 
 SERVERS = ["Apache/2.2.15 PHP/5.3", "nginx/1.14.0", "nginx/1.25", "Microsoft-IIS/6.0", "OpenSSL/1.0.2 Apache/2.4"]
 
 
-@query("outdated_tech", f"with e as (select page_id, {pick_sql(SERVERS, 'page_id')} as server from pages) " + " union all ".join(f"select page_id, {sql_text(p)} as pattern, '{s}' as severity from e where {rlike('server', p)}" for p, s in OUTDATED))
+@query("outdated_tech", f"with e as (select page_id, {pick_sql(SERVERS, 'page_id')} as server from pages) " + " union all ".join(f"select page_id, {sql_text(p)} as pattern, '{s}' as severity from e where {rlike('server', p)}" for p, s in site.OUTDATED))
 def outdated_tech(spark, sf_dir):
-    e = pages(spark, sf_dir).select("page_id", pick(SERVERS, F.col("page_id")).alias("server"))
-    hits = F.array_compact(F.array(*[F.when(F.col("server").rlike(p), F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("severity"))) for p, s in OUTDATED]))
-    return e.select("page_id", F.inline(hits))
+    return site.outdated(pages(spark, sf_dir).select("page_id", pick(SERVERS, F.col("page_id")).alias("server")), "server").drop("server")
 
 
 @query("cert_expiry", "with c as (select page_id, date '2024-06-01' + (page_id % 90 - 20)::int as not_after from pages) select page_id, case when not_after < date '2024-06-01' then 'high' else 'medium' end as severity from c where not_after < date '2024-07-01'")
 def cert_expiry(spark, sf_dir, now: str = "2024-06-01"):
-    today = F.lit(now).cast("date")
-    c = pages(spark, sf_dir).select("page_id", F.date_add(today, (F.pmod("page_id", F.lit(90)) - 20).cast("int")).alias("not_after"))
-    return c.where(F.datediff("not_after", today) < 30).select("page_id", F.when(F.col("not_after") < today, "high").otherwise("medium").alias("severity"))
+    c = pages(spark, sf_dir).select("page_id", F.date_add(F.lit(now).cast("date"), (F.pmod("page_id", F.lit(90)) - 20).cast("int")).alias("not_after"))
+    return site.expiring(c, now).drop("not_after")
 
 
-OBJECT_URL = r"(?:/(?:users?|accounts?|customers?|tenants?|organizations?|orgs?|projects?|orders?)/[0-9a-fA-F-]{6,}|[?&](?:user|account|customer|tenant|organization|project|order)[_-]?id=[0-9a-fA-F-]{6,})"
 OBJECTS = ["/users/{h}", "/p?order_id={h}", "/about", "/orders/1{n}2345", "/accounts/x"]
 
 
-@query("candidate_object_urls", f"with u as (select distinct regexp_extract(url, '{ORIGIN}', 1) || {pick_sql(OBJECTS, 'page_id % 200')} as url from pages) select url from u where {rlike('url', OBJECT_URL)}")
+@query("candidate_object_urls", f"with u as (select distinct regexp_extract(url, '{ORIGIN}', 1) || {pick_sql(OBJECTS, 'page_id % 200')} as url from pages) select url from u where {rlike('url', site.OBJECT_URL)}")
 def candidate_object_urls(spark, sf_dir):
-    u = pages(spark, sf_dir).select(F.concat(F.regexp_extract("url", ORIGIN, 1), pick(OBJECTS, F.pmod("page_id", F.lit(200)))).alias("url"))
-    return u.where(F.col("url").rlike(OBJECT_URL)).distinct()
+    return site.object_urls(pages(spark, sf_dir).select(F.concat(F.regexp_extract("url", ORIGIN, 1), pick(OBJECTS, F.pmod("page_id", F.lit(200)))).alias("url")))
 
 
-PRIORITY = ["archive", "dns", "crawl"]
 
 
-@query("source_priority", f"with c as (select {HOST_SQL} as host, {pick_sql(PRIORITY, 'page_id')} as origin from pages) select host, arg_min(origin, list_position({PRIORITY}, origin)) as origin from c where host is not null group by host")
+def candidates(spark, sf_dir):
+    return pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), pick(site.PRIORITY, F.col("page_id")).alias("origin"))
+
+
+@query("source_priority", f"with c as (select {HOST_SQL} as host, {pick_sql(site.PRIORITY, 'page_id')} as origin from pages) select host, arg_min(origin, list_position({site.PRIORITY}, origin)) as origin from c where host is not null group by host")
 def source_priority(spark, sf_dir):
-    c = pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), pick(PRIORITY, F.col("page_id")).alias("origin")).where("host is not null")
-    return c.groupBy("host").agg(F.min_by("origin", F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("origin"))).alias("origin"))
+    return site.best_origin(candidates(spark, sf_dir))
 
 
-@query("subdomain_sources", f"with c as (select {HOST_SQL} as host, {pick_sql(PRIORITY, 'page_id')} as origin from pages) select origin, count(*) as candidates, count(distinct host) as hosts from c group by origin")
+@query("subdomain_sources", f"with c as (select {HOST_SQL} as host, {pick_sql(site.PRIORITY, 'page_id')} as origin from pages) select origin, count(*) as candidates, count(distinct host) as hosts from c group by origin")
 def subdomain_sources(spark, sf_dir):
-    c = pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), pick(PRIORITY, F.col("page_id")).alias("origin"))
-    return c.groupBy("origin").agg(F.count("*").alias("candidates"), F.count_distinct("host").alias("hosts"))
+    return site.by_origin(candidates(spark, sf_dir))
 
 
 CLAIMS = ['{{"role":"service_role","exp":{n}}}', '{{"role":"admin","scope":"read write","exp":1900000000}}', '{{"is_admin":true}}', '{{"role":"anon","exp":1700000000}}']
@@ -357,17 +327,7 @@ _role, _exp = "coalesce(json_extract_string(c, '$.role'), '')", "try_cast(json_e
     case when {rlike("lower(coalesce(json_extract_string(c, '$.scope'), ''))", 'admin|write|delete|manage')} then 'broad_scope' end, case when {_exp} is null then 'no_expiry' when {_exp} < {NOW} then 'expired' when {_exp} - {NOW} > 31536000 then 'long_lived' end], lambda x: x is not null) as flags from v""",
 )
 def jwt_flags(spark, sf_dir):
-    get = lambda k: F.get_json_object("c", f"$.{k}")
-    role, exp = F.coalesce(get("role"), F.lit("")), get("exp").cast("long")
-    flags = F.array_compact(
-        F.array(
-            F.when(role.contains("service_role"), "service_role").when(F.lower(role).rlike("admin|superuser|root"), "elevated"),
-            F.when(get("is_admin") == "true", "admin_flag"),
-            F.when(F.lower(F.coalesce(get("scope"), F.lit(""))).rlike("admin|write|delete|manage"), "broad_scope"),
-            F.when(exp.isNull(), "no_expiry").when(exp < NOW, "expired").when(exp - NOW > 31536000, "long_lived"),
-        )
-    )
-    return doc_values(spark, sf_dir, CLAIMS, "c").select("doc_id", flags.alias("flags"))
+    return doc_values(spark, sf_dir, CLAIMS, "c").select("doc_id", site.claim_flags(F.col("c"), NOW).alias("flags"))
 
 
 SPECS = ["https://user:{h}@git.example.com/x.git", "^1.2.3", "git+ssh://git@host/x", "github:a/b#c{n}", "https://h/x-{n}.tgz", "a/b"]
