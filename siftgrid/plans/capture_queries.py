@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftgrid.functions import rules, urls
-from siftgrid.operators import similar
+from siftgrid.operators import feeds, similar
 from siftgrid.plans.core_queries import any_of
 from siftgrid.plans.registry import query
 from siftgrid.plans.web_queries import CODE_SQL, HOST_SQL, doc_values, pages, values_sql
@@ -13,12 +13,11 @@ from siftgrid.sources import tables as T
 from siftgrid.sources.tables import pick, pick_sql, sql_text
 
 STORAGE = ["authToken={h}", "theme=dark", "lang=en-{n}-a-long-value-here", "refresh={h}secret", "key=short"]
-WORDS = ["token", "auth", "secret", "key", "session", "password", "credential"]
 
 
-@query("src_browser_storage", f"with {values_sql(STORAGE)} select doc_id, value from v where length(value) >= 20 and {any_of('lower(value)', WORDS)}")
+@query("src_browser_storage", f"with {values_sql(STORAGE)} select doc_id, value from v where length(value) >= 20 and {any_of('lower(value)', feeds.STORED)}")
 def src_browser_storage(spark, sf_dir):
-    return doc_values(spark, sf_dir, STORAGE).where((F.length("value") >= 20) & F.lower("value").rlike("|".join(WORDS)))
+    return feeds.stored_values(doc_values(spark, sf_dir, STORAGE))
 
 
 @query("src_sourcemap_inline")
@@ -27,10 +26,7 @@ def src_sourcemap_inline(spark, sf_dir):
     d = T.read(spark, sf_dir, "documents")
     sources = F.array(F.concat(F.lit("a"), F.col("doc_id"), F.lit(".js")), F.lit("b.js"))
     bundle = F.concat(F.lit("code\n//# sourceMappingURL=data:application/json;base64,"), F.translate(F.base64(F.encode(F.to_json(F.struct(sources.alias("sources"), F.array(F.col("text"), F.lit(None).cast("string")).alias("sourcesContent"))), "utf-8")), "\r\n", ""))
-    last = F.element_at(F.regexp_extract_all(bundle, F.lit(r"sourceMappingURL=data:[^,]*;base64,([A-Za-z0-9+/=]+)"), F.lit(1)), -1)
-    m = F.from_json(F.decode(F.unbase64(last), "utf-8"), "sources array<string>, sourcesContent array<string>")
-    rows = d.select("doc_id", F.inline(F.arrays_zip(m["sources"].alias("path"), m["sourcesContent"].alias("content"))))
-    return rows.toDF("doc_id", "path", "content").where("content is not null")
+    return feeds.inline_maps(d.select("doc_id", bundle.alias("bundle")))
 
 
 RULE_FILES = ["[[rules]]\nid = \"My-Key{n}\"\nregex = '''k{n}-[a-z]+'''\n[[rules]]\nid = \"Other\"\nregex = '''o[0-9]+'''", "title = {n}"]
@@ -38,46 +34,40 @@ RULE_FILES = ["[[rules]]\nid = \"My-Key{n}\"\nregex = '''k{n}-[a-z]+'''\n[[rules
 
 @query("src_rules_toml", f"with {values_sql(RULE_FILES)}, b as (select doc_id, unnest(string_split(value, '[[rules]]')[2:]) as block from v) select doc_id, replace(lower(regexp_extract(block, 'id = \"([^\"]+)\"', 1)), '-', '_') as id, regexp_extract(block, '''''''(.*?)''''''', 1) as pattern from b")
 def src_rules_toml(spark, sf_dir):
-    blocks = doc_values(spark, sf_dir, RULE_FILES).select("doc_id", F.explode(F.expr(r"slice(split(value, '\\[\\[rules\\]\\]'), 2, 1000000)")).alias("block"))
-    return blocks.select("doc_id", F.replace(F.lower(F.regexp_extract("block", 'id = "([^"]+)"', 1)), F.lit("-"), F.lit("_")).alias("id"), F.regexp_extract("block", "'''(.*?)'''", 1).alias("pattern"))
+    return feeds.toml_rules(doc_values(spark, sf_dir, RULE_FILES, "text"))
 
 
-FEED = ['{"id":"MAL-{n}","affected":[{"package":{"name":"bad{n}","ecosystem":"npm"},"versions":["1.0","1.1"]}]}', '{"id":"CVE-{n}","affected":[{"package":{"name":"x","ecosystem":"npm"},"versions":[]}]}']
-FEED_SQL = f"{values_sql(FEED, 'j')}, a as (select json_extract_string(j, '$.id') as id, json_extract_string(j, '$.affected[0].package.name') as package, json_extract(j, '$.affected[0].versions')::varchar[] as versions from v where starts_with(json_extract_string(j, '$.id'), 'MAL-'))"
+FEED = ['{"id":"MAL-{n}","affected":[{"package":{"name":"bad{n}","ecosystem":"npm"},"versions":["1.0","1.1"]}]}', '{"id":"MAL-all{n}","affected":[{"package":{"name":"bad{n}","ecosystem":"npm"},"versions":[]}]}', '{"id":"CVE-{n}","affected":[{"package":{"name":"x","ecosystem":"npm"},"versions":[]}]}']
+FEED_SQL = f"{values_sql(FEED, 'j')}, a as (select json_extract_string(j, '$.id') as id, json_extract_string(j, '$.affected[0].package.name') as package, json_extract_string(j, '$.affected[0].package.ecosystem') as ecosystem, json_extract(j, '$.affected[0].versions')::varchar[] as versions from v where starts_with(json_extract_string(j, '$.id'), 'MAL-'))"
 
 
 def feed(spark, sf_dir):
-    j = F.from_json("j", "id string, affected array<struct<package:struct<name:string,ecosystem:string>,versions:array<string>>>")
-    return doc_values(spark, sf_dir, FEED, "j").select(j.alias("a")).where(F.col("a.id").startswith("MAL-")).select(F.col("a.id").alias("id"), F.inline("a.affected")).select("id", F.col("package.name").alias("package"), "versions")
+    return feeds.malicious(doc_values(spark, sf_dir, FEED, "text"))
 
 
-@query("src_ioc_feed", f"with {FEED_SQL} select id, package, versions from a")
+@query("src_ioc_feed", f"with {FEED_SQL} select id, package, ecosystem, versions from a")
 def src_ioc_feed(spark, sf_dir):
     return feed(spark, sf_dir)
 
 
-@query("ioc_package_match", f"with {FEED_SQL}, l as (select doc_id, 'bad' || (doc_id // 2 * 2) as package, case when doc_id % 3 = 0 then '1.0' else '2.0' end as version from documents), m as (select package, unnest(versions) as version from a) select doc_id, l.package, l.version from l join m on l.package = m.package and l.version = m.version")
+@query("ioc_package_match", f"with {FEED_SQL}, l as (select doc_id, 'bad' || (doc_id // 2 * 2) as package, case when doc_id % 3 = 0 then '1.0' else '2.0' end as version from documents), m as (select distinct package, unnest(versions) as version from a), e as (select package from a where len(versions) = 0) select doc_id, l.package, l.version from l where (package, version) in (select (package, version) from m) or package in (select package from e)")
 def ioc_package_match(spark, sf_dir):
     """Lockfile rows (package, version) against listed versions: an equi-join on both."""
     l = T.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("bad"), (F.floor(F.col("doc_id") / 2) * 2).cast("string")).alias("package"), F.when(F.col("doc_id") % 3 == 0, "1.0").otherwise("2.0").alias("version"))
-    return l.join(feed(spark, sf_dir).select("package", F.explode("versions").alias("version")), ["package", "version"]).select("doc_id", "package", "version")
+    return feeds.package_matches(l, feed(spark, sf_dir)).select("doc_id", "package", "version")
 
 
-OPENAPI = ['{"definitions":{"users":{},"t{n}":{}},"paths":{"/":{},"/orders":{"get":{},"post":{}},"/v_sales":{"get":{}},"/rpc/f":{}}}']
+OPENAPI = ['{"definitions":{"users":{},"t{n}":{}},"paths":{"/":{},"/orders":{"get":{},"post":{}},"/v_sales":{"get":{}},"/rpc/f":{},"/a/b":{"get":{}},"/{id}":{"get":{}},"/w{n}/":{"GET":{},"POST":{}}}}', '{"paths":{"/only":{"get":{}}}}']
 
 
-@query("src_openapi_tables", f"with {values_sql(OPENAPI, 'j')}, t as (select doc_id, unnest(json_keys(j, '$.definitions')) as name from v union select doc_id, substring(p, 2) from (select doc_id, unnest(json_keys(j, '$.paths')) as p from v) where regexp_matches(p, '^/[^/]+$')) select doc_id, name from t")
+@query("src_openapi_tables", f"with {values_sql(OPENAPI, 'j')}, t as (select doc_id, unnest(json_keys(j, '$.definitions')) as name from v union select doc_id, substring(p, 2) from (select doc_id, unnest(json_keys(j, '$.paths')) as p from v) where regexp_matches(p, '^/[^/{{]+/?$')) select doc_id, trim(name, '/') as name from t")
 def src_openapi_tables(spark, sf_dir):
-    j = F.from_json("j", "definitions map<string,string>, paths map<string,string>")
-    names = F.array_union(F.map_keys(j["definitions"]), F.transform(F.filter(F.map_keys(j["paths"]), lambda p: p.rlike("^/[^/]+$")), lambda p: F.substring(p, 2, 1000)))
-    return doc_values(spark, sf_dir, OPENAPI, "j").select("doc_id", F.explode(names).alias("name"))
+    return feeds.api_tables(doc_values(spark, sf_dir, OPENAPI, "text"))
 
 
-@query("src_openapi_views", f"with {values_sql(OPENAPI, 'j')} select doc_id, substring(e.key, 2) as name from v, json_each(v.j, '$.paths') e where len(json_keys(e.value)) > 0 and not list_contains(json_keys(e.value), 'post')")
+@query("src_openapi_views", f"with {values_sql(OPENAPI, 'j')} select doc_id, substring(e.key, 2) as name from v, json_each(v.j, '$.paths') e where len(json_keys(e.value)) > 0 and not list_contains(list_transform(json_keys(e.value), lambda k: lower(k)), 'post') and regexp_matches(e.key, '^/[^/{{]+/?$')")
 def src_openapi_views(spark, sf_dir):
-    j = F.from_json("j", "paths map<string,map<string,string>>")
-    p = doc_values(spark, sf_dir, OPENAPI, "j").select("doc_id", F.explode(j["paths"]).alias("path", "ops"))
-    return p.where((F.size("ops") > 0) & ~F.array_contains(F.map_keys("ops"), "post")).select("doc_id", F.substring("path", 2, 1000).alias("name"))
+    return feeds.api_views(doc_values(spark, sf_dir, OPENAPI, "text"))
 
 
 @query("required_coverage", f"with p as (select distinct {pick_sql(T.PATHS, 'doc_id % 40')} as path from documents), r(part) as (values ('config/'), ('src/'), ('infra/'), ('LICENSE')) select part from r where not exists (select 1 from p where contains(path, part))")
