@@ -1,5 +1,9 @@
 """The corpus pipeline: documents to packed sequences in five stages.
 
+Near-dedup and mixing decide on row keys. While the table of decisions is small,
+measured, it is broadcast and documents stay where they are; beyond that one row
+of each key is shuffled once.
+
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the caller
 writes it as Parquet and rereads it as the next stage's docs. All but the last
 return the columns of documents.
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrid.llm import langid_ftrl, mixing, packing, quality_iforest, simhash_dedup
-from siftgrid.llm.common import cut, free_name, sent_whole, table
+from siftgrid.llm.common import cut, free_name, small, table
 
 #: A prediction below this is no language; four languages at even odds have 0.25.
 LEAST_SCORE = 0.4
@@ -60,9 +64,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     stays = F.expr(" and ".join(f"{k} = first.{k}" for k in ROW_KEY))
     found = simhash_dedup.group(keyed.select(*ROW_KEY, "row.doc_id", "row.text"), row_key=ROW_KEY)
     ids = cut(found.groupBy(*ROW_KEY).agg(F.max(stays).alias("stays"), F.count("*").alias("n")))
-    # Keys alone are sent whole while they are few, measured; beyond that the joins shuffle.
-    gone = sent_whole(ids.where(~F.col("stays")).select(*ROW_KEY), F.lit(16))
-    twice = sent_whole(ids.where("stays and n > 1").select(*ROW_KEY), F.lit(16))
+    if not small(ids, F.lit(16)):
+        # Rows of a key are equal, so one of them is all that is moved; the join then finds them in place.
+        return keyed.dropDuplicates([*ROW_KEY]).join(ids.where("stays").select(*ROW_KEY), [*ROW_KEY], "left_semi").select("row.*")
+    gone, twice = F.broadcast(ids.where(~F.col("stays")).select(*ROW_KEY)), F.broadcast(ids.where("stays and n > 1").select(*ROW_KEY))
     left = keyed.join(gone, [*ROW_KEY], "left_anti")
     once = left.join(twice, [*ROW_KEY], "left_anti")
     repeated = left.join(twice, [*ROW_KEY], "left_semi").dropDuplicates([*ROW_KEY])
@@ -78,11 +83,14 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     keyed = with_row_key(docs)
     mixed = mixing.mix(keyed.select(*ROW_KEY, "row.doc_id", "row.source", "row.text"), row_key=ROW_KEY)
     taken = cut(mixed.groupBy(*ROW_KEY).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n")).where("copies > 0"))
-    single = sent_whole(taken.where("n = 1").drop("n"), F.lit(20))
-    several = sent_whole(taken.where("n > 1").drop("n"), F.lit(20))
-    once = keyed.join(single, [*ROW_KEY])
-    repeated = keyed.join(several.select(*ROW_KEY), [*ROW_KEY], "left_semi").dropDuplicates([*ROW_KEY]).join(several, [*ROW_KEY])
-    return once.unionByName(repeated).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    if small(taken, F.lit(20)):
+        single, several = F.broadcast(taken.where("n = 1").drop("n")), F.broadcast(taken.where("n > 1").drop("n"))
+        once = keyed.join(single, [*ROW_KEY])
+        repeated = keyed.join(several.select(*ROW_KEY), [*ROW_KEY], "left_semi").dropDuplicates([*ROW_KEY]).join(several, [*ROW_KEY])
+        found = once.unionByName(repeated)
+    else:
+        found = keyed.dropDuplicates([*ROW_KEY]).join(taken.drop("n"), [*ROW_KEY])
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

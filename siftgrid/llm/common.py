@@ -75,13 +75,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def sent_whole(df: DataFrame, row_bytes: Column, most: int = 32 << 20) -> DataFrame:
-    """df marked for broadcast if its rows, measured, take at most `most` bytes; beyond that as it is, for a shuffled join.
+#: Tables of at most so many bytes, measured, are sent whole.
+SENT_BYTES = 32 << 20
 
-    df should be a written table: the measure reads it.
-    """
-    size = df.agg(F.sum(row_bytes + 32)).first()[0] or 0
-    return F.broadcast(df) if size <= most else df
+
+def small(df: DataFrame, row_bytes: Column) -> bool:
+    """Whether the rows of df, measured, take at most SENT_BYTES. df should be a written table: the measure reads it."""
+    return (df.agg(F.sum(row_bytes + 32)).first()[0] or 0) <= SENT_BYTES
+
+
+def sent_whole(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """df marked for broadcast if it is small; beyond that as it is, for a shuffled join."""
+    return F.broadcast(df) if small(df, row_bytes) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftgrid.llm import ann_ivfpq, chat_format, html_wrapper, langid_ftrl, lm_hpy, mixing, packing, quality_iforest, simhash_dedup, token_counts
+from siftgrid.llm import ann_ivfpq, chat_format, common, html_wrapper, langid_ftrl, lm_hpy, mixing, packing, quality_iforest, simhash_dedup, token_counts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, bin int, target string, stats string, n long, key string, p string, n_words int, kept string, row string, row_a_ int, copies int, first string"
 WORDS = "the cat and dog ran over old red hills then slept near two rivers until dawn came again with cold rain falling down on stones".split()
@@ -241,11 +241,14 @@ def test_class_probabilities_sum_to_one(docs):
         assert abs(known.sum() + model.unknown[kind] - 1) < 1e-4
 
 
+@pytest.mark.parametrize("most", [common.SENT_BYTES, -1], ids=["sent", "shuffled"])
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
-def test_pipeline_stage(spark, docs, none, stage):
-    """Nulls, empty and long texts, repeated rows, clashing columns and an empty table, stage by stage."""
+def test_pipeline_stage(spark, docs, none, stage, most, monkeypatch):
+    """Nulls, empty and long texts, repeated rows, clashing columns and an empty table, stage by stage, with tables sent whole and shuffled."""
     import tempfile
 
+    monkeypatch.setattr(common, "SENT_BYTES", most)
+
     name, function = stage
     sf = tempfile.mkdtemp()
     spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(30)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
