@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgrid.llm.common import cut, lower_words, table
+from siftgrid.llm import common
+from siftgrid.llm.common import cut, done, lower_words, table
 
 EVEN = 0x5555555555555555
 
@@ -113,21 +114,28 @@ def links(points: DataFrame, radius: int = 4, blocks: int | None = None) -> Data
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of `edges` (a, b); root is the smallest node that it reaches."""
+    """(node, root) for every node of `edges` (a, b); root is the smallest node that it reaches.
+
+    Large stars, then small stars, until nothing moves. While the edges are few, counted, the table of
+    each node's least neighbour is broadcast, so a node with very many edges meets in no task; beyond
+    that Spark splits the joins' skewed sides.
+    """
     edges = cut(edges.select("a", "b"))
-    known = None
+    known, n = None, edges.count()
     while True:
+        whole = F.broadcast if 64 * n <= common.SENT_BYTES else (lambda df: df)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where(F.col("b") > F.col("a")).join(whole(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = cut(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        small = large.join(whole(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        before, edges = edges, cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        done(before, large)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == known:
             break
-        known = state
+        known, n = state, state["n"]
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
