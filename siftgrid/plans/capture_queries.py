@@ -20,7 +20,7 @@ def src_browser_storage(spark, sf_dir):
     return feeds.stored_values(doc_values(spark, sf_dir, STORAGE))
 
 
-@query("src_sourcemap_inline")
+@query("src_sourcemap_inline", "select doc_id, 'a' || doc_id || '.js' as path, text as content from documents where text is not null")
 def src_sourcemap_inline(spark, sf_dir):
     """Inline maps made of documents and read back: one row for each source with content."""
     d = T.read(spark, sf_dir, "documents")

@@ -33,7 +33,17 @@ def window_sql(before: int, after: int) -> str:
 _before = lambda k: f"substring(content, greatest(start - {k}, 0) + 1, least(start, {k}))"
 
 
-@query("context_lines")
+_lines = "lines as (select doc_id, unnest(string_split(content, chr(10))) as txt, generate_subscripts(string_split(content, chr(10)), 1) as line from planted)"
+_hits = " union all ".join(f"select doc_id, '{n}' as rule, line, txt, regexp_extract_all(txt, {sql_text('(?i)' + p)}) as w, regexp_split_to_array(txt, {sql_text('(?i)' + p)}) as g from lines where {rlike('txt', '(?i)' + p)}" for n, p in SIMPLE.items())
+_len = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+
+
+@query(
+    "context_lines",
+    f"""with {T.PLANTED_SQL}, {_lines}, h as ({_hits}), e as (select *, generate_subscripts(w, 1) as k from h), p as (select doc_id, rule, line, k, {_len('g[1:k]')} + {_len('w[1:k - 1]')} as col from e),
+    n as (select p.*, l.line as other, case when length(l.txt) <= 200 then l.txt when l.line = p.line then (case when col > 50 then '...' else '' end) || substring(l.txt, (greatest(col - 50, 0) + 1)::int, (least(length(l.txt), col + 100) - greatest(col - 50, 0))::int) || (case when col + 100 < length(l.txt) then '...' else '' end) else left(l.txt, 200) || '...' end as shown from p join lines l on l.doc_id = p.doc_id and l.line between p.line - 2 and p.line + 2)
+    select doc_id, rule, line::int as line, string_agg(other || ': ' || shown, chr(10) order by other) as context from n group by doc_id, rule, line, k""",
+)
 def context_lines(spark, sf_dir):
     """The line of each match and two on either side, numbered; of long lines the part around the match, or the beginning."""
     found = detect.scan(T.planted(spark, sf_dir), SIMPLE, lines=2)

@@ -273,7 +273,8 @@ def pii_scrub(spark, sf_dir):
     return d.unionByName(c).withColumn("text", identity.pii_scrub(F.col("text")))
 
 
-@query("pii_scrub_preserve")
+# Masks hold no personal data themselves, so what they take out is what stands before and after them.
+@query("pii_scrub_preserve", f"with {VALUES_SQL}, k as (select doc_id, {mask_sql('value')} as kept from vals) select doc_id, kept, 'mail [email] ' || kept || ' [phone]' as text from k")
 def pii_scrub_preserve(spark, sf_dir):
     v = identity.redact_mask(F.col("value"))
     return values(spark, sf_dir).select("doc_id", v.alias("kept"), identity.pii_scrub_preserve(F.concat(F.lit("mail a.b@c.org "), v, F.lit(" 555-123-4567")), v).alias("text"))
@@ -300,7 +301,8 @@ def finding_id(spark, sf_dir):
     return T.findings(spark, sf_dir).select("ord", identity.stable_id(*map(F.col, ("type", "source", "line", "url", "value"))).alias("id"))
 
 
-@query("finding_id_fnv")
+# The values have no characters beyond the first plane, so a code unit is a code point.
+@query("finding_id_fnv", f"with {VALUES_SQL} select doc_id, value, lower(lpad(to_hex(list_reduce(list_prepend(2166136261::ubigint, list_transform(list_filter(string_split(value, ''), lambda c: c <> ''), lambda c: unicode(c)::ubigint)), lambda h, u: (xor(h, u) * 16777619::ubigint) % 4294967296::ubigint)), 8, '0')) as id from vals")
 def finding_id_fnv(spark, sf_dir):
     return values(spark, sf_dir).select("doc_id", "value", identity.fnv_id(F.col("value")).alias("id"))
 

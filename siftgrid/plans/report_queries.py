@@ -114,7 +114,12 @@ def src_report_sarif(spark, sf_dir):
     return reports.from_sarif(doc_values(spark, sf_dir, SARIF_FILES, "text").withColumnRenamed("doc_id", "file"))
 
 
-@query("sink_findings_json")
+@query(
+    "sink_findings_json",
+    f"""{W}, n as (select source, {COUNTS} from findings group by source), v as (select source, count(*) filter (where severity in ('critical', 'high')) as b, count(*) filter (where severity in ('critical', 'high') and validation_status = 'confirmed') as c, count(*) filter (where severity = 'medium') as m from findings group by source), s as ({VERDICT_SQL})
+    select source, 'report' as part, -1::bigint as ord, to_json(struct_pack(target := source, verdict := struct_pack(status := status, reason := reason), summary := struct_pack(total := total, {', '.join(f'{x} := {x}' for x in rules.SEVERITIES)})))::varchar as json from n join s using (source)
+    union all select source, 'finding', ord, to_json(struct_pack(ord := ord, type := type, severity := severity, category := category, validation_status := validation_status, line := line, redacted := {mask_sql('value')}))::varchar from findings""",
+)
 def sink_findings_json(spark, sf_dir):
     """A head and a line a finding for each source; write(..) of the findings partitions them by category."""
     return reports.json_report(T.findings(spark, sf_dir))

@@ -309,7 +309,11 @@ CLAIMS = ['{{"role":"service_role","exp":{n}}}', '{{"role":"admin","scope":"read
 CLAIMS = [c.replace("{{", "{").replace("}}", "}") for c in CLAIMS]
 
 
-@query("jwt_claims")
+_token = "rtrim(translate(to_base64(encode(c)), '+/', '-_'), '=')"
+_back = "translate(t, '-_', '+/')"
+
+
+@query("jwt_claims", f"with {values_sql(CLAIMS, 'c')}, k as (select doc_id, c, {_token} as t from v), p as (select doc_id, c, decode(from_base64({_back} || repeat('=', ((4 - length(t) % 4) % 4)::int))) as payload from k) select doc_id, payload, payload = c as same from p")
 def jwt_claims(spark, sf_dir):
     """Tokens made of claims, and read back."""
     c = doc_values(spark, sf_dir, CLAIMS, "claims")
