@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from siftgrid.llm import html_wrapper
+from siftgrid.llm import common, html_wrapper
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "page_id long, url string, html string"
@@ -41,6 +41,14 @@ def test_layouts_of_a_host(spark):
     assert {r["page_id"]: r["text"] for r in html_wrapper.extract(made).collect()} == dict(enumerate(want))
 
 
+def test_shuffled_joins_give_the_same(spark, monkeypatch):
+    """Pivots and templates sent whole or joined by a shuffle."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("url", F.lit("http://h.com/x"))
+    sent = html_wrapper.extract(pages).collect()
+    monkeypatch.setattr(common, "SENT_BYTES", -1)
+    assert sorted(map(str, html_wrapper.extract(pages).collect())) == sorted(map(str, sent))
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
