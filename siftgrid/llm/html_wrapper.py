@@ -38,7 +38,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftgrid.llm.common import cut, sent_whole, table
@@ -413,19 +413,20 @@ def pivots_of(pages: DataFrame, layouts: int, least_pages: int) -> DataFrame:
             for host, page, h in zip(b["host"], b["html"], b["h"], strict=True):
                 root = parse(page)
                 key = (host, outline(root))
-                held = least.setdefault(key, [0, h, root])
+                held = least.setdefault(key, [0, None, ""])
                 held[0] += 1
-                if h < held[1]:
-                    held[1:] = [h, root]
-            yield pd.DataFrame([(*key, n, h, skeleton(root)) for key, (n, h, root) in least.items()], columns=columns)
+                if held[1] is None or h < held[1]:
+                    held[1:] = [h, skeleton(root)]
+            yield pd.DataFrame([(*key, *held) for key, held in least.items()], columns=columns)
 
     parsed = pages.where("host <> ''").select("host", "html", F.xxhash64("html").alias("h"))
     each = parsed.mapInPandas(outlined, "host string, layout string, n long, h long, pivot string").groupBy("host", "layout")
     found = each.agg(F.sum("n").alias("n"), F.min(F.struct("h", "pivot"))["pivot"].alias("pivot"))
-    # Only the least page's skeleton of a batch comes this far; the list of a host has `layouts` entries at most.
-    ordered = found.groupBy("host").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "layout", "pivot"))), 1, layouts).alias("p"))
-    named_ = F.transform("p", lambda x: F.struct((-x["col1"]).alias("n"), x["layout"].alias("layout"), x["pivot"].alias("pivot")))
-    return ordered.select("host", F.filter(named_, lambda x, i: (x["n"] >= least_pages) | (i == 0)).alias("pivots"))
+    # Of each host the commonest layouts alone are brought together.
+    order = Window.partitionBy("host").orderBy(F.desc("n"), "layout")
+    top = found.withColumn("k", F.row_number().over(order)).where((F.col("k") <= layouts) & ((F.col("n") >= least_pages) | (F.col("k") == 1)))
+    listed = F.sort_array(F.collect_list(F.struct("k", "layout", "pivot")))
+    return top.groupBy("host").agg(F.transform(listed, lambda x: F.struct(x["layout"].alias("layout"), x["pivot"].alias("pivot"))).alias("pivots"))
 
 
 def told(same: list[bool]) -> bool:
