@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftgrid.llm import ann_ivfpq, chat_format, html_wrapper, langid_ftrl, lm_hpy, mixing, packing, quality_iforest, simhash_dedup, token_counts
+from siftgrid.llm import ann_ivfpq, chat_format, html_wrapper, langid_ftrl, lm_hpy, mixing, packing, quality_iforest, simhash_dedup, spelling, token_counts
 
 
 def queries() -> dict:
@@ -17,10 +17,12 @@ def queries() -> dict:
         "op8_quality": quality_iforest.op8_quality,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_lm_scores": lm_hpy.op10_lm_scores,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op9_chat_format": chat_format.OP9_SQL,
+        "op13_spelling": spelling.OP13_SQL,
     }
