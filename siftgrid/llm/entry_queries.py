@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftgrid.llm import ann_ivfpq, chat_format, html_wrapper, langid_ftrl, lm_hpy, mixing, packing, quality_iforest, simhash_dedup, spelling, token_counts
+from siftgrid.llm import ann_ivfpq, chat_format, html_wrapper, langid_ftrl, lm_hpy, merkle, mixing, packing, quality_iforest, simhash_dedup, spelling, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality": quality_iforest.op8_quality,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_lm_scores": lm_hpy.op10_lm_scores,
+        "op11_merkle": merkle.op11_merkle,
         "op13_spelling": spelling.op13_spelling,
     }
 
@@ -24,5 +25,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op9_chat_format": chat_format.OP9_SQL,
+        "op11_merkle": merkle.OP11_SQL,
         "op13_spelling": spelling.OP13_SQL,
     }
