@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftgrid.llm import ann_ivfpq, chat_format, html_wrapper, langid_ftrl, lm_hpy, merkle, mixing, packing, quality_iforest, simhash_dedup, spelling, token_counts
+from siftgrid.llm import ann_ivfpq, chat_format, html_wrapper, langid_ftrl, lm_hpy, merkle, mixing, ngram_join, packing, quality_iforest, simhash_dedup, spelling, token_counts
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_lm_scores": lm_hpy.op10_lm_scores,
         "op11_merkle": merkle.op11_merkle,
+        "op12_ngram_join": ngram_join.op12_ngram_join,
         "op13_spelling": spelling.op13_spelling,
     }
 
