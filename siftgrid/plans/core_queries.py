@@ -161,18 +161,22 @@ def guard(name: str, column, sql: str):
 
 _low = "lower(trim(value))"
 _alnum = f"regexp_replace({_low}, '[^a-z0-9]', '', 'g')"
-guard(
-    "fp_placeholder",
-    guards.placeholder,
-    "(" + " or ".join([
-        f"length({_low}) < 8", f"{_low} in {listed(rules.PLACEHOLDER_WORDS)}", starts(_low, rules.PLACEHOLDER_PREFIXES),
+
+
+def placeholder_sql(least: int | str = 8) -> str:
+    """Whether the column `value` is a placeholder."""
+    return "(" + " or ".join([
+        f"length({_low}) < {least}", f"{_low} in {listed(rules.PLACEHOLDER_WORDS)}", starts(_low, rules.PLACEHOLDER_PREFIXES),
         f"(len(list_filter(regexp_split_to_array({_low}, '[^a-z0-9]+'), lambda x: x <> '')) > 0 and len(list_filter(regexp_split_to_array({_low}, '[^a-z0-9]+'), lambda x: x <> '' and x not in {listed(rules.PLACEHOLDER_WORDS)})) = 0)",
         *[f"(contains({_low}, '{w}') and length({_low}) - {len(w)} < 20)" for w in rules.PLACEHOLDER_PARTS],
         f"(length({_alnum}) >= 8 and list_max(list_transform(string_split({_alnum}, ''), lambda c: length({_alnum}) - length(replace({_alnum}, c, '')))) >= 0.5 * length({_alnum}))",
         f"({rlike('value', '^[A-Z][A-Z_]*$')} and contains(value, '_'))", f"value in {listed(rules.PLACEHOLDER_NAMES)}", rlike("value", r"^\{[A-Z_][A-Z_0-9]*\}$"),
-    ]) + ")",
-)
-guard("fp_entropy", lambda v: guards.low_entropy(v, 3.5), "coalesce((select -sum(n / length(value) * log2(n / length(value))) from (select count(*)::double as n from (select unnest(string_split(value, '')) as c) group by c)), 0) < 3.5 - 1e-12")
+    ]) + ")"
+
+
+ENTROPY_SQL = "coalesce((select -sum(n / length(value) * log2(n / length(value))) from (select count(*)::double as n from (select unnest(string_split(value, '')) as c) group by c)), 0)"
+guard("fp_placeholder", guards.placeholder, placeholder_sql())
+guard("fp_entropy", lambda v: guards.low_entropy(v, 3.5), f"{ENTROPY_SQL} < 3.5 - 1e-12")
 _db = r"(?i)^(?:postgres(?:ql)?|mysql2?|mongodb(?:\+srv)?|redis)://([^:@/\s]+):([^@/\s]+)@([^:/?\s]+)"
 _u, _p = f"regexp_extract(trim(value), {sql_text(_db)}, 1)", f"regexp_extract(trim(value), {sql_text(_db)}, 2)"
 guard(

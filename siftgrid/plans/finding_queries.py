@@ -218,12 +218,3 @@ def added_allowlist_entries(spark, sf_dir):
 def allowlist_expiry(spark, sf_dir, today: str = "2024-07-01"):
     d = T.read(spark, sf_dir, "documents").select("doc_id", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(400)).cast("int")), "yyyy-MM-dd").alias("expires_at"))
     return d.where(F.col("expires_at") < today)
-
-
-MY_RULE = r"token = \"([0-9a-f]{40})"
-
-
-@query("udf_detector", f"with {T.PLANTED_SQL} select doc_id, unnest(regexp_extract_all(content, '{MY_RULE}', 1)) as value from planted")
-def udf_detector(spark, sf_dir):
-    """A user's own rule is a name and a pattern; the scan takes it as any other."""
-    return detect.scan(T.planted(spark, sf_dir), {"my_rule": MY_RULE}).select("doc_id", "value")
