@@ -5,22 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Public suffixes of two labels.
-SUFFIXES = "co.uk org.uk ac.uk gov.uk com.au net.au org.au co.jp co.nz com.br co.in co.za com.mx com.sg".split()
-
-
 def host(url: Column) -> Column:
-    """Host of an explicit http(s) URL, lower-cased; else null."""
-    found = F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    return F.when(found != "", found)
+    """Host of an explicit http(s) URL, lower-cased, an IPv6 address without its brackets; else null."""
+    found = F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1))
+    return F.when(found != "", F.regexp_replace(found, r"^\[|\]$", ""))
 
 
-def registrable(host: Column) -> Column:
-    """The host's public suffix and the label before it."""
-    labels = F.split(F.lower(host), r"\.")
-    n = F.size(labels)
-    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), ".")
-    return F.when(last(2).isin(SUFFIXES), last(3)).otherwise(last(2))
+def crawl_key(url: Column) -> Column:
+    """What a crawl compares pages by: scheme, host and path, without parameters of the last segment, query, fragment and final slashes."""
+    plain = F.regexp_replace(F.regexp_replace(url, r"[?#][\s\S]*$", ""), r";[^/]*$", "")
+    return F.rtrim(F.concat(F.lower(F.regexp_extract(plain, r"^([A-Za-z]+:)", 1)), F.regexp_replace(plain, r"^[A-Za-z]+:", "")), F.lit("/"))
 
 
 def normalize(url: Column) -> Column:
@@ -52,14 +46,6 @@ def object_id(segment: Column) -> Column:
     return segment.rlike(r"(?i)^(?:\d+|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{16,32})$")
 
 
-def ip_blocked(host: Column) -> Column:
-    """Loopback, private, link-local, shared and zero addresses, and localhost."""
-    part = lambda i: F.try_element_at(F.split(host, r"\."), F.lit(i)).try_cast("int")
-    a, b = part(1), part(2)
-    v4 = (a.isin(0, 10, 127)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127))
-    return (F.lower(host) == "localhost") | (host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.coalesce(v4, F.lit(False))) | F.lower(host).isin("::1", "[::1]")
-
-
 def version(text: Column) -> Column:
     """struct<major, minor, patch> of a loose version; null where a component is empty."""
     head = F.regexp_extract(F.regexp_replace(F.trim(text), "^[vV]+", ""), r"^([0-9.]*)", 1)

@@ -1,27 +1,69 @@
-"""Pages that stored links lead to."""
+"""Pages that stored links lead to, breadth first with a budget for each domain."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftgrid.functions import urls
+from siftgrid.functions import hosts, suffixes, urls
+from siftgrid.sources.scratch import Scratch
 
+#: Levels of at most so many rows are sent whole.
+SENT_ROWS = 200_000
 
-def frontier(links: DataFrame, depth: int = 3, most: int = 100) -> DataFrame:
-    """url, depth of pages within `depth` steps over links (a, b) that stay in a registrable domain; of a domain the first `most` by depth and address.
 
-    A bounded number of joins, each level without what was seen. Edges and levels are kept on disk, so that a
-    level isn't derived again for every later one; what a lost executor held is derived anew.
+def domain_of(url: Column) -> Column:
+    """The registrable domain of an http(s) address; null for another."""
+    return suffixes.registrable(urls.host(url))
+
+
+def in_scope(link: Column, domain: Column, guarded: bool = True) -> Column:
+    """Whether a link stays in a registrable domain and leads to no internal host; an explicit http(s) address with a host."""
+    own = F.coalesce(domain_of(link) == domain, F.lit(False))
+    return own & ~hosts.internal(urls.host(link)) if guarded else own
+
+
+def frontier(links: DataFrame, roots: DataFrame, most: int = 100, depth: int | None = None, guarded: bool = True) -> DataFrame:
+    """url, domain, depth, pos of pages found from the roots (url, ord) over links (a, ord, link), in order of discovery in their domain, from 0.
+
+    A page's links count in their order (ord), pages in the order in which they were found. A domain takes `most`
+    pages, roots included; pages `depth` links from a root are listed, not followed. Links out of the registrable
+    domain, to internal hosts (if guarded), without http(s) or a host, and to pages seen before take no place.
+    Addresses are compared without query, fragment and final slashes. Null addresses lead nowhere.
+
+    Links are filtered and written once; a level is one join of them with the level before, and ends when it has no
+    page. Only the first `most` new pages of a domain are ranked, on the map side first, so a domain with most of
+    the links meets in no task. A level too large to be sent whole is joined by a shuffle.
     """
-    domain = lambda c: urls.registrable(urls.host(F.col(c)))
-    edges = links.where(domain("a") == domain("b")).distinct().persist(StorageLevel.DISK_ONLY)
-    level = edges.select(F.col("b").alias("url")).distinct().withColumn("depth", F.lit(1)).persist(StorageLevel.DISK_ONLY)
-    seen = level
-    for k in range(2, depth + 1):
-        reached = edges.join(level.select(F.col("url").alias("a")), "a").select(F.col("b").alias("url")).distinct()
-        level = reached.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(k)).persist(StorageLevel.DISK_ONLY)
-        seen = seen.unionByName(level)
-    order = Window.partitionBy(domain("url")).orderBy("depth", "url")
-    return seen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
+    spark = links.sparkSession
+    scratch = Scratch(spark)
+    a, b = urls.crawl_key(F.col("a")), urls.crawl_key(F.col("link"))
+    known = links.where(in_scope(F.col("link"), domain_of(F.col("a")), guarded)).select(a.alias("a"), b.alias("url"), "ord")
+    edges = scratch.keep(known.groupBy("a", "url").agg(F.min("ord").alias("ord")), "edges")
+
+    first = roots.select(urls.crawl_key(F.col("url")).alias("url"), "ord").where(F.col("url").isNotNull())
+    first = first.where(~hosts.internal(urls.host(F.col("url")))) if guarded else first
+    start = first.groupBy("url").agg(F.min("ord").alias("ord")).select("url", domain_of(F.col("url")).alias("domain"), F.struct(F.lit(0).alias("up"), "ord").alias("order")).where("domain is not null")
+    level = scratch.keep(ranked(start, None, most).withColumn("depth", F.lit(0)), "levels/level=0")
+    k, n = 0, level.count()
+    taken = level.groupBy("domain").agg(F.count("*").alias("taken"))
+    while n and (depth is None or k < depth):
+        at = level.select(F.col("url").alias("a"), "domain", F.col("pos").alias("up"))
+        seen = spark.read.parquet(f"{scratch.root}/levels").select("url", "domain")
+        found = edges.join(F.broadcast(at) if n <= SENT_ROWS else at, "a").groupBy("domain", "url").agg(F.min(F.struct("up", "ord")).alias("order"))
+        k += 1
+        level = scratch.keep(ranked(found.join(seen, ["domain", "url"], "left_anti"), taken, most).withColumn("depth", F.lit(k)), f"levels/level={k}")
+        n = level.count()
+        taken = spark.read.parquet(f"{scratch.root}/levels").groupBy("domain").agg(F.count("*").alias("taken"))
+    scratch.drop("edges")
+    return spark.read.parquet(f"{scratch.root}/levels").select("url", "domain", "depth", "pos")
+
+
+def ranked(found: DataFrame, taken: DataFrame | None, most: int) -> DataFrame:
+    """url, domain, pos: the first of found (url, domain, order) in each domain that its budget has room for."""
+    place = F.row_number().over(Window.partitionBy("domain").orderBy("order", "url"))
+    first = found.withColumn("k", place).where(F.col("k") <= most)
+    if taken is None:
+        return first.select("url", "domain", (F.col("k") - 1).cast("long").alias("pos"))
+    joined = first.join(taken, "domain").where(F.col("taken") + F.col("k") <= most)
+    return joined.select("url", "domain", (F.col("taken") + F.col("k") - 1).cast("long").alias("pos"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftgrid.functions import urls
+from siftgrid.operators import crawl
 
 # Security headers, exposed paths with a mark of their content, admin paths, outdated software.
 HEADERS = {"strict-transport-security": "medium", "content-security-policy": "medium", "x-frame-options": "low", "x-content-type-options": "low", "referrer-policy": "low", "permissions-policy": "low"}
@@ -81,10 +82,17 @@ def vulnerable(used: DataFrame) -> DataFrame:
     return hit.groupBy("name", "version").agg(F.sort_array(F.collect_set("cve")).alias("cves"), F.max(F.col("severity") == "high").alias("severe"))
 
 
-def scoped_links(links: DataFrame, most: int = 20) -> DataFrame:
-    """host, link of links (host, link): distinct normalised ones, the first `most` of a host; the limit is the feature."""
-    n = links.where("host is not null").select("host", urls.normalize(F.col("link")).alias("link")).distinct()
-    return n.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("link"))).where(F.col("k") <= most).drop("k")
+def scoped_links(links: DataFrame, most: int = 20, seen: DataFrame | None = None, guarded: bool = True) -> DataFrame:
+    """page, domain, url, place of links (page, domain, ord, link): the first `most` new pages of each page's links, in their order, from 1.
+
+    In scope are explicit http(s) addresses of the page's registrable domain that lead to no internal host (if guarded).
+    What `seen` (url) has, and a page's second link to an address, take no place.
+    """
+    new = links.where(crawl.in_scope(F.col("link"), F.col("domain"), guarded)).select("page", "domain", "ord", urls.crawl_key(F.col("link")).alias("url"))
+    new = new.groupBy("page", "domain", "url").agg(F.min("ord").alias("ord"))
+    new = new if seen is None else new.join(seen.select("url"), "url", "left_anti")
+    place = F.row_number().over(Window.partitionBy("page").orderBy("ord"))
+    return new.withColumn("place", place).where(F.col("place") <= most).select("page", "domain", "url", "place")
 
 
 def object_urls(found: DataFrame) -> DataFrame:

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siftgrid.functions import rules, urls
+from siftgrid.functions import hosts, rules, suffixes, urls
 from siftgrid.functions.text import contains_any
 from siftgrid.operators import crawl, site
-from siftgrid.plans.core_queries import any_of, listed, rlike
+from siftgrid.operators import paths as paths_of
+from siftgrid.plans.core_queries import any_of, ends, listed, rlike
 from siftgrid.plans.registry import query
 from siftgrid.sources import tables as T
 from siftgrid.sources.tables import pick, pick_sql, sql_text
 
-HOST_SQL = "nullif(lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '')"
+HOST_SQL = r"nullif(regexp_replace(lower(regexp_extract(url, '(?i)^https?://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1)), '^\[|\]$', '', 'g'), '')"
+
+ORIGIN = r"^([a-z]+://[^/?#]+)"
 
 
 def pages(spark, sf_dir):
@@ -34,16 +37,20 @@ def src_documents(spark, sf_dir):
 
 
 PATHS_SQL = f"p as (select doc_id, {pick_sql(T.PATHS, 'doc_id')} as path from documents)"
-SKIPPED = r"(^|/)(\.git|\.hg|\.svn|node_modules|dist|build|\.venv|venv|__pycache__|\.mypy_cache|\.pytest_cache|\.cache)/"
+#: Paths beside those of the tables: in folders that are skipped and in some that only look so, and generated files.
+TREES = ["build/out{n}.js", ".venv/lib/a{n}.py", ".svn/entries", "web/.cache/x{n}", "lib/app{n}.min.js", "a/.ruff_cache/0/x{n}", "x/venv/bin/y", "venv", "docs/dist", "dist/a{n}.js", "my-dist/a{n}.js", "src/__pycache__/m.pyc", "extension/lib/patterns.js", "vendor/extension/lib/detector-info.js", "lib/patterns.js", ".git/config", ".github/x.yml", "a/node_modules/b/c.js", ".hg/store", "x/.mypy_cache/y", "x/.pytest_cache/v"]
 
 
 def paths(spark, sf_dir):
     return doc_values(spark, sf_dir, T.PATHS, "path")
 
 
-@query("src_path_prune", f"with {PATHS_SQL} select doc_id, path from p where not {rlike('path', SKIPPED)} and not ends_with(path, '.min.js')")
+@query(
+    "src_path_prune",
+    f"with t as (select doc_id, {pick_sql(T.PATHS + TREES, 'doc_id')} as path from documents) select doc_id, path from t where len(list_intersect(string_split(path, '/')[:-2], {paths_of.SKIPPED_DIRS})) = 0 and not ({ends('path', paths_of.GENERATED)})",
+)
 def src_path_prune(spark, sf_dir):
-    return paths(spark, sf_dir).where(~F.col("path").rlike(SKIPPED) & ~F.col("path").endswith(".min.js"))
+    return paths_of.pruned(doc_values(spark, sf_dir, T.PATHS + TREES, "path"))
 
 
 # Path categories by pattern over the lower-cased path.
@@ -86,12 +93,23 @@ def url_host(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("host"))
 
 
-_labels = "string_split(host, '.')"
+HOSTS = ["", "", "www.city.kobe.jp", "b.c.kobe.jp", "c.kobe.jp", "shop{n}.example.co.uk", "co.uk", "www.ck", "a.b.test.ck", "x.y.mm", "www.test.k12.ak.us", "n{n}.kyoto.jp", "a.ide.kyoto.jp", "unknown.tld{n}", "localhost", "10.0.0.{n}", "::1", "WWW.Example.COM", "a.b.c.uk.com"]
+_kind = "case when starts_with(rule, '*.') then 'wild' when starts_with(rule, '!') then 'exception' else 'plain' end"
+REGISTRABLE_SQL = f"""rules as (select {_kind} as kind, regexp_replace(rule, '^(\\*\\.|!)', '') as name from (select unnest({suffixes.COMMON}) as rule)),
+  tails as (select distinct host, len(string_split(host, '.')) as n, k, array_to_string(string_split(host, '.')[-k:], '.') as tail, array_to_string(string_split(host, '.')[-(k - 1):], '.') as inner_tail from hosts, unnest(range(1, len(string_split(hosts.host, '.')) + 1)) u(k)),
+  fits as (select host, n, case when kind = 'exception' then k - 1 else k end as labels, kind = 'exception' as beats from tails join rules on (kind in ('plain', 'exception') and name = tail) or (kind = 'wild' and k > 1 and name = inner_tail)),
+  best as (select t.host, t.n, coalesce((select labels from fits f where f.host = t.host order by beats desc, labels desc limit 1), 1) as labels from (select distinct host, n from tails) t),
+  domains as (select host, case when contains(host, ':') or regexp_matches(host, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') or n <= labels or list_contains(string_split(host, '.'), '') then host else array_to_string(string_split(host, '.')[-(labels + 1):], '.') end as domain from best)"""
 
 
-@query("url_registrable", f"with h as (select page_id, {HOST_SQL} as host from pages) select page_id, case when array_to_string({_labels}[-2:], '.') in {listed(urls.SUFFIXES)} then array_to_string({_labels}[-3:], '.') else array_to_string({_labels}[-2:], '.') end as domain from h")
+@query(
+    "url_registrable",
+    f"with v as (select page_id, case when {pick_sql(HOSTS, 'page_id')} = '' then {HOST_SQL} else lower({pick_sql(HOSTS, 'page_id')}) end as host from pages), hosts as (select distinct host from v), {REGISTRABLE_SQL} select page_id, host, domain from v left join domains using (host)",
+)
 def url_registrable(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", urls.registrable(urls.host(F.col("url"))).alias("domain"))
+    given = pick(HOSTS, F.col("page_id"))
+    h = pages(spark, sf_dir).select("page_id", F.when(given == "", urls.host(F.col("url"))).otherwise(F.lower(given)).alias("host"))
+    return h.withColumn("domain", suffixes.registrable(F.col("host")))
 
 
 @query("url_normalize", "select page_id, rtrim(regexp_replace(url, '[?#].*$', ''), '/') as url from pages")
@@ -125,23 +143,51 @@ def object_id_segment(spark, sf_dir):
     return doc_values(spark, sf_dir, SEGMENTS).withColumn("is_id", urls.object_id(F.col("value")))
 
 
-ADDRESSES = ["10.{n}.0.1", "172.20.1.1", "172.40.1.1", "192.168.0.9", "8.8.8.8", "localhost", "100.64.0.1", "169.254.1.1", "example.org", "0.0.0.0", "::1"]
-_ip = lambda i: f"try_cast(split_part(value, '.', {i}) as int)"
-BLOCKED_SQL = f"(lower(value) = 'localhost' or value in ('::1', '[::1]') or ({rlike('value', r'^\d{1,3}(\.\d{1,3}){3}$')} and ({_ip(1)} in (0, 10, 127) or ({_ip(1)} = 172 and {_ip(2)} between 16 and 31) or ({_ip(1)} = 192 and {_ip(2)} = 168) or ({_ip(1)} = 169 and {_ip(2)} = 254) or ({_ip(1)} = 100 and {_ip(2)} between 64 and 127))))"
+ADDRESSES = [
+    "10.{n}.0.1", "172.20.1.1", "172.40.1.1", "192.168.0.9", "8.8.8.8", "localhost", "x{n}.localhost", "100.64.0.1", "100.128.0.1", "169.254.169.254", "example.org", "0.0.0.0", "300.1.1.1", "fc-shop.example", "",
+    "::1", "[::1]", "::", "fe80::{n}", "[fd00::1]", "fc00:1::2", "2001:db8::{n}", "::ffff:a9fe:a9fe", "::ffff:10.0.0.1", "::ffff:808:808", "64:ff9b::7f00:1", "64:ff9b::8.8.8.8", "::ffff:1.2.3.999",
+]
 
 
-@query("ip_scope", f"with {values_sql(ADDRESSES)} select doc_id, value, {BLOCKED_SQL} as blocked from v")
+def blocked_sql(host: str) -> str:
+    """The guard's rules for a host by itself, one by one."""
+    h = f"regexp_replace(lower({host}), '^\\[|\\]$', '', 'g')"
+    quad = r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+
+    def octets(pattern: str) -> str:
+        a, b, c, d = (f"try_cast(regexp_extract({h}, '{pattern}', {i}) as int)" for i in (1, 2, 3, 4))
+        return f"(greatest({a}, {b}, {c}, {d}) > 255 or {nets(a, b)})"
+
+    def nets(a: str, b: str) -> str:
+        return f"({a} in (0, 10, 127) or ({a} = 169 and {b} = 254) or ({a} = 192 and {b} = 168) or ({a} = 172 and {b} between 16 and 31) or ({a} = 100 and {b} between 64 and 127))"
+
+    word = f"('0x' || lpad(regexp_extract({h}, ':([0-9a-f]{{1,4}}):[0-9a-f]{{1,4}}$', 1), 4, '0'))::int"
+    return f"""(coalesce({h}, '') = '' or {h} = 'localhost' or ends_with({h}, '.localhost') or (contains({h}, ':') and ({h} in ('::1', '::') or starts_with({h}, 'fe80:') or starts_with({h}, 'fc') or starts_with({h}, 'fd')))
+      or (contains({h}, ':') and (contains({h}, 'ffff:') or starts_with({h}, '64:ff9b')) and (case when regexp_matches({h}, ':{quad}') then {octets('^.*:' + quad)} else false end or case when regexp_matches({h}, ':[0-9a-f]{{1,4}}:[0-9a-f]{{1,4}}$') then {nets(f'({word} // 256)', f'({word} % 256)')} else false end))
+      or case when regexp_matches({h}, '^{quad}') then {octets('^' + quad)} else false end)"""
+
+
+@query("ip_scope", f"with {values_sql(ADDRESSES)} select doc_id, value, {blocked_sql('value')} as blocked from v")
 def ip_scope(spark, sf_dir):
-    return doc_values(spark, sf_dir, ADDRESSES).withColumn("blocked", urls.ip_blocked(F.col("value")))
+    return doc_values(spark, sf_dir, ADDRESSES).withColumn("blocked", hosts.internal(F.col("value")))
 
 
-@query("url_scope", f"with u as (select page_id, 'http' || case when page_id % 3 = 0 then 's' else '' end || '://' || {pick_sql(ADDRESSES[:-1], 'page_id')} || '/x' as url from pages), h as (select page_id, url, {HOST_SQL} as value from u) select page_id, url, not {BLOCKED_SQL} as allowed from h")
-def url_scope(spark, sf_dir):
-    u = F.concat(F.lit("http"), F.when(F.col("page_id") % 3 == 0, "s").otherwise(""), F.lit("://"), pick(ADDRESSES[:-1], F.col("page_id")), F.lit("/x"))
-    return pages(spark, sf_dir).select("page_id", u.alias("url")).withColumn("allowed", ~urls.ip_blocked(urls.host(F.col("url"))))
+#: Addresses that pages lead to; the page itself is at the same host and port, at another port, or elsewhere.
+TARGETS = ["http://127.0.0.1:8080/app.js", "http://localhost/x", "https://cdn.example.org/a.js", "http://[::1]:3000/m.map", "http://[::ffff:a9fe:a9fe]/latest", "ftp://files.example.org/a", "http://10.0.0.{n}/", "https://x.localhost/a", "/relative", "http://192.168.1.1:80/x"]
+HOMES = ["http://127.0.0.1:8080/", "http://localhost:80/", "https://www.example.org/", "http://[::1]:3000/", "http://127.0.0.1:6379/", "https://x.localhost:443/", "http://192.168.1.1/"]
+_scheme = lambda u: f"regexp_extract({u}, '^(https?)://', 1)"
+_authority = lambda u: f"regexp_extract({u}, '^https?://([^/?#]*)', 1)"
+_host = lambda u: f"regexp_replace({_authority(u)}, ':[0-9]+$', '')"
+_port = lambda u: f"coalesce(nullif(regexp_extract({_authority(u)}, ':([0-9]+)$', 1), ''), case {_scheme(u)} when 'https' then '443' else '80' end)"
 
 
-ORIGIN = r"^([a-z]+://[^/?#]+)"
+@query(
+    "url_scope",
+    f"with u as (select page_id, {pick_sql(TARGETS, 'page_id')} as url, {pick_sql(HOMES, '(page_id // 3)')} as page from pages) select page_id, url, page, {_scheme('url')} <> '' and (not {blocked_sql(_host('url'))} or ({_scheme('url')} = {_scheme('page')} and {_host('url')} = {_host('page')} and {_port('url')} = {_port('page')})) as allowed from u",
+)
+def url_scope(spark, sf_dir):
+    u = pages(spark, sf_dir).select("page_id", pick(TARGETS, F.col("page_id")).alias("url"), pick(HOMES, F.floor(F.col("page_id") / 3)).alias("page"))
+    return u.withColumn("allowed", hosts.allowed(F.col("url"), F.col("page")))
 
 
 @query("sourcemap_same_origin", f"with m as (select page_id, url, case page_id % 3 when 0 then regexp_extract(url, '{ORIGIN}', 1) || '/app.js.map' when 1 then 'https://cdn.example.net/app.js.map' else 'data:application/json;base64,e30=' end as map_url from pages) select page_id, map_url, regexp_extract(map_url, '{ORIGIN}', 1) <> '' and regexp_extract(map_url, '{ORIGIN}', 1) = regexp_extract(url, '{ORIGIN}', 1) as safe from m")
@@ -197,26 +243,58 @@ def library_cves(spark, sf_dir):
     return site.vulnerable(libraries(spark, sf_dir))
 
 
+#: Links of every page beside its own: out of scope, internal, without a host, and one address spelled twice.
+STRAYS = ["https://elsewhere.test/{n}", "http://10.0.0.{n}/admin", "ftp://files.example.com/x", "mailto:a@example.com", "http:///nowhere", "https://new{n}.example.com/a/?q=1#f", "HTTPS://new{n}.example.com/a/", "https://old.example.net/b;v=2?x", "https://h{n}.example.org/"]
+LINKS_SQL = f"""hrefs as (select page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || h as link, k as ord from (select page_id, url, unnest(l) as h, generate_subscripts(l, 1) as k from (select page_id, url, regexp_extract_all(html, 'href="(/[^"]*)"', 1) as l from pages))),
+  strays as (select page_id, replace(s, '{{n}}', (page_id % 50)::varchar) as link, (2 * k - 1.5)::double as ord from pages, (select unnest({STRAYS}) as s, unnest(range(1, {len(STRAYS)} + 1)) as k)),
+  links as (select page_id, link, ord::double as ord from hrefs union all select page_id, link, ord from strays)"""
+LINK_KEY_SQL = "rtrim(lower(regexp_extract({0}, '^([A-Za-z]+:)', 1)) || regexp_replace(regexp_replace(regexp_replace({0}, '[?#].*$', ''), ';[^/]*$', ''), '^[A-Za-z]+:', ''), '/')"
+#: The given pages' hosts and the stray ones end in one label that is a suffix.
+_last_two = lambda h: f"array_to_string(string_split({h}, '.')[-2:], '.')"
+
+
+def page_links(spark, sf_dir):
+    """page_id, url, ord, link: the links of each page in their order, strays among them."""
+    p = pages(spark, sf_dir)
+    own = F.transform(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1)), lambda h, k: F.struct((k + 1).cast("double").alias("ord"), F.concat(F.regexp_extract("url", ORIGIN, 1), h).alias("link")))
+    stray = [F.struct(F.lit(2 * k - 1.5).alias("ord"), F.replace(F.lit(s), F.lit("{n}"), F.pmod("page_id", F.lit(50)).cast("string")).alias("link")) for k, s in enumerate(STRAYS, 1)]
+    return p.select("page_id", "url", F.inline(F.concat(own, F.array(*stray))))
+
+
 @query(
     "link_scope_filter",
-    f"with l as (select page_id, {HOST_SQL} as host, regexp_extract(url, '{ORIGIN}', 1) || unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) as link from pages), n as (select distinct host, rtrim(regexp_replace(link, '[?#].*$', ''), '/') as link from l where host is not null) select host, link from n qualify row_number() over (partition by host order by link) <= 20",
+    f"""with {LINKS_SQL}, homes as (select page_id, {HOST_SQL} as home from pages), l as (select page_id, link, ord, {HOST_SQL.replace('url', 'link')} as host, home from links join homes using (page_id)),
+    fine as (select page_id, {_last_two('home')} as domain, {LINK_KEY_SQL.format('link')} as url, min(ord) as ord from l where host is not null and {_last_two('host')} = {_last_two('home')} and not {blocked_sql('host')} group by all)
+    select page_id as page, domain, url, (row_number() over (partition by page_id order by ord))::int as place from fine qualify place <= 4""",
 )
 def link_scope_filter(spark, sf_dir):
-    l = pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), F.regexp_extract("url", ORIGIN, 1).alias("origin"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("path"))
-    return site.scoped_links(l.select("host", F.concat("origin", "path").alias("link")))
+    l = page_links(spark, sf_dir)
+    return site.scoped_links(l.select(F.col("page_id").alias("page"), crawl.domain_of(F.col("url")).alias("domain"), "ord", "link"), most=4)
+
+
+#: Pages lead to the next pages of a tree over their numbers, and back.
+ONWARD = ["page_id * 3 + 1", "page_id * 3 + 2", "page_id * 3 + 3", "page_id // 2"]
 
 
 @query(
     "crawl_frontier",
-    f"""with recursive e as (select distinct rtrim(regexp_replace(url, '[?#].*$', ''), '/') as a, regexp_extract(url, '{ORIGIN}', 1) || unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) as b0 from pages), g as (select distinct a, rtrim(regexp_replace(b0, '[?#].*$', ''), '/') as b from e),
-    r as (select distinct b as url, 1 as depth from g union select g.b, depth + 1 from r join g on g.a = r.url where depth < 3), u as (select url, min(depth)::int as depth from r group by url), h as (select url, depth, {HOST_SQL} as host from u)
-    select url, depth from h qualify row_number() over (partition by case when array_to_string(string_split(host, '.')[-2:], '.') in {listed(urls.SUFFIXES)} then array_to_string(string_split(host, '.')[-3:], '.') else array_to_string(string_split(host, '.')[-2:], '.') end order by depth, url) <= 100""",
+    f"""with recursive {LINKS_SQL}, onward as (select p.page_id, q.url as link, 100.0 + o.k as ord from (select page_id, unnest([{', '.join(ONWARD)}]) as to_id, unnest(range(4)) as k from pages) o join pages p using (page_id) join pages q on o.to_id = q.page_id),
+    every as (select page_id, link, ord from links union all select page_id, link, ord from onward),
+    e as (select {LINK_KEY_SQL.format('p.url')} as a, {LINK_KEY_SQL.format('l.link')} as b, min(l.ord) as ord, any_value({_last_two('l.host')}) as domain from (select *, {HOST_SQL.replace('url', 'link')} as host from every) l join (select *, {HOST_SQL} as home from pages) p using (page_id)
+      where l.host is not null and {_last_two('l.host')} = {_last_two('p.home')} and not {blocked_sql('l.host')} group by 1, 2),
+    -- Discovery is in order of level, then of the way there; budgets only cut its end.
+    r as (select {LINK_KEY_SQL.format('url')} as url, {_last_two(HOST_SQL)} as domain, 0 as depth, lpad(page_id::varchar, 6, '0') as way from pages where page_id < 6
+      union all select e.b, e.domain, depth + 1, way || '|' || lpad((e.ord * 10)::int::varchar, 6, '0') from r join e on e.a = r.url where depth < 5),
+    u as (select url, domain, min(depth)::int as depth, arg_min(way, (depth, way)) as way from r group by url, domain)
+    select url, domain, depth, (row_number() over (partition by domain order by depth, way) - 1)::bigint as pos from u qualify pos < 60""",
 )
 def crawl_frontier(spark, sf_dir):
-    """Pages reachable over stored links within three steps, 100 a domain."""
-    p = pages(spark, sf_dir)
-    e = p.select(urls.normalize(F.col("url")).alias("a"), F.regexp_extract("url", ORIGIN, 1).alias("o"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("path"))
-    return crawl.frontier(e.select("a", urls.normalize(F.concat("o", "path")).alias("b")))
+    """From the first six pages five links on, 60 pages a domain."""
+    p = pages(spark, sf_dir).select("page_id", "url")
+    to = F.array(*(F.floor(F.col("page_id") / 2).cast("long") if "//" in o else F.expr(o) for o in ONWARD))
+    onward = p.select(F.col("url").alias("a"), F.posexplode(to).alias("k", "to_id")).join(p.select(F.col("page_id").alias("to_id"), F.col("url").alias("link")), "to_id").select("a", (F.col("k") + 100.0).alias("ord"), "link")
+    links = page_links(spark, sf_dir).select(F.col("url").alias("a"), "ord", "link").unionByName(onward)
+    return crawl.frontier(links, p.where("page_id < 6").select("url", F.col("page_id").alias("ord")), most=60, depth=5)
 
 
 MIMES = ["text/html; charset=utf-8", "application/json", "image/png", "application/javascript", "font/woff2", ""]
