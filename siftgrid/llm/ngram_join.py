@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgrid.llm.common import cut, done, lower_words, sent_whole, table
+from siftgrid.llm.common import cut, done, sent_whole, table
 from siftgrid.llm.simhash_dedup import components
 
 #: Members of a group: as many as a long has bits.
@@ -44,22 +44,13 @@ LEAD = 6
 #: So many of the commonest tokens are ordered by their count; the order changes no result.
 ORDERED = 1 << 18
 #: Tokens counted together in a task.
-COUNTED = 1 << 22
+COUNTED = 1 << 20
 
-ONE, TWO, THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-
-
-class WordHashes(dict):
-    """Hashes of words, kept while they are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = WordHashes()
+ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes hashed at once; a longer word is hashed by itself.
+PIECE = 1 << 20
+SPACES = b" \t\n\x0b\x0c\r"
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,18 +59,64 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def tokens_of(words: list[bytes], n: int) -> np.ndarray:
-    """The distinct n-grams of the words as sorted 64-bit hashes; of fewer words one token, the whole."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), 1)], np.uint64)
-    one = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def powers(n: int) -> list[np.ndarray]:
+    """ONE ** i and its inverse for the first n numbers, kept for the next text."""
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 14)
+        for k, base in enumerate((int(ONE), pow(int(ONE), -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return [p[:n] for p in _powers]
+
+
+def pieces(data: bytes) -> Iterator[bytes]:
+    """Stretches of at most PIECE bytes that end between words, or one longer word."""
+    at = 0
+    while len(data) - at > PIECE:
+        end = max(data.rfind(c, at, at + PIECE) for c in SPACES) + 1
+        if end <= at:
+            found = [i for c in SPACES if (i := data.find(c, at)) >= 0]
+            end = min(found, default=len(data))
+        yield data[at:end]
+        at = end
+    yield data[at:]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64 bits of each word in order: sums over its bytes, from running sums over the text, so no word becomes an object."""
+    out = []
+    for piece in pieces(data):
+        if len(piece) > PIECE:
+            out.append(np.array([xxhash.xxh3_64_intdigest(piece)], np.uint64))
+            continue
+        codes = np.frombuffer(piece, np.uint8)
+        inside = np.zeros(len(codes) + 2, np.int8)
+        inside[1:-1] = (codes != 32) & ((codes < 9) | (codes > 13))
+        turns = np.diff(inside)
+        starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+        power, inverse = powers(len(codes))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + np.uint64(1)) * power, out=sums[1:])
+        out.append(mixed((sums[ends] - sums[starts]) * inverse[starts]))
+    return np.concatenate(out)
+
+
+def lower(text: str | None) -> bytes:
+    return text.encode().lower() if text else b""
+
+
+def tokens_of(data: bytes, n: int) -> np.ndarray:
+    """The distinct n-grams of a text's words as sorted 64-bit hashes; of fewer words one token, the whole."""
+    words = word_hashes(data)
+    if not len(words):
+        return words
+    n = min(n, len(words))
     count = len(words) - n + 1
-    found = np.zeros(count, np.uint64)
+    found = np.full(count, n, np.uint64)
     for k in range(n):
-        found = mixed(found * ONE + one[k : k + count] + np.uint64(k + 1))
-    return np.unique(found)
+        found += words[k : k + count] * np.uint64(int(ONE) * int(TWO) ** k % (1 << 64))
+    return np.unique(mixed(found))
 
 
 def least_shared(size: int, percent: int) -> int:
@@ -118,7 +155,7 @@ def counted(docs: DataFrame, n: int) -> np.ndarray:
         size = 0
         for batch in batches:
             for text in batch["text"]:
-                found = tokens_of(lower_words(text), n)
+                found = tokens_of(lower(text), n)
                 key = hashlib.blake2b(found.tobytes(), digest_size=8).digest()
                 if not len(found) or key in seen:
                     continue
@@ -154,7 +191,7 @@ def marked(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> DataFra
         for batch in batches:
             out: dict[str, list] = {c.split()[0]: [] for c in MARKED.split(", ")}
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = lower_words(text)
+                words = lower(text)
                 found = tokens_of(words, n)
                 lead, held = leading(found, sent.value, percent) if len(found) else (found, 0)
                 out["doc_id_"].append(doc_id)
@@ -164,7 +201,7 @@ def marked(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> DataFra
                 out["least_a"].append(int(found[0] >> np.uint64(1)) if len(found) else 0)
                 out["least_b"].append(int(mixed(found ^ TWO).min() >> np.uint64(1)) if len(found) else 0)
                 out["lead"].append(lead.view(np.int64))
-                out["text"].append(pack(b" ".join(words)) if len(found) else None)
+                out["text"].append(pack(words) if len(found) else None)
             yield pd.DataFrame({c: pd.Series(v, dtype=None if c in ("n", "held", "least_a", "least_b") else object) for c, v in out.items()})
 
     ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
@@ -263,7 +300,7 @@ def compared(pairs: DataFrame, n: int, percent: int) -> DataFrame:
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         rows = rows.sort_values("rid")
-        sets = [tokens_of(unpack(t).split(), n) for t in rows["text"]]
+        sets = [tokens_of(unpack(t), n) for t in rows["text"]]
         sizes = np.array([len(s) for s in sets], np.int64)
         both = shared_counts(sets)
         near = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)

@@ -111,3 +111,17 @@ def test_leading_tokens_meet():
         query, _ = ngram_join.leading(large, common, percent)
         lead, held = ngram_join.leading(small, common, percent)
         assert len(np.intersect1d(query, lead[:held])) >= min(ngram_join.LEAD, ngram_join.least_shared(len(large), percent))
+
+
+def test_hashes_follow_words(monkeypatch):
+    """Equal words have equal hashes wherever they stand and however a long text is cut, and different ones different hashes."""
+    draw = random.Random(9)
+    words = ["".join(draw.choice("abé漢") for _ in range(draw.randrange(1, 12))) for _ in range(400)] + ["y" * 3000, "y" * 2999, "z" * 70]
+    text = "".join(w + draw.choice([" ", "\n", "\t\t", "\x0b", " \r\n"]) for w in (draw.choice(words) for _ in range(3000)))
+    plain = text.encode().split()
+    for piece in (1 << 20, 64, 1000):
+        monkeypatch.setattr(ngram_join, "PIECE", piece)
+        found = ngram_join.word_hashes(text.encode()).tolist()
+        assert len(found) == len(plain)
+        assert len(set(found)) == len(set(plain)) == len(set(zip(found, plain, strict=True)))
+    assert ngram_join.word_hashes(b"").tolist() == ngram_join.word_hashes(b" \n").tolist() == []
