@@ -229,8 +229,9 @@ def near_pairs(words: DataFrame, filter_bytes: int = 16 << 20) -> DataFrame:
 
     passed = words.select("word", "n").mapInPandas(probe, "word string, n long, edit string")
     known = words.select(F.col("word").alias("edit"), F.col("n").alias("near_n"))
-    pairs = passed.join(known, "edit").select("word", "n", F.col("edit").alias("near"), "near_n")
-    return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    there = F.struct("word", "n", F.col("edit").alias("near"), "near_n")
+    back = F.struct(F.col("edit").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    return passed.join(known, "edit").select(F.inline(F.array(there, back)))
 
 
 def followed(forms: DataFrame) -> DataFrame:
