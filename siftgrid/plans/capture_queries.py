@@ -11,6 +11,7 @@ from siftgrid.plans.registry import query
 from siftgrid.plans.web_queries import CODE_SQL, HOST_SQL, doc_values, pages, values_sql
 from siftgrid.sources import tables as T
 from siftgrid.sources.tables import pick, pick_sql, sql_text
+from siftgrid.streaming import decisions
 
 STORAGE = ["authToken={h}", "theme=dark", "lang=en-{n}-a-long-value-here", "refresh={h}secret", "key=short"]
 
@@ -111,13 +112,19 @@ def rule_lint(spark, sf_dir):
     return v.withColumn("problem", F.when(F.col("value").rlike(r"\(\?(<|=|!)"), "lookaround").when(F.col("value").rlike(r"\{\d*,?\d{4,}\}"), "long repetition"))
 
 
-@query("stream_suppress", "select event_id, user_id, event_type from events where event_type not in (select event_type from events group by event_type having count(*) = (select max(n) from (select count(*) as n from events group by event_type)))")
+@query(
+    "stream_suppress",
+    """with e as (select event_id, user_id, ts, event_type || '-' || (event_id % 5) as id, event_id % 4 = 0 as decision from events),
+    hidden as (select distinct user_id, id from e where decision) select event_id, user_id, id from e where not decision and (user_id, id) not in (select user_id, id from hidden)""",
+)
 def stream_suppress(spark, sf_dir):
-    """Batch form of streaming.suppressed: events without the kinds of a static table (here the commonest)."""
-    e = T.read(spark, sf_dir, "events")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
-    hidden = n.join(n.agg(F.max("n").alias("n")), "n").select("event_type")
-    return e.join(hidden, "event_type", "left_anti").select("event_id", "user_id", "event_type")
+    """Batch form of streaming.decisions.hidden_live: every fourth event is a decision of its user to hide what it names; the others are findings.
+
+    No user can name more different ids than a ring holds here, so each decision counts.
+    """
+    e = T.read(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("event_id").alias("seq"), F.concat_ws("-", "event_type", F.pmod("event_id", F.lit(5))).alias("id"))
+    decided = F.pmod("event_id", F.lit(4)) == 0
+    return decisions.shown(e.where(~decided).select("event_id", "user_id", "id"), e.where(decided).select("user_id", "ts", "seq", "id")).select("event_id", "user_id", "id")
 
 
 @query("stream_scan", f"with {T.PLANTED_SQL} select doc_id, unnest(regexp_extract_all(content, 'https://hooks\\.slack\\.com/services/T[a-zA-Z0-9_]+/B[a-zA-Z0-9_]+/[a-zA-Z0-9_]+')) as value from planted")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftgrid.functions import rules
-from siftgrid.operators import detect
 from siftgrid.plans.core_queries import listed, rlike
 from siftgrid.plans.registry import query
 from siftgrid.plans.web_queries import doc_values, values_sql
 from siftgrid.sources import tables as T
 from siftgrid.sources.tables import sql_text
+from siftgrid.streaming import watch
 
 # Packs by profile and by bundle.
 PROFILES = {"ship": ["leak", "baas"], "code": ["leak", "appsec", "access-control"], "all": rules.PACKS}
@@ -59,8 +59,11 @@ def rule_export(spark, sf_dir):
 WATCHED = rules.APP_PATTERNS["slack_webhook"]
 
 
-@query("stream_file_watch", f"with {T.PLANTED_SQL}, l as (select source, arg_max(content, doc_id) as content from planted group by source) select source, unnest(regexp_extract_all(content, {sql_text(WATCHED)})) as value from l")
+@query(
+    "stream_file_watch",
+    f"with {T.PLANTED_SQL}, l as (select source, arg_max(content, doc_id) as content, arg_max(doc_id % 11 = 0, doc_id) as deleted from planted group by source) select source as path, unnest(regexp_extract_all(content, {sql_text('(?i)' + WATCHED)})) as value from l where not deleted",
+)
 def stream_file_watch(spark, sf_dir):
-    """Batch form of streaming.file_watch: findings of the latest version of each path."""
-    latest = T.planted(spark, sf_dir).groupBy("source").agg(F.max_by("content", "doc_id").alias("content"))
-    return detect.scan(latest, {"slack_webhook": WATCHED}).select("source", "value")
+    """Batch form of streaming.watch.follow: findings of the last version of each path; every eleventh row is a deletion."""
+    files = T.planted(spark, sf_dir).select(F.col("source").alias("path"), F.col("doc_id").alias("version"), (F.pmod("doc_id", F.lit(11)) == 0).alias("deleted"), "content")
+    return watch.standing_in(files, {"slack_webhook": WATCHED}, None).select("path", "value")
