@@ -10,10 +10,12 @@ A query is a class, and its own leading tokens bound what it shares with a group
 sets of similarity t share at least ceil(t |Q|) tokens, so with LEAD tokens more than
 may be missing, LEAD of these (or all that must be shared, if fewer) are among the
 leading ones of both. Groups that have fewer of the query's tokens, or none of the
-size needed, stay shut. Of a group that opens, the members that have one of the
-tokens are compared exactly with the query, a pair of groups at a time, as products
-of small 0/1 matrices; what comes out are links to each member's least partner, and
-numbers of links, never lists of pairs.
+size needed, stay shut. The queries of one group meet another group's row together,
+as bits of one number, so many near copies of one text meet by groups and not one by
+one. Of a group that opens, the members that have one of the tokens are compared
+exactly with the query, a pair of groups at a time, as products of small 0/1
+matrices; what comes out are links to each member's least partner, and numbers of
+links, never lists of pairs.
 
 Tokens are 64-bit hashes of n-grams. Texts, not token sets, are moved to where they
 are compared: compressed, they are the smaller.
@@ -22,7 +24,6 @@ are compared: compressed, they are the smaller.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,6 +125,11 @@ def least_shared(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def smallest(percent: int) -> int:
+    """The least size of a set that is similar to any but its equal: one token more may not be too much."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 30
+
+
 def leading(tokens: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The query's leading tokens, rarest first, and how many of them a group's row holds.
 
@@ -208,7 +214,11 @@ def marked(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> DataFra
     return ids.mapInPandas(mark, MARKED)
 
 
-GROUPED = "gid long, rids array<long>, copies array<long>, sizes array<int>, held array<int>, leads array<array<long>>, m_token array<long>, m_who array<long>, m_least array<int>, m_most array<int>"
+GROUPED = (
+    "gid long, rids array<long>, copies array<long>, token array<long>, asks array<long>, has array<long>, "
+    "asks_least array<int>, asks_most array<int>, has_least array<int>, has_most array<int>"
+)
+MATRIX = ("token", "asks", "has", "asks_least", "asks_most", "has_least", "has_most")
 
 
 def grouped(classes: DataFrame) -> DataFrame:
@@ -231,15 +241,20 @@ def grouped(classes: DataFrame) -> DataFrame:
             yield row((part << 40) + number, held)
 
     def row(gid: int, members: list) -> pd.DataFrame:
-        tokens = np.concatenate([r.lead[: r.held] for r in members])
-        who = np.repeat(np.arange(len(members)), [min(r.held, len(r.lead)) for r in members])
         sizes = np.array([r.n for r in members], np.int64)
+        tokens = np.concatenate([r.lead for r in members])
+        who = np.repeat(np.arange(len(members)), [len(r.lead) for r in members])
+        held = np.concatenate([np.arange(len(r.lead)) < r.held for r in members])
         found, at = np.unique(tokens, return_inverse=True)
-        masks, least, most = np.zeros(len(found), np.uint64), np.full(len(found), 1 << 30), np.zeros(len(found), np.int64)
-        np.bitwise_or.at(masks, at, np.uint64(1) << who.astype(np.uint64))
-        np.minimum.at(least, at, sizes[who])
-        np.maximum.at(most, at, sizes[who])
-        values = [gid, [r.rid for r in members], [r.copies for r in members], sizes, [r.held for r in members], [r.lead for r in members], found, masks.view(np.int64), least, most]
+        made = []
+        for some in (np.ones(len(tokens), bool), held):
+            masks, least, most = np.zeros(len(found), np.uint64), np.full(len(found), 1 << 30), np.zeros(len(found), np.int64)
+            np.bitwise_or.at(masks, at[some], np.uint64(1) << who[some].astype(np.uint64))
+            np.minimum.at(least, at[some], sizes[who[some]])
+            np.maximum.at(most, at[some], sizes[who[some]])
+            made.append((masks.view(np.int64), least, most))
+        (asks, *ask_sizes), (has, *has_sizes) = made
+        values = [gid, [r.rid for r in members], [r.copies for r in members], found, asks, has, *ask_sizes, *has_sizes]
         return pd.DataFrame({c.split()[0]: pd.Series([v], dtype=object if k else None) for k, (c, v) in enumerate(zip(GROUPED.split(", "), values, strict=True))})
 
     order = ["least_a", "least_b", "rid"]
@@ -248,31 +263,40 @@ def grouped(classes: DataFrame) -> DataFrame:
 
 
 def opened(groups: DataFrame, percent: int) -> DataFrame:
-    """lo, hi (groups, lo <= hi), in_lo, in_hi: the members that have to be compared, as bits, for every pair of groups that a query opens."""
-    matrix = groups.select("gid", F.explode(F.arrays_zip("m_token", "m_who", "m_least", "m_most")).alias("m")).select(
-        F.col("m.m_token").alias("token"), F.col("gid").alias("other"), F.col("m.m_who").alias("who"), F.col("m.m_least").alias("least"), F.col("m.m_most").alias("most")
-    )
-    members = groups.select("gid", F.posexplode(F.arrays_zip("sizes", "held", "leads")).alias("slot", "q"))
-    queries = members.select("gid", "slot", F.col("q.sizes").alias("size"), F.col("q.held").alias("held"), F.posexplode("q.leads").alias("k", "token"))
-    own = F.expr("shiftleft(1L, slot)")
-    others = F.when(F.col("gid") == F.col("other"), F.col("who").bitwiseAND(F.bitwise_not(own))).otherwise(F.col("who"))
-    # The query is the larger set, or one of equal size.
-    met = queries.join(matrix, "token").where((F.col("least") <= F.col("size")) & (100 * F.col("most") >= percent * F.col("size"))).withColumn("others", others).where("others <> 0")
-    needed = F.least(F.lit(LEAD), F.ceil(F.lit(percent) * F.col("size") / 100))
-    found = met.groupBy("gid", "slot", "size", "other").agg(F.count("*").alias("shared"), F.expr("bit_or(others)").alias("members")).where(F.col("shared") >= needed)
-    ahead = F.col("gid") < F.col("other")
-    same = F.col("gid") == F.col("other")
-    both = F.when(same, own.bitwiseOR(F.col("members")))
-    return (
-        found.select(
-            F.least("gid", "other").alias("lo"),
-            F.greatest("gid", "other").alias("hi"),
-            F.coalesce(both, F.when(ahead, own).otherwise(F.col("members"))).alias("in_lo"),
-            F.coalesce(F.when(same, F.lit(0).cast("long")), F.when(ahead, F.col("members")).otherwise(own)).alias("in_hi"),
-        )
-        .groupBy("lo", "hi")
-        .agg(F.expr("bit_or(in_lo)").alias("in_lo"), F.expr("bit_or(in_hi)").alias("in_hi"))
-    )
+    """lo, hi (groups, lo <= hi), in_lo, in_hi: the members that have to be compared, as bits, for every pair of groups that a query opens.
+
+    The queries of a group meet the matrix together: a row is a token that members of one group ask for and
+    members of the other have. How many tokens each query shares is counted from the bits.
+    """
+
+    needed = min(LEAD, least_shared(smallest(percent), percent))
+
+    def bound_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots = np.arange(GROUP, dtype=np.uint64)
+        for batch in batches:
+            out = []
+            for gid, other, asks, has in zip(batch["gid"], batch["other"], batch["asks"], batch["has"], strict=True):
+                asks, has = np.array(asks, np.int64).view(np.uint64), np.array(has, np.int64).view(np.uint64)
+                asking = (asks[:, None] >> slots) & np.uint64(1) == 1
+                if gid == other:
+                    asking &= (has[:, None] & ~(np.uint64(1) << slots)) != 0
+                queries = asking.sum(axis=0) >= needed
+                if queries.any():
+                    own = np.bitwise_or.reduce(np.uint64(1) << slots[queries])
+                    members = np.bitwise_or.reduce(has[asking[:, queries].any(axis=1)])
+                    parts = (own | members, np.uint64(0)) if gid == other else (own, members) if gid < other else (members, own)
+                    out.append((min(gid, other), max(gid, other), *(int(np.array(p).view(np.int64)) for p in parts)))
+            yield pd.DataFrame(out, columns=["lo", "hi", "in_lo", "in_hi"], dtype="int64")
+
+    each = groups.select("gid", F.explode(F.arrays_zip(*MATRIX)).alias("m")).select("gid", "m.*")
+    queries = each.select("token", "gid", "asks", "asks_least", "asks_most")
+    matrix = each.where("has <> 0").select("token", F.col("gid").alias("other"), "has", "has_least", "has_most")
+    # The query is the larger set, or one of equal size; alone in its group with a token, it meets nobody there.
+    sizes = (F.col("has_least") <= F.col("asks_most")) & (100 * F.col("has_most") >= percent * F.col("asks_least"))
+    met = queries.join(matrix, "token").where(sizes & ((F.col("gid") != F.col("other")) | (F.bit_count(F.col("asks").bitwiseOR(F.col("has"))) > 1)))
+    pairs = met.groupBy("gid", "other").agg(F.collect_list(F.struct("asks", "has")).alias("met")).where(F.size("met") >= needed)
+    found = pairs.select("gid", "other", "met.asks", "met.has").mapInPandas(bound_by, "lo long, hi long, in_lo long, in_hi long")
+    return found.groupBy("lo", "hi").agg(F.expr("bit_or(in_lo)").alias("in_lo"), F.expr("bit_or(in_hi)").alias("in_hi"))
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -337,9 +361,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         .agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("rid").alias("rid"), F.expr("any_value(struct(n, held, least_a, least_b, lead))").alias("of"))
         .select("key", "first", "copies", "rid", "of.*")
     )
-    # A smaller set is similar to its equal alone: one token less or more is too much.
-    smallest = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 30
-    groups = cut(grouped(classes.where(F.col("n") >= smallest).select("rid", "copies", "n", "held", "least_a", "least_b", "lead")))
+    groups = cut(grouped(classes.where(F.col("n") >= smallest(percent)).select("rid", "copies", "n", "held", "least_a", "least_b", "lead")))
     pairs = cut(opened(groups, percent))
     inside = F.expr(f"filter(sequence(0, {GROUP - 1}), k -> shiftrightunsigned(bits, k) & 1L = 1)")
     wanted = (
