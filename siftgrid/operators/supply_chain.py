@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftgrid.functions import rules
 from siftgrid.operators import detect
+from siftgrid.sources.scratch import Scratch
 
 MOST_MANIFEST, MOST_MANIFESTS = 4 * 1024 * 1024, 5000
 MANIFEST = "name string, scripts map<string,string>, dependencies map<string,string>, devDependencies map<string,string>, optionalDependencies map<string,string>"
@@ -66,32 +67,65 @@ FRAGMENT = r"[A-Za-z0-9_-]{12,}"
 PREFIX = "^(?:" + "|".join(p.replace(".", "\\.") for p in rules.KEY_PREFIXES) + ")"
 
 
-def split_keys(files: DataFrame, most: int = 1000) -> DataFrame:
+#: Fragments of a repository that meet as many leads in one cell.
+CELL = 2000
+
+
+def split_keys(files: DataFrame, cell: int = CELL) -> DataFrame:
     """repo, lead_file, lead_line, other_file, other_line, prefix, assembled: fragments of one repository that together would be a key.
 
     files: repo, file, text. A lead begins with a known prefix; every fragment of another file may follow it, so
-    pairs are leads times fragments: of each lead the first `most` by file and line are reported, the feature's limit.
+    pairs are leads times fragments, and all are given. Leads and fragments of a repository are cut into blocks of
+    about `cell`, and each block of leads meets each block of fragments by itself: a repository that holds most
+    fragments spreads over all tasks. A null text has no fragments.
     """
-    f = detect.scan(files.withColumnRenamed("text", "content"), {"fragment": FRAGMENT}, case=True).select("repo", "file", "line", F.col("value").alias("part"))
-    leads = f.where(F.col("part").rlike(PREFIX)).select("repo", F.col("file").alias("lead_file"), F.col("line").alias("lead_line"), F.col("part").alias("lead"))
-    both = leads.join(f.select("repo", F.col("file").alias("other_file"), F.col("line").alias("other_line"), "part"), "repo").where("lead_file <> other_file")
-    order = Window.partitionBy("repo", "lead_file", "lead_line", "lead").orderBy("other_file", "other_line", "part")
-    kept = both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    scratch = Scratch(files.sparkSession)
+    found = detect.scan(files.withColumnRenamed("text", "content"), {"fragment": FRAGMENT}, case=True).select("repo", "file", "line", F.col("value").alias("part"))
+    f = scratch.keep(found.withColumn("leads", F.col("part").rlike(PREFIX)), "fragments")
+    # A repository without a lead gives nothing and moves nothing.
+    sizes = f.groupBy("repo").agg(F.ceil(F.count_if("leads") / cell).cast("int").alias("lead_blocks"), F.ceil(F.count("*") / cell).cast("int").alias("part_blocks")).where("lead_blocks > 0")
+    placed = f.join(sizes, "repo").withColumn("h", F.xxhash64("file", "line", "part"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod("h", F.col(n)).cast("int")
+    leads = placed.where("leads").select("repo", F.col("file").alias("lead_file"), F.col("line").alias("lead_line"), F.col("part").alias("lead"), own("lead_blocks").alias("i"), every("part_blocks").alias("j"))
+    parts = placed.select("repo", F.col("file").alias("other_file"), F.col("line").alias("other_line"), "part", own("part_blocks").alias("j"), every("lead_blocks").alias("i"))
+    both = leads.join(parts, ["repo", "i", "j"]).where("lead_file <> other_file")
     prefix = F.coalesce(*[F.when(F.startswith("lead", F.lit(p)), p) for p in rules.KEY_PREFIXES])
-    return kept.select("repo", "lead_file", "lead_line", "other_file", "other_line", prefix.alias("prefix"), F.left(F.concat("lead", "part"), F.lit(80)).alias("assembled"))
+    return both.select("repo", "lead_file", "lead_line", "other_file", "other_line", prefix.alias("prefix"), F.left(F.concat("lead", "part"), F.lit(80)).alias("assembled"))
+
+
+def first_after(probes: DataFrame, hits: DataFrame, at: str, name: str) -> DataFrame:
+    """probes (source, ...) with `name`, the first line of hits (source, line) at or after the column `at`: one sort of both by source and line, no pairs."""
+    marked = probes.withColumn("probe_", F.struct(*probes.columns)).select("source", F.col(at).alias("x_"), "probe_", F.lit(None).cast("int").alias("line_"))
+    lines = hits.select("source", F.col("line").alias("x_"), F.lit(None).cast(marked.schema["probe_"].dataType).alias("probe_"), F.col("line").alias("line_"))
+    # From the last line on: a running least, where a frame that opens forward would be taken anew for each row.
+    ahead = Window.partitionBy("source").orderBy(F.desc("x_")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = marked.unionByName(lines).withColumn(name, F.min("line_").over(ahead))
+    return found.where("probe_ is not null").select("probe_.*", name)
 
 
 def worm_shapes(sources: DataFrame, span: int = 200) -> DataFrame:
-    """source, env_line, net_line, write_line: the first (read, send, write) of a source (source, content) within `span` lines, by order of reads, then sends, then writes.
+    """source, env_line, net_line, write_line: the first (read, send, write) of a source (source, content) within `span` lines, by order of reads, then sends, then writes."""
+    return worm_lines(detect.scan(sources, rules.WORM).select("source", "rule", "line"), span)
+
+
+def worm_lines(hits: DataFrame, span: int = 200) -> DataFrame:
+    """worm_shapes of hits (source, rule, line).
 
-    For each read line only sends within the span count, and for each of those the first write that fits both.
+    For a read, the write that counts with any earlier send is the first from `span` lines before the read; of
+    later sends only the next can do, as the first write that fits a later one comes later still. So each read
+    looks up four lines, each by a window over the sorted hits: time is that of a sort, however many hits are near.
     """
-    hits = detect.scan(sources, rules.WORM).select("source", "rule", "line")
-    gather = lambda k: F.array_sort(F.collect_set(F.when(F.col("rule") == k, F.col("line"))))
-    lines = hits.groupBy("source").agg(gather("env_read").alias("env"), gather("net_egress").alias("net"), gather("persistence_write").alias("wr")).where("size(env) > 0 and size(net) > 0 and size(wr) > 0")
-    near = lambda a, b: F.abs(a - b) <= span
-    write = lambda e, n: F.get(F.filter("wr", lambda w: near(e, w) & near(n, w)), F.lit(0))
-    each = lines.select("source", F.explode("env").alias("env_line"), "net", "wr")
-    pairs = F.filter(F.transform(F.filter("net", lambda n: near(F.col("env_line"), n)), lambda n: F.struct(n.alias("net_line"), write(F.col("env_line"), n).alias("write_line"))), lambda p: p["write_line"].isNotNull())
-    first = each.select("source", "env_line", F.get(pairs, F.lit(0)).alias("p")).where("p is not null")
-    return first.groupBy("source").agg(F.min(F.struct("env_line", "p.net_line", "p.write_line")).alias("b")).select("source", "b.*")
+    once = hits.where("line is not null").select("source", "rule", F.col("line").cast("int").alias("line")).distinct()
+    kind = lambda k: once.where(F.col("rule") == k).select("source", "line")
+    net, write = kind("net_egress"), kind("persistence_write")
+    reads = kind("env_read").withColumnRenamed("line", "env_line").withColumn("from_", F.col("env_line") - span)
+    reads = first_after(reads, write, "from_", "w_")
+    reads = reads.withColumn("from_", F.greatest("env_line", F.coalesce("w_", "env_line")) - span)
+    reads = first_after(reads, net, "from_", "n_").withColumn("from_", F.col("env_line") + 1)
+    reads = first_after(reads, net, "from_", "later_").withColumn("from_", F.coalesce(F.col("later_"), F.col("env_line")) - span)
+    reads = first_after(reads, write, "from_", "w_later_")
+    before = (F.col("w_") <= F.col("env_line") + span) & (F.col("n_") <= F.col("env_line"))
+    after = (F.col("later_") <= F.col("env_line") + span) & (F.col("w_later_") <= F.col("env_line") + span)
+    found = F.when(before, F.struct("env_line", F.col("n_").alias("net_line"), F.col("w_").alias("write_line"))).when(after, F.struct("env_line", F.col("later_").alias("net_line"), F.col("w_later_").alias("write_line")))
+    return reads.groupBy("source").agg(F.min(found).alias("b")).where("b is not null").select("source", "b.*")

@@ -51,11 +51,27 @@ def src_ioc_feed(spark, sf_dir):
     return feed(spark, sf_dir)
 
 
-@query("ioc_package_match", f"with {FEED_SQL}, l as (select doc_id, 'bad' || (doc_id // 2 * 2) as package, case when doc_id % 3 = 0 then '1.0' else '2.0' end as version from documents), m as (select distinct package, unnest(versions) as version from a), e as (select package from a where len(versions) = 0) select doc_id, l.package, l.version from l where (package, version) in (select (package, version) from m) or package in (select package from e)")
+LISTED = FEED[:2] + ['{"id":"MAL-py{n}","affected":[{"package":{"name":"wheel-{n}","ecosystem":"PyPI"},"versions":["2.0","2.0.1"]}]}']
+LISTED_SQL = FEED_SQL.replace(values_sql(FEED, "j"), values_sql(LISTED, "j"))
+#: Lockfiles in their forms: a listed version, one that isn't, one too far from its package, keys alone, names that only begin or end alike.
+LOCKS = [
+    '{"packages":{"bad{n}":{"version":"1.0","dev":true}}}', '{"bad{n}": {\n  "resolved": "https://r.example/x.tgz",\n  "version": "1.1"\n}}', '{"bad{n}":{"version":"9.9"}}',
+    '{"bad{n}": {"resolved": "https://registry.example.org/a/very/long/path/that/goes/on/and/on/to/some/file.tgz", "version": "1.0"}}', '{"dependencies":{"BAD{n}": "^2.0.0"}}', 'wheel-{n}==2.0\nother==1.0', 'wheel-{n} == 2.0.1 ; python', 'x-wheel-{n}@2.0',
+    'wheel-{n}x==2.0', 'wheel-{n}>=2.0.5', 'Wheel-{n}:  2.0-rc1', '"wheel-{n}": "2.0"', '{"notbad{n}":{"version":"1.0"}}', '[[package]]\nname = "wheel-{n}"\nversion = "2.0"',
+]
+LOCKS_SQL = f"locks as (select doc_id as file, {pick_sql(LOCKS, '(doc_id // 2)')} as text from documents)"
+
+
+@query(
+    "ioc_package_match",
+    f"""with {LISTED_SQL}, {LOCKS_SQL}, near as (select * from locks join a on contains(lower(text), lower(package))), each as (select *, unnest(versions) as version from near)
+    select distinct file, id, package, ecosystem, version from each where regexp_matches(text, case when ecosystem = 'npm' then '(?i)"' || package || '"[\\s\\S]{{0,80}}"version"\\s*:\\s*"' || replace(version, '.', '\\.') || '"' else '(?i)\\b' || package || '\\b[\\s,=<>:@]+' || replace(version, '.', '\\.') || '\\b' end)
+    union select file, id, package, ecosystem, null from near where len(versions) = 0 and regexp_matches(text, '(?i)"' || package || '"\\s*:\\s*"')""",
+)
 def ioc_package_match(spark, sf_dir):
-    """Lockfile rows (package, version) against listed versions: an equi-join on both."""
-    l = T.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("bad"), (F.floor(F.col("doc_id") / 2) * 2).cast("string")).alias("package"), F.when(F.col("doc_id") % 3 == 0, "1.0").otherwise("2.0").alias("version"))
-    return feeds.package_matches(l, feed(spark, sf_dir)).select("doc_id", "package", "version")
+    """Lockfiles of three forms against listed packages: the texts are read once, and what they name meets the list by equi-joins."""
+    locks = T.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), pick(LOCKS, F.floor(F.col("doc_id") / 2)).alias("text"))
+    return feeds.lockfile_matches(locks, feeds.malicious(doc_values(spark, sf_dir, LISTED, "text")))
 
 
 OPENAPI = ['{"definitions":{"users":{},"t{n}":{}},"paths":{"/":{},"/orders":{"get":{},"post":{}},"/v_sales":{"get":{}},"/rpc/f":{},"/a/b":{"get":{}},"/{id}":{"get":{}},"/w{n}/":{"GET":{},"POST":{}}}}', '{"paths":{"/only":{"get":{}}}}']

@@ -156,7 +156,7 @@ _frag = "select repo, file, line, unnest(regexp_extract_all(txt, '[A-Za-z0-9_-]{
 
 @query(
     "split_token_pairs",
-    f"with f as (select doc_id // 8 as repo, doc_id as file, {pick_sql(PARTS, 'doc_id')} as text from documents), n as (select repo, file, unnest(string_split(text, chr(10))) as txt, generate_subscripts(string_split(text, chr(10)), 1) as line from f), p as ({_frag}), d as (select a.repo, a.file as lead_file, a.line as lead_line, a.part as lead, b.file as other_file, b.line as other_line, b.part from p a join p b on a.repo = b.repo and a.file <> b.file where {rlike('a.part', S.PREFIX)} qualify row_number() over (partition by a.repo, a.file, a.line, a.part order by b.file, b.line, b.part) <= 1000) select repo, lead_file, lead_line::int as lead_line, other_file, other_line::int as other_line, coalesce("
+    f"with f as (select doc_id // 8 as repo, doc_id as file, {pick_sql(PARTS, 'doc_id')} as text from documents), n as (select repo, file, unnest(string_split(text, chr(10))) as txt, generate_subscripts(string_split(text, chr(10)), 1) as line from f), p as ({_frag}), d as (select a.repo, a.file as lead_file, a.line as lead_line, a.part as lead, b.file as other_file, b.line as other_line, b.part from p a join p b on a.repo = b.repo and a.file <> b.file where {rlike('a.part', S.PREFIX)}) select repo, lead_file, lead_line::int as lead_line, other_file, other_line::int as other_line, coalesce("
     + ", ".join(f"case when starts_with(lead, '{p}') then '{p}' end" for p in rules.KEY_PREFIXES)
     + ") as prefix, left(lead || part, 80) as assembled from d",
 )
