@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 from siftgrid.functions import urls
 
 
+def exact(docs: DataFrame) -> DataFrame:
+    """doc_id, first_id of docs (doc_id, text) whose text, normalised as code, is that of a document of smaller id, the least of them; null texts equal nothing.
+
+    The hashes are dealt by themselves once, and the least id of each is a window over them: texts are read once.
+    A hash that very many documents have is sorted with its ids in one task, sixteen bytes each.
+    """
+    h = docs.where("text is not null").select("doc_id", F.unhex(F.sha2(urls.normalize_code(F.col("text")), 256)).alias("h"))
+    first = h.withColumn("first_id", F.min("doc_id").over(Window.partitionBy("h")))
+    return first.where("doc_id <> first_id").select("doc_id", "first_id")
+
+
 #: A corpus of at most so many characters is sent whole, with its index.
 SENT_CHARACTERS = 8_000_000
 SIZE = 8

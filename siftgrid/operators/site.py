@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftgrid.functions import urls
+from siftgrid.functions.text import contains_any
 from siftgrid.operators import crawl
 
 # Security headers, exposed paths with a mark of their content, admin paths, outdated software.
@@ -13,7 +14,7 @@ HEADERS = {"strict-transport-security": "medium", "content-security-policy": "me
 EXPOSED = [("/.env", "critical", "="), ("/.git/HEAD", "high", "ref:"), ("/.git/config", "high", "[core]"), ("/backup.zip", "high", ""), ("/backup.tar.gz", "high", ""), ("/db.sql", "critical", "CREATE TABLE")]
 ADMIN = ["/admin", "/administrator", "/login", "/dashboard", "/wp-admin", "/phpmyadmin", "/server-status"]
 OUTDATED = [(r"Apache/2\.2", "high"), (r"nginx/1\.(?:0|1[0-7])\b", "medium"), (r"PHP/5\.", "high"), (r"OpenSSL/1\.0\.", "medium"), (r"Microsoft-IIS/6\.", "high")]
-LISTING = r"(?i)(index of /|<title>directory listing)"
+LISTING = ["index of /", "directory listing for", "directory listing"]
 # Library, introduced, below, severity, identifiers.
 LIBRARY_RULES = [
     ("jquery", (0, 0, 0), (1, 9, 0), "high", ["CVE-2012-6708"]), ("jquery", (0, 0, 0), (3, 0, 0), "high", ["CVE-2015-9251"]), ("jquery", (0, 0, 0), (3, 4, 0), "high", ["CVE-2019-11358"]),
@@ -32,14 +33,18 @@ def missing_headers(responses: DataFrame) -> DataFrame:
     return responses.select(*rest, F.inline(F.filter(need, lambda r: ~F.array_contains(have, r["header"]))))
 
 
+#: Characters of an exposed file that are looked at.
+SAMPLE = 2048
+
+
 def exposed_paths(fetched: DataFrame) -> DataFrame:
-    """fetched (path, status, body) answered with the file itself, no page, and holding its mark: severity."""
+    """fetched (path, status, content_type, body) answered with the file itself, no HTML, and holding its mark in the first SAMPLE characters: severity. A missing content type is none of HTML."""
     hit, severity = F.lit(False), F.lit(None).cast("string")
-    low = F.lower("body")
+    low = F.lower(F.left(F.coalesce("body", F.lit("")), F.lit(SAMPLE)))
     for path, level, mark in EXPOSED:
         own = (F.col("path") == path) & F.contains(low, F.lit(mark.lower()))
         hit, severity = hit | own, F.when(own, level).otherwise(severity)
-    fine = F.col("status").isin(200, 206) & ~F.contains(low, F.lit("<html"))
+    fine = F.col("status").isin(200, 206) & ~F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("text/html"))
     return fetched.where(fine & hit).withColumn("severity", severity)
 
 
@@ -49,9 +54,10 @@ def admin_endpoints(fetched: DataFrame) -> DataFrame:
     return f.withColumn("severity", F.when(F.col("status").isin(200, 204), "medium").otherwise("low"))
 
 
-def lists_directory(body: Column) -> Column:
-    """Whether a body's first 4,096 characters list a folder."""
-    return F.left(body, F.lit(4096)).rlike(LISTING)
+def lists_directory(body: Column, content_type: Column) -> Column:
+    """Whether an HTML answer's first 4,096 characters say that they list a folder."""
+    html = F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("text/html"))
+    return html & contains_any(F.lower(F.left(F.coalesce(body, F.lit("")), F.lit(4096))), LISTING)
 
 
 def outdated(answers: DataFrame, text: str) -> DataFrame:
@@ -116,14 +122,23 @@ def by_origin(candidates: DataFrame) -> DataFrame:
 
 
 def claim_flags(claims: Column, now: int) -> Column:
-    """What a token's claims (JSON) give away: roles, admin flag, scopes, expiry."""
+    """What a token's claims (JSON) give away: roles, admin flag, scopes, expiry. Scopes may be a text or a list, under either name; a zero expiry is none."""
     get = lambda k: F.get_json_object(claims, f"$.{k}")
-    role, exp = F.coalesce(get("role"), F.lit("")), get("exp").try_cast("long")
+    role, exp = F.coalesce(get("role"), F.lit("")), F.nullif(get("exp").try_cast("double").cast("long"), F.lit(0))
+    flag = lambda k: F.coalesce(get(k) == "true", F.lit(False)) & ~claims.rlike(rf'"{k}"\s*:\s*"')
+    empty = lambda c: F.when(c.isin("", "[]", "null", "false", "0"), F.lit(None)).otherwise(c)
+    given = F.coalesce(empty(get("scope")), empty(get("scp")), F.lit(""))
+    scopes = F.when(given.startswith("["), F.array_join(F.from_json(given, "array<string>"), " ")).otherwise(given)
+    broad = F.filter(F.array(*map(F.lit, BROAD)), lambda w: F.contains(F.lower(scopes), w))
     return F.array_compact(
         F.array(
             F.when(role.contains("service_role"), "service_role").when(F.lower(role).rlike("admin|superuser|root"), "elevated"),
-            F.when(get("is_admin") == "true", "admin_flag"),
-            F.when(F.lower(F.coalesce(get("scope"), F.lit(""))).rlike("admin|write|delete|manage"), "broad_scope"),
+            F.when(flag("is_admin") | flag("admin"), "admin_flag"),
+            F.when(F.size(broad) > 0, F.concat(F.lit("broad_scope: "), F.array_join(broad, ", "))),
             F.when(exp.isNull(), "no_expiry").when(exp < now, "expired").when(exp - now > 31536000, "long_lived"),
         )
     )
+
+
+# Parts of scopes that allow much.
+BROAD = ["admin", "write", "delete", "manage"]

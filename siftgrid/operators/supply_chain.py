@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftgrid.functions import rules
+from siftgrid.functions.text import matches
 from siftgrid.operators import detect
 from siftgrid.sources.scratch import Scratch
 
@@ -63,6 +64,21 @@ def triggers(workflows: DataFrame) -> DataFrame:
     return workflows.select("file", F.explode(found).alias("event"))
 
 
+# A step of a workflow, a local action, a full commit.
+USES = r"^\s*-?\s*uses:\s*([^\s#]+)\s*(?:#.*)?$"
+LOCAL_ACTION, COMMIT = r"^\.{1,2}/", "^[a-f0-9]{40}$"
+
+
+def unpinned(workflows: DataFrame) -> DataFrame:
+    """file, line, spec, problem of every step of workflows (file, text) whose action isn't fixed to a commit: no ref at all, or one that can be moved. Actions of the repository itself are fine, whatever stands in quotes counts without them."""
+    found = workflows.select("file", F.explode(matches(F.col("text"), F.lit("(?m)" + USES), 1)).alias("m"))
+    spec = F.regexp_replace(F.regexp_replace(F.col("m.value"), '^"+|"+$', ""), "^'+|'+$", "")
+    each = found.select("file", F.col("m.line").alias("line"), spec.alias("spec"), F.col("m.whole").alias("whole"))
+    # What stands before the step may be empty lines: they count as the match's.
+    loose = each.where(~F.col("spec").rlike(LOCAL_ACTION) & (~F.col("spec").contains("@") | ~F.substring_index("spec", "@", -1).rlike(COMMIT)))
+    return loose.select("file", "line", "spec", F.when(~F.col("spec").contains("@"), "no ref").otherwise("tag").alias("problem"))
+
+
 FRAGMENT = r"[A-Za-z0-9_-]{12,}"
 PREFIX = "^(?:" + "|".join(p.replace(".", "\\.") for p in rules.KEY_PREFIXES) + ")"
 

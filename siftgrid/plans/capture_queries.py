@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftgrid.functions import rules, urls
-from siftgrid.operators import feeds, similar
-from siftgrid.plans.core_queries import any_of
+from siftgrid.operators import feeds, report_rows, similar
+from siftgrid.plans.core_queries import any_of, listed
 from siftgrid.plans.registry import query
 from siftgrid.plans.web_queries import CODE_SQL, HOST_SQL, doc_values, pages, values_sql
 from siftgrid.sources import tables as T
@@ -114,18 +114,23 @@ def fingerprint_fuzzy(spark, sf_dir):
     return similar.fuzzy(T.read(spark, sf_dir, "documents").select("doc_id", "text"), T.read(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-@query("attack_surface_fold", f"with h as (select {HOST_SQL} as host, page_id from pages) select host, 'finding-' || (page_id % 3) as type, count(*) as n from h where host is not null group by all")
-def attack_surface_fold(spark, sf_dir):
-    """Per-host arrays of findings back to rows."""
-    h = pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), F.concat(F.lit("finding-"), F.col("page_id") % 3).alias("type")).where("host is not null")
-    folded = h.groupBy("host", "type").agg(F.count("*").alias("n")).groupBy("host").agg(F.collect_list(F.struct("type", "n")).alias("found"))
-    return folded.select("host", F.inline("found"))
+#: What was found on a host: with and without a source, a category, a state; none.
+ON_HOSTS = ['[{"type":"open_port","severity":"HIGH","value":"p{n}-{h}"}]', '[{"type":"banner","source":"tls","category":"recon","details":"d{n}"},{"severity":"odd","validation_status":"confirmed","url":"http://x.example/?token=abc{h}&a=1"}]', '[]', '[{"type":"access_control_issue","category":"","confidence":0.3}]']
+_get = lambda k: f"json_extract_string(f, '$.{k}')"
 
 
-@query("rule_lint", f"with {values_sql(['(?<!a)b{n}', 'a{{1,2000}}', '(?=x)', 'plain[0-9]+', 'x(?!y)'])} select doc_id, value, case when {any_of('value', ['(?<', '(?=', '(?!'])} then 'lookaround' when regexp_matches(value, '\\{{\\d*,?\\d{{4,}}\\}}') then 'long repetition' end as problem from v")
-def rule_lint(spark, sf_dir):
-    v = doc_values(spark, sf_dir, ["(?<!a)b{n}", "a{{1,2000}}", "(?=x)", "plain[0-9]+", "x(?!y)"])
-    return v.withColumn("problem", F.when(F.col("value").rlike(r"\(\?(<|=|!)"), "lookaround").when(F.col("value").rlike(r"\{\d*,?\d{4,}\}"), "long repetition"))
+@query(
+    "attack_surface_fold",
+    f"""with h as (select page_id, url, {HOST_SQL} as host, {pick_sql(ON_HOSTS, 'page_id')} as found from pages), e as (select page_id, url, coalesce(host, nullif(url, ''), 'attack-surface') as host, unnest(json_extract(found, '$[*]')) as f from h),
+    r as (select page_id, coalesce(nullif({_get('type')}, ''), 'unknown') as type, case when lower({_get('severity')}) in {listed(rules.SEVERITIES)} then lower({_get('severity')}) else 'info' end as severity, coalesce(nullif({_get('source')}, ''), case when {_get('source')} = '' then 'unknown' else 'Attack Surface: ' || host end) as source, {_get('category')} as category, {_get('validation_status')} as st, {_get('details')} as details, {_get('confidence')}::double as confidence from e)
+    select page_id, type, severity, coalesce(confidence, case when severity in ('critical', 'high') then 0.9 when severity = 'medium' then 0.7 else 0.55 end) as confidence, 'attack-surface:' || type as detector_id, source,
+      case when category is null then 'access-control' when category <> '' then category when type = 'access_control_issue' then 'access-control' else 'leak' end as category, coalesce(st, 'lead') as validation_status, coalesce(details, '') as snippet from r""",
+)
+def attack_surface_fold(spark, sf_dir):
+    """Per-host arrays of findings as findings of the one schema."""
+    shape = "array<struct<type:string,severity:string,source:string,category:string,validation_status:string,url:string,value:string,details:string,confidence:double>>"
+    h = pages(spark, sf_dir).select("page_id", "url", urls.host(F.col("url")).alias("host"), F.from_json(pick(ON_HOSTS, F.col("page_id")), shape).alias("findings"))
+    return report_rows.surface_findings(h).select("page_id", "type", "severity", "confidence", "detector_id", "source", "category", "validation_status", "snippet")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftgrid.functions import identity, rules
-from siftgrid.operators import detect
+from siftgrid.operators import detect, report_rows
 from siftgrid.operators import findings as O
 from siftgrid.plans.core_queries import SALT, hmac_sql, id_sql, listed, mask_sql
 from siftgrid.plans.registry import query
@@ -148,11 +148,25 @@ def merge_provenance(spark, sf_dir):
     return O.merge_provenance(T.findings(spark, sf_dir))
 
 
-@query("normalize_finding", f"{W} select ord, case when upper(severity) in ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') then severity else 'info' end as severity, coalesce(nullif(category, 'housekeeping'), 'leak') as category from findings")
+#: Loose findings as scanners give them.
+LOOSE = [
+    '{"type":"aws_key","severity":"HIGH","source":"a.js","value":"AKIA{h}{n}","context":"c{n}","url":"http://x.example/?token=abc{h}&a=1"}', '{"severity":"Odd","pack":"baas"}', '{"type":"access_control_issue","details":"d{n}","match":"m{h}"}',
+    '{"type":"t{n}","severity":"medium","confidence":0.25,"detector_id":"own:id","category":"recon","pack":"leak","validation_status":"confirmed"}', '{"type":"","severity":"low","source":"Request Header","value":"","context_lines":"3: x","context":"y"}', '{"severity":"critical","url":"not a url {n}"}',
+]
+LOOSE_SHAPE = "type string, severity string, source string, category string, pack string, value string, match string, context_lines string, context string, details string, detector_id string, confidence double, url string, validation_status string"
+_l = lambda k: f"nullif(json_extract_string(j, '$.{k}'), '')"
+
+
+@query(
+    "normalize_finding",
+    f"""with v as (select doc_id, {T.pick_sql(LOOSE, 'doc_id')} as j from documents), r as (select doc_id, j, coalesce({_l('type')}, 'unknown') as type, case when lower({_l('severity')}) in {listed(rules.SEVERITIES)} then lower({_l('severity')}) else 'info' end as severity, coalesce({_l('source')}, 'unknown') as source, coalesce(json_extract_string(j, '$.value'), json_extract_string(j, '$.match'), '') as value from v)
+    select doc_id, type, severity, coalesce(json_extract_string(j, '$.confidence')::double, case when severity in ('critical', 'high') then 0.9 when severity = 'medium' then 0.7 when lower(source) in ('url', 'request header', 'response header') then 0.65 else 0.55 end) as confidence, coalesce({_l('detector_id')}, 'runtime:' || type) as detector_id, source, {mask_sql('value')} as redacted_value,
+      coalesce({_l('context_lines')}, {_l('context')}, {_l('details')}, '') as snippet, coalesce({_l('category')}, {_l('pack')}, case when type = 'access_control_issue' then 'access-control' else 'leak' end) as category, coalesce({_l('validation_status')}, 'lead') as validation_status from r""",
+)
 def normalize_finding(spark, sf_dir):
-    """Loose rows to one schema: severities in any case, unknown ones info, a missing category leak."""
-    loose = T.findings(spark, sf_dir).select("ord", F.upper("severity").alias("severity"), F.when(F.col("category") != "housekeeping", F.col("category")).alias("category"))
-    return loose.select("ord", identity.severity_name(O.rank()).alias("severity"), F.coalesce("category", F.lit("leak")).alias("category"))
+    """Loose findings to one schema with all defaults."""
+    loose = T.read(spark, sf_dir, "documents").select("doc_id", F.from_json(T.pick(LOOSE, F.col("doc_id")), LOOSE_SHAPE).alias("f")).select("doc_id", "f.*")
+    return report_rows.normalized(loose).drop("request_url")
 
 
 @query("severity_shift", f"{W} select ord, list_extract({rules.SEVERITIES}, greatest({RANK} - 1, 0) + 1) as lower, list_extract({rules.SEVERITIES}, least({RANK}, 3) + 1) as capped from findings")
@@ -160,20 +174,42 @@ def severity_shift(spark, sf_dir):
     return T.findings(spark, sf_dir).select("ord", identity.severity_name(F.greatest(O.rank() - 1, F.lit(0))).alias("lower"), identity.severity_name(F.least(O.rank(), F.lit(3))).alias("capped"))
 
 
-ADVICE = ["Rotate the key. Remove it from history. Check usage", "Enable row policies.  Test them. ", "Review"]
+ADVICE = ["Rotate the key. Remove it from history. Check usage", "Enable row policies.  Test them. ", "Review", "", ". . ", "One step.No blank. Two"]
+SCENARIOS = ["", "Anyone can read it. ", " A stolen key works."]
 
 
-@query("remediation_card", f"with a as (select doc_id, {T.pick_sql(ADVICE, 'doc_id')} as text from documents) select doc_id, text as what, list_filter(list_transform(string_split(text, '. '), lambda x: trim(x)), lambda x: x <> '') as steps from a")
+@query(
+    "remediation_card",
+    f"""with a as (select doc_id, {T.pick_sql(ADVICE, 'doc_id')} as advice, {T.pick_sql(SCENARIOS, '(doc_id // 6)')} as scenario, ' Key ' || doc_id || ' exposed. ' as description from documents), s as (select *, list_filter(list_transform(string_split(advice, '. '), lambda x: trim(x)), lambda x: x <> '') as steps from a)
+    select doc_id, trim(description) as what_leaked, trim(case when scenario <> '' then scenario else description end) as why_it_matters, case when len(steps) = 0 and advice <> '' then [trim(advice)] else steps end as fix_steps, '' as verify_command from s""",
+)
 def remediation_card(spark, sf_dir):
-    d = T.read(spark, sf_dir, "documents").select("doc_id", T.pick(ADVICE, F.col("doc_id")).alias("what"))
-    return d.select("doc_id", "what", F.filter(F.transform(F.split("what", r"\. "), lambda x: F.trim(x)), lambda x: x != "").alias("steps"))
+    d = T.read(spark, sf_dir, "documents").select("doc_id", T.pick(ADVICE, F.col("doc_id")).alias("advice"), T.pick(SCENARIOS, F.floor(F.col("doc_id") / 6)).alias("scenario"), F.concat(F.lit(" Key "), F.col("doc_id").cast("string"), F.lit(" exposed. ")).alias("description"))
+    return d.select("doc_id", report_rows.remediation(F.col("description"), F.col("scenario"), F.col("advice")).alias("r")).select("doc_id", "r.*")
 
 
-@query("src_report_json", f"{W} select ord, type, severity, coalesce(nullif(url, ''), 'none') as url from findings")
+#: Saved reports: whole, with fields missing at every level, empty, and no JSON.
+REPORTS = [
+    '{"target":"t{n}","scan_mode":"local","generated_at":"2024-01-02","findings":[{"type":"k","severity":"HIGH","confidence":0.8,"detector_id":"leak.k","source":"a.js","evidence":{"source":"b.js","snippet":"s","line":4,"redacted_value":"r{n}"},"id":"i{n}","category":"leak","references":["x"]},{"severity":"strange","redacted_value":"old","pack":"baas"}]}',
+    '{"target":"","findings":[{"type":"","evidence":{"source":"only{n}"},"confidence":0,"validation_status":"confirmed"}],"extra":1}', '{"scan_mode":"web","findings":[]}', '{}', "no json {n}", '{"findings":[{"source":"x{n}","evidence":{"redacted_value":"new"},"redacted_value":"old"}]}',
+]
+_r = lambda k: f"nullif(json_extract_string(j, '$.{k}'), '')"
+_f = lambda k: f"nullif(json_extract_string(f, '$.{k}'), '')"
+
+
+@query(
+    "src_report_json",
+    f"""with v as (select doc_id, {T.pick_sql(REPORTS, 'doc_id')} as t from documents), p as (select doc_id, case when json_valid(t) then t else '{{}}' end as j from v), c as (select doc_id, j, coalesce(json_array_length(j, '$.findings'), 0)::bigint as n from p),
+    e as (select doc_id, j, unnest(case when n > 0 then range(n) else [null::bigint] end) as place from c), r as (select doc_id, j, place, case when place is not null then json_extract(j, '$.findings[' || place || ']')::varchar end as f from e)
+    select doc_id, coalesce({_r('target')}, '') as target, coalesce({_r('scan_mode')}, 'runtime') as scan_mode, coalesce({_r('generated_at')}, 'now') as generated_at, place::int as place, case when f is not null then coalesce({_f('type')}, 'unknown') end as type,
+      case when f is null then null when lower({_f('severity')}) in {listed(rules.SEVERITIES)} then lower({_f('severity')}) else 'info' end as severity, case when f is not null then coalesce({_f('confidence')}::double, 0.55) end as confidence, case when f is not null then coalesce({_f('detector_id')}, 'runtime:unknown') end as detector_id,
+      case when f is not null then coalesce({_f('source')}, {_f('evidence.source')}, 'unknown') end as source, case when f is not null then coalesce({_f('evidence.source')}, {_f('source')}, '') end as evidence_source, case when f is not null then coalesce({_f('evidence.redacted_value')}, {_f('redacted_value')}, '') end as redacted_value, {_f('evidence.line')}::int as line,
+      case when f is not null then coalesce({_f('category')}, {_f('pack')}, '') end as category, case when f is not null then coalesce({_f('validation_status')}, 'lead') end as validation_status, case when f is not null then coalesce({_f('id')}, '') end as id from r""",
+)
 def src_report_json(spark, sf_dir):
-    """Saved findings as JSON, read with a fixed schema and defaults for what is missing."""
-    saved = T.findings(spark, sf_dir).select(F.to_json(F.struct("ord", "type", "severity", F.when(F.col("url") != "", F.col("url")).alias("url"))).alias("j"))
-    return saved.select(F.from_json("j", "ord long, type string, severity string, url string").alias("f")).select("f.ord", "f.type", "f.severity", F.coalesce("f.url", F.lit("none")).alias("url"))
+    """Saved reports read back with every default of the report, its findings and their evidence."""
+    saved = T.read(spark, sf_dir, "documents").select("doc_id", T.pick(REPORTS, F.col("doc_id")).alias("json"))
+    return report_rows.reports(saved, now="now").select("doc_id", "target", "scan_mode", "generated_at", "place", "f.type", "f.severity", "f.confidence", "f.detector_id", "f.source", F.col("f.evidence.source").alias("evidence_source"), "f.evidence.redacted_value", "f.evidence.line", "f.category", "f.validation_status", "f.id")
 
 
 @query("union_surfaces", "select 'document' as surface, count(*) as n from documents union all select 'conversation', count(*) from conversations union all select 'page', count(*) from pages")
@@ -208,10 +244,16 @@ def changed_snapshot(spark, sf_dir):
     return both.select(F.col("doc_id").alias("path"), F.when(F.col("had").isNull(), "new").when(F.col("has").isNull(), "deleted").otherwise("modified").alias("change"))
 
 
-@query("added_allowlist_entries", f"{W}, e as (select distinct type as detector, nullif(source, 'Dockerfile') as source, ord % 2 as side from findings) select detector, source from e where side = 1 except select detector, source from e where side = 0")
+_entry = "select {0} as id, case when ord % 4 = 1 then '' else type end as detector, nullif(type, 'xss') as type, nullif(source, 'Dockerfile') as source_contains, ord from findings where ord % 2 = {1}"
+
+
+@query("added_allowlist_entries", f"{W}, h as ({_entry.format("case when ord % 6 = 1 then 'id' || (ord % 50) end", 1)}), b as ({_entry.format("case when ord % 6 = 4 then 'id' || (ord % 50) else '' end", 0)}) select h.* from h where (coalesce(h.id, ''), coalesce(h.detector, ''), coalesce(h.type, ''), coalesce(h.source_contains, '')) not in (select (coalesce(id, ''), coalesce(detector, ''), coalesce(type, ''), coalesce(source_contains, '')) from b)")
 def added_allowlist_entries(spark, sf_dir):
-    e = T.findings(spark, sf_dir).select(F.col("type").alias("detector"), F.when(F.col("source") != "Dockerfile", F.col("source")).alias("source"), (F.col("ord") % 2).alias("side")).distinct()
-    return e.where("side = 1").drop("side").subtract(e.where("side = 0").drop("side"))
+    """Entries of the later list that the earlier one hasn't, by id, detector, type and scope."""
+    f, n = T.findings(spark, sf_dir), F.col("ord")
+    entry = lambda side, name: f.where(n % 2 == side).select(name.alias("id"), F.when(n % 4 == 1, "").otherwise(F.col("type")).alias("detector"), F.nullif("type", F.lit("xss")).alias("type"), F.nullif("source", F.lit("Dockerfile")).alias("source_contains"), "ord")
+    numbered = F.concat(F.lit("id"), (n % 50).cast("string"))
+    return report_rows.added_entries(entry(0, F.when(n % 6 == 4, numbered).otherwise("")), entry(1, F.when(n % 6 == 1, numbered)))
 
 
 @query("allowlist_expiry", "with a as (select doc_id, strftime(date '2024-01-01' + (doc_id % 400)::int, '%Y-%m-%d') as expires_at from documents) select doc_id, expires_at from a where expires_at < '2024-07-01'")

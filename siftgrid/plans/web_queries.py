@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from siftgrid.functions import hosts, rules, suffixes, urls
 from siftgrid.functions.text import contains_any
-from siftgrid.operators import crawl, site
+from siftgrid.operators import crawl, similar, site
 from siftgrid.operators import paths as paths_of
+from siftgrid.operators import supply_chain as S
 from siftgrid.plans.core_queries import any_of, ends, listed, rlike
 from siftgrid.plans.registry import query
 from siftgrid.sources import tables as T
@@ -319,18 +320,21 @@ def missing_headers(spark, sf_dir):
 
 FETCHED = ["/.env", "/.git/HEAD", "/backup.zip", "/db.sql", "/admin", "/login", "/index.html", "/server-status"]
 BODIES = ["KEY=1", "ref: refs/heads/main", "<html>no</html>", "create table t", "[core]"]
+SENT_AS = ["text/plain", "Text/HTML; charset=utf-8", "application/octet-stream", ""]
 STATUS = ["200", "206", "403", "404", "302"]
 
 
 def fetched(spark, sf_dir):
     n = F.col("page_id")
-    return pages(spark, sf_dir).select("page_id", pick(FETCHED, n).alias("path"), pick(BODIES, F.pmod(n, F.lit(35))).alias("body"), pick(STATUS, F.pmod(n, F.lit(55)) * 3).cast("int").alias("status"))
+    # Some marks stand behind what is looked at.
+    body = F.concat(F.when(F.pmod(n, F.lit(6)) == 5, F.repeat(F.lit("x"), 2046)).otherwise(""), pick(BODIES, F.pmod(n, F.lit(35))))
+    return pages(spark, sf_dir).select("page_id", pick(FETCHED, n).alias("path"), body.alias("body"), pick(SENT_AS, F.floor(n / 5)).alias("content_type"), pick(STATUS, F.pmod(n, F.lit(55)) * 3).cast("int").alias("status"))
 
 
-FETCHED_SQL = f"f as (select page_id, {pick_sql(FETCHED, 'page_id')} as path, {pick_sql(BODIES, '(page_id % 35)')} as body, {pick_sql(STATUS, '(page_id % 55 * 3)')}::int as status from pages)"
+FETCHED_SQL = f"f as (select page_id, {pick_sql(FETCHED, 'page_id')} as path, case when page_id % 6 = 5 then repeat('x', 2046) else '' end || {pick_sql(BODIES, '(page_id % 35)')} as body, {pick_sql(SENT_AS, '(page_id // 5)')} as content_type, {pick_sql(STATUS, '(page_id % 55 * 3)')}::int as status from pages)"
 
 
-@query("exposed_paths", f"with {FETCHED_SQL}, r(path, severity, marker) as (values {', '.join(f"('{p}', '{s}', '{m}')" for p, s, m in site.EXPOSED)}) select page_id, path, severity from f join r using (path) where status in (200, 206) and not contains(lower(body), '<html') and contains(lower(body), lower(marker))")
+@query("exposed_paths", f"with {FETCHED_SQL}, r(path, severity, marker) as (values {', '.join(f"('{p}', '{s}', '{m}')" for p, s, m in site.EXPOSED)}) select page_id, path, severity from f join r using (path) where status in (200, 206) and not contains(lower(content_type), 'text/html') and contains(lower(left(body, 2048)), lower(marker))")
 def exposed_paths(spark, sf_dir):
     return site.exposed_paths(fetched(spark, sf_dir)).select("page_id", "path", "severity")
 
@@ -340,9 +344,15 @@ def admin_endpoints(spark, sf_dir):
     return site.admin_endpoints(fetched(spark, sf_dir)).select("page_id", "path", "severity")
 
 
-@query("directory_listing", "select page_id, regexp_matches(left(html, 4096), '(?i)(index of /|<title>directory listing)') as listing from pages")
+LISTINGS = ["<html><h1>Index of /pub</h1>", "<body>Directory listing for /", "<title>Directory Listing</title>", "plain page", "an index of names"]
+
+
+@query("directory_listing", f"with a as (select page_id, case page_id % 3 when 0 then {pick_sql(LISTINGS, 'page_id // 3')} when 1 then repeat(' ', 4090) || {pick_sql(LISTINGS, 'page_id // 3')} else html end as body, {pick_sql(SENT_AS, 'page_id // 2')} as content_type from pages) select page_id, contains(lower(content_type), 'text/html') and (contains(lower(left(body, 4096)), 'index of /') or contains(lower(left(body, 4096)), 'directory listing for') or contains(lower(left(body, 4096)), 'directory listing')) as listing from a")
 def directory_listing(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", site.lists_directory(F.col("html")).alias("listing"))
+    n = F.col("page_id")
+    page = pick(LISTINGS, F.floor(n / 3))
+    body = F.when(F.pmod(n, F.lit(3)) == 0, page).when(F.pmod(n, F.lit(3)) == 1, F.concat(F.repeat(F.lit(" "), 4090), page)).otherwise(F.col("html"))
+    return pages(spark, sf_dir).select("page_id", site.lists_directory(body, pick(SENT_AS, F.floor(n / 2))).alias("listing"))
 
 
 SERVERS = ["Apache/2.2.15 PHP/5.3", "nginx/1.14.0", "nginx/1.25", "Microsoft-IIS/6.0", "OpenSSL/1.0.2 Apache/2.4"]
@@ -400,16 +410,20 @@ def jwt_claims(spark, sf_dir):
 
 
 NOW = 1_750_000_000
-_role, _exp = "coalesce(json_extract_string(c, '$.role'), '')", "try_cast(json_extract_string(c, '$.exp') as bigint)"
+#: Claims for the flags alone: scopes as lists and under the other name, an admin flag under either name or as a text, no expiry in two ways.
+FLAGGED = [*CLAIMS, '{"admin":true,"exp":1750000001}', '{"admin":"true","exp":1750000000}', '{"scp":["read:x","Delete:y"],"exp":1749999999}', '{"scope":[],"scp":"manage{n}","exp":0}', '{"role":"Root{n}","scope":"READ","exp":1900000000}', '{"is_admin":false,"scope":"write admin"}']
+_role, _exp = "coalesce(json_extract_string(c, '$.role'), '')", "nullif(try_cast(json_extract_string(c, '$.exp') as bigint), 0)"
+_scopes = "lower(coalesce(nullif(nullif(json_extract_string(c, '$.scope'), ''), '[]'), json_extract_string(c, '$.scp'), ''))"
+_broad = f"list_filter({site.BROAD}, lambda w: contains({_scopes}, w))"
 
 
 @query(
     "jwt_flags",
-    f"""with {values_sql(CLAIMS, 'c')} select doc_id, list_filter([case when contains({_role}, 'service_role') then 'service_role' when {rlike(f'lower({_role})', 'admin|superuser|root')} then 'elevated' end, case when json_extract_string(c, '$.is_admin') = 'true' then 'admin_flag' end,
-    case when {rlike("lower(coalesce(json_extract_string(c, '$.scope'), ''))", 'admin|write|delete|manage')} then 'broad_scope' end, case when {_exp} is null then 'no_expiry' when {_exp} < {NOW} then 'expired' when {_exp} - {NOW} > 31536000 then 'long_lived' end], lambda x: x is not null) as flags from v""",
+    f"""with {values_sql(FLAGGED, 'c')} select doc_id, list_filter([case when contains({_role}, 'service_role') then 'service_role' when {rlike(f'lower({_role})', 'admin|superuser|root')} then 'elevated' end, case when json_extract(c, '$.is_admin')::varchar = 'true' or json_extract(c, '$.admin')::varchar = 'true' then 'admin_flag' end,
+    case when len({_broad}) > 0 then 'broad_scope: ' || array_to_string({_broad}, ', ') end, case when {_exp} is null then 'no_expiry' when {_exp} < {NOW} then 'expired' when {_exp} - {NOW} > 31536000 then 'long_lived' end], lambda x: x is not null) as flags from v""",
 )
 def jwt_flags(spark, sf_dir):
-    return doc_values(spark, sf_dir, CLAIMS, "c").select("doc_id", site.claim_flags(F.col("c"), NOW).alias("flags"))
+    return doc_values(spark, sf_dir, FLAGGED, "c").select("doc_id", site.claim_flags(F.col("c"), NOW).alias("flags"))
 
 
 SPECS = ["https://user:{h}@git.example.com/x.git", "^1.2.3", "git+ssh://git@host/x", "github:a/b#c{n}", "https://h/x-{n}.tgz", "a/b"]
@@ -421,14 +435,21 @@ def mask_dep_spec(spark, sf_dir):
     return doc_values(spark, sf_dir, SPECS).select("doc_id", F.regexp_replace(F.trim("value"), AUTH, "$1://***@").alias("spec"))
 
 
-USES = ["uses: actions/checkout@v4", "uses: a/b@{h}abcdef12", "uses: ./local", "uses: a/b", "run: echo {n}", "uses: docker://alpine:3"]
+#: Workflows of several steps: pinned, by tag, without a ref, local, in quotes, with remarks, containers.
+USES = [
+    "jobs:\n  steps:\n    - uses: actions/checkout@v4\n    - uses: a/b@{h}abcdef12 # pinned\n    - uses: c/d\n", "  - uses: ./local\n  - uses: ../up/one@v1\n  - uses: 'e/f@main'\n  - run: echo uses: no/thing\n", '\n\n  uses: "g/h@{h}{h}"\n  uses: docker://alpine:3\n',
+    "- uses: i/j@ABCDEF1234ABCDEF1234ABCDEF1234ABCDEF1234\n- uses: k/l@x@{h}12345678\n", "run: echo {n}", "#- uses: m/n@v1\n- name: uses: o/p@v2\n-  uses:   q/r@v{n}   \n",
+]
+_uses = r"(?m)^\s*-?\s*uses:\s*([^\s#]+)\s*(?:#.*)?$"
 
 
-@query("workflow_pins", f"with {values_sql(USES)}, u as (select doc_id, regexp_extract(value, 'uses:\\s*([^\\s]+)', 1) as ref from v) select doc_id, ref, case when not contains(ref, '@') then 'no ref' else 'not pinned' end as problem from u where ref <> '' and not starts_with(ref, './') and not starts_with(ref, 'docker:') and not regexp_matches(ref, '@[0-9a-fA-F]{{40}}$')")
+@query(
+    "workflow_pins",
+    f"""with {values_sql(USES, 'text')}, m as (select doc_id, text, unnest(regexp_extract_all(text, '{_uses}')) as whole from v), u as (select doc_id as file, len(string_split(left(text, (strpos(text, whole) - 1)::int), chr(10))) as line, trim(trim(regexp_extract(whole, '{_uses}', 1), '"'), chr(39)) as spec from m)
+    select file, line::int as line, spec, case when not contains(spec, '@') then 'no ref' else 'tag' end as problem from u where not regexp_matches(spec, '^\\.{{1,2}}/') and not regexp_matches(spec, '@[a-f0-9]{{40}}$')""",
+)
 def workflow_pins(spark, sf_dir):
-    u = doc_values(spark, sf_dir, USES).select("doc_id", F.regexp_extract("value", r"uses:\s*([^\s]+)", 1).alias("ref"))
-    loose = u.where((F.col("ref") != "") & ~F.col("ref").rlike(r"^(\./|docker:)") & ~F.col("ref").rlike("@[0-9a-fA-F]{40}$"))
-    return loose.withColumn("problem", F.when(~F.col("ref").contains("@"), "no ref").otherwise("not pinned"))
+    return S.unpinned(doc_values(spark, sf_dir, USES, "text").withColumnRenamed("doc_id", "file"))
 
 
 CODE = r"""regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', ' ', 'g'), '(?m)(?://|#)[^\n]*$', ' ', 'g'), '"[^"\n]*"|''[^''\n]*''', '""', 'g')"""
@@ -443,9 +464,8 @@ def normalize_code(spark, sf_dir):
 
 @query("fingerprint_exact", f"with b as (select min(doc_id) as first_id, sha256({CODE_SQL}) as h from documents where text is not null group by h), d as (select doc_id, sha256({CODE_SQL}) as h from documents where text is not null) select doc_id, first_id from d join b using (h) where doc_id <> first_id")
 def fingerprint_exact(spark, sf_dir):
-    """Documents whose normalised text is an earlier one's: an equi-join on the hash, summed before it."""
-    d = T.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(urls.normalize_code(F.col("text")), 256).alias("h"))
-    return d.join(d.groupBy("h").agg(F.min("doc_id").alias("first_id")), "h").where("doc_id <> first_id").select("doc_id", "first_id")
+    """Documents whose normalised text is an earlier one's: texts are read and normalised once, and only hashes are exchanged."""
+    return similar.exact(T.read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("shingles", "with b as (select item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as t from benchmark) select item_id, count(distinct substring(t, i::int, 8)) as n from (select item_id, t, unnest(generate_series(1, greatest(length(t) - 7, 1))) as i from b) group by item_id")
