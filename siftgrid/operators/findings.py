@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from siftgrid.functions import identity, rules
 from siftgrid.functions.identity import severity_rank
-from siftgrid.functions.text import quoted
+from siftgrid.functions.text import contains_any
+from siftgrid.sources.scratch import Scratch
 
 
 def rank() -> Column:
@@ -44,31 +45,53 @@ def cap_per_block(findings: DataFrame, block: str = "source", most: int = 50) ->
     return once.withColumn("k", F.row_number().over(Window.partitionBy(block).orderBy("ord"))).where(F.col("k") <= most).drop("k")
 
 
+#: So many parts of sources are tested as patterns; more are joined. So many rules are sent whole.
+MOST_PARTS, CHUNK, SENT_RULES = 5000, 500, 500_000
+
+
+def listed_parts(parts: DataFrame) -> list[str] | None:
+    """The parts (part), if there are few enough to test them as patterns."""
+    found = [r[0] for r in parts.select("part").distinct().limit(MOST_PARTS + 1).collect()]
+    return sorted(found) if len(found) <= MOST_PARTS else None
+
+
 def hidden_sources(findings: DataFrame, parts: DataFrame) -> DataFrame:
-    """source, part: the distinct sources that hold one of the parts (part, lower-cased). Distinct sources meet the parts, not findings."""
+    """source, part: the distinct sources that hold one of the parts (part, lower-cased). Distinct sources meet the parts, not findings, and few parts meet them as one list, without a join."""
     sources = findings.select("source").distinct()
-    return sources.join(parts, F.contains(F.lower("source"), F.col("part"))).select("source", "part")
+    known = listed_parts(parts)
+    if known is None:
+        return sources.join(parts, F.contains(F.lower("source"), F.col("part"))).select("source", "part")
+    met = F.filter(F.array(*map(F.lit, known)).cast("array<string>"), lambda p: F.contains(F.lower("source"), p))
+    return sources.select("source", F.explode(met).alias("part"))
 
 
 def suppress(findings: DataFrame, suppressions: DataFrame, fixtures: list[str] | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Findings that no (kind, value) rule hits: by id, fingerprint, detector or an alias of it, type, signature, or part of the source in any case.
 
-    aliases: (alias, detector). Equal keys are joined; what is part of a source is tested
-    once a distinct source, the fixed parts in one pattern.
+    aliases: (alias, detector). The rules are written once and counted; few enough are sent whole, so findings stay
+    where they are, and parts of sources are a few patterns. More rules are joined by a shuffle. A null key is hit by no rule.
     """
     rules_ = suppressions
     if aliases is not None:
         old = suppressions.where("kind = 'detector'").join(aliases, F.col("value") == F.col("alias")).select("kind", F.col("detector").alias("value"))
         rules_ = rules_.unionByName(old)
+    scratch = Scratch(findings.sparkSession)
+    rules_ = scratch.keep(rules_.where(F.col("value") != "").select("kind", "value").distinct(), "rules")
+    sizes = {r["kind"]: r["n"] for r in rules_.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     out = findings
     for kind in ("id", "fingerprint", "detector", "type", "signature"):
-        rule = rules_.where((F.col("kind") == kind) & (F.col("value") != "")).select(F.col("value").alias(kind)).distinct()
-        out = out.join(rule, kind, "left_anti")
+        if sizes.get(kind):
+            rule = rules_.where(F.col("kind") == kind).select(F.col("value").alias(kind))
+            out = out.join(F.broadcast(rule) if sizes[kind] <= SENT_RULES else rule, kind, "left_anti")
     parts = rules_.where(F.col("kind") == "source_contains").select(F.lower("value").alias("part")).distinct()
-    out = out.join(hidden_sources(findings, parts).select("source").distinct(), "source", "left_anti")
-    if fixtures:
-        out = out.where(~F.lower("source").rlike("|".join(quoted(p.lower()) for p in fixtures)))
-    return out
+    known = listed_parts(parts) if sizes.get("source_contains") else []
+    if known is None:
+        out = out.join(hidden_sources(findings, parts).select("source").distinct(), "source", "left_anti")
+        known = []
+    known = sorted({*known, *(p.lower() for p in fixtures or ())})
+    for i in range(0, len(known), CHUNK):
+        out = out.where(~F.coalesce(contains_any(F.lower("source"), known[i : i + CHUNK]), F.lit(False)))
+    return out.select(*findings.columns)
 
 
 def self_shield(findings: DataFrame, entries: DataFrame) -> DataFrame:
@@ -137,13 +160,23 @@ def chains(findings: DataFrame, table: list[tuple] = rules.CHAINS, most: int = 1
     have no type in common. Severity is the highest of the rule and its members, high at most
     without a confirmed member. Of chains of a rule with equal members one stays; `most` are reported.
     """
-    parts = []
+    # Every type knows its legs, so one pass and one aggregation find the first finding of each.
+    by_type: dict[str, list[Column]] = {}
     for rule, severity, legs, same_host in table:
         for leg, types in enumerate(legs):
-            hit = findings.where(F.col("type").isin(types) & (F.col("host") != "")) if same_host else findings.where(F.col("type").isin(types)).withColumn("host", F.lit(""))
-            first = F.min_by(F.struct("id", "validation_status", rank().alias("rank")), "ord").alias("m")
-            parts.append(hit.groupBy("host").agg(first).select(F.lit(rule).alias("rule"), F.lit(rules.SEVERITIES.index(severity)).alias("top"), F.lit(len(legs)).alias("legs"), F.lit(leg).alias("leg"), "host", "m.*"))
-    met = reduce(DataFrame.unionByName, parts).groupBy("rule", "host", "top", "legs").agg(
+            one = F.struct(F.lit(rule).alias("rule"), F.lit(rules.SEVERITIES.index(severity)).alias("top"), F.lit(len(legs)).alias("legs"), F.lit(leg).alias("leg"), F.lit(same_host).alias("same"))
+            for kind in types:
+                by_type.setdefault(kind, []).append(one)
+    legs_of = F.lit(None).cast("array<struct<rule:string,top:int,legs:int,leg:int,same:boolean>>")
+    for kind, ones in by_type.items():
+        legs_of = F.when(F.col("type") == kind, F.array(*ones)).otherwise(legs_of)
+    hits = findings.where(F.col("type").isin(list(by_type))).select(
+        "ord", "id", "validation_status", rank().alias("rank"), F.col("host").alias("own_"), F.inline(legs_of)
+    )
+    hits = hits.withColumn("host", F.when(F.col("same"), F.col("own_")).otherwise("")).where("not same or own_ <> ''")
+    first = F.min_by(F.struct("id", "validation_status", "rank"), "ord").alias("m")
+    parts = hits.groupBy("rule", "top", "legs", "leg", "host").agg(first).select("rule", "top", "legs", "host", "m.*")
+    met = parts.groupBy("rule", "host", "top", "legs").agg(
         F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("members"), F.max("rank").alias("rank"), F.max((F.col("validation_status") == "confirmed").cast("int")).alias("confirmed")
     )
     level = F.greatest("rank", "top")
