@@ -6,11 +6,15 @@ long reports are rows of lines, and digests are taken over stretches first.
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftgrid.functions import identity, rules
 from siftgrid.operators.findings import rank, severity_counts, verdict
+from siftgrid.sources.scratch import Scratch
 
 
 def level(severity: Column) -> Column:
@@ -92,20 +96,100 @@ def seal(prev: Column, digest: Column, at: Column, signer: Column) -> Column:
     return F.sha2(F.concat_ws("|", prev, digest, at, signer), 256)
 
 
-def envelopes(reports: DataFrame) -> DataFrame:
-    """target, at, signer, digest, prev_hash, self_hash: each report (target, at, signer, digest) sealed over the one before it.
+#: Children of a node, and numbers of findings in a leaf, of a digest tree.
+FAN, LEAF = 16, 64
+
+
+def leaf_digests(findings: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """source, level (0), node, digest, n: SHA-256 over each stretch of `leaf` numbers of a source's findings, in order."""
+    text = F.concat_ws("|", F.lpad(F.col("ord").cast("string"), 12, "0"), "type", F.col("line").cast("string"), "value")
+    return findings.groupBy("source", F.floor(F.col("ord") / leaf).alias("node")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(text)), ","), 256).alias("digest"), F.count("*").alias("n")).select("source", F.lit(0).alias("level"), "node", "digest", "n")
+
 
-    A target's reports are a chain, so its list is gone through in order; each is a few hashes long.
+def parents(nodes: DataFrame, fan: int = FAN) -> DataFrame:
+    """The nodes one level up: a digest over the children's numbers and digests."""
+    children = F.sort_array(F.collect_list(F.struct("node", "digest")))
+    text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["node"].cast("string"), c["digest"])), ",")
+    up = nodes.groupBy("source", "level", F.floor(F.col("node") / fan).alias("parent")).agg(F.sha2(text, 256).alias("digest"), F.sum("n").alias("n"))
+    return up.select("source", (F.col("level") + 1).alias("level"), F.col("parent").alias("node"), "digest", "n")
+
+
+def digest_tree(findings: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+    """source, level, node, digest, n of a tree over each source's findings (source, ord, type, line, value), written level by level; all sources have the same height.
+
+    A leaf is a stretch of numbers, so a finding that is added, changed or gone changes its own leaf and the path above it alone.
     """
-    start = F.expr("cast(array() as array<struct<at:string,signer:string,digest:string,prev_hash:string,self_hash:string>>)")
+    scratch = Scratch(findings.sparkSession)
+    level = scratch.keep(leaf_digests(findings, leaf), "tree/part=0")
+    k = 0
+    while (level.agg(F.max("node")).first()[0] or 0) > 0:
+        k += 1
+        level = scratch.keep(parents(level, fan), f"tree/part={k}")
+    return findings.sparkSession.read.parquet(f"{scratch.root}/tree").drop("part")
 
-    def add(out: Column, r: Column) -> Column:
-        prev = F.coalesce(F.get(out, F.size(out) - 1)["self_hash"], F.lit(""))
-        one = F.struct(r["at"].alias("at"), r["signer"].alias("signer"), r["digest"].alias("digest"), prev.alias("prev_hash"), seal(prev, r["digest"], r["at"], r["signer"]).alias("self_hash"))
-        return F.concat(out, F.array(one))
 
-    listed = reports.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("at", "signer", "digest"))).alias("r"))
-    return listed.select("target", F.inline(F.aggregate("r", start, add)))
+def changed_leaves(before: DataFrame, after: DataFrame, fan: int = FAN) -> DataFrame:
+    """source, node, change (new, gone, changed) of the leaves in which two digest trees differ, found from the top: only what stands below a difference is compared.
+
+    Trees of different height are compared from the lower one's top.
+    """
+    top = min(t.agg(F.max("level")).first()[0] or 0 for t in (before, after))
+    open_ = None
+    for k in range(top, -1, -1):
+        at = lambda t, name: t.where(F.col("level") == k).select("source", "node", F.col("digest").alias(name))  # noqa: B023, E731
+        a, b = at(before, "was"), at(after, "now")
+        if open_ is not None:
+            under = lambda t: t.withColumn("up", F.floor(F.col("node") / fan)).join(open_, ["source", "up"], "left_semi").drop("up")  # noqa: B023, E731
+            a, b = under(a), under(b)
+        both = a.join(b, ["source", "node"], "full").where(~F.col("was").eqNullSafe(F.col("now")))
+        if k:
+            open_ = both.select("source", F.col("node").alias("up"))
+    return both.select("source", "node", F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "gone").otherwise("changed").alias("change"))
+
+
+def checked(shown: DataFrame, tree: DataFrame, roots: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+    """source, node, intact: whether the findings shown, whole leaves of a source, are those that the root (source, digest) was made of.
+
+    Only the shown findings are read: their digests take their place among the tree's nodes, level by level.
+    """
+    now = leaf_digests(shown, leaf).withColumn("leaf_", F.col("node"))
+    for k in range(1, (tree.agg(F.max("level")).first()[0] or 0) + 1):
+        own = now.withColumn("up", F.floor(F.col("node") / fan)).withColumnsRenamed({"node": "own_", "digest": "mine_"}).drop("n", "level")
+        beside = tree.where(F.col("level") == k - 1).withColumn("up", F.floor(F.col("node") / fan)).select("source", "up", "node", "digest")
+        others = F.collect_list(F.when(F.col("node") != F.col("own_"), F.struct("node", "digest")))
+        children = F.sort_array(F.concat(others, F.array(F.struct(F.col("own_").alias("node"), F.col("mine_").alias("digest")))))
+        text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["node"].cast("string"), c["digest"])), ",")
+        met = own.join(beside, ["source", "up"], "left").groupBy("source", "leaf_", "up", "own_", "mine_").agg(F.sha2(text, 256).alias("digest"))
+        now = met.select("source", "leaf_", F.col("up").alias("node"), "digest", F.lit(0).alias("n"), F.lit(k).alias("level"))
+    return now.join(roots.select("source", F.col("digest").alias("root_")), "source", "left").select("source", F.col("leaf_").alias("node"), F.coalesce(F.col("digest") == F.col("root_"), F.lit(False)).alias("intact"))
+
+
+SEALED = "target string, at string, signer string, digest string, prev_hash string, self_hash string"
+
+
+def envelopes(reports: DataFrame) -> DataFrame:
+    """target, at, signer, digest, prev_hash, self_hash: each report (target, at, signer, digest) sealed over the one before it."""
+    return appended(reports.sparkSession.createDataFrame([], SEALED), reports)
+
+
+def appended(chain: DataFrame, reports: DataFrame) -> DataFrame:
+    """The envelopes of later reports, to be added to a chain: each target goes on from its last hash, and what is sealed is not read but for that.
+
+    A target's new reports are sealed in order of (at, signer, digest), a few hashes each, in time linear in their number.
+    """
+    last = chain.groupBy("target").agg(F.max_by("self_hash", "at").alias("last_"))
+    rows = reports.select("target", "at", "signer", "digest").join(last, "target", "left").withColumn("last_", F.coalesce("last_", F.lit("")))
+
+    def add(r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values(["at", "signer", "digest"])
+        prev, before, own = r["last_"].iloc[0], [], []
+        for at, signer, digest in zip(r["at"], r["signer"], r["digest"], strict=True):
+            before.append(prev)
+            prev = hashlib.sha256("|".join(x for x in (prev, digest, at, signer) if x is not None).encode()).hexdigest()
+            own.append(prev)
+        return r[["target", "at", "signer", "digest"]].assign(prev_hash=before, self_hash=own)
+
+    return rows.groupBy("target").applyInPandas(add, SEALED)
 
 
 def verified(chain: DataFrame, reports: DataFrame) -> DataFrame:
