@@ -116,6 +116,28 @@ def best_origin(candidates: DataFrame) -> DataFrame:
     return candidates.where("host is not null").groupBy("host").agg(F.min_by("origin", place).alias("origin"))
 
 
+def first_hosts(candidates: DataFrame, most: int = 50) -> DataFrame:
+    """host, origin, place of the first `most` hosts that resolve, from 1: by their best origin, then by name; candidates: host, origin, resolved.
+
+    The limit is the feature; only that many rows are sorted together, each task's first ones.
+    """
+    place = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("origin"))
+    each = candidates.where("host is not null").groupBy("host").agg(F.min_by("origin", place).alias("origin"), F.max("resolved").alias("resolved")).where("resolved")
+    order = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("origin"))
+    first = each.select("host", "origin", order.alias("o_")).orderBy("o_", "host").limit(most)
+    return first.select("host", "origin", F.row_number().over(Window.orderBy("o_", "host")).alias("place"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """The other columns of pages (html), kind (anchor, script) and link: addresses of anchors and of scripts that a page loads, in double or single quotes for scripts; a script without one is none."""
+    rest = [c for c in pages.columns if c != "html"]
+    one = lambda kind, found: F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("link")))
+    anchors = F.regexp_extract_all("html", F.lit(r'(?i)<a\b[^>]*\shref="([^"]*)"'), F.lit(1))
+    tags = F.regexp_extract_all("html", F.lit(r"(?i)<script\b[^>]*>"), F.lit(0))
+    sources = F.filter(F.transform(tags, lambda t: F.coalesce(F.nullif(F.regexp_extract(t, r'(?i)\ssrc="([^"]*)"', 1), F.lit("")), F.regexp_extract(t, r"(?i)\ssrc='([^']*)'", 1))), lambda x: x != "")
+    return pages.select(*rest, F.inline(F.concat(one("anchor", anchors), one("script", sources))))
+
+
 def by_origin(candidates: DataFrame) -> DataFrame:
     """origin, candidates, hosts of candidates (host, origin)."""
     return candidates.groupBy("origin").agg(F.count("*").alias("candidates"), F.count_distinct("host").alias("hosts"))

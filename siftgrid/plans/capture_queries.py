@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftgrid.functions import rules, urls
-from siftgrid.operators import feeds, report_rows, similar
+from siftgrid.operators import feeds, ownership, report_rows, similar
 from siftgrid.plans.core_queries import any_of, listed
 from siftgrid.plans.registry import query
 from siftgrid.plans.web_queries import CODE_SQL, HOST_SQL, doc_values, pages, values_sql
@@ -87,14 +87,23 @@ def src_openapi_views(spark, sf_dir):
     return feeds.api_views(doc_values(spark, sf_dir, OPENAPI, "text"))
 
 
-@query("required_coverage", f"with p as (select distinct {pick_sql(T.PATHS, 'doc_id % 40')} as path from documents), r(part) as (values ('config/'), ('src/'), ('infra/'), ('LICENSE')) select part from r where not exists (select 1 from p where contains(path, part))")
+#: Files of repositories: owners in one of three places or none, some of what needs one named.
+OWNED = [".github/CODEOWNERS", "CODEOWNERS", "docs/CODEOWNERS", "README.md", "src/CODEOWNERS", "CODEOWNERS"]
+OWNERS = ["* @all", "/.github/workflows/ @a\n/core/ @b\npyproject.toml @c", "core/ @b\n# pyproject.toml", "", "/.github/workflows/x.yml @a\ncore pyproject.toml @c"]
+NEED_OWNER = [".github/workflows", "core", "pyproject.toml"]
+
+
+@query(
+    "required_coverage",
+    f"""with f as (select doc_id // 3 as repo, {pick_sql(OWNED, '(doc_id * 5 // 3)')} as path, {pick_sql(OWNERS, 'doc_id')} as text, doc_id from documents), o as (select * from (select distinct repo from f) r left join (select repo, path, text from f where path in {listed(ownership.PLACES)} qualify row_number() over (partition by repo order by list_position({ownership.PLACES}, path), text) = 1) using (repo)),
+    m as (select repo, path, case when path is null then {NEED_OWNER} else list_filter({NEED_OWNER}, lambda p: not contains(text, p)) end as missing from o)
+    select repo, case when path is null then 'codeowners_missing' else 'codeowners_incomplete' end as type, case when path is null then 'medium' else 'low' end as severity, coalesce(path, '.github/CODEOWNERS') as source, missing from m where len(missing) > 0""",
+)
 def required_coverage(spark, sf_dir):
-    """Required parts that no path holds: one pass with a flag a part, no join."""
-    p = T.read(spark, sf_dir, "documents").select(pick(T.PATHS, F.pmod("doc_id", F.lit(40))).alias("path"))
-    parts = ["config/", "src/", "infra/", "LICENSE"]
-    flags = p.agg(*[F.coalesce(F.max(F.contains("path", F.lit(x))), F.lit(False)).alias(f"f{i}") for i, x in enumerate(parts)])
-    missing = F.array_compact(F.array(*[F.when(~F.col(f"f{i}"), x) for i, x in enumerate(parts)]))
-    return flags.select(F.explode(missing).alias("part"))
+    """Ownership files of repositories of three files each; of two files at one place the lesser text counts."""
+    n = F.col("doc_id")
+    f = T.read(spark, sf_dir, "documents").select(F.floor(n / 3).alias("repo"), pick(OWNED, F.floor(n * 5 / 3)).alias("path"), pick(OWNERS, n).alias("text"))
+    return ownership.coverage(f.groupBy("repo", "path").agg(F.min("text").alias("text")), NEED_OWNER)
 
 
 _norm = CODE_SQL

@@ -76,9 +76,19 @@ def src_classify(spark, sf_dir):
     return paths(spark, sf_dir).select("doc_id", "path", F.explode(found).alias("category"))
 
 
-@query("src_html_links", "select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages")
+#: A script from elsewhere, put before some pages.
+OUTSIDE = ['<script src="https://cdn{n}.example.net/a.js"></script>', "<SCRIPT defer src='/own{n}.js'>", "<script>var src = 'x'</script>", ""]
+
+
+@query(
+    "src_html_links",
+    f"""with h as (select page_id, {pick_sql(OUTSIDE, 'page_id')} || html as html from pages), a as (select page_id, 'anchor' as kind, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*\\shref="([^"]*)"', 1)) as link from h),
+    t as (select page_id, unnest(regexp_extract_all(html, '(?i)<script\\b[^>]*>')) as tag from h) select * from a union all select page_id, 'script', coalesce(nullif(regexp_extract(tag, '(?i)\\ssrc="([^"]*)"', 1), ''), regexp_extract(tag, '(?i)\\ssrc=\\x27([^\\x27]*)\\x27', 1)) from t where regexp_matches(tag, '(?i)\\ssrc=["\\x27][^"\\x27]')""",
+)
 def src_html_links(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    """Anchors, and scripts that a page loads."""
+    p = pages(spark, sf_dir).select("page_id", F.concat(pick(OUTSIDE, F.col("page_id")), "html").alias("html"))
+    return site.page_links(p).select("page_id", "kind", "link")
 
 
 @query("src_html_surfaces", "select page_id, 'script' as kind, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1)) as content from pages")
@@ -380,12 +390,14 @@ def candidate_object_urls(spark, sf_dir):
 
 
 def candidates(spark, sf_dir):
-    return pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), pick(site.PRIORITY, F.col("page_id")).alias("origin"))
+    return pages(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("host"), pick(site.PRIORITY, F.col("page_id")).alias("origin"))
 
 
-@query("source_priority", f"with c as (select {HOST_SQL} as host, {pick_sql(site.PRIORITY, 'page_id')} as origin from pages) select host, arg_min(origin, list_position({site.PRIORITY}, origin)) as origin from c where host is not null group by host")
+@query("source_priority", f"with c as (select {HOST_SQL} as host, {pick_sql(site.PRIORITY, 'page_id')} as origin, page_id % 7 <> 3 as resolved from pages), o as (select host, arg_min(origin, list_position({site.PRIORITY}, origin)) as origin, bool_or(resolved) as resolved from c where host is not null group by host) select host, origin, (row_number() over (order by list_position({site.PRIORITY}, origin), host))::int as place from o where resolved qualify place <= 40")
 def source_priority(spark, sf_dir):
-    return site.best_origin(candidates(spark, sf_dir))
+    """The first 40 hosts that resolve, by their best source and then by name."""
+    c = candidates(spark, sf_dir).withColumn("resolved", F.pmod("page_id", F.lit(7)) != 3)
+    return site.first_hosts(c, 40)
 
 
 @query("subdomain_sources", f"with c as (select {HOST_SQL} as host, {pick_sql(site.PRIORITY, 'page_id')} as origin from pages) select origin, count(*) as candidates, count(distinct host) as hosts from c group by origin")
