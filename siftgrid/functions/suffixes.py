@@ -43,40 +43,43 @@ class Suffixes:
             raise ValueError(f"more than {MOST_RULES} lines in {path}")
         return cls.of(lines, unknown_too)
 
-    def labels(self, host: Column) -> Column:
-        """How many labels of a host, from the right, are its public suffix; 0 if none is known."""
+    def labels(self, parts: Column) -> Column:
+        """How many of a host's parts, from the right, are its public suffix; 0 if none is known."""
         most = max((r.count(".") + 1 for r in self.plain | self.wild | self.exceptions), default=1) + 1
         by_depth = lambda names: {k: sorted(n for n in names if n.count(".") + 1 == k) for k in range(1, most + 1)}
         plain, wild, exceptions = map(by_depth, (self.plain, self.wild, self.exceptions))
-        parts = F.split(F.lower(host), r"\.", -1)
-        tails = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.array_join(F.slice(parts, F.greatest(F.size(parts) - k + 1, F.lit(1)), k), "."))
 
-        def chosen(s: Column) -> Column:
-            out = F.when(s["n"].isNull(), F.lit(None).cast("int"))
+        def chosen(tails: Column) -> Column:
+            # tails[k - 1] has the last k parts; there are as many as the host has, `most` at most.
+            tail = lambda k: F.get(tails, F.lit(k - 1))
+            out = F.when(tails.isNull(), F.lit(None).cast("int"))
             # An exception beats all, and its suffix is a label shorter; then the rule of most labels.
             for k in range(most, 0, -1):
                 if exceptions[k]:
-                    out = out.when((s["n"] >= k) & F.element_at(s["tails"], k).isin(exceptions[k]), k - 1)
+                    out = out.when(tail(k).isin(exceptions[k]), k - 1)
             for k in range(most, 0, -1):
-                for names, depth in ((plain, k), (wild, k - 1)):
-                    if depth and names[depth]:
-                        out = out.when((s["n"] >= k) & F.element_at(s["tails"], depth).isin(names[depth]), k)
+                if plain[k]:
+                    out = out.when(tail(k).isin(plain[k]), k)
+                if k > 1 and wild[k - 1]:
+                    out = out.when(tail(k).isNotNull() & tail(k - 1).isin(wild[k - 1]), k)
             return out.otherwise(1 if self.unknown_too else 0)
 
-        return bound(F.struct(F.size(parts).alias("n"), tails.alias("tails")), chosen)
+        numbers = F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most)))
+        return bound(F.transform(numbers, lambda k: last_parts(parts, k)), chosen)
 
     def suffix(self, host: Column) -> Column:
-        n = self.labels(host)
-        return bound(n, lambda k: F.when(k > 0, last_labels(host, k)))
+        return bound(F.split(F.lower(host), r"\.", -1), lambda parts: bound(self.labels(parts), lambda k: F.when(k > 0, last_parts(parts, k))))
 
     def registrable(self, host: Column) -> Column:
         """The public suffix and the label before it; null for a suffix itself, an empty label, or no known suffix."""
-        parts = F.split(F.lower(host), r"\.", -1)
-        return bound(self.labels(host), lambda k: F.when((k > 0) & (F.size(parts) > k) & ~F.array_contains(parts, ""), last_labels(host, k + 1)))
 
+        def of(parts: Column) -> Column:
+            return bound(self.labels(parts), lambda k: F.when((k > 0) & (F.size(parts) > k) & ~F.array_contains(parts, ""), last_parts(parts, k + 1)))
 
-def last_labels(host: Column, k: Column) -> Column:
-    parts = F.split(F.lower(host), r"\.", -1)
+        return bound(F.split(F.lower(host), r"\.", -1), of)
+
+
+def last_parts(parts: Column, k: Column) -> Column:
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - k + 1, F.lit(1)), k), ".")
 
 
@@ -92,5 +95,8 @@ DEFAULT = Suffixes.of(COMMON)
 
 def registrable(host: Column, suffixes: Suffixes = DEFAULT) -> Column:
     """The registrable domain of a host; a host that has none (an address, a suffix, a bare name) stands for itself."""
-    h = F.lower(host)
-    return F.when(h.contains(":") | h.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), h).otherwise(F.coalesce(suffixes.registrable(h), h))
+
+    def of(h: Column) -> Column:
+        return F.when(h.contains(":") | h.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), h).otherwise(F.coalesce(suffixes.registrable(h), h))
+
+    return bound(F.lower(host), of)

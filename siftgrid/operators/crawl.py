@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftgrid.functions import hosts, suffixes, urls
+from siftgrid.functions.text import bound
 from siftgrid.sources.scratch import Scratch
 
 #: Levels of at most so many rows are sent whole.
@@ -19,8 +20,14 @@ def domain_of(url: Column) -> Column:
 
 def in_scope(link: Column, domain: Column, guarded: bool = True) -> Column:
     """Whether a link stays in a registrable domain and leads to no internal host; an explicit http(s) address with a host."""
-    own = F.coalesce(domain_of(link) == domain, F.lit(False))
-    return own & ~hosts.internal(urls.host(link)) if guarded else own
+
+    def of(host: Column) -> Column:
+        # Suffix rules are asked only for hosts that may be in the domain.
+        maybe = (host == domain) | host.endswith(F.concat(F.lit("."), domain))
+        own = F.when(maybe, F.coalesce(suffixes.registrable(host) == domain, F.lit(False))).otherwise(False)
+        return own & ~hosts.internal(host) if guarded else own
+
+    return bound(urls.host(link), of)
 
 
 def frontier(links: DataFrame, roots: DataFrame, most: int = 100, depth: int | None = None, guarded: bool = True) -> DataFrame:

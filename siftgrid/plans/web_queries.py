@@ -279,8 +279,9 @@ def page_links(spark, sf_dir):
     select page_id as page, domain, url, (row_number() over (partition by page_id order by ord))::int as place from fine qualify place <= 4""",
 )
 def link_scope_filter(spark, sf_dir):
-    l = page_links(spark, sf_dir)
-    return site.scoped_links(l.select(F.col("page_id").alias("page"), crawl.domain_of(F.col("url")).alias("domain"), "ord", "link"), most=4)
+    homes = pages(spark, sf_dir).select(F.col("page_id").alias("page"), crawl.domain_of(F.col("url")).alias("domain"))
+    l = page_links(spark, sf_dir).select(F.col("page_id").alias("page"), "ord", "link")
+    return site.scoped_links(l.join(homes, "page"), most=4)
 
 
 #: Pages lead to the next pages of a tree over their numbers, and back.
