@@ -44,6 +44,8 @@ GROUP_TOKENS = 1 << 18
 LEAD = 6
 #: So many of the commonest tokens are ordered by their count; the order changes no result.
 ORDERED = 1 << 18
+#: Rows that a task gives on at once, so that it holds few texts twice.
+GIVEN = 1000
 #: Tokens counted together in a task.
 COUNTED = 1 << 20
 
@@ -194,8 +196,13 @@ def marked(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> DataFra
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=1).compress
+        names = [c.split()[0] for c in MARKED.split(", ")]
+
+        def given(out: dict[str, list]) -> pd.DataFrame:
+            return pd.DataFrame({c: pd.Series(v, dtype=None if c in ("n", "held", "least_a", "least_b") else object) for c, v in out.items()})
+
         for batch in batches:
-            out: dict[str, list] = {c.split()[0]: [] for c in MARKED.split(", ")}
+            out: dict[str, list] = {c: [] for c in names}
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = lower(text)
                 found = tokens_of(words, n)
@@ -208,7 +215,11 @@ def marked(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> DataFra
                 out["least_b"].append(int(mixed(found ^ TWO).min() >> np.uint64(1)) if len(found) else 0)
                 out["lead"].append(lead.view(np.int64))
                 out["text"].append(pack(words) if len(found) else None)
-            yield pd.DataFrame({c: pd.Series(v, dtype=None if c in ("n", "held", "least_a", "least_b") else object) for c, v in out.items()})
+                if len(out["n"]) == GIVEN:
+                    yield given(out)
+                    out = {c: [] for c in names}
+            if out["n"]:
+                yield given(out)
 
     ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     return ids.mapInPandas(mark, MARKED)
@@ -380,7 +391,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     named = classes.select("key", F.col("rid").alias("node"), "first", "copies").join(linked.join(first, "root"), "node", "left")
     named = cut(named.select("key", F.coalesce("least", "first").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(sent_whole(named, F.lit(40)), "key", "left")
-    done(groups, pairs, wanted)
+    done(classes, groups, pairs, wanted, found, linked)
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
