@@ -1,33 +1,32 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Tokens are words and one end mark a text. Every word belongs to a class: each of
-the commonest words by the counts of all learning texts is a class of its own, other
-words share `suffixes` classes by their last two bytes. How many words are common
-grows with the corpus, as the square root of its distinct words, up to
-`most_frequent`: the table of class pairs is broadcast, so it needs a bound.
-P(text) is the product over tokens of P(class | class before) and P(word | class),
-each from Chinese restaurants:
-
-- a restaurant for every class as context, serving the class that follows; all
-  send a customer for each new table to one parent restaurant, whose own parent is
-  even over the classes;
-- a restaurant for every shared class, serving its words, with a parent that is
-  even over the class's words and one unknown word.
-
-Counts cover all learning texts: each task sums its own, one shuffle adds up the
-words, a second pass the pairs of classes. Seating is sampled by Gibbs sweeps over
-those counts: the customers of a dish leave, and come back one by one (from the 64th
-on in groups of a twentieth) to its own tables or to a new one, weighed by the other
-dishes' tables and the parent's probability of the sweep before. The seats of a
-sweep are a written table; dishes of a restaurant are drawn side by side. After
-`burn` sweeps, predictive probabilities are averaged over `keep` more. Class
-restaurants are bounded by the squared number of classes, so their averaged
-probabilities are broadcast; word tables grow with the corpus and stay distributed.
-
-To score, each task numbers the distinct words of a batch of texts and asks for
-their counts by hash: requests and words meet by bucket, answers and texts by
-batch, so what is shuffled is a few numbers for each distinct word of a batch and
-of a text, never texts or single tokens. Words are known by their 64-bit XXH64.
+Tokens are words and one end mark a text. Every word is a context with a restaurant
+of its own, serving the words that follow it; all restaurants send a customer for each
+new table to one parent, whose own parent is even over the words, the end mark and one
+unknown word. P(text) is the product over tokens of P(word | word before).
+
+Counts cover all learning texts: each task sums its own, one shuffle adds up the words,
+a second pass the pairs, by bucket of the context (a frequent one is dealt out over
+several). Seating is sampled by Gibbs sweeps over the pairs seen more than once; the
+customers of a dish leave, and come back one by one (from the 64th on in groups of a
+twentieth) to its own tables or to a new one, weighed by the other dishes' tables and
+the parent's probability of the sweep before. The parent's own tables are expected
+ones. The seats of a sweep are a written table; dishes of a restaurant are drawn side
+by side. After `burn` sweeps, tables are averaged over `keep` more.
+
+What a sweep needs of the `held` commonest words is broadcast. Pairs with any other
+word get the same from joins: `held` is a matter of memory and changes no probability.
+
+A pair's probability is what its context passes on, times the parent's probability of
+the word, times a gain that only seen pairs have; so a text's score is a sum over its
+words plus a sum over its seen pairs. To score, each task numbers the distinct words of
+a batch of texts, sums what the broadcast words give, and asks the buckets for the rest:
+they answer sums by text. Texts and single tokens are never shuffled. Words are known
+by their 64-bit XXH64, less its sign for those that aren't held.
+
+With a number of frequent words, `learn` gives a smaller model instead: those words and
+groups of the others by their last bytes are classes, P(class | class before) and
+P(word | class) come from restaurants by class, and the class table is broadcast.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pandas as pd
@@ -206,21 +205,30 @@ def learn(
     learning: DataFrame,
     frequent: int | None = None,
     suffixes: int = 256,
-    most_frequent: int = 2047,
+    held: int = 1 << 20,
     most_words: int = 300_000,
     burn: int = 4,
     keep: int = 4,
     strength: float = 1.0,
-) -> tuple[Model, DataFrame]:
-    """A model and its word table (hash, n, kind, own), from learning texts (doc_id, text)."""
+) -> tuple[Model | Words, DataFrame]:
+    """A model and its table, from learning texts (doc_id, text).
+
+    Every word has a restaurant of its own. With a number of frequent words, those alone
+    have one and other words share classes; the table is then of words (hash, n, kind, own).
+    """
+    if frequent is None:
+        return learn_words(learning, held, most_words, burn, keep, strength)
+    return learn_classes(learning, frequent, suffixes, most_words, burn, keep, strength)
+
+
+def learn_classes(learning: DataFrame, frequent: int, suffixes: int, most_words: int, burn: int, keep: int, strength: float) -> tuple[Model, DataFrame]:
     spark = learning.sparkSession
     counted = cut(word_counts(learning, suffixes, most_words))
     total = counted.agg(
         F.sum(F.when(F.col("ending") >= 0, F.col("n"))).alias("tokens"), F.sum((F.col("ending") >= 0).cast("int")).alias("words"), F.sum(F.when(F.col("ending") == TEXTS, F.col("n"))).alias("texts")
     ).first()
     tokens, distinct, texts = (total[c] or 0 for c in ("tokens", "words", "texts"))
-    many = min(most_frequent, max(64, math.isqrt(distinct) // 2)) if frequent is None else frequent
-    top = counted.where("ending >= 0").orderBy(F.desc("n"), "key").select("key").limit(many).collect()
+    top = counted.where("ending >= 0").orderBy(F.desc("n"), "key").select("key").limit(frequent).collect()
     classes = Classes(np.sort(np.array([r["key"] for r in top], np.int64)), suffixes)
     k = classes.number
     pairs = cut(pair_counts(learning, classes))
@@ -319,13 +327,15 @@ TEXT_ROW = "batch long, doc_id long, held_out boolean, n_words long, log_class d
 ASK_ROW = "bucket long, hashes binary, kinds binary, places binary"
 
 
-def score(docs: DataFrame, model: Model, word_table: DataFrame, held_out: Column, batch_docs: int = 5000, batch_words: int = 250_000) -> DataFrame:
+def score(docs: DataFrame, model: Model | Words, word_table: DataFrame, held_out: Column, batch_docs: int = 5000, batch_words: int = 250_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
 
     A null text counts as empty: its end mark alone is scored. Repeated rows are
     scored each. Without learning texts every word is unknown. Other columns are
     ignored; an empty table gives no rows.
     """
+    if isinstance(model, Words):
+        return score_words(docs, model, word_table, held_out, batch_docs, batch_words)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     buckets = max(8, math.ceil(max(model.distinct / 200_000, docs.count() / 10_000)))
@@ -423,6 +433,461 @@ def score(docs: DataFrame, model: Model, word_table: DataFrame, held_out: Column
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+#: The second place of a row that holds a word's own values instead of a pair's.
+ALONE = -1
+#: Beyond so many learning tokens a bucket, there are more buckets; a context of more tokens than that is dealt out over several.
+BUCKET_TOKENS = 2_000_000
+
+
+def pack(x: np.ndarray, kind: str = "<i8") -> bytes:
+    """Integers as bytes, first all lowest ones, then the next; what is small or alike takes little room."""
+    x = np.ascontiguousarray(x, kind)
+    return compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def unpack(packed: bytes, kind: str = "<i8") -> np.ndarray:
+    flat = np.frombuffer(decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(flat.T).view(kind).ravel()
+
+
+def mixed(u: np.ndarray, w: np.ndarray | int) -> np.ndarray:
+    """A 64-bit hash of two codes."""
+    x = u.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(32))) + np.asarray(w, np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+@dataclass
+class Book:
+    """Codes of words: 0 is the end mark, then come the commonest words by falling count; any other word's code is its hash with the sign set."""
+
+    hashes: np.ndarray  # of the commonest words, rising
+    rank: np.ndarray
+    parts: np.ndarray  # by code, of the contexts that are dealt out over several buckets: over how many
+    buckets: int
+    number: int  # of contexts: all words, the end mark and one for unknown words
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        out = hashes | np.int64(-(1 << 63))
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == hashes, self.rank[at] + 1, out)
+        return out
+
+    def bucket(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        sub = np.zeros(len(u), np.int64)
+        at = np.flatnonzero((u >= 0) & (u < len(self.parts)))
+        sub[at] = (mixed(w[at], 0) % self.parts[u[at]]).astype(np.int64)
+        return (mixed(u, sub) % np.uint64(self.buckets)).astype(np.min_scalar_type(self.buckets))
+
+    def parcels(self, u: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes, bytes]]:
+        """bucket, rows, their u and w, packed, of every bucket that has any; rows of one u should come together."""
+        bucket = self.bucket(u, w)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(self.buckets), "right").tolist()
+        for b, (start, end) in enumerate(zip([0, *ends], ends, strict=False)):
+            at = order[start:end]
+            if len(at):
+                yield b, at, pack(np.diff(u[at], prepend=0)), pack(w[at])
+
+
+def unparcel(u: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(unpack(u)), unpack(w)
+
+
+PAIR_ROW = "bucket int, u binary, w binary, n binary"
+TABLE_ROW = "bucket int, u binary, w binary, value binary, n binary"
+
+
+def word_pairs(learning: DataFrame, book: Book, most_words: int = 300_000, most_pairs: int = 2_000_000) -> DataFrame:
+    """How often one word follows another in all texts: a row a bucket, of packed u, w and n, with the number of pairs seen once and twice."""
+    shared = learning.sparkSession.sparkContext.broadcast(book)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch, held, size = Batch(1), [], 0
+
+        def summed() -> pd.DataFrame:
+            codes = np.concatenate([[0], shared.value.codes(batch.hashes())])
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            u, w = codes[keys >> 32], codes[keys & 0xFFFFFFFF]
+            return pd.DataFrame([(b, pu, pw, pack(n[at])) for b, at, pu, pw in shared.value.parcels(u, w)], columns=["bucket", "u", "w", "n"])
+
+        for b in batches:
+            for text in b["text"]:
+                q = np.zeros(2 + len(ids := batch.ids(lower_words(text))), np.int64)
+                q[1:-1] = ids + 1
+                held.append(q[:-1] << 32 | q[1:])
+                size += len(q) - 1
+                if size >= most_pairs or len(batch.number) >= most_words:
+                    yield summed()
+                    batch, held, size = Batch(1), [], 0
+        if held:
+            yield summed()
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        u, w = (np.concatenate(x) for x in zip(*map(unparcel, rows["u"], rows["w"]), strict=True))
+        n = np.concatenate([unpack(x) for x in rows["n"]])
+        key = mixed(u, w)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+        n, at = np.add.reduceat(n[order], first), order[first]
+        by = np.argsort(u[at])
+        at, n = at[by], n[by]
+        return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "u": [pack(np.diff(u[at], prepend=0))], "w": [pack(w[at])], "n": [pack(n)], "once": [(n == 1).sum()], "twice": [(n == 2).sum()]})
+
+    return learning.select("text").mapInPandas(run, PAIR_ROW).groupBy("bucket").applyInPandas(merged, f"{PAIR_ROW}, once long, twice long")
+
+
+def parent_tables(c: np.ndarray, others: float, even: float, d: float, strength: float) -> np.ndarray:
+    """Expected tables of dishes of the parent restaurant after c customers, where all dishes have `others` tables."""
+    t, j = np.minimum(c, 1.0).astype(float), 1.0
+    live = np.flatnonzero(c > 1)
+    while len(live):
+        step = 1.0 if j < 64 else j // 20
+        new = (strength + d * (others - 1 + t[live])) * even
+        t[live] += np.minimum(step, c[live] - j) * new / (new + j - d * t[live])
+        j += step
+        live = live[c[live] > j]
+    return t
+
+
+@dataclass
+class Parent:
+    """What gives the parent's probability of a word from its customers there."""
+
+    others: float
+    at_root: float  # tables in all
+    served: float  # customers in all
+    even: float
+    d: float
+    strength: float
+
+    def above(self, c: np.ndarray) -> np.ndarray:
+        values, at = np.unique(c, return_inverse=True)
+        root = parent_tables(values, self.others, self.even, self.d, self.strength)
+        return ((values - self.d * root + (self.strength + self.d * self.at_root) * self.even) / (self.strength + self.served))[at]
+
+
+@dataclass
+class Sweep:
+    """By code, `share` times: tables of the book's contexts, and customers of its words in the parent; packed, because every worker gets them in every sweep."""
+
+    share: float
+    tables: bytes
+    sent: bytes
+    parent: Parent
+
+    def opened(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tables of contexts and the parent's probabilities of words."""
+        return unpack(self.tables) * self.share, self.parent.above(unpack(self.sent) * self.share)
+
+
+@dataclass
+class Words:
+    """The model of word pairs; what concerns words outside the book and seen pairs is in the table beside it."""
+
+    classes: Book
+    tokens: int
+    distinct: int  # with the end mark
+    texts: int
+    n: bytes  # by code: occurrences, packed
+    log_word: np.ndarray  # by code: log10 of what a context passes on to its parent, plus that of the parent's probability
+    log_unknown: float
+
+
+def learn_words(learning: DataFrame, held: int, most_words: int, burn: int, keep: int, strength: float) -> tuple[Words, DataFrame]:
+    """A model with a restaurant for every word, and its table of buckets (u, w, value, n)."""
+    spark = learning.sparkSession
+    counted = cut(word_counts(learning, 1, most_words))
+    total = counted.agg(
+        F.sum(F.when(F.col("ending") >= 0, F.col("n"))).alias("tokens"), F.sum((F.col("ending") >= 0).cast("int")).alias("words"), F.sum(F.when(F.col("ending") == TEXTS, F.col("n"))).alias("texts")
+    ).first()
+    tokens, distinct, texts = (total[c] or 0 for c in ("tokens", "words", "texts"))
+    top = counted.where("ending >= 0").orderBy(F.desc("n"), "key").limit(held).select("key", "n").toArrow()
+    keys, counts = top["key"].to_numpy(), np.concatenate([[texts], top["n"].to_numpy()])
+    rank = np.argsort(keys, kind="stable")
+    size, outside = len(counts), distinct > len(keys)
+    parts = (1 + counts // BUCKET_TOKENS).astype(np.uint64)
+    book = Book(keys[rank], rank.astype(np.int32), parts[: 1 + np.max(np.flatnonzero(parts > 1), initial=-1)], max(32, (tokens + texts) // BUCKET_TOKENS), distinct + 2)
+    even, d_root = 1.0 / book.number, 0.5
+    shared = spark.sparkContext.broadcast(book)
+    pairs = cut(word_pairs(learning, book))
+    once, twice = pairs.agg(F.sum("once"), F.sum("twice")).first()
+    d = discount(once or 0, twice or 0)
+
+    def singles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for pu, pw, n in zip(b["u"], b["w"], b["n"], strict=True):
+                alone = unpack(n) == 1
+                for x, column, other in zip(unparcel(pu, pw), ("as_u", "as_w"), ("as_w", "as_u"), strict=True):
+                    code, times = np.unique(x[alone], return_counts=True)
+                    yield pd.DataFrame({"code": code, "n": 0, column: times, other: 0})[["code", "n", "as_u", "as_w"]]
+
+    @F.pandas_udf("long")
+    def code_of(key: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.codes(key.to_numpy()))
+
+    ledger_row = "code long, n long, as_u long, as_w long"
+    words = counted.where("ending >= 0").select(code_of("key").alias("code"), "n", F.lit(0).cast("long").alias("as_u"), F.lit(0).cast("long").alias("as_w"))
+    ledger = cut(words.unionByName(pairs.select("u", "w", "n").mapInPandas(singles, ledger_row)).groupBy("code").agg(*[F.sum(c).alias(c) for c in ("n", "as_u", "as_w")]))
+    done(counted)
+    mine = ledger.where("code >= 0").select("code", "as_u", "as_w").toArrow()
+    as_u, as_w = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    as_u[mine["code"].to_numpy()], as_w[mine["code"].to_numpy()] = mine["as_u"].to_numpy(), mine["as_w"].to_numpy()
+    rest = ledger.where("code < 0")
+
+    def spelled(batches: Iterator[pd.DataFrame], inside: bool, several: bool) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for pu, pw, pn in zip(b["u"], b["w"], b["n"], strict=True):
+                (u, w), n = unparcel(pu, pw), unpack(pn)
+                at = np.flatnonzero((((u >= 0) & (w >= 0)) == inside) & ((n > 1) == several))
+                for start in range(0, len(at), 100_000):
+                    part = at[start : start + 100_000]
+                    yield pd.DataFrame({"u": u[part], "w": w[part], "n": n[part]})
+
+    def rows_of(inside: bool, several: bool) -> DataFrame:
+        return pairs.select("u", "w", "n").mapInPandas(lambda b: spelled(b, inside, several), "u long, w long, n long")
+
+    def joined(rows: DataFrame, table: DataFrame, column: str, *values: str) -> DataFrame:
+        """rows with values of the words outside the book in one column; the book's own words are dealt out instead of meeting in one task."""
+        by = F.when(F.col(column) < 0, F.col(column)).otherwise(F.abs(F.xxhash64("u", "w")))
+        return rows.withColumn("by", by).join(table.select(F.col("code").alias("by"), *[F.col(v).alias(f"{v}_{column}") for v in values]), "by", "left").drop("by")
+
+    start = [F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept")]  # every dish starts at one table
+    inner = cut(rows_of(True, True).select("*", *start))
+    outer = None
+    if outside:
+        outer = cut(joined(joined(rows_of(False, True), rest, "u", "as_u"), rest, "w", "as_w").select("u", "w", "n", *start, F.coalesce("as_u_u", F.lit(0)).alias("as_u"), F.coalesce("as_w_w", F.lit(0)).alias("as_w")))
+    # How many words outside the book are sent so many customers by pairs seen once.
+    flat = {r["as_w"]: r["count"] for r in rest.groupBy("as_w").count().collect()} if outside else {}
+
+    def state_of(column: str, others: float, share: float = 1.0) -> Sweep:
+        """The state that the seats in a column give, each counted by its share."""
+        seats = inner.select("u", "w", column)
+        if outer is not None:
+            seats = seats.unionByName(outer.select("u", "w", column))
+        both = []
+        for of, base in (("u", as_u), ("w", as_w)):
+            got = seats.where(f"{of} >= 0").groupBy(of).agg(F.sum(column).alias("t")).toArrow()
+            both.append(base * round(1 / share))
+            both[-1][got[of].to_numpy()] += got["t"].to_numpy()
+        hist = {(c, 0): m for c, m in flat.items()}
+        if outer is not None:
+            sent = outer.where("w < 0").groupBy("w").agg(F.sum(column).alias("t"), F.first("as_w").alias("as_w")).groupBy("as_w", "t").count()
+            for r in sent.collect():
+                hist[r["as_w"], 0] -= r["count"]
+                hist[r["as_w"], r["t"]] = hist.get((r["as_w"], r["t"]), 0) + r["count"]
+        # Words in the parent by their customers there.
+        c, m = np.unique(both[1], return_counts=True)
+        c, m = np.concatenate([c * share, [x + t * share for x, t in hist]]), np.concatenate([m, list(hist.values())])
+        at_root = (parent_tables(c, others, even, d_root, strength) * m).sum()
+        return Sweep(share, pack(both[0]), pack(both[1]), Parent(others, at_root, (c * m).sum(), even, d_root, strength))
+
+    def drawn(b: pd.DataFrame, tables: np.ndarray, above: np.ndarray, turn: int, i: int) -> pd.DataFrame:
+        t = b["t"].to_numpy()
+        rng = seeded("sweep", turn, i, TaskContext.get().partitionId())
+        t = seat(b["n"].to_numpy(), np.maximum(tables - t, 0), above, d, strength, rng).astype(np.int64)
+        return b.assign(t=t, kept=b["kept"] + t * (turn >= burn))
+
+    def sweep(s: Sweep, turn: int) -> tuple[DataFrame, DataFrame | None]:
+        """Seats after everyone left and came back."""
+        state = spark.sparkContext.broadcast(s)
+        columns = None if outer is None else outer.columns
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tables, parent = state.value.opened()
+            for i, b in enumerate(gathered(batches, 200_000)):
+                yield drawn(b, tables[b["u"]], parent[b["w"]], turn, i)
+
+        def run_outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            in_book, parent = state.value.opened()
+            for i, b in enumerate(gathered(batches, 200_000)):
+                u, w = b["u"].to_numpy(), b["w"].to_numpy()
+                tables = np.where(u >= 0, in_book[np.maximum(u, 0)], b["as_u"] + b["t_u"].fillna(0))
+                above = np.where(w >= 0, parent[np.maximum(w, 0)], state.value.parent.above((b["as_w"] + b["t_w"].fillna(0)).to_numpy(float)))
+                yield drawn(b, tables, above, turn, -1 - i)[columns]
+
+        out = cut(inner.mapInPandas(run, inner.schema)), None
+        if outer is not None:
+            both = outer
+            for of in ("u", "w"):
+                both = joined(both, outer.where(f"{of} < 0").groupBy(F.col(of).alias("code")).agg(F.sum("t").alias("t")), of, "t")
+            out = out[0], cut(both.mapInPandas(run_outer, outer.schema))
+        state.destroy()
+        return out
+
+    state = state_of("t", float(distinct + (texts > 0)))
+    for turn in range(burn + keep):
+        before = [x for x in (inner, outer) if x is not None]
+        inner, outer = sweep(state, turn)
+        done(*before)
+        state = state_of("t", state.parent.at_root)
+
+    # Means over the kept sweeps: what a context passes on, the parent's probabilities, and a pair's own share.
+    mean = state_of("kept", state.parent.at_root, 1 / keep)
+    unknown = math.log10(mean.parent.above(np.zeros(1))[0])
+    tables, parent = mean.opened()
+    log_word = np.log10((strength + d * tables) / (strength + counts)) + np.log10(parent)
+    known = spark.sparkContext.broadcast(mean)
+
+    def parcels(batches: Iterator[pd.DataFrame], value, most: int = 300_000) -> Iterator[pd.DataFrame]:
+        """Buckets of rows u, w and n with their value."""
+        tables, parent = known.value.opened()
+        for b in gathered(batches, most):
+            u, w, n = b["u"].to_numpy(), b["w"].to_numpy(), b["n"].to_numpy()
+            v = np.asarray(value(b, tables, parent), np.float32)
+            yield pd.DataFrame([(k, pu, pw, v[at].tobytes(), pack(n[at])) for k, at, pu, pw in shared.value.parcels(u, w)], columns=["bucket", "u", "w", "value", "n"])
+
+    def of_inner(b: pd.DataFrame, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        return np.log10(1 + (b["n"] - d * b["kept"] / keep) / ((strength + d * tables[b["u"]]) * parent[b["w"]]))
+
+    def of_outer(b: pd.DataFrame, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        u, w = b["u"].to_numpy(), b["w"].to_numpy()
+        passed = np.where(u >= 0, strength + d * tables[np.maximum(u, 0)], b["passed_u"])
+        above = np.where(w >= 0, parent[np.maximum(w, 0)], b["above_w"])
+        return np.log10(1 + (b["n"] - d * b["kept"] / keep) / (passed * above))
+
+    def of_word(b: pd.DataFrame, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        return np.log10(b["passed"] / (strength + b["n"])) + np.log10(b["above"]) - unknown
+
+    def table_of(rows: DataFrame, value) -> DataFrame:
+        return rows.mapInPandas(lambda b: parcels(b, value), TABLE_ROW)
+
+    one = F.lit(keep).cast("long").alias("kept")  # a dish of one customer has one table in every sweep
+    alone = pairs.select("u", "w", "n").mapInPandas(lambda b: parcels((x.assign(kept=keep) for x in spelled(b, True, False)), of_inner), TABLE_ROW)
+    table = alone.unionByName(table_of(inner.select("u", "w", "n", "kept"), of_inner))
+    if outer is not None:
+
+        @F.pandas_udf("double")
+        def above(c: pd.Series) -> pd.Series:
+            return pd.Series(known.value.parent.above(c.to_numpy(float)))
+
+        full = rest
+        for of in ("u", "w"):
+            full = full.join(outer.where(f"{of} < 0").groupBy(F.col(of).alias("code")).agg((F.sum("kept") / keep).alias(f"t_{of}")), "code", "left")
+        full = cut(full.select("code", "n", (strength + d * (F.col("as_u") + F.coalesce("t_u", F.lit(0.0)))).alias("passed"), above(F.col("as_w") + F.coalesce("t_w", F.lit(0.0))).alias("above")))
+        seen = rows_of(False, False).select("*", one).unionByName(outer.select("u", "w", "n", "kept"))
+        table = table.unionByName(table_of(joined(joined(seen, full, "u", "passed"), full, "w", "above"), of_outer))
+        table = table.unionByName(table_of(full.withColumnRenamed("code", "u").withColumn("w", F.lit(ALONE).cast("long")), of_word))
+    done(ledger)
+    return Words(book, tokens + texts, distinct + (texts > 0), texts, pack(counts), log_word.astype(np.float32), unknown), table
+
+
+def gathered(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Batches put together to at least `most` rows."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= most:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
+TEXT = np.dtype([("doc_id", "<i8"), ("null", "?"), ("held_out", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+REQUEST = "batch long, bucket int, u binary, w binary, times binary, docs binary, texts binary"
+ANSWER = "batch long, texts binary, docs binary, value binary, word_docs binary, known binary, base binary"
+
+
+def score_words(docs: DataFrame, model: Words, table: DataFrame, held_out: Column, batch_docs: int = 5000, batch_words: int = 250_000) -> DataFrame:
+    """As `score`. Each task sums what the book gives of a text; pairs and other words are asked for by bucket, with the texts that have them, and a bucket answers sums by text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        name, batch, rows, words = TaskContext.get().partitionId() << 24, Batch(1), [], 0
+        n = unpack(m.n)
+        log_n, log_word = np.log10(n + 1.0), m.log_word
+
+        def flush() -> pd.DataFrame:
+            codes = np.concatenate([[0], m.classes.codes(batch.hashes())])
+            mine = codes >= 0
+            at = np.maximum(codes, 0)
+            of_known, of_base, of_score = mine & (n[at] > 0), np.where(mine, log_n[at], 0.0), np.where(mine, log_word[at].astype(float), m.log_unknown)
+            texts, held, place = np.zeros(len(rows), TEXT), [], []
+            for i, (doc, out, ids) in enumerate(rows):
+                q = np.zeros(len(ids) + 2, np.int64)
+                q[1:-1] = ids + 1
+                texts[i] = (0 if doc is None else doc, doc is None, out, len(ids) + 1, of_known[q[1:]].sum(), of_base[q[1:]].sum(), of_score[q[1:]].sum())
+                other = q[1:-1][~mine[q[1:-1]]]
+                held += [q[:-1] << 32 | q[1:], other << 32 | 0xFFFFFFFF]
+                place.append(np.full(len(q) - 1 + len(other), i, np.int32))
+            keys, place = np.concatenate(held), np.concatenate(place)
+            order = np.argsort(keys)
+            keys, place = keys[order], place[order]
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            times = np.diff(first, append=len(keys))
+            u, w = codes[keys[first] >> 32], keys[first] & 0xFFFFFFFF
+            w = np.where(w == 0xFFFFFFFF, ALONE, codes[np.where(w == 0xFFFFFFFF, 0, w)])
+            out = []
+            for b, at, pu, pw in m.classes.parcels(u, w):
+                lengths = times[at]
+                inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                out.append((name, b, pu, pw, pack(lengths), pack(place[np.repeat(first[at], lengths) + inside], "<i4"), None))
+            out.append((name, name % m.classes.buckets, None, None, None, None, texts.tobytes()))
+            return pd.DataFrame(out, columns=[c.split()[0] for c in REQUEST.split(", ")])
+
+        for b in batches:
+            for doc, held, text in zip(b["doc_id"], b["held_out"], b["text"], strict=True):
+                ids = batch.ids(lower_words(text))
+                rows.append((None if pd.isna(doc) else int(doc), bool(held), ids.astype(np.int32)))
+                words += len(ids)
+                if len(rows) >= batch_docs or len(batch.number) >= batch_words or words >= 4 * batch_words:
+                    yield flush()
+                    name, batch, rows, words = name + 1, Batch(1), [], 0
+        if rows:
+            yield flush()
+
+    def answer(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        have, value, n = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.int64)
+        if len(known):
+            have = np.concatenate([mixed(*unparcel(u, w)) for u, w in zip(known["u"], known["w"], strict=True)])
+            value = np.concatenate([np.frombuffer(x, np.float32) for x in known["value"]])
+            n = np.concatenate([unpack(x) for x in known["n"]])
+            order = np.argsort(have)
+            have, value, n = have[order], value[order], n[order]
+        out = []
+        for batch, pu, pw, times, docs, texts in zip(asks["batch"], asks["u"], asks["w"], asks["times"], asks["docs"], asks["texts"], strict=True):
+            if texts is not None:
+                out.append((batch, texts, None, None, None, None, None))
+            elif len(have):
+                u, w = unparcel(pu, pw)
+                key = mixed(u, w)
+                at = np.minimum(np.searchsorted(have, key), len(have) - 1)
+                hit = have[at] == key
+                times, docs = unpack(times), unpack(docs, "<i4")
+                sums = np.bincount(docs, np.repeat(np.where(hit, value[at], 0), times))
+                of = np.flatnonzero(sums)
+                word = np.repeat(hit & (w == ALONE), times)
+                c = np.repeat(n[at], times)[word]
+                seen = np.bincount(docs[word])
+                of_word = np.flatnonzero(seen)
+                base = np.bincount(docs[word], np.log10(c + 1.0))
+                out.append((batch, None, pack(of, "<i4"), sums[of].astype(np.float32).tobytes(), pack(of_word, "<i4"), pack(seen[of_word]), base[of_word].tobytes()))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
+
+    smooth, end = math.log10(model.tokens + model.distinct + 1), int(model.texts > 0)
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        texts = np.frombuffer(rows["texts"].dropna().iloc[0], TEXT).copy()
+        for docs, value, word_docs, known, base in rows.loc[rows["texts"].isna(), ["docs", "value", "word_docs", "known", "base"]].itertuples(index=False):
+            texts["score"][unpack(docs, "<i4")] += np.frombuffer(value, np.float32)
+            at = unpack(word_docs, "<i4")
+            texts["known"][at] += unpack(known)
+            texts["base"][at] += np.frombuffer(base)
+        ids = pd.Series(texts["doc_id"], dtype="Int64").mask(texts["null"])
+        return pd.DataFrame(
+            {"doc_id": ids, "held_out": texts["held_out"], "n_tokens": texts["tokens"], "n_known": texts["known"], "base_score": texts["base"] - texts["tokens"] * smooth, "score": texts["score"]}
+        )
+
+    asked = docs.select("doc_id", held_out.alias("held_out"), "text").mapInPandas(ask, REQUEST)
+    answers = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(answer, ANSWER)
+    scored = answers.groupBy("batch").applyInPandas(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def held_out() -> Column:
     return F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
 

@@ -6,6 +6,7 @@ from math import log10
 from zlib import crc32
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -117,3 +118,28 @@ def test_contexts_grow_with_the_corpus(spark):
     large = spark.createDataFrame([(0, " ".join(f"x{i}" for i in range(40_000)))], "doc_id long, text string")
     sizes = [lm_hpy.learn(d, burn=0, keep=1)[0].classes.number for d in (small, large)]
     assert sizes[1] > sizes[0]
+
+
+@pytest.mark.parametrize("held", [5, 1000])
+def test_every_word_is_a_context(spark, held):
+    """With few words held in memory, the others go through joins; both give the scores of a plain sampler over all pairs of words."""
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = np.sort(np.array([xxhash.xxh64_intdigest(w.encode()) for w in {w for t in texts for w in t.split()}], np.uint64).view(np.int64))
+    model, table = lm_hpy.learn(docs, held=held, burn=4, keep=12)
+    found = {r["doc_id"]: r for r in lm_hpy.score(docs, model, table, F.lit(False), batch_docs=7).collect()}
+    want = plain_scores(texts, lm_hpy.Classes(hashes, 1))
+    got = np.array([found[i]["score"] for i in range(len(texts))])
+    assert np.abs(got / want - 1).max() < 0.08 and abs(got.sum() / want.sum() - 1) < 0.02
+    assert all(found[i]["n_known"] == found[i]["n_tokens"] == len(t.split()) + 1 for i, t in enumerate(texts))
+
+
+def test_rare_words_differ_as_contexts(spark):
+    """3,000 words that end alike follow one another in a ring, far more than ever had a context of their own: each knows its follower."""
+    n = 3000
+    follow = [f"w{i}s w{(i + 1) % n}s" for i in range(n)]
+    learning = spark.createDataFrame([(i, t) for i, t in enumerate(follow * 2)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "w2900s w2901s"), (1, "w2900s w2950s"), (2, "w2901s w2900s")], "doc_id long, text string")
+    for held in (100, 5000):
+        found = {r["doc_id"]: r["score"] for r in lm_hpy.score(asked, *lm_hpy.learn(learning, held=held), F.lit(False)).collect()}
+        assert found[0] > found[1] + 1 and found[0] > found[2] + 1
