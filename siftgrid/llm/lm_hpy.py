@@ -14,15 +14,17 @@ the parent's probability of the sweep before. The parent's own tables are expect
 ones. The seats of a sweep are a written table; dishes of a restaurant are drawn side
 by side. After `burn` sweeps, tables are averaged over `keep` more.
 
-What a sweep needs of the `held` commonest words is broadcast. Pairs with any other
-word get the same from joins: `held` is a matter of memory and changes no probability.
+What a sweep needs of the `held` commonest words is broadcast. For any other word, its
+home sums what the buckets send it and tells those that have it; its own tables are
+summed in its bucket. `held` is a matter of memory and changes no probability.
 
 A pair's probability is what its context passes on, times the parent's probability of
 the word, times a gain that only seen pairs have; so a text's score is a sum over its
 words plus a sum over its seen pairs. To score, each task numbers the distinct words of
 a batch of texts, sums what the broadcast words give, and asks the buckets for the rest:
 they answer sums by text. Texts and single tokens are never shuffled. Words are known
-by their 64-bit XXH64, less its sign for those that aren't held.
+by 63 bits of a hash, taken of all words of a block of texts at once (by XXH64 in the
+model by classes).
 
 With a number of frequent words, `learn` gives a smaller model instead: those words and
 groups of the others by their last bytes are classes, P(class | class before) and
@@ -32,18 +34,21 @@ P(word | class) come from restaurants by class, and the class table is broadcast
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from zlib import compress, crc32, decompress
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrid.llm.common import cut, done, fold, lower_words, seeded, table
+from siftgrid.llm.ngram_join import PIECE, pieces, powers
+from siftgrid.llm.ngram_join import mixed as spread
 
 #: Marks the row of counts that is the number of texts.
 TEXTS = -1
@@ -217,7 +222,7 @@ def learn(
     have one and other words share classes; the table is then of words (hash, n, kind, own).
     """
     if frequent is None:
-        return learn_words(learning, held, most_words, burn, keep, strength)
+        return learn_words(learning, held, burn, keep, strength)
     return learn_classes(learning, frequent, suffixes, most_words, burn, keep, strength)
 
 
@@ -437,19 +442,100 @@ def score(docs: DataFrame, model: Model | Words, word_table: DataFrame, held_out
 ALONE = -1
 #: Beyond so many learning tokens a bucket, there are more buckets; a context of more tokens than that is dealt out over several.
 BUCKET_TOKENS = 2_000_000
+#: Beyond so many learning bytes a home of words, there are more homes.
+HOME_BYTES = 1 << 28
+#: Bytes of texts that are hashed together.
+BLOCK = 1 << 17
+#: A longer word is hashed by itself.
+LONG_WORD = 256
+#: Codes of the book whose sums are added up together.
+PART = 1 << 16
+
+#: The sign that marks words outside the book.
+OUTSIDE = np.int64(-(1 << 63))
+
+_packer, _unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(x: np.ndarray, kind: str = "<i8") -> bytes:
     """Integers as bytes, first all lowest ones, then the next; what is small or alike takes little room."""
     x = np.ascontiguousarray(x, kind)
-    return compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+    return _packer.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def unpack(packed: bytes, kind: str = "<i8") -> np.ndarray:
-    flat = np.frombuffer(decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    flat = np.frombuffer(_unpacker.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(flat.T).view(kind).ravel()
 
 
+def joined(packed: Iterable[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *map(unpack, packed)])
+
+
+def dealt(kinds: np.ndarray, number: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Every kind below `number` that occurs, with its places in order."""
+    order = np.argsort(kinds, kind="stable")
+    ends = np.searchsorted(kinds[order], np.arange(number), "right").tolist()
+    for kind, (start, end) in enumerate(zip([0, *ends], ends, strict=False)):
+        if end > start:
+            yield kind, order[start:end]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits and the first byte's place of each word in order: sums over its bytes, from running sums over the text; XXH64 of long words."""
+    hashes, places, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for piece in pieces(data):
+        if len(piece) > PIECE:
+            starts, found = np.zeros(1, np.int64), np.array([xxhash.xxh64_intdigest(piece)], np.uint64)
+        else:
+            codes = np.frombuffer(piece, np.uint8)
+            inside = np.zeros(len(codes) + 2, np.int8)
+            inside[1:-1] = (codes != 32) & ((codes < 9) | (codes > 13))
+            turns = np.flatnonzero(np.diff(inside))
+            starts, ends = turns[::2], turns[1::2]
+            power, inverse = powers(len(codes))
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum((codes + np.uint64(1)) * power, out=sums[1:])
+            found = spread((sums[ends] - sums[starts]) * inverse[starts])
+            for at in np.flatnonzero(ends - starts > LONG_WORD):
+                found[at] = xxhash.xxh64_intdigest(piece[starts[at] : ends[at]])
+        hashes.append(found)
+        places.append(starts + before)
+        before += len(piece)
+    return np.concatenate(hashes).view(np.int64), np.concatenate(places)
+
+
+def stretches(batches: Iterator[pd.DataFrame], most_words: int, most_rows: int = 1 << 40) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows of a text until they have so many words: their other columns, the hashes of all words in order, and the number of words of each row."""
+    rows, hashes, lengths, words, number = [], [], [], 0, 0
+    for b in batches:
+        texts, at = [text.encode().lower() if text else b"" for text in b["text"]], 0
+        ends = np.cumsum([len(text) + 1 for text in texts])
+        others = b.drop(columns="text")
+        while at < len(texts):
+            to = 1 + int(np.searchsorted(ends, BLOCK + (ends[at - 1] if at else 0)))
+            to = min(to, len(texts), at + most_rows - number)
+            found, places = word_hashes(b"\n".join(texts[at:to]))
+            counts = np.diff(np.searchsorted(places, ends[at:to] - (ends[at - 1] if at else 0)), prepend=0)
+            rows.append(others.iloc[at:to])
+            hashes.append(found)
+            lengths.append(counts)
+            words, number, at = words + len(found), number + to - at, to
+            if words >= most_words or number >= most_rows:
+                yield pd.concat(rows, ignore_index=True), np.concatenate(hashes), np.concatenate(lengths)
+                rows, hashes, lengths, words, number = [], [], [], 0, 0
+    if number:
+        yield pd.concat(rows, ignore_index=True), np.concatenate(hashes), np.concatenate(lengths)
+
+
+def followed(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens the one before, the token, and its text; 0 is the end mark, word i is i + 1."""
+    texts = np.arange(len(lengths))
+    tokens = np.zeros(len(ids) + len(lengths), np.int64)
+    tokens[np.arange(len(ids)) + np.repeat(texts, lengths)] = ids + 1
+    return np.concatenate([[0], tokens[:-1]]), tokens, np.repeat(texts, lengths + 1)
+
+
 def mixed(u: np.ndarray, w: np.ndarray | int) -> np.ndarray:
     """A 64-bit hash of two codes."""
     x = u.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -462,17 +548,17 @@ def mixed(u: np.ndarray, w: np.ndarray | int) -> np.ndarray:
 class Book:
     """Codes of words: 0 is the end mark, then come the commonest words by falling count; any other word's code is its hash with the sign set."""
 
-    hashes: np.ndarray  # of the commonest words, rising
+    hashes: np.ndarray  # of the commonest words with the sign set, rising
     rank: np.ndarray
     parts: np.ndarray  # by code, of the contexts that are dealt out over several buckets: over how many
     buckets: int
     number: int  # of contexts: all words, the end mark and one for unknown words
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
-        out = hashes | np.int64(-(1 << 63))
+        out = hashes | OUTSIDE
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            out = np.where(self.hashes[at] == hashes, self.rank[at] + 1, out)
+            at = np.minimum(np.searchsorted(self.hashes, out), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == out, self.rank[at] + 1, out)
         return out
 
     def bucket(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -483,47 +569,58 @@ class Book:
 
     def parcels(self, u: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes, bytes]]:
         """bucket, rows, their u and w, packed, of every bucket that has any; rows of one u should come together."""
-        bucket = self.bucket(u, w)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(self.buckets), "right").tolist()
-        for b, (start, end) in enumerate(zip([0, *ends], ends, strict=False)):
-            at = order[start:end]
-            if len(at):
-                yield b, at, pack(np.diff(u[at], prepend=0)), pack(w[at])
+        for b, at in dealt(self.bucket(u, w), self.buckets):
+            yield b, at, pack(np.diff(u[at], prepend=0)), pack(w[at])
 
 
 def unparcel(u: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(unpack(u)), unpack(w)
 
 
+COUNT_ROW = "home int, w binary, n binary"
 PAIR_ROW = "bucket int, u binary, w binary, n binary"
+SEAT_ROW = f"{PAIR_ROW}, t binary, kept binary"
+OUTER_ROW = f"{SEAT_ROW}, as_u binary, as_w binary"
 TABLE_ROW = "bucket int, u binary, w binary, value binary, n binary"
 
 
-def word_pairs(learning: DataFrame, book: Book, most_words: int = 300_000, most_pairs: int = 2_000_000) -> DataFrame:
+def fields(row: str) -> list[str]:
+    return [c.split()[0] for c in row.split(", ")]
+
+
+def home_of(codes: np.ndarray, homes: int) -> np.ndarray:
+    return (mixed(codes, 0) % np.uint64(homes)).astype(np.int32)
+
+
+def word_totals(learning: DataFrame, homes: int, most_words: int = 2_000_000) -> DataFrame:
+    """Of every home of words their codes outside any book, rising, and counts, packed; with the numbers of words and tokens."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, hashes, _ in stretches(batches, most_words):
+            ids, words = pd.factorize(hashes)
+            n, words = np.bincount(ids, minlength=len(words)), words | OUTSIDE
+            yield pd.DataFrame([(home, pack(words[at]), pack(n[at])) for home, at in dealt(home_of(words, homes), homes)], columns=["home", "w", "n"])
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        w, at = np.unique(joined(rows["w"]), return_inverse=True)
+        n = np.bincount(at, joined(rows["n"])).astype(np.int64)
+        return pd.DataFrame({"home": rows["home"].iloc[:1], "w": [pack(w)], "n": [pack(n)], "words": [len(w)], "tokens": [n.sum()]})
+
+    return learning.select("text").mapInPandas(run, COUNT_ROW).groupBy("home").applyInPandas(added, f"{COUNT_ROW}, words long, tokens long")
+
+
+def word_pairs(learning: DataFrame, book: Book, most_words: int = 2_000_000) -> DataFrame:
     """How often one word follows another in all texts: a row a bucket, of packed u, w and n, with the number of pairs seen once and twice."""
     shared = learning.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, held, size = Batch(1), [], 0
-
-        def summed() -> pd.DataFrame:
-            codes = np.concatenate([[0], shared.value.codes(batch.hashes())])
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+        for _, hashes, lengths in stretches(batches, most_words):
+            ids, words = pd.factorize(hashes)
+            codes = np.concatenate([[0], shared.value.codes(words)])
+            before, token, _ = followed(ids, lengths)
+            keys, n = np.unique(before << 32 | token, return_counts=True)
             u, w = codes[keys >> 32], codes[keys & 0xFFFFFFFF]
-            return pd.DataFrame([(b, pu, pw, pack(n[at])) for b, at, pu, pw in shared.value.parcels(u, w)], columns=["bucket", "u", "w", "n"])
-
-        for b in batches:
-            for text in b["text"]:
-                q = np.zeros(2 + len(ids := batch.ids(lower_words(text))), np.int64)
-                q[1:-1] = ids + 1
-                held.append(q[:-1] << 32 | q[1:])
-                size += len(q) - 1
-                if size >= most_pairs or len(batch.number) >= most_words:
-                    yield summed()
-                    batch, held, size = Batch(1), [], 0
-        if held:
-            yield summed()
+            yield pd.DataFrame([(b, pu, pw, pack(n[at])) for b, at, pu, pw in shared.value.parcels(u, w)], columns=["bucket", "u", "w", "n"])
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
         u, w = (np.concatenate(x) for x in zip(*map(unparcel, rows["u"], rows["w"]), strict=True))
@@ -596,15 +693,43 @@ class Words:
     log_unknown: float
 
 
-def learn_words(learning: DataFrame, held: int, most_words: int, burn: int, keep: int, strength: float) -> tuple[Words, DataFrame]:
-    """A model with a restaurant for every word, and its table of buckets (u, w, value, n)."""
+def learn_words(learning: DataFrame, held: int, burn: int, keep: int, strength: float) -> tuple[Words, DataFrame]:
+    """A model with a restaurant for every word, and its table of buckets (u, w, value, n).
+
+    A bucket has all pairs of a context outside the book, so its tables are summed there. What buckets send to a word
+    outside the book is summed in the word's home, which tells those that ask. Both get packed columns, not rows.
+    """
     spark = learning.sparkSession
-    counted = cut(word_counts(learning, 1, most_words))
-    total = counted.agg(
-        F.sum(F.when(F.col("ending") >= 0, F.col("n"))).alias("tokens"), F.sum((F.col("ending") >= 0).cast("int")).alias("words"), F.sum(F.when(F.col("ending") == TEXTS, F.col("n"))).alias("texts")
-    ).first()
-    tokens, distinct, texts = (total[c] or 0 for c in ("tokens", "words", "texts"))
-    top = counted.where("ending >= 0").orderBy(F.desc("n"), "key").limit(held).select("key", "n").toArrow()
+    texts, text_bytes = learning.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    homes = max(32, (text_bytes or 0) // HOME_BYTES)
+    counted = cut(word_totals(learning, homes))
+    tokens, distinct = (x or 0 for x in counted.agg(F.sum("tokens"), F.sum("words")).first())
+
+    def times(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for packed in b[column]:
+                yield pd.DataFrame(dict(zip(("n", "words"), np.unique(unpack(packed), return_counts=True), strict=True)))
+
+    def histogram(df: DataFrame, column: str) -> dict[int, int]:
+        """How many words have each number in a packed column."""
+        rows = df.select(column).mapInPandas(lambda batches: times(batches, column), "n long, words long")
+        return {r["n"]: r["words"] for r in rows.groupBy("n").agg(F.sum("words").alias("words")).collect()}
+
+    least = 1
+    if distinct > held:
+        seen = 0
+        for least, words in sorted(histogram(counted, "n").items(), reverse=True):
+            seen += words
+            if seen >= held:
+                break
+
+    def common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for pw, pn in zip(b["w"], b["n"], strict=True):
+                n = unpack(pn)
+                yield pd.DataFrame({"key": unpack(pw)[n >= least], "n": n[n >= least]})
+
+    top = counted.select("w", "n").mapInPandas(common, "key long, n long").orderBy(F.desc("n"), "key").limit(held).toArrow()
     keys, counts = top["key"].to_numpy(), np.concatenate([[texts], top["n"].to_numpy()])
     rank = np.argsort(keys, kind="stable")
     size, outside = len(counts), distinct > len(keys)
@@ -616,174 +741,263 @@ def learn_words(learning: DataFrame, held: int, most_words: int, burn: int, keep
     once, twice = pairs.agg(F.sum("once"), F.sum("twice")).first()
     d = discount(once or 0, twice or 0)
 
-    def singles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for pu, pw, n in zip(b["u"], b["w"], b["n"], strict=True):
-                alone = unpack(n) == 1
-                for x, column, other in zip(unparcel(pu, pw), ("as_u", "as_w"), ("as_w", "as_u"), strict=True):
-                    code, times = np.unique(x[alone], return_counts=True)
-                    yield pd.DataFrame({"code": code, "n": 0, column: times, other: 0})[["code", "n", "as_u", "as_w"]]
-
-    @F.pandas_udf("long")
-    def code_of(key: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.codes(key.to_numpy()))
-
-    ledger_row = "code long, n long, as_u long, as_w long"
-    words = counted.where("ending >= 0").select(code_of("key").alias("code"), "n", F.lit(0).cast("long").alias("as_u"), F.lit(0).cast("long").alias("as_w"))
-    ledger = cut(words.unionByName(pairs.select("u", "w", "n").mapInPandas(singles, ledger_row)).groupBy("code").agg(*[F.sum(c).alias(c) for c in ("n", "as_u", "as_w")]))
-    done(counted)
-    mine = ledger.where("code >= 0").select("code", "as_u", "as_w").toArrow()
-    as_u, as_w = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    as_u[mine["code"].to_numpy()], as_w[mine["code"].to_numpy()] = mine["as_u"].to_numpy(), mine["as_w"].to_numpy()
-    rest = ledger.where("code < 0")
-
-    def spelled(batches: Iterator[pd.DataFrame], inside: bool, several: bool) -> Iterator[pd.DataFrame]:
+    def opened(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+        """bucket, u, w and other packed columns of each row."""
         for b in batches:
-            for pu, pw, pn in zip(b["u"], b["w"], b["n"], strict=True):
-                (u, w), n = unparcel(pu, pw), unpack(pn)
-                at = np.flatnonzero((((u >= 0) & (w >= 0)) == inside) & ((n > 1) == several))
-                for start in range(0, len(at), 100_000):
-                    part = at[start : start + 100_000]
-                    yield pd.DataFrame({"u": u[part], "w": w[part], "n": n[part]})
-
-    def rows_of(inside: bool, several: bool) -> DataFrame:
-        return pairs.select("u", "w", "n").mapInPandas(lambda b: spelled(b, inside, several), "u long, w long, n long")
-
-    def joined(rows: DataFrame, table: DataFrame, column: str, *values: str) -> DataFrame:
-        """rows with values of the words outside the book in one column; the book's own words are dealt out instead of meeting in one task."""
-        by = F.when(F.col(column) < 0, F.col(column)).otherwise(F.abs(F.xxhash64("u", "w")))
-        return rows.withColumn("by", by).join(table.select(F.col("code").alias("by"), *[F.col(v).alias(f"{v}_{column}") for v in values]), "by", "left").drop("by")
-
-    start = [F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept")]  # every dish starts at one table
-    inner = cut(rows_of(True, True).select("*", *start))
-    outer = None
+            for row in b[["bucket", "u", "w", *columns]].itertuples(index=False):
+                yield row[0], *unparcel(row[1], row[2]), *map(unpack, row[3:])
+
+    def closed(bucket: int, u: np.ndarray, *values: np.ndarray) -> list:
+        return [bucket, pack(np.diff(u, prepend=0)), *map(pack, values)]
+
+    def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Seats of the pairs inside the book that need sweeps; every dish starts at one table."""
+        for bucket, u, w, n in opened(batches, "n"):
+            at = np.flatnonzero((u >= 0) & (w >= 0) & (n > 1))
+            yield pd.DataFrame([closed(bucket, u[at], w[at], n[at], np.ones(len(at)), np.zeros(len(at)))], columns=fields(SEAT_ROW))
+
+    def book_sums(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+        """What the seats in a column, or pairs seen once, give to the book's contexts and words, by part of their codes."""
+        both = np.zeros((2, size))
+        for _, u, w, x in opened(batches, column):
+            x = x == 1 if column == "n" else x
+            for of, code in enumerate((u, w)):
+                both[of] += np.bincount(code[code >= 0], x[code >= 0], size)
+        for of in (0, 1):
+            at = np.flatnonzero(both[of])
+            for part, here in dealt(at // PART, 1 + size // PART):
+                yield pd.DataFrame([(2 * part + of, pack(at[here]), pack(both[of, at[here]]))], columns=["part", "code", "n"])
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        part = int(rows["part"].iloc[0])
+        return pd.DataFrame([(part, pack(np.bincount(joined(rows["code"]) - part // 2 * PART, joined(rows["n"]))))], columns=["part", "n"])
+
+    def summed(seats: DataFrame, column: str) -> np.ndarray:
+        both = np.zeros((2, size), np.int64)
+        rows = seats.select("bucket", "u", "w", column).mapInPandas(lambda batches: book_sums(batches, column), "part int, code binary, n binary")
+        for part, packed in rows.groupBy("part").applyInPandas(added, "part int, n binary").collect():
+            n = unpack(packed)
+            both[part % 2, part // 2 * PART :][: len(n)] += n
+        return both
+
+    once_sums = summed(pairs, "n")
+    inner = cut(pairs.select("bucket", "u", "w", "n").mapInPandas(several, SEAT_ROW))
+    outer, flat = None, {}
     if outside:
-        outer = cut(joined(joined(rows_of(False, True), rest, "u", "as_u"), rest, "w", "as_w").select("u", "w", "n", *start, F.coalesce("as_u_u", F.lit(0)).alias("as_u"), F.coalesce("as_w_w", F.lit(0)).alias("as_w")))
-    # How many words outside the book are sent so many customers by pairs seen once.
-    flat = {r["as_w"]: r["count"] for r in rest.groupBy("as_w").count().collect()} if outside else {}
+        outer, known_words = outer_seats(pairs, counted, shared, homes)
+        # How many words outside the book are sent so many customers by pairs seen once.
+        flat = histogram(known_words, "as_w")
+    done(counted)
 
-    def state_of(column: str, others: float, share: float = 1.0) -> Sweep:
-        """The state that the seats in a column give, each counted by its share."""
-        seats = inner.select("u", "w", column)
-        if outer is not None:
-            seats = seats.unionByName(outer.select("u", "w", column))
-        both = []
-        for of, base in (("u", as_u), ("w", as_w)):
-            got = seats.where(f"{of} >= 0").groupBy(of).agg(F.sum(column).alias("t")).toArrow()
-            both.append(base * round(1 / share))
-            both[-1][got[of].to_numpy()] += got["t"].to_numpy()
+    def sent(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+        """To the homes of words outside the book, what a bucket's seats give them."""
+        for bucket, u, w, as_w, t in opened(batches, "as_w", column):
+            words, first, at = np.unique(w[w < 0], return_index=True, return_inverse=True)
+            t, as_w = np.bincount(at, t[w < 0], len(words)), as_w[w < 0][first]
+            yield pd.DataFrame([(home, bucket, pack(words[i]), pack(t[i]), pack(as_w[i])) for home, i in dealt(home_of(words, homes), homes)], columns=["home", "bucket", "w", "t", "as_w"])
+
+    def tell(rows: pd.DataFrame) -> pd.DataFrame:
+        """Customers of words to each bucket that has them, and in a row of no bucket how many words have so many."""
+        asked = [unpack(x) for x in rows["w"]]
+        words, first, at = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+        t, as_w = np.bincount(at, joined(rows["t"])).astype(np.int64), joined(rows["as_w"])[first]
+        out = [(bucket, pack(w), pack(as_w[i]), pack(t[i]), None) for bucket, w, i in zip(rows["bucket"], asked, (np.searchsorted(words, w) for w in asked), strict=True)]
+        both, n = np.unique(np.stack([as_w, t]), axis=1, return_counts=True)
+        return pd.DataFrame([*out, (-1, None, pack(both[0]), pack(both[1]), pack(n))], columns=["bucket", "w", "as_w", "t", "words"])
+
+    def state_of(column: str, others: float, share: float = 1.0) -> tuple[Sweep, DataFrame | None]:
+        """The state that the seats in a column give, each counted by its share, and what the homes tell."""
+        both, told = once_sums * round(1 / share) + summed(inner, column), None
         hist = {(c, 0): m for c, m in flat.items()}
         if outer is not None:
-            sent = outer.where("w < 0").groupBy("w").agg(F.sum(column).alias("t"), F.first("as_w").alias("as_w")).groupBy("as_w", "t").count()
-            for r in sent.collect():
-                hist[r["as_w"], 0] -= r["count"]
-                hist[r["as_w"], r["t"]] = hist.get((r["as_w"], r["t"]), 0) + r["count"]
+            both += summed(outer, column)
+            rows = outer.select("bucket", "u", "w", "as_w", column).mapInPandas(lambda batches: sent(batches, column), "home int, bucket int, w binary, t binary, as_w binary")
+            told = cut(rows.groupBy("home").applyInPandas(tell, "bucket int, w binary, as_w binary, t binary, words binary"))
+            for r in told.where("bucket < 0").collect():
+                for c, t, m in zip(*(unpack(r[x]).tolist() for x in ("as_w", "t", "words")), strict=True):
+                    hist[c, 0] -= m
+                    hist[c, t] = hist.get((c, t), 0) + m
         # Words in the parent by their customers there.
         c, m = np.unique(both[1], return_counts=True)
         c, m = np.concatenate([c * share, [x + t * share for x, t in hist]]), np.concatenate([m, list(hist.values())])
         at_root = (parent_tables(c, others, even, d_root, strength) * m).sum()
-        return Sweep(share, pack(both[0]), pack(both[1]), Parent(others, at_root, (c * m).sum(), even, d_root, strength))
+        return Sweep(share, pack(both[0]), pack(both[1]), Parent(others, at_root, (c * m).sum(), even, d_root, strength)), told
 
-    def drawn(b: pd.DataFrame, tables: np.ndarray, above: np.ndarray, turn: int, i: int) -> pd.DataFrame:
-        t = b["t"].to_numpy()
-        rng = seeded("sweep", turn, i, TaskContext.get().partitionId())
-        t = seat(b["n"].to_numpy(), np.maximum(tables - t, 0), above, d, strength, rng).astype(np.int64)
-        return b.assign(t=t, kept=b["kept"] + t * (turn >= burn))
+    def drawn(n: np.ndarray, t: np.ndarray, kept: np.ndarray, tables: np.ndarray, above: np.ndarray, turn: int, *stretch: int) -> tuple[np.ndarray, np.ndarray]:
+        """New tables of dishes that have t now, and the sum of those that are kept."""
+        t = seat(n, np.maximum(tables - t, 0), above, d, strength, seeded("sweep", turn, *stretch)).astype(np.int64)
+        return t, kept + t * (turn >= burn)
 
-    def sweep(s: Sweep, turn: int) -> tuple[DataFrame, DataFrame | None]:
+    def sweep(s: Sweep, told: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame | None]:
         """Seats after everyone left and came back."""
         state = spark.sparkContext.broadcast(s)
-        columns = None if outer is None else outer.columns
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tables, parent = state.value.opened()
-            for i, b in enumerate(gathered(batches, 200_000)):
-                yield drawn(b, tables[b["u"]], parent[b["w"]], turn, i)
+            for bucket, u, w, n, t, kept in opened(batches, "n", "t", "kept"):
+                yield pd.DataFrame([closed(bucket, u, w, n, *drawn(n, t, kept, tables[u], parent[w], turn, bucket))], columns=fields(SEAT_ROW))
 
-        def run_outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run_outer(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
             in_book, parent = state.value.opened()
-            for i, b in enumerate(gathered(batches, 200_000)):
-                u, w = b["u"].to_numpy(), b["w"].to_numpy()
-                tables = np.where(u >= 0, in_book[np.maximum(u, 0)], b["as_u"] + b["t_u"].fillna(0))
-                above = np.where(w >= 0, parent[np.maximum(w, 0)], state.value.parent.above((b["as_w"] + b["t_w"].fillna(0)).to_numpy(float)))
-                yield drawn(b, tables, above, turn, -1 - i)[columns]
-
-        out = cut(inner.mapInPandas(run, inner.schema)), None
+            have, c = joined(answers["w"]), joined(answers["as_w"]) + joined(answers["t"])
+            order, out = np.argsort(have), []
+            for bucket, u, w, n, t, kept, as_u, as_w in opened([rows], "n", "t", "kept", "as_u", "as_w"):
+                tables, above, far = np.zeros(len(u)), np.zeros(len(u)), w < 0
+                tables[u >= 0] = in_book[u[u >= 0]]
+                _, at = np.unique(u[u < 0], return_inverse=True)
+                tables[u < 0] = as_u[u < 0] + np.bincount(at, t[u < 0])[at]
+                above[~far] = parent[w[~far]]
+                above[far] = state.value.parent.above(c[order[np.searchsorted(have, w[far], sorter=order)]].astype(float))
+                out.append(closed(bucket, u, w, n, *drawn(n, t, kept, tables, above, turn, bucket, -1), as_u, as_w))
+            return pd.DataFrame(out, columns=fields(OUTER_ROW))
+
+        out = cut(inner.mapInPandas(run, SEAT_ROW)), None
         if outer is not None:
-            both = outer
-            for of in ("u", "w"):
-                both = joined(both, outer.where(f"{of} < 0").groupBy(F.col(of).alias("code")).agg(F.sum("t").alias("t")), of, "t")
-            out = out[0], cut(both.mapInPandas(run_outer, outer.schema))
+            out = out[0], cut(outer.groupBy("bucket").cogroup(told.where("bucket >= 0").groupBy("bucket")).applyInPandas(run_outer, OUTER_ROW))
         state.destroy()
         return out
 
-    state = state_of("t", float(distinct + (texts > 0)))
+    state, told = state_of("t", float(distinct + (texts > 0)))
     for turn in range(burn + keep):
-        before = [x for x in (inner, outer) if x is not None]
-        inner, outer = sweep(state, turn)
+        before = [x for x in (inner, outer, told) if x is not None]
+        inner, outer = sweep(state, told, turn)
         done(*before)
-        state = state_of("t", state.parent.at_root)
+        if turn < burn + keep - 1:
+            state, told = state_of("t", state.parent.at_root)
 
     # Means over the kept sweeps: what a context passes on, the parent's probabilities, and a pair's own share.
-    mean = state_of("kept", state.parent.at_root, 1 / keep)
+    mean, told = state_of("kept", state.parent.at_root, 1 / keep)
     unknown = math.log10(mean.parent.above(np.zeros(1))[0])
     tables, parent = mean.opened()
     log_word = np.log10((strength + d * tables) / (strength + counts)) + np.log10(parent)
     known = spark.sparkContext.broadcast(mean)
 
-    def parcels(batches: Iterator[pd.DataFrame], value, most: int = 300_000) -> Iterator[pd.DataFrame]:
-        """Buckets of rows u, w and n with their value."""
-        tables, parent = known.value.opened()
-        for b in gathered(batches, most):
-            u, w, n = b["u"].to_numpy(), b["w"].to_numpy(), b["n"].to_numpy()
-            v = np.asarray(value(b, tables, parent), np.float32)
-            yield pd.DataFrame([(k, pu, pw, v[at].tobytes(), pack(n[at])) for k, at, pu, pw in shared.value.parcels(u, w)], columns=["bucket", "u", "w", "value", "n"])
-
-    def of_inner(b: pd.DataFrame, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        return np.log10(1 + (b["n"] - d * b["kept"] / keep) / ((strength + d * tables[b["u"]]) * parent[b["w"]]))
-
-    def of_outer(b: pd.DataFrame, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        u, w = b["u"].to_numpy(), b["w"].to_numpy()
-        passed = np.where(u >= 0, strength + d * tables[np.maximum(u, 0)], b["passed_u"])
-        above = np.where(w >= 0, parent[np.maximum(w, 0)], b["above_w"])
-        return np.log10(1 + (b["n"] - d * b["kept"] / keep) / (passed * above))
-
-    def of_word(b: pd.DataFrame, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        return np.log10(b["passed"] / (strength + b["n"])) + np.log10(b["above"]) - unknown
+    def gain(n: np.ndarray, kept: np.ndarray, passed: np.ndarray, above: np.ndarray) -> np.ndarray:
+        return np.log10(1 + (n - d * kept / keep) / (passed * above)).astype(np.float32)
 
-    def table_of(rows: DataFrame, value) -> DataFrame:
-        return rows.mapInPandas(lambda b: parcels(b, value), TABLE_ROW)
-
-    one = F.lit(keep).cast("long").alias("kept")  # a dish of one customer has one table in every sweep
-    alone = pairs.select("u", "w", "n").mapInPandas(lambda b: parcels((x.assign(kept=keep) for x in spelled(b, True, False)), of_inner), TABLE_ROW)
-    table = alone.unionByName(table_of(inner.select("u", "w", "n", "kept"), of_inner))
+    def valued(batches: Iterator[pd.DataFrame], once: bool) -> Iterator[pd.DataFrame]:
+        """Pairs inside the book with their values; a dish of one customer has one table in every sweep."""
+        tables, parent = known.value.opened()
+        for bucket, u, w, n, *kept in opened(batches, "n", *([] if once else ["kept"])):
+            if once:
+                at = np.flatnonzero((u >= 0) & (w >= 0) & (n == 1))
+                u, w, n, kept = u[at], w[at], n[at], [np.full(len(at), keep)]
+            v = gain(n, kept[0], strength + d * tables[u], parent[w])
+            yield pd.DataFrame([(bucket, pack(np.diff(u, prepend=0)), pack(w), v.tobytes(), pack(n))], columns=fields(TABLE_ROW))
+
+    table = pairs.select("bucket", "u", "w", "n").mapInPandas(lambda batches: valued(batches, True), TABLE_ROW)
+    table = table.unionByName(inner.select("bucket", "u", "w", "n", "kept").mapInPandas(lambda batches: valued(batches, False), TABLE_ROW))
     if outer is not None:
 
-        @F.pandas_udf("double")
-        def above(c: pd.Series) -> pd.Series:
-            return pd.Series(known.value.parent.above(c.to_numpy(float)))
-
-        full = rest
-        for of in ("u", "w"):
-            full = full.join(outer.where(f"{of} < 0").groupBy(F.col(of).alias("code")).agg((F.sum("kept") / keep).alias(f"t_{of}")), "code", "left")
-        full = cut(full.select("code", "n", (strength + d * (F.col("as_u") + F.coalesce("t_u", F.lit(0.0)))).alias("passed"), above(F.col("as_w") + F.coalesce("t_w", F.lit(0.0))).alias("above")))
-        seen = rows_of(False, False).select("*", one).unionByName(outer.select("u", "w", "n", "kept"))
-        table = table.unionByName(table_of(joined(joined(seen, full, "u", "passed"), full, "w", "above"), of_outer))
-        table = table.unionByName(table_of(full.withColumnRenamed("code", "u").withColumn("w", F.lit(ALONE).cast("long")), of_word))
-    done(ledger)
+        def wanted(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+            """To the homes, the words outside the book that a bucket's pairs have, with the customers of the kept sweeps."""
+            for bucket, u, w, x in opened(batches, column):
+                mine = (w < 0) & (x == 1) if column == "n" else w < 0
+                words, at = np.unique(w[mine], return_inverse=True)
+                t = np.zeros(len(words)) if column == "n" else np.bincount(at, x[mine], len(words))
+                yield pd.DataFrame([(home, bucket, pack(words[i]), pack(t[i])) for home, i in dealt(home_of(words, homes), homes)], columns=["home", "bucket", "w", "t"])
+
+        def placed(words: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+            """The parent's probabilities of a home's words, to the buckets that ask and, with counts, to the words' own."""
+            have, n, c = joined(words["w"]), joined(words["n"]), joined(words["as_w"]).astype(float)
+            asked = [np.searchsorted(have, unpack(x)) for x in asks["w"]]
+            for at, t in zip(asked, map(unpack, asks["t"]), strict=True):
+                c[at] += t / keep
+            above = known.value.parent.above(c) if len(c) else c
+            out = [(bucket, w, above[at].tobytes(), None) for bucket, w, at in zip(asks["bucket"], asks["w"], asked, strict=True)]
+            out += [(bucket, pack(have[at]), above[at].tobytes(), pack(n[at])) for bucket, at in dealt(shared.value.bucket(have, have), shared.value.buckets)]
+            return pd.DataFrame(out, columns=["bucket", "w", "above", "n"])
+
+        def valued_outer(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            in_book, parent = known.value.opened()
+            u, w, n, kept = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*(x[1:] for x in opened([rows], "n", "kept")), strict=True)) if len(rows) else [np.zeros(0, np.int64)] * 4
+            have, far_above = joined(answers["w"]), np.frombuffer(b"".join(answers["above"]))
+            own = answers[answers["n"].notna()]
+            words, of_words, n_words = joined(own["w"]), np.frombuffer(b"".join(own["above"])), joined(own["n"])
+            # All pairs of a context outside the book are here, and words are contexts of their own.
+            far = u < 0
+            contexts, at = np.unique(np.concatenate([words, u[far]]), return_inverse=True)
+            passed_far = strength + d * np.bincount(at, np.concatenate([np.zeros(len(words)), kept[far] / keep]), len(contexts))
+            passed, above = np.zeros(len(u)), np.zeros(len(u))
+            passed[far], passed[~far] = passed_far[at[len(words) :]], strength + d * in_book[u[~far]]
+            far, order = w < 0, np.argsort(have)
+            above[far], above[~far] = far_above[order[np.searchsorted(have, w[far], sorter=order)]], parent[w[~far]]
+            of_word = np.log10(passed_far[at[: len(words)]] / (strength + n_words)) + np.log10(of_words) - unknown
+            value = np.concatenate([gain(n, kept, passed, above), of_word.astype(np.float32)])
+            u, w, n = np.concatenate([u, words]), np.concatenate([w, np.full(len(words), ALONE)]), np.concatenate([n, n_words])
+            bucket = int((rows if len(rows) else answers)["bucket"].iloc[0])
+            return pd.DataFrame([(bucket, pack(np.diff(u, prepend=0)), pack(w), value.tobytes(), pack(n))], columns=fields(TABLE_ROW))
+
+        def once_outside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for bucket, u, w, n in opened(batches, "n"):
+                at = np.flatnonzero(((u < 0) | (w < 0)) & (n == 1))
+                yield pd.DataFrame([closed(bucket, u[at], w[at], n[at], np.full(len(at), keep))], columns=["bucket", "u", "w", "n", "kept"])
+
+        ASK = "home int, bucket int, w binary, t binary"
+        asks = pairs.select("bucket", "u", "w", "n").mapInPandas(lambda batches: wanted(batches, "n"), ASK).unionByName(outer.select("bucket", "u", "w", "kept").mapInPandas(lambda batches: wanted(batches, "kept"), ASK))
+        answers = known_words.groupBy("home").cogroup(asks.groupBy("home")).applyInPandas(placed, "bucket int, w binary, above binary, n binary")
+        seen = pairs.select("bucket", "u", "w", "n").mapInPandas(once_outside, "bucket int, u binary, w binary, n binary, kept binary").unionByName(outer.select("bucket", "u", "w", "n", "kept"))
+        table = table.unionByName(seen.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(valued_outer, TABLE_ROW))
+        done(told)
     return Words(book, tokens + texts, distinct + (texts > 0), texts, pack(counts), log_word.astype(np.float32), unknown), table
 
 
-def gathered(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """Batches put together to at least `most` rows."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        held.append(b)
-        if sum(map(len, held)) >= most:
-            yield pd.concat(held, ignore_index=True)
-            held = []
-    if sum(map(len, held)):
-        yield pd.concat(held, ignore_index=True)
+def outer_seats(pairs: DataFrame, counted: DataFrame, shared: Broadcast, homes: int) -> tuple[DataFrame, DataFrame]:
+    """Seats of the pairs with a word outside the book that need sweeps, and by home the words outside, with the customers that pairs seen once send them."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """To the homes, a bucket's words outside the book, how many pairs seen once each has, and whether others have it."""
+        for b in batches:
+            for bucket, pu, pw, pn in zip(b["bucket"], b["u"], b["w"], b["n"], strict=True):
+                w, n = unpack(pw), unpack(pn)
+                words, at = np.unique(w[w < 0], return_inverse=True)
+                once, several = (np.bincount(at, x[w < 0], len(words)) for x in (n == 1, n > 1))
+                yield pd.DataFrame(
+                    [(home, bucket, pack(words[i]), pack(once[i]), pack(several[i] > 0)) for home, i in dealt(home_of(words, homes), homes)], columns=["home", "bucket", "w", "once", "several"]
+                )
+
+    def homed(words: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        """A home's row of words, and to the buckets the customers of words that sweeps need."""
+        have, n = joined(words["w"]), joined(words["n"])
+        mine = shared.value.codes(have) < 0
+        have, n = have[mine], n[mine]
+        places = [np.searchsorted(have, unpack(w)) for w in sent["w"]]
+        as_w = np.zeros(len(have), np.int64)
+        for at, once in zip(places, sent["once"], strict=True):
+            as_w[at] += unpack(once)
+        out = [(int(words["home"].iloc[0]), None, pack(have), pack(n), pack(as_w))] if len(words) else []
+        for bucket, at, several in zip(sent["bucket"], places, sent["several"], strict=True):
+            at = at[unpack(several) > 0]
+            if len(at):
+                out.append((None, bucket, pack(have[at]), None, pack(as_w[at])))
+        return pd.DataFrame(out, columns=["home", "bucket", "w", "n", "as_w"]).astype({"home": "Int32", "bucket": "Int32"})
+
+    def seated(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        have, as_have = joined(answers["w"]), joined(answers["as_w"])
+        order, out = np.argsort(have), []
+        for bucket, pu, pw, pn in zip(rows["bucket"], rows["u"], rows["w"], rows["n"], strict=True):
+            (u, w), n = unparcel(pu, pw), unpack(pn)
+            at = np.flatnonzero((u < 0) | (w < 0))
+            u, w, n = u[at], w[at], n[at]
+            _, context = np.unique(u, return_inverse=True)
+            as_u, as_w = np.bincount(context, n == 1)[context], np.zeros(len(u), np.int64)
+            u, w, n, as_u, as_w = (x[n > 1] for x in (u, w, n, as_u, as_w))
+            as_w[w < 0] = as_have[order[np.searchsorted(have, w[w < 0], sorter=order)]]
+            out.append((bucket, pack(np.diff(u, prepend=0)), pack(w), pack(n), pack(np.ones(len(u))), pack(np.zeros(len(u))), pack(as_u), pack(as_w)))
+        return pd.DataFrame(out, columns=fields(OUTER_ROW))
+
+    def outside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for bucket, pu, pw, pn in zip(b["bucket"], b["u"], b["w"], b["n"], strict=True):
+                (u, w), n = unparcel(pu, pw), unpack(pn)
+                at = np.flatnonzero((u < 0) | (w < 0))
+                yield pd.DataFrame([(bucket, pack(np.diff(u[at], prepend=0)), pack(w[at]), pack(n[at]))], columns=fields(PAIR_ROW))
+
+    rows = pairs.select("bucket", "u", "w", "n")
+    asked = rows.mapInPandas(split, "home int, bucket int, w binary, once binary, several binary")
+    told = cut(counted.select("home", "w", "n").groupBy("home").cogroup(asked.groupBy("home")).applyInPandas(homed, "home int, bucket int, w binary, n binary, as_w binary"))
+    outer = cut(rows.mapInPandas(outside, PAIR_ROW).groupBy("bucket").cogroup(told.where("bucket is not null").groupBy("bucket")).applyInPandas(seated, OUTER_ROW))
+    return outer, told.where("home is not null").select("home", "w", "n", "as_w")
 
 
 TEXT = np.dtype([("doc_id", "<i8"), ("null", "?"), ("held_out", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
@@ -796,25 +1010,23 @@ def score_words(docs: DataFrame, model: Words, table: DataFrame, held_out: Colum
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        name, batch, rows, words = TaskContext.get().partitionId() << 24, Batch(1), [], 0
+        m, name = shared.value, TaskContext.get().partitionId() << 24
         n = unpack(m.n)
-        log_n, log_word = np.log10(n + 1.0), m.log_word
-
-        def flush() -> pd.DataFrame:
-            codes = np.concatenate([[0], m.classes.codes(batch.hashes())])
-            mine = codes >= 0
-            at = np.maximum(codes, 0)
-            of_known, of_base, of_score = mine & (n[at] > 0), np.where(mine, log_n[at], 0.0), np.where(mine, log_word[at].astype(float), m.log_unknown)
-            texts, held, place = np.zeros(len(rows), TEXT), [], []
-            for i, (doc, out, ids) in enumerate(rows):
-                q = np.zeros(len(ids) + 2, np.int64)
-                q[1:-1] = ids + 1
-                texts[i] = (0 if doc is None else doc, doc is None, out, len(ids) + 1, of_known[q[1:]].sum(), of_base[q[1:]].sum(), of_score[q[1:]].sum())
-                other = q[1:-1][~mine[q[1:-1]]]
-                held += [q[:-1] << 32 | q[1:], other << 32 | 0xFFFFFFFF]
-                place.append(np.full(len(q) - 1 + len(other), i, np.int32))
-            keys, place = np.concatenate(held), np.concatenate(place)
+        log_n, log_word = np.log10(n + 1.0), m.log_word.astype(float)
+        for rows, hashes, lengths in stretches(batches, 4 * batch_words, batch_docs):
+            ids, words = pd.factorize(hashes)
+            codes = np.concatenate([[0], m.classes.codes(words)])
+            mine, at = codes >= 0, np.maximum(codes, 0)
+            of_known, of_base, of_score = mine & (n[at] > 0), np.where(mine, log_n[at], 0.0), np.where(mine, log_word[at], m.log_unknown)
+            before, token, place = followed(ids, lengths)
+            texts = np.zeros(len(rows), TEXT)
+            texts["null"] = rows["doc_id"].isna()
+            texts["doc_id"], texts["held_out"], texts["tokens"] = rows["doc_id"].fillna(0).astype(np.int64), rows["held_out"].astype(bool), lengths + 1
+            for column, of in (("known", of_known), ("base", of_base), ("score", of_score)):
+                texts[column] = np.bincount(place, of[token], len(rows))
+            other = ~mine[token]
+            keys = np.concatenate([before << 32 | token, token[other] << 32 | 0xFFFFFFFF])
+            place = np.concatenate([place, place[other]])
             order = np.argsort(keys)
             keys, place = keys[order], place[order]
             first = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -827,18 +1039,8 @@ def score_words(docs: DataFrame, model: Words, table: DataFrame, held_out: Colum
                 inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 out.append((name, b, pu, pw, pack(lengths), pack(place[np.repeat(first[at], lengths) + inside], "<i4"), None))
             out.append((name, name % m.classes.buckets, None, None, None, None, texts.tobytes()))
-            return pd.DataFrame(out, columns=[c.split()[0] for c in REQUEST.split(", ")])
-
-        for b in batches:
-            for doc, held, text in zip(b["doc_id"], b["held_out"], b["text"], strict=True):
-                ids = batch.ids(lower_words(text))
-                rows.append((None if pd.isna(doc) else int(doc), bool(held), ids.astype(np.int32)))
-                words += len(ids)
-                if len(rows) >= batch_docs or len(batch.number) >= batch_words or words >= 4 * batch_words:
-                    yield flush()
-                    name, batch, rows, words = name + 1, Batch(1), [], 0
-        if rows:
-            yield flush()
+            yield pd.DataFrame(out, columns=fields(REQUEST))
+            name += 1
 
     def answer(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         have, value, n = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.int64)
@@ -866,7 +1068,7 @@ def score_words(docs: DataFrame, model: Words, table: DataFrame, held_out: Colum
                 of_word = np.flatnonzero(seen)
                 base = np.bincount(docs[word], np.log10(c + 1.0))
                 out.append((batch, None, pack(of, "<i4"), sums[of].astype(np.float32).tobytes(), pack(of_word, "<i4"), pack(seen[of_word]), base[of_word].tobytes()))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
+        return pd.DataFrame(out, columns=fields(ANSWER))
 
     smooth, end = math.log10(model.tokens + model.distinct + 1), int(model.texts > 0)
 

@@ -6,6 +6,7 @@ from math import log10
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -143,3 +144,29 @@ def test_rare_words_differ_as_contexts(spark):
     for held in (100, 5000):
         found = {r["doc_id"]: r["score"] for r in lm_hpy.score(asked, *lm_hpy.learn(learning, held=held), F.lit(False)).collect()}
         assert found[0] > found[1] + 1 and found[0] > found[2] + 1
+
+
+def test_words_outside_the_book_meet_no_join(spark):
+    """Pairs of words that aren't held in memory are met by bucket and home; joins of single pairs took most of the time."""
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    model, table = lm_hpy.learn(docs, held=5, burn=1, keep=1)
+    for df in (table, lm_hpy.score(docs, model, table, F.lit(False))):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = table.collect()
+    pairs = {(u, w) for r in rows for u, w in zip(*map(np.ndarray.tolist, lm_hpy.unparcel(r["u"], r["w"])))}
+    sequences = [[None, *t.split(), None] for t in corpus()]
+    words = {w for q in sequences for w in q if w}
+    assert len(pairs) == len({p for q in sequences for p in zip(q, q[1:])}) + len(words) - 5
+
+
+def test_hashes_are_of_the_words_in_order():
+    long = "x" * 300
+    texts = ["one Two  two", None, "", " \t\n", f"{long} a\x1cb é é", "y" * (2 << 20), f"two {'z ' * (1 << 20)}{long}"]
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    for most_words, most_rows in ((1, 1), (1 << 30, 2), (1 << 30, 1 << 30)):
+        parts = list(lm_hpy.stretches(iter([frame[:3], frame[3:]]), most_words, most_rows))
+        hashes, lengths = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        words = [lm_hpy.lower_words(t) for t in texts]
+        assert [i for p in parts for i in p[0]["doc_id"]] == list(range(len(texts))) and lengths.tolist() == list(map(len, words))
+        ids = {w: h for q in [[w for t in words for w in t]] for w, h in zip(q, hashes.tolist(), strict=True)}
+        assert [ids[w] for t in words for w in t] == hashes.tolist() and len(set(ids.values())) == len(ids)
