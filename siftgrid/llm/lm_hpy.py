@@ -508,40 +508,73 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def stretches(batches: Iterator[pd.DataFrame], most_words: int, most_rows: int = 1 << 40) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Rows of a text until they have so many words: their other columns, the hashes of all words in order, and the number of words of each row."""
     rows, hashes, lengths, words, number = [], [], [], 0, 0
+
+    def taken() -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        """What was gathered; only who takes it keeps it."""
+        nonlocal words, number
+        out = pd.concat(rows, ignore_index=True), np.concatenate(hashes), np.concatenate(lengths)
+        for x in (rows, hashes, lengths):
+            x.clear()
+        words, number = 0, 0
+        return out
+
     for b in batches:
-        texts, at = [text.encode().lower() if text else b"" for text in b["text"]], 0
-        ends = np.cumsum([len(text) + 1 for text in texts])
-        others = b.drop(columns="text")
+        texts, others, at = b["text"].to_numpy(), b.drop(columns="text"), 0
         while at < len(texts):
-            to = 1 + int(np.searchsorted(ends, BLOCK + (ends[at - 1] if at else 0)))
-            to = min(to, len(texts), at + most_rows - number)
-            found, places = word_hashes(b"\n".join(texts[at:to]))
-            counts = np.diff(np.searchsorted(places, ends[at:to] - (ends[at - 1] if at else 0)), prepend=0)
-            rows.append(others.iloc[at:to])
+            block, size = [], 0
+            for text in texts[at : at + most_rows - number]:
+                block.append(text.encode().lower() if text else b"")
+                size += len(block[-1]) + 1
+                if size >= BLOCK:
+                    break
+            found, places = word_hashes(b"\n".join(block))
+            rows.append(others.iloc[at : at + len(block)])
             hashes.append(found)
-            lengths.append(counts)
-            words, number, at = words + len(found), number + to - at, to
+            lengths.append(np.diff(np.searchsorted(places, np.cumsum([len(x) + 1 for x in block])), prepend=0))
+            words, number, at = words + len(found), number + len(block), at + len(block)
             if words >= most_words or number >= most_rows:
-                yield pd.concat(rows, ignore_index=True), np.concatenate(hashes), np.concatenate(lengths)
-                rows, hashes, lengths, words, number = [], [], [], 0, 0
+                yield taken()
     if number:
-        yield pd.concat(rows, ignore_index=True), np.concatenate(hashes), np.concatenate(lengths)
+        yield taken()
+
+
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's number in 32 bits, and the distinct words by number."""
+    ids, words = pd.factorize(hashes)
+    return ids.astype(np.int32), words
+
 
+def followed(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all tokens the one before and the token, in the same memory; 0 is the end mark, word i is i + 1."""
+    tokens, inside = np.zeros(1 + len(ids) + len(lengths), np.int32), np.ones(1 + len(ids) + len(lengths), bool)
+    inside[0] = inside[np.cumsum(lengths + 1)] = False
+    tokens[inside] = ids + 1
+    return tokens[:-1], tokens[1:]
 
-def followed(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens the one before, the token, and its text; 0 is the end mark, word i is i + 1."""
-    texts = np.arange(len(lengths))
-    tokens = np.zeros(len(ids) + len(lengths), np.int64)
-    tokens[np.arange(len(ids)) + np.repeat(texts, lengths)] = ids + 1
-    return np.concatenate([[0], tokens[:-1]]), tokens, np.repeat(texts, lengths + 1)
+
+def paired(before: np.ndarray, after: np.ndarray | int) -> np.ndarray:
+    """Two numbers of 32 bits as one of 64."""
+    keys = before.astype(np.int64)
+    keys <<= 32
+    keys |= after
+    return keys
+
+
+def firsts(ordered: np.ndarray) -> np.ndarray:
+    """Places where another value begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
 
 
 def mixed(u: np.ndarray, w: np.ndarray | int) -> np.ndarray:
     """A 64-bit hash of two codes."""
-    x = u.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = ((x ^ (x >> np.uint64(32))) + np.asarray(w, np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
+    x = u.astype(np.int64, copy=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x += np.asarray(w, np.int64).view(np.uint64)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 @dataclass
@@ -597,9 +630,12 @@ def word_totals(learning: DataFrame, homes: int, most_words: int = 2_000_000) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, hashes, _ in stretches(batches, most_words):
-            ids, words = pd.factorize(hashes)
+            ids, words = numbered(hashes)
+            del hashes
             n, words = np.bincount(ids, minlength=len(words)), words | OUTSIDE
+            del ids
             yield pd.DataFrame([(home, pack(words[at]), pack(n[at])) for home, at in dealt(home_of(words, homes), homes)], columns=["home", "w", "n"])
+            del n, words
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         w, at = np.unique(joined(rows["w"]), return_inverse=True)
@@ -615,23 +651,34 @@ def word_pairs(learning: DataFrame, book: Book, most_words: int = 2_000_000) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, hashes, lengths in stretches(batches, most_words):
-            ids, words = pd.factorize(hashes)
+            ids, words = numbered(hashes)
+            del hashes
             codes = np.concatenate([[0], shared.value.codes(words)])
-            before, token, _ = followed(ids, lengths)
-            keys, n = np.unique(before << 32 | token, return_counts=True)
+            keys = paired(*followed(ids, lengths))
+            del ids, words
+            keys.sort()
+            first = firsts(keys)
+            n = np.diff(first, append=len(keys))
+            keys = keys[first]
+            del first
             u, w = codes[keys >> 32], codes[keys & 0xFFFFFFFF]
+            del keys, codes
             yield pd.DataFrame([(b, pu, pw, pack(n[at])) for b, at, pu, pw in shared.value.parcels(u, w)], columns=["bucket", "u", "w", "n"])
+            del u, w, n
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        u, w = (np.concatenate(x) for x in zip(*map(unparcel, rows["u"], rows["w"]), strict=True))
-        n = np.concatenate([unpack(x) for x in rows["n"]])
+        u, w, n = (np.concatenate([*x]) for x in (map(np.cumsum, map(unpack, rows["u"])), map(unpack, rows["w"]), map(unpack, rows["n"])))
         key = mixed(u, w)
         order = np.argsort(key)
-        first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+        key = key[order]
+        first = firsts(key)
+        del key
         n, at = np.add.reduceat(n[order], first), order[first]
-        by = np.argsort(u[at])
-        at, n = at[by], n[by]
-        return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "u": [pack(np.diff(u[at], prepend=0))], "w": [pack(w[at])], "n": [pack(n)], "once": [(n == 1).sum()], "twice": [(n == 2).sum()]})
+        del order, first
+        u, w = u[at], w[at]
+        by = np.argsort(u)
+        u, w, n = u[by], w[by], n[by]
+        return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "u": [pack(np.diff(u, prepend=0))], "w": [pack(w)], "n": [pack(n)], "once": [(n == 1).sum()], "twice": [(n == 2).sum()]})
 
     return learning.select("text").mapInPandas(run, PAIR_ROW).groupBy("bucket").applyInPandas(merged, f"{PAIR_ROW}, once long, twice long")
 
@@ -1005,39 +1052,55 @@ REQUEST = "batch long, bucket int, u binary, w binary, times binary, docs binary
 ANSWER = "batch long, texts binary, docs binary, value binary, word_docs binary, known binary, base binary"
 
 
+def request(m: Words, log_n: np.ndarray, rows: pd.DataFrame, ids: np.ndarray, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What the book gives of each text, and what the buckets are asked: u and w of each distinct pair and word outside the book, the texts that have them, and how many of these each has."""
+    codes = np.concatenate([[0], m.classes.codes(words)])
+    mine, at = codes >= 0, np.maximum(codes, 0)
+    of_base, of_score = np.where(mine, log_n[at], 0.0), np.where(mine, m.log_word[at].astype(float), m.log_unknown)
+    before, token = followed(ids, lengths)
+    place = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
+    texts = np.zeros(len(rows), TEXT)
+    texts["null"] = rows["doc_id"].isna()
+    texts["doc_id"], texts["held_out"], texts["tokens"] = rows["doc_id"].fillna(0).astype(np.int64), rows["held_out"].astype(bool), lengths + 1
+    for column, of in (("known", of_base > 0), ("base", of_base), ("score", of_score)):
+        texts[column] = np.bincount(place, of[token], len(rows))
+    other = np.flatnonzero(~mine[token])
+    keys = np.concatenate([paired(before, token), paired(token[other], 0xFFFFFFFF)])
+    place = np.concatenate([place, place[other]])
+    del before, token, other
+    order = np.argsort(keys)
+    keys, place = keys[order], place[order]
+    del order
+    first = firsts(keys)
+    times, keys = np.diff(first, append=len(keys)), keys[first]
+    del first
+    u, w = codes[keys >> 32], keys & 0xFFFFFFFF
+    alone = w == 0xFFFFFFFF
+    w[alone] = 0
+    w = codes[w]
+    w[alone] = ALONE
+    return texts, u, w, place, times
+
+
 def score_words(docs: DataFrame, model: Words, table: DataFrame, held_out: Column, batch_docs: int = 5000, batch_words: int = 250_000) -> DataFrame:
     """As `score`. Each task sums what the book gives of a text; pairs and other words are asked for by bucket, with the texts that have them, and a bucket answers sums by text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, name = shared.value, TaskContext.get().partitionId() << 24
-        n = unpack(m.n)
-        log_n, log_word = np.log10(n + 1.0), m.log_word.astype(float)
+        log_n = np.log10(unpack(m.n) + 1.0)
         for rows, hashes, lengths in stretches(batches, 4 * batch_words, batch_docs):
-            ids, words = pd.factorize(hashes)
-            codes = np.concatenate([[0], m.classes.codes(words)])
-            mine, at = codes >= 0, np.maximum(codes, 0)
-            of_known, of_base, of_score = mine & (n[at] > 0), np.where(mine, log_n[at], 0.0), np.where(mine, log_word[at], m.log_unknown)
-            before, token, place = followed(ids, lengths)
-            texts = np.zeros(len(rows), TEXT)
-            texts["null"] = rows["doc_id"].isna()
-            texts["doc_id"], texts["held_out"], texts["tokens"] = rows["doc_id"].fillna(0).astype(np.int64), rows["held_out"].astype(bool), lengths + 1
-            for column, of in (("known", of_known), ("base", of_base), ("score", of_score)):
-                texts[column] = np.bincount(place, of[token], len(rows))
-            other = ~mine[token]
-            keys = np.concatenate([before << 32 | token, token[other] << 32 | 0xFFFFFFFF])
-            place = np.concatenate([place, place[other]])
-            order = np.argsort(keys)
-            keys, place = keys[order], place[order]
-            first = np.flatnonzero(np.diff(keys, prepend=-1))
-            times = np.diff(first, append=len(keys))
-            u, w = codes[keys[first] >> 32], keys[first] & 0xFFFFFFFF
-            w = np.where(w == 0xFFFFFFFF, ALONE, codes[np.where(w == 0xFFFFFFFF, 0, w)])
+            ids, words = numbered(hashes)
+            del hashes
+            texts, u, w, place, times = request(m, log_n, rows, ids, words, lengths)
+            del rows, ids, words, lengths
+            first = np.cumsum(times) - times
             out = []
             for b, at, pu, pw in m.classes.parcels(u, w):
-                lengths = times[at]
-                inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                out.append((name, b, pu, pw, pack(lengths), pack(place[np.repeat(first[at], lengths) + inside], "<i4"), None))
+                several = times[at]
+                inside = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+                out.append((name, b, pu, pw, pack(several), pack(place[np.repeat(first[at], several) + inside], "<i4"), None))
+            del u, w, place, times, first
             out.append((name, name % m.classes.buckets, None, None, None, None, texts.tobytes()))
             yield pd.DataFrame(out, columns=fields(REQUEST))
             name += 1

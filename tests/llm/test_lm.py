@@ -1,8 +1,10 @@
 """op10 against a plain sampler that moves one customer at a time."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 from math import log10
+from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
@@ -170,3 +172,25 @@ def test_hashes_are_of_the_words_in_order():
         assert [i for p in parts for i in p[0]["doc_id"]] == list(range(len(texts))) and lengths.tolist() == list(map(len, words))
         ids = {w: h for q in [[w for t in words for w in t]] for w, h in zip(q, hashes.tolist(), strict=True)}
         assert [ids[w] for t in words for w in t] == hashes.tolist() and len(set(ids.values())) == len(ids)
+
+
+def test_a_task_takes_little_memory_a_word(spark, monkeypatch):
+    """What one stretch of words needed was kept while the next was read, and a batch's texts were held twice; workers took over 430 MB."""
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    model, table = lm_hpy.learn(docs, burn=1, keep=1)
+    tasks, plain = [], type(docs).mapInPandas
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, f, *schema: (tasks.append(f), plain(self, f, *schema))[1])
+    monkeypatch.setattr(lm_hpy, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    words = 400_000
+    lm_hpy.word_totals(docs, 8, words)
+    lm_hpy.word_pairs(docs, model.classes, words)
+    lm_hpy.score(docs, model, table, F.lit(False), batch_words=words // 4)
+    drawn = np.random.default_rng(5).zipf(1.3, (300, 4000)) % 50_000
+    frame = pd.DataFrame({"doc_id": range(300), "text": [" ".join(map("w{}".format, row)) for row in drawn.tolist()], "held_out": False})
+    for task, most in zip(tasks, (85, 95, 140), strict=True):
+        tracemalloc.start()
+        try:
+            assert sum(1 for _ in task(iter([frame]))) == 3
+            assert tracemalloc.get_traced_memory()[1] < most * words, task.__qualname__
+        finally:
+            tracemalloc.stop()
