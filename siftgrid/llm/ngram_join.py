@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgrid.llm.common import cut, done, sent_whole, table
+from siftgrid.llm.common import cut, done, kept, sent_whole, table
 from siftgrid.llm.simhash_dedup import components
 
 #: Members of a group: as many as a long has bits.
@@ -177,8 +177,12 @@ def counted(docs: DataFrame, n: int) -> np.ndarray:
         if held:
             yield repeated(held)
 
-    rows = docs.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "token").limit(ORDERED).toPandas()
+    rows = kept(docs.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    # From this count on there are at most ORDERED tokens; a task that sorts out the first ones would hold as many and send them all.
+    sizes = rows.groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).toPandas()
+    fit = sizes["n"][sizes["tokens"].cumsum() <= ORDERED]
+    top = rows.where(F.col("n") >= int(fit.min())).toPandas().sort_values(["n", "token"], ascending=[False, True]) if len(fit) else pd.DataFrame({"token": [], "n": []})
+    done(rows)
     if not len(top):
         return np.zeros((0, 0))
     rank = np.arange(len(top), 0, -1, dtype=np.uint64)
@@ -365,14 +369,14 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rows are linked copies and keep a row each. Other columns are ignored; an empty table gives no rows.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    rows = cut(marked(docs, counted(docs, n), n, percent).withColumn("rid", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id_").cast(kind)).drop("doc_id_"))
+    rows = kept(marked(docs, counted(docs, n), n, percent).withColumn("rid", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id_").cast(kind)).drop("doc_id_"))
     sets = rows.where("n > 0")
-    classes = cut(
+    classes = kept(
         sets.groupBy("key")
         .agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("rid").alias("rid"), F.expr("any_value(struct(n, held, least_a, least_b, lead))").alias("of"))
         .select("key", "first", "copies", "rid", "of.*")
     )
-    groups = cut(grouped(classes.where(F.col("n") >= smallest(percent)).select("rid", "copies", "n", "held", "least_a", "least_b", "lead")))
+    groups = kept(grouped(classes.where(F.col("n") >= smallest(percent)).select("rid", "copies", "n", "held", "least_a", "least_b", "lead")))
     pairs = cut(opened(groups, percent))
     inside = F.expr(f"filter(sequence(0, {GROUP - 1}), k -> shiftrightunsigned(bits, k) & 1L = 1)")
     wanted = (
@@ -382,16 +386,18 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     )
     names = groups.select("gid", F.posexplode(F.arrays_zip("rids", "copies")).alias("slot", "m")).select("gid", "slot", F.col("m.rids").alias("rid"), F.col("m.copies").alias("copies"))
     wanted = cut(wanted.join(names, ["gid", "slot"]).select("lo", "hi", "side", "rid", "copies"))
+    done(groups, pairs)
     some = sent_whole(wanted.select("rid").distinct(), F.lit(8))
     texts = rows.join(some, "rid", "left_semi").select("rid", "text")
-    found = cut(compared(wanted.join(texts, "rid"), n, percent))
-    rooted = components(found.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))
+    found = kept(compared(wanted.join(texts, "rid"), n, percent))
+    rooted = components(found.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")).distinct())
     linked = cut(rooted.join(found.groupBy(F.col("rid").alias("node")).agg(F.sum("links").alias("links")), "node", "left"))
+    done(found)
     first = classes.select(F.col("rid").alias("node"), "first").join(linked.select("node", "root"), "node").groupBy("root").agg(F.min("first").alias("least"))
     named = classes.select("key", F.col("rid").alias("node"), "first", "copies").join(linked.join(first, "root"), "node", "left")
     named = cut(named.select("key", F.coalesce("least", "first").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(sent_whole(named, F.lit(40)), "key", "left")
-    done(classes, groups, pairs, wanted, found, linked)
+    done(classes, wanted, linked)
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -125,3 +125,31 @@ def test_hashes_follow_words(monkeypatch):
         assert len(found) == len(plain)
         assert len(set(found)) == len(set(plain)) == len(set(zip(found, plain, strict=True)))
     assert ngram_join.word_hashes(b"").tolist() == ngram_join.word_hashes(b" \n").tolist() == []
+
+
+def test_texts_and_sets_make_no_files(spark, monkeypatch):
+    """A table of texts in the shared folder has a file a task, and a local folder starts two processes for each beside the executor's memory."""
+    files = []
+    cut = ngram_join.cut
+
+    def counted(df):
+        out = cut(df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", counted)
+    draw = random.Random(5)
+    base = [draw.choice("abcdefgh") * draw.randrange(1, 9) for _ in range(60)]
+    rows = [(i, " ".join(edited(draw, base, 1) if i % 3 else base) if i % 2 else f"text {i} " * (i % 5)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    assert Counter(tuple(r) for r in ngram_join.join(docs).collect()) == plain(rows)
+    assert sum(files) < 40
+
+
+def test_commonest_tokens_are_no_more_than_asked_for(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c d" + " e f g" * (i % 3) + f" {i} {i} {i}") for i in range(30)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(ngram_join, "ORDERED", 4)
+    found = ngram_join.counted(docs, 3)
+    assert 0 < found.shape[1] <= 4 and sorted(found[1]) == list(range(1, found.shape[1] + 1))
+    monkeypatch.setattr(ngram_join, "ORDERED", 0)
+    assert ngram_join.counted(docs, 3).size == 0
