@@ -174,3 +174,16 @@ def allowed(url: Column, page: Column | None = None) -> Column:
     """Whether an address may be fetched: http(s), and not internal unless it has the page's own scheme, host and port."""
     page = F.lit(None).cast("string") if page is None else page
     return bound(F.struct(authority(url).alias("a"), authority(page).alias("p")), lambda x: F.coalesce(x["a"].isNotNull() & (~internal(x["a"]["host"]) | F.coalesce(x["a"] == x["p"], F.lit(False))), F.lit(False)))
+
+
+def unread(url: Column) -> Column:
+    """Whether an http(s) address has a host that ends in a number but is no IPv4 address, and that isn't internal as it is written.
+
+    Browsers don't open such an address, so `allowed` says no; a guard that takes hosts by their text alone lets it pass.
+    """
+
+    def of(u: Column) -> Column:
+        host = F.regexp_extract(F.regexp_replace(F.regexp_extract(u, ADDRESS, 2), r"(?s)^.*@", ""), r"(?s)^([^:\[]*)(?::[0-9]*)?$", 1)
+        return bound(host, lambda h: is4(h) & address4(h).isNull() & ~internal(h))
+
+    return F.coalesce(bound(cleaned(url), of), F.lit(False))
