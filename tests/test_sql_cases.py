@@ -35,3 +35,11 @@ def test_pii_scrub_beside_other_letters(spark, tmp_path):
     assert found == want
     found, want = both(spark, tmp_path / "n", "pii_counts", documents=docs)
     assert found == want
+
+
+def test_sensitive_findings_at_line_ends_and_other_letters(spark, tmp_path):
+    key = "Qz7" + "x1Y2w3V4" * 3
+    texts = [f"token={key}\ntoken={key}\n token={key}", f"a\n\ntoken: {key}", "ä93.184.216.34 und 93.184.216.35ä", "é5500005555555559 5500005555555559ß", f"toKen={key}s", f"ſtoken={key}", "", None]
+    rows = [(i, t, "src1") for i, t in enumerate(texts)] + [(50, texts[0], "src2"), (50, texts[0], "src2"), (None, texts[2], "src3")]
+    found, want = both(spark, tmp_path, "sensitive_findings_by_source", documents=("doc_id long, text string, source string", rows))
+    assert found == want and sum(r[1] for r in found) > 8
